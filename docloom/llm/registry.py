@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from docloom.llm import bpe, quality_rules, substring_dedup, token_counts
+from docloom.llm import bpe, pii, quality_rules, substring_dedup, token_counts
 
 QUERIES = {
     "op4_token_counts": token_counts.op4_token_counts,
     "op6_quality_rules": quality_rules.op6_quality_rules,
     "op7_substring_dedup": substring_dedup.op7_substring_dedup,
+    "op9_pii": pii.op9_pii,
     "op10_bpe": bpe.op10_bpe,
 }
 

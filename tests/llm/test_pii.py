@@ -1,0 +1,73 @@
+"""Base spans against a brute force in another regex engine; added spans on planted credentials."""
+
+import hashlib
+import random
+import re
+from collections import Counter
+
+from docloom.llm import pii
+
+KINDS = ["email", "ip", "card", "phone"]
+PATTERN = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def luhn(d):
+    return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
+
+
+def good(kind, m):
+    d = re.sub("[^0-9]", "", m)
+    return {"email": True, "ip": all(int(p) <= 255 for p in m.split(".")) if kind == "ip" else 0, "card": 14 <= len(d) <= 19 and luhn(d), "phone": 10 <= len(d) <= 15}[kind]
+
+
+def brute(text):
+    spans = [(m.start(), i, m.end()) for i, k in enumerate(KINDS) for m in re.finditer(PATTERN[k], text or "") if good(k, m.group())]
+    return Counter(KINDS[i] for _, i, _ in spans), ",".join(f"{KINDS[i]}:{a}:{b}" for a, i, b in sorted(spans))
+
+
+ODD = [
+    None, "", "a@b.c", "a@b.c@d.e", "a@b.com_x@y.org", "..a%+-@x-.y-z..q", "1.2.3.4.5.6.7.8", "256.1.1.1 0255.001.1.1 99999999999.1.1.1", "é🙂 4111 1111 1111 1111 é +1 (212) 555-0100.",
+    "4111-1111-1111-1111 4111111111111112", "+1 (212) 555-0100 +44.20.7946.0958 +1", "9" * 3000, "1 " * 2000, "a" * 3000 + "@", "x@y" + ".z" * 500, "日本a@b.co.jp、1.1.1.1", "+" * 50 + "12 34567890", "1-2-3-4-5-6-7-8-9-0-1-2-3-4",
+]
+
+
+def test_base_spans(spark, sf_dir, tmp_path):
+    rng = random.Random(3)
+    noise = ["".join(rng.choice("ab1 2.3@+-(4)5,é_%") for _ in range(rng.randrange(200))) for _ in range(300)]
+    given = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()] + [(10**6 + i, x) for i, x in enumerate(ODD + noise)] + [(None, "a@b.c"), (1, "a@b.c"), (1, "a@b.c")]
+    spark.createDataFrame([(*g, "x") for g in given], "doc_id long, text string, spans string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = pii.op9_pii(spark, str(tmp_path)).collect()
+    want = [(i, *[c[k] for k in KINDS], hashlib.sha256(b.encode()).hexdigest()) for i, t in given for c, b in [brute(t)]]
+    assert sorted([tuple(r)[:6] for r in got], key=str) == sorted(want, key=str)
+    for r in got:  # base spans stay
+        assert [x for x in r.spans.split(",") if x and not x.startswith("secret")] == [x for x in brute(dict(given).get(r.doc_id))[1].split(",") if x] or r.doc_id in (1, None)
+
+
+def test_added_spans_and_redaction(spark):
+    folder = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
+    truth = re.compile(r"(?i)(?<=password=)[0-9a-f]{16,}|(?<=token = \")[0-9a-f]{40}|\bAKIA[0-9A-Z]{16}\b")
+    text = {r.doc_id: r.text for r in docs.collect()}
+    found, planted = set(), {(i, m.start(), m.end()) for i, t in text.items() for m in truth.finditer(t)}
+    for r in pii.find_spans(docs).collect():
+        found |= {(r.doc_id, *map(int, s.split(":")[1:])) for s in r.spans.split(",") if s.startswith("secret")}
+    assert len(planted) > 20
+    assert len(planted & found) >= 0.95 * len(planted)
+    extra = [text[i][max(0, a - 12) : b + 2] for i, a, b in found - planted]
+    assert len(extra) <= 0.05 * len(found), extra
+    clean = {r.doc_id: r.text for r in pii.redact(docs).collect()}
+    for i, t in text.items():
+        assert not re.search(r"(?i)@mail|password=[0-9a-f]{16}", clean[i])
+        if not re.search(r"[0-9@+]", t) and not truth.search(t):
+            assert clean[i] == t
+
+
+def test_empty_table(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string")
+    assert pii.find_spans(docs).count() == 0
+    assert pii.redact(docs).count() == 0
