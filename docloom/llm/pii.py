@@ -249,12 +249,17 @@ def redact(docs: DataFrame, model: Trees | None = None) -> DataFrame:
     out = docs
     for kind in [*KINDS, "secret"]:
         gaps, matches = _runs(text, SECRET if kind == "secret" else PATTERNS[kind])
-        place = F.lit(f"[{kind.upper()}]")
-        parts = F.zip_with(gaps, matches, lambda g, m, kind=kind, place=place: F.when(m.isNull(), g).otherwise(F.concat(g, F.when(_chosen(kind, model, m, g), place).otherwise(m))))
+        parts = F.zip_with(gaps, matches, _replacement(kind, model))
         out = out.withColumn("text", F.when(text.rlike(SECRET if kind == "secret" else PATTERNS[kind]), F.array_join(parts, "")).otherwise(text))
     return out
 
 
+def _replacement(kind: str, model: Trees):
+    """(gap, match) to the gap and the match, or its placeholder."""
+    place = F.lit(f"[{kind.upper()}]")
+    return lambda g, m: F.when(m.isNull(), g).otherwise(F.concat(g, F.when(_chosen(kind, model, m, g), place).otherwise(m)))
+
+
 def op9_pii(spark, sf_dir: str) -> DataFrame:
     """Contract query: base counts and digest, and all spans, of every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from docloom.llm import bpe, pii, quality_rules, substring_dedup, token_counts
+from docloom.llm import bpe, licenses, pii, quality_rules, substring_dedup, token_counts
 
 QUERIES = {
     "op4_token_counts": token_counts.op4_token_counts,
     "op6_quality_rules": quality_rules.op6_quality_rules,
     "op7_substring_dedup": substring_dedup.op7_substring_dedup,
+    "op8_license_scan": licenses.op8_license_scan,
     "op9_pii": pii.op9_pii,
     "op10_bpe": bpe.op10_bpe,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op8_license_scan": licenses.oracle()}
