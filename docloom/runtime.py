@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: dict[str, str] = {}
 
+#: Bounds on what one Arrow batch holds, so texts of any length fit a Python worker.
+_BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
+
 
 def shared_dir(spark: SparkSession) -> str:
     """A new folder name under the cluster's ``spark.checkpoint.dir``.
@@ -37,7 +40,10 @@ def materialize(df: DataFrame, at: str | None = None) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Make this package importable on executors that don't share the driver's path."""
+    """Make this package importable on executors that don't share the driver's path; bound Arrow batches where the session doesn't."""
+    for key, value in _BATCHES.items():
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, value)
     sc = spark.sparkContext
     if sc.applicationId in _SHIPPED:
         return
