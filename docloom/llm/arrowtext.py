@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-PIECE_BYTES = 2_000_000
+PIECE_BYTES = 1_000_000
 U64 = np.uint64
 
 SPACES = np.zeros(256, dtype=bool)

@@ -74,8 +74,9 @@ def _ids(batch: pa.RecordBatch, rows: np.ndarray) -> pa.Array:
     return batch.column("doc_id").take(pa.array(rows))
 
 
-def _anchor_rows(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, anchor) at each change of anchor along a document."""
+def _anchor_rows(docs: DataFrame, size: int, frequent: np.ndarray | None = None, hot: bool = False) -> DataFrame:
+    """(doc_id, anchor) at each change of anchor along a document: of frequent anchors, or of all others."""
+    frequent = np.zeros(0, U64) if frequent is None else frequent
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -85,6 +86,7 @@ def _anchor_rows(docs: DataFrame, size: int) -> DataFrame:
                 row = w.row_of()[at]
                 new = np.ones(len(anchor), dtype=bool)
                 new[1:] = (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])
+                new &= np.isin(anchor, frequent) == hot
                 yield pa.RecordBatch.from_arrays([_ids(batch, row[new]), pa.array(anchor[new].view(np.int64))], ["doc_id", "anchor"])
 
     return docs.mapInArrow(emit, "doc_id long, anchor long")
@@ -221,19 +223,10 @@ def repeated_windows(docs: DataFrame, size: int = 13) -> tuple[DataFrame, DataFr
 
     known = docs.where("doc_id IS NOT NULL")
     frequent = _frequent(known, size)
-    hot = spark.sparkContext.broadcast(frequent)
-    rows = _anchor_rows(known, size)
-
-    def is_frequent(keep: bool):
-        def only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                yield b.filter(pa.array(np.isin(b.column("anchor").to_numpy().view(U64), hot.value) == keep))
-
-        return only
-
     shape = "doc_id long, anchor long"
-    rare = rows.mapInArrow(is_frequent(False), shape).repartition("anchor").sortWithinPartitions("anchor", "doc_id").mapInArrow(_repeated, shape)
-    found = rare.unionByName(rows.mapInArrow(is_frequent(True), shape)) if len(frequent) else rare
+    found = _anchor_rows(known, size, frequent).repartition("anchor").sortWithinPartitions("anchor", "doc_id").mapInArrow(_repeated, shape)
+    if len(frequent):
+        found = found.unionByName(_anchor_rows(known, size, frequent, True))
     copies = base.groupBy("doc_id").agg(F.min("copy").alias("copy")).where("copy").select("doc_id")
     flagged = found.groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors")).join(copies, "doc_id", "left_anti")
     chosen = materialize(known.join(flagged, "doc_id"))

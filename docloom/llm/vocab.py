@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 2_000_000
 MEMO_ENTRIES = 500_000
 MEMO_CHARS = 64
 
