@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from docloom.llm import bpe, licenses, near_dedup, pii, quality_rules, substring_dedup, token_counts
+from docloom.llm import bpe, decontaminate, licenses, near_dedup, pii, quality_rules, substring_dedup, token_counts
 
 QUERIES = {
     "op2_near_dedup": near_dedup.op2_near_dedup,
+    "op3_decontaminate": decontaminate.op3_decontaminate,
     "op4_token_counts": token_counts.op4_token_counts,
     "op6_quality_rules": quality_rules.op6_quality_rules,
     "op7_substring_dedup": substring_dedup.op7_substring_dedup,
