@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from docloom.llm import bpe, decontaminate, licenses, near_dedup, pii, quality_rules, substring_dedup, token_counts
+from docloom.llm import bpe, decontaminate, licenses, near_dedup, pii, quality_rules, substring_dedup, token_counts, warc
 
 QUERIES = {
+    "op1_warc": warc.op1_warc,
     "op2_near_dedup": near_dedup.op2_near_dedup,
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op4_token_counts": token_counts.op4_token_counts,
