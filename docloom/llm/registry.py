@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from docloom.llm import bpe, decontaminate, licenses, near_dedup, pii, quality_rules, substring_dedup, token_counts, warc
+from docloom.llm import bpe, decontaminate, licenses, near_dedup, pii, quality_rules, substring_dedup, token_counts, toxicity, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
     "op2_near_dedup": near_dedup.op2_near_dedup,
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op4_token_counts": token_counts.op4_token_counts,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op6_quality_rules": quality_rules.op6_quality_rules,
     "op7_substring_dedup": substring_dedup.op7_substring_dedup,
     "op8_license_scan": licenses.op8_license_scan,
