@@ -1,6 +1,92 @@
-"""The registered queries and their DuckDB oracles, by name."""
+"""The registered queries and their DuckDB oracles, by name.
+
+A query applies an operator to a frame derived from whole given tables; its oracle
+states the same result in SQL, written on its own.
+"""
 
 from __future__ import annotations
 
+from docloom.operators import files, survivors
+from docloom.sources.frames import frame, with_frames
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def add(name: str, frames: tuple[str, ...], operator, oracle: str | None = None) -> None:
+    """Register ``operator`` over ``frames``; ``oracle`` follows the frames' common tables."""
+    QUERIES[name] = lambda spark, sf_dir: operator(*[frame(spark, sf_dir, f) for f in frames])
+    if oracle is not None:
+        ORACLES[name] = f"{with_frames(*frames)}{oracle}"
+
+
+# --- files of applications ------------------------------------------------------------
+
+DEDUPED = """,
+kept AS (SELECT * FROM files QUALIFY row_number() OVER (PARTITION BY application_no, material, digest ORDER BY lower(name), name, file_id) = 1)"""
+PAIRED = """,
+sided AS (SELECT application_no, material, name, file_id,
+  CASE WHEN len(string_split(regexp_replace(name, '\\.[^.]*$', ''), '_')) >= 3 AND regexp_matches(string_split(name, '_')[2], '^[0-9]+$') THEN string_split(name, '_')[2] END AS token
+  FROM {src} WHERE material <> 'driver'),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY application_no, material, token ORDER BY lower(name), name, file_id) AS k FROM sided),
+high AS (SELECT f.application_no, f.file_id AS fid, b.file_id AS bid, f.name AS front_name, b.name AS back_name FROM ranked f JOIN ranked b
+  ON f.application_no = b.application_no AND f.token = b.token AND f.k = b.k AND f.material = 'front' AND b.material = 'back'),
+rest AS (SELECT application_no, material, name, row_number() OVER (PARTITION BY application_no, material ORDER BY lower(name), name, file_id) AS k
+  FROM ranked WHERE file_id NOT IN (SELECT fid FROM high UNION ALL SELECT bid FROM high)),
+low AS (SELECT coalesce(f.application_no, b.application_no) AS application_no, f.name AS front_name, b.name AS back_name,
+  CASE WHEN f.name IS NULL THEN 'unpaired_back' WHEN b.name IS NULL THEN 'unpaired_front' ELSE 'medium' END AS confidence
+  FROM (SELECT * FROM rest WHERE material = 'front') f FULL JOIN (SELECT * FROM rest WHERE material = 'back') b ON f.application_no = b.application_no AND f.k = b.k),
+pairs AS (SELECT application_no, front_name, back_name, 'high' AS confidence FROM high UNION ALL SELECT * FROM low)"""
+
+add("dedupe_files", ("files",), lambda f: files.dedupe_files(f).select("application_no", "material", "name", "digest", "file_id"), f"{DEDUPED} SELECT application_no, material, name, digest, file_id FROM kept")
+add("count_duplicates", ("files",), files.count_duplicates, " SELECT application_no, material, count(*) - count(DISTINCT digest) AS n_duplicates FROM files GROUP BY ALL")
+add("pair_sides", ("files",), files.pair_sides, PAIRED.format(src="files") + " SELECT * FROM pairs")
+add("application_summary", ("files",), files.application_summary, DEDUPED + PAIRED.format(src="kept") + """,
+p AS (SELECT application_no, count(*) FILTER (confidence = 'high') AS n_high, count(*) FILTER (confidence = 'medium') AS n_medium,
+  count(*) FILTER (confidence = 'unpaired_front') AS n_unpaired_front, count(*) FILTER (confidence = 'unpaired_back') AS n_unpaired_back FROM pairs GROUP BY 1),
+a AS (SELECT application_no, count(*) AS n_files, (SELECT count(*) FROM kept k WHERE k.application_no = files.application_no) AS n_kept,
+  concat_ws(',', CASE WHEN count(*) FILTER (material = 'back') = 0 THEN 'back' END, CASE WHEN count(*) FILTER (material = 'driver') = 0 THEN 'driver' END, CASE WHEN count(*) FILTER (material = 'front') = 0 THEN 'front' END) AS missing
+  FROM files GROUP BY 1)
+SELECT a.application_no, n_files, n_kept, coalesce(n_high, 0) AS n_high, coalesce(n_medium, 0) AS n_medium, coalesce(n_unpaired_front, 0) AS n_unpaired_front, coalesce(n_unpaired_back, 0) AS n_unpaired_back,
+  missing, n_files - n_kept AS n_duplicates, CASE WHEN missing = '' THEN 'completed' ELSE 'partial' END AS status FROM a LEFT JOIN p ON a.application_no = p.application_no""")
+add("missing_documents", ("files",), files.missing_documents, """ SELECT application_no,
+  concat_ws(',', CASE WHEN count(*) FILTER (material = 'back') = 0 THEN 'back' END, CASE WHEN count(*) FILTER (material = 'driver') = 0 THEN 'driver' END, CASE WHEN count(*) FILTER (material = 'front') = 0 THEN 'front' END) AS missing
+  FROM files GROUP BY 1""")
+add("scan_rollup", ("files",), files.scan_rollup, """ SELECT coalesce(material, '(all)') AS material, count(DISTINCT application_no) AS n_applications, count(*) AS n_files, count(*) FILTER (name LIKE '%0.jpg') AS n_round
+  FROM files GROUP BY ROLLUP (material)""")
+add("list_images", ("files",), files.list_images, """ SELECT a.application_no, m.material, coalesce(string_agg(f.name, ',' ORDER BY lower(f.name), f.name), '') AS names
+  FROM (SELECT DISTINCT application_no FROM files) a CROSS JOIN (VALUES ('back'), ('driver'), ('front')) m(material) LEFT JOIN files f ON f.application_no = a.application_no AND f.material = m.material GROUP BY 1, 2""")
+add("page_fanout", ("responses",), files.page_fanout, """ SELECT id, p AS page, false AS rejected FROM responses, unnest(range(1, page_count + 1)) x(p) WHERE page_count BETWEEN 1 AND 100
+  UNION ALL SELECT id, NULL, true FROM responses WHERE NOT page_count BETWEEN 1 AND 100""")
+
+# --- survivorship ------------------------------------------------------------------------
+
+add("vote_values", ("votes",), survivors.vote_values, """,
+c AS (SELECT group_id, field, value, count(*) AS n, min(position) AS p FROM votes GROUP BY 1, 2, 3)
+SELECT group_id, field, value FROM c QUALIFY row_number() OVER (PARTITION BY group_id, field ORDER BY n DESC, length(value) - length(replace(value, '*', '')), CASE WHEN field = 'size' THEN length(value) ELSE 0 END DESC, p) = 1""")
+add("vote_pairs", ("pairs",), survivors.vote_pairs, """,
+c AS (SELECT group_id, total, curb, count(*) AS n, max(position) AS last FROM pairs GROUP BY 1, 2, 3),
+l AS (SELECT *, max(last) OVER (PARTITION BY group_id) AS latest FROM c), t AS (SELECT * FROM l QUALIFY n = max(n) OVER (PARTITION BY group_id)),
+b AS (SELECT group_id, count(*) AS k, arg_max(total, last) AS total, arg_max(curb, last) AS curb, max(last) AS last, any_value(latest) AS latest FROM t GROUP BY 1)
+SELECT group_id, CASE WHEN k = 1 OR last = latest THEN total ELSE '' END AS total, CASE WHEN k = 1 OR last = latest THEN curb ELSE '' END AS curb, k AS n_leaders FROM b""")
+add("merge_longest", ("merge",), survivors.merge_longest, """ SELECT group_id, value, n_merged FROM (SELECT *, count(*) OVER (PARTITION BY group_id) AS n_merged FROM merge)
+  QUALIFY row_number() OVER (PARTITION BY group_id ORDER BY length(value) DESC, position) = 1""")
+add("unique_or_blank", ("merge",), survivors.unique_or_blank, """,
+c AS (SELECT group_id, count(DISTINCT value) FILTER (ok) AS a, min(value) FILTER (ok) AS av, count(DISTINCT value) FILTER (ok AND is_full_image) AS f, min(value) FILTER (ok AND is_full_image) AS fv,
+  count(DISTINCT value) FILTER (ok AND NOT is_full_image) AS p, min(value) FILTER (ok AND NOT is_full_image) AS pv FROM (SELECT *, value <> '' AND NOT contains(value, '*') AS ok FROM merge) GROUP BY 1)
+SELECT group_id, CASE WHEN a = 1 THEN av ELSE '' END AS only_value, CASE WHEN f = 1 THEN fv WHEN f > 1 THEN '' WHEN p = 1 THEN pv ELSE '' END AS preferred_value, f > 1 AS conflict FROM c""")
+add("match_masked_keys", ("masked",), survivors.match_masked_keys, """,
+k AS (SELECT DISTINCT group_id, name, number FROM masked WHERE number <> '')
+SELECT DISTINCT a.group_id, a.number AS masked, b.number AS key FROM k a JOIN k b ON a.group_id = b.group_id AND a.name = b.name AND a.number <> b.number
+WHERE contains(a.number, '*') AND regexp_full_match(b.number, replace(a.number, '*', '.'))
+  OR contains(a.number, '*') AND contains(b.number, '*') AND length(a.number) = length(b.number) AND list_bool_and(list_transform(range(1, length(a.number) + 1), lambda i: a.number[i] = b.number[i] OR a.number[i] = '*' OR b.number[i] = '*'))""")
+QUERIES["cluster_keys"] = lambda spark, sf_dir: survivors.cluster_keys(frame(spark, sf_dir, "masked"))
+add("link_people", ("people",), survivors.link_people, """,
+d AS (SELECT *, CASE WHEN number = '' THEN '#' || position ELSE number END AS key, row_number() OVER (PARTITION BY application_no ORDER BY position) AS instance FROM people),
+g AS (SELECT application_no, key, min(position) FILTER (document_type = 'id_card') AS card, min(position) AS first FROM d GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY application_no ORDER BY CASE WHEN card IS NULL THEN 1 ELSE 0 END, coalesce(card, first)) AS person FROM g)
+SELECT d.application_no, d.position, d.document_type || '-' || d.instance AS instance_id, 'person-' || r.person AS person_id FROM d JOIN r ON d.application_no = r.application_no AND d.key = r.key""")
+add("cross_check", ("people",), survivors.cross_check, """,
+f AS (SELECT application_no, number, document_type, arg_min(address, position) AS address FROM people WHERE number <> '' GROUP BY 1, 2, 3)
+SELECT c.application_no, c.number, CASE WHEN c.address = '' OR l.address = '' THEN 'not compared' WHEN c.address = l.address THEN 'consistent' ELSE 'different' END AS address_status
+FROM f c JOIN f l ON c.application_no = l.application_no AND c.number = l.number AND c.document_type = 'id_card' AND l.document_type = 'driver_license'""")
