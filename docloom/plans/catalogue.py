@@ -6,7 +6,7 @@ states the same result in SQL, written on its own.
 
 from __future__ import annotations
 
-from docloom.operators import files, survivors
+from docloom.operators import files, normalize, survivors
 from docloom.sources.frames import frame, with_frames
 
 QUERIES: dict = {}
@@ -90,3 +90,86 @@ add("cross_check", ("people",), survivors.cross_check, """,
 f AS (SELECT application_no, number, document_type, arg_min(address, position) AS address FROM people WHERE number <> '' GROUP BY 1, 2, 3)
 SELECT c.application_no, c.number, CASE WHEN c.address = '' OR l.address = '' THEN 'not compared' WHEN c.address = l.address THEN 'consistent' ELSE 'different' END AS address_status
 FROM f c JOIN f l ON c.application_no = l.application_no AND c.number = l.number AND c.document_type = 'id_card' AND l.document_type = 'driver_license'""")
+
+# --- normalisation -----------------------------------------------------------------------
+
+DATES = {"one": ("date_yyyymmdd", "one_date"), "dashed": ("date_yyyy_mm_dd", "one_date"), "digits": ("date_digits", "one_date"), "inspection": ("inspection_date", "one_date"), "period": ("date_range", "two_dates"), "id_period": ("id_card_valid_period", "two_dates"), "term": ("business_term", "two_dates")}
+AMOUNTS = {r: (r, "amount") for r in ("mass_kg", "people", "number", "money", "numeric", "percent", "measurement")} | {"mm": ("dimensions_mm", "dimensions"), "slash": ("dimensions_slash", "dimensions")}
+CODES = {"upper_code": ("compact_upper", "code"), "plain_code": ("compact", "code"), "bare_code": ("compact_whitespace", "code"), "spaced_code": ("space", "code"), "class_code": ("driving_class", "code")}
+WORDS = {
+    "gender": ("gender", "person"), "ethnicity": ("ethnicity", "person"), "nationality": ("nationality", "person"), "driver_kind": ("driver_document_type", "document"), "vehicle_kind": ("vehicle_license_type", "document"),
+    "invoice": ("invoice_type", "document"), "origin": ("domestic_imported", "document"), "duration": ("duration", "noise"), "stamp": ("stamp_yes_no", "noise"), "class_list": ("driving_class", "noise"), "words": ("space", "noise"),
+    "premiums": ("premium_list", "listed"), "years": ("business_term", "listed"), "as_text": ("text", "listed"),
+}
+
+
+def _columns(rules: dict) -> object:
+    return lambda f: normalize.normalize_columns(f, rules)
+
+
+ONE = "'^([0-9]{4})[年./-]?([0-9]{1,2})[月./-]?([0-9]{1,2})日?$'"
+TWO = "'([0-9]{4})[年./-]?([0-9]{1,2})[月./-]?([0-9]{1,2})日?'"
+
+
+def _glued(x: str, sep: str = "", pattern: str = ONE) -> str:
+    part = lambda i: f"lpad(regexp_extract({x}, {pattern}, {i}), 2, '0')"
+    return f"CASE WHEN regexp_matches({x}, {pattern}) THEN regexp_extract({x}, {pattern}, 1) || '{sep}' || {part(2)} || '{sep}' || {part(3)} ELSE '' END"
+
+
+add("normalize_dates", ("dirty",), _columns(DATES), f""",
+t AS (SELECT id, trim(one_date) AS d, trim(two_dates) AS r FROM dirty),
+u AS (SELECT *, {_glued("d")} AS one, list_transform(list_filter(regexp_split_to_array(replace(r, '至', '-'), ' ?- ?|-'), lambda x: x <> ''), lambda x: {_glued("x")}) AS ds0 FROM t),
+v AS (SELECT *, list_filter(ds0, lambda x: x <> '') AS ds FROM u),
+w AS (SELECT *, CASE WHEN contains(r, '长期') AND len(ds) > 0 THEN ds[1] || '-长期' WHEN len(ds) >= 2 THEN ds[1] || '-' || ds[2] ELSE '' END AS period FROM v)
+SELECT id, one, {_glued("d", "-")} AS dashed, CASE WHEN length(regexp_replace(d, '[^0-9]', '', 'g')) = 8 THEN regexp_replace(d, '[^0-9]', '', 'g') ELSE '' END AS digits,
+  CASE WHEN one <> '' THEN one WHEN regexp_matches(d, '^[0-9]{{4}}[年./-]?[0-9]{{1,2}}月?$') THEN regexp_extract(d, '^([0-9]{{4}})', 1) || lpad(regexp_extract(d, '^[0-9]{{4}}[年./-]?([0-9]{{1,2}})', 1), 2, '0') ELSE '' END AS inspection,
+  period, CASE WHEN period <> '' THEN period ELSE replace(r, ' ', '') END AS id_period,
+  CASE WHEN contains(r, '长期') THEN '长期' WHEN len(ds) = 2 THEN ds[1] || '至' || ds[2] ELSE '' END AS term FROM w""")
+add("normalize_amounts", ("dirty",), _columns(AMOUNTS), r""",
+t AS (SELECT id, CASE WHEN amount = 'unknown' THEN '' ELSE amount END AS a, replace(CASE WHEN amount = 'unknown' THEN '' ELSE amount END, ',', '') AS c, regexp_extract_all(dimensions, '[0-9]+(\.[0-9]+)?') AS n FROM dirty)
+SELECT id, CASE WHEN regexp_matches(c, '^[0-9]+(\.[0-9]+)?( ?kg)?$') THEN regexp_extract(c, '^[0-9.]+') || 'kg' ELSE '' END AS mass_kg,
+  CASE WHEN regexp_matches(a, '^[0-9]+人?$') THEN regexp_extract(a, '^[0-9]+') || '人' ELSE '' END AS people,
+  CASE WHEN regexp_matches(c, '^[0-9]+(\.[0-9]+)? ?(kg|mm|人)?$') THEN regexp_extract(c, '^[0-9.]+') ELSE '' END AS number,
+  CASE WHEN regexp_matches(c, '^(¥ ?)?-?[0-9]+(\.[0-9]{1,2})?元?$') THEN regexp_extract(c, '-?[0-9.]+') ELSE '' END AS money,
+  CASE WHEN regexp_matches(c, '^[0-9]+(\.[0-9]+)?人?$') THEN regexp_extract(c, '^[0-9.]+') ELSE '' END AS numeric,
+  CASE WHEN regexp_matches(a, '^[0-9]+(\.[0-9]+)?%?$') THEN regexp_extract(a, '^[0-9.]+') || '%' ELSE '' END AS percent,
+  CASE WHEN regexp_matches(c, '^-?[0-9]+(\.[0-9]+)?( ?mm| ?kg)?$') THEN regexp_extract(c, '^[-0-9.]+') ELSE '' END AS measurement,
+  CASE WHEN len(n) = 3 THEN array_to_string(list_transform(n, lambda x: CASE WHEN NOT contains(x, '.') THEN x WHEN regexp_matches(x, '\.0*$') THEN regexp_extract(x, '^[0-9]+')
+    WHEN length(regexp_extract(x, '^[0-9]+')) < 4 AND length(replace(x, '.', '')) BETWEEN 3 AND 5 THEN replace(x, '.', '') ELSE x END), '×') || 'mm' ELSE '' END AS mm,
+  CASE WHEN len(n) = 3 THEN array_to_string(n, '/') ELSE '' END AS slash FROM t""")
+add("normalize_codes", ("dirty",), _columns(CODES), """,
+t AS (SELECT id, CASE WHEN lower(trim(code)) IN ('', 'unknown') THEN '' ELSE trim(code) END AS c FROM dirty)
+SELECT id, upper(replace(c, ' ', '')) AS upper_code, replace(replace(c, ' ', ''), '_', '') AS plain_code, replace(c, ' ', '') AS bare_code, regexp_replace(c, ' +', ' ', 'g') AS spaced_code, upper(replace(replace(c, ' ', ''), ',', '')) AS class_code FROM t""")
+add("normalize_words", ("words",), _columns(WORDS), r""",
+t AS (SELECT id, CASE WHEN trim(person) = '未知' THEN '' ELSE trim(person) END AS p, document AS d, trim(noise) AS n, listed AS l, replace(document, ' ', '') AS dc FROM words)
+SELECT id, CASE WHEN p IN ('男', '女') THEN p ELSE '' END AS gender, CASE p WHEN '汉族' THEN '汉' WHEN '穿青' THEN '穿青人' ELSE '' END AS ethnicity,
+  CASE WHEN p IN ('CHN', '中华人民共和国') THEN '中国' ELSE replace(p, ' ', '') END AS nationality,
+  CASE WHEN contains(d, '驾驶证') AND contains(d, '电子') THEN '电子驾驶证' WHEN contains(d, '驾驶证') THEN '中华人民共和国机动车驾驶证' ELSE '' END AS driver_kind,
+  CASE WHEN contains(d, '正本') AND contains(d, '副页') THEN '中国行驶证正本与副页' WHEN contains(d, '副页') THEN '中国行驶证副页' WHEN contains(d, '正本') OR contains(d, '行驶证') THEN '中国行驶证正本' ELSE '' END AS vehicle_kind,
+  CASE WHEN contains(dc, '机动车') AND contains(dc, '发票') THEN CASE WHEN contains(dc, '电子') THEN '电子发票（机动车销售统一发票）' ELSE '机动车销售统一发票' END ELSE dc END AS invoice,
+  CASE WHEN contains(d, '进口') THEN '进口' WHEN contains(d, '国产') THEN '国产' ELSE '' END AS origin,
+  CASE WHEN n = '长期' THEN n WHEN regexp_matches(n, '^[0-9]+ *年$') THEN regexp_extract(n, '^[0-9]+') || '年' ELSE '' END AS duration,
+  CASE n WHEN '红章' THEN '是' WHEN '非红章' THEN '否' ELSE '' END AS stamp, upper(regexp_replace(n, '[ ,，、]+', '', 'g')) AS class_list, regexp_replace(n, ' +', ' ', 'g') AS words,
+  CASE l WHEN '1.5;20；' THEN '1.5；20；' WHEN '3.10' THEN '3.10' ELSE '' END AS premiums,
+  CASE WHEN l IN ('20200101至20300101', '2020年1月1日至2030.1.1') THEN '20200101至20300101' ELSE '' END AS years, l AS as_text FROM t""")
+add("check_identity", ("identity",), normalize.check_identity, """,
+s AS (SELECT *, CAST(list_sum(list_transform(range(1, 18), lambda i: CAST(body[i] AS INT) * [7, 9, 10, 5, 8, 4, 2, 1, 6, 3, 7, 9, 10, 5, 8, 4, 2][i])) % 11 AS BIGINT) AS m FROM identity),
+c AS (SELECT *, '10X98765432'[m + 1] AS right_check FROM s), d AS (SELECT *, CASE WHEN corrupted THEN CASE WHEN right_check = '1' THEN '2' ELSE '1' END ELSE right_check END AS k FROM c)
+SELECT id, CASE WHEN k = right_check THEN body || k ELSE '' END AS number, k = right_check AS valid_1950 FROM d""")
+
+PROFILE = [("issued", "one_date", "date_yyyymmdd"), ("valid", "two_dates", "date_range"), ("weight", "amount", "mass_kg"), ("size", "dimensions", "dimensions_slash"), ("code", "code", "compact_upper")]
+
+
+def _normalize_fields(spark, sf_dir):
+    profile = spark.createDataFrame(PROFILE, "field string, source string, normalizer string")
+    return normalize.normalize_fields(frame(spark, sf_dir, "dirty"), profile, ["one_date", "two_dates", "amount", "dimensions", "code"])
+
+
+QUERIES["normalize_fields"] = _normalize_fields
+ORACLES["normalize_fields"] = with_frames("dirty") + f""",
+t AS (SELECT id, trim(one_date) AS d, trim(two_dates) AS r, replace(CASE WHEN amount = 'unknown' THEN '' ELSE amount END, ',', '') AS c, regexp_extract_all(dimensions, '[0-9]+(\\.[0-9]+)?') AS n,
+  CASE WHEN lower(trim(code)) IN ('', 'unknown') THEN '' ELSE trim(code) END AS k FROM dirty),
+v AS (SELECT *, list_filter(list_transform(regexp_split_to_array(replace(r, '至', '-'), ' ?- ?|-'), lambda x: {_glued("x")}), lambda x: x <> '') AS ds FROM t)
+SELECT id, {_glued("d")} AS issued, CASE WHEN contains(r, '长期') AND len(ds) > 0 THEN ds[1] || '-长期' WHEN len(ds) >= 2 THEN ds[1] || '-' || ds[2] ELSE '' END AS valid,
+  CASE WHEN regexp_matches(c, '^[0-9]+(\\.[0-9]+)?( ?kg)?$') THEN regexp_extract(c, '^[0-9.]+') || 'kg' ELSE '' END AS weight,
+  CASE WHEN len(n) = 3 THEN array_to_string(n, '/') ELSE '' END AS size, upper(replace(k, ' ', '')) AS code FROM v"""

@@ -64,7 +64,7 @@ FRAMES = {
                  WHEN 3 THEN concat(CAST(year(o_orderdate) AS STRING), '0102 - ', CAST(year(o_orderdate) + 6 AS STRING), '0102')
                  ELSE concat(CAST(year(o_orderdate) AS STRING), '.01.02 -') END AS two_dates,
                CASE o_orderkey % 7
-                 WHEN 0 THEN concat('¥ ', CAST(CAST(o_totalprice AS INT) AS STRING), '元')
+                 WHEN 0 THEN concat('¥ ', CAST(CAST(floor(o_totalprice) AS INT) AS STRING), '元')
                  WHEN 1 THEN concat('1,', lpad(CAST(o_orderkey % 1000 AS STRING), 3, '0'), ' kg')
                  WHEN 2 THEN concat(CAST(o_orderkey % 9 AS STRING), '人')
                  WHEN 3 THEN concat('4', CAST(o_orderkey % 900 AS STRING), '.5 mm')
