@@ -6,16 +6,23 @@ states the same result in SQL, written on its own.
 
 from __future__ import annotations
 
-from docloom.operators import files, normalize, survivors
+from pyspark.sql import functions as F
+
+from docloom.operators import files, gate, normalize, survivors, tokens
 from docloom.sources.frames import frame, with_frames
 
 QUERIES: dict = {}
 ORACLES: dict = {}
 
 
+def rounded(out):
+    """Doubles to six places, as the oracles give them."""
+    return out.withColumns({c: F.round(c, 6) for c, kind in out.dtypes if kind == "double"})
+
+
 def add(name: str, frames: tuple[str, ...], operator, oracle: str | None = None) -> None:
     """Register ``operator`` over ``frames``; ``oracle`` follows the frames' common tables."""
-    QUERIES[name] = lambda spark, sf_dir: operator(*[frame(spark, sf_dir, f) for f in frames])
+    QUERIES[name] = lambda spark, sf_dir: rounded(operator(*[frame(spark, sf_dir, f) for f in frames]))
     if oracle is not None:
         ORACLES[name] = f"{with_frames(*frames)}{oracle}"
 
@@ -173,3 +180,85 @@ v AS (SELECT *, list_filter(list_transform(regexp_split_to_array(replace(r, '至
 SELECT id, {_glued("d")} AS issued, CASE WHEN contains(r, '长期') AND len(ds) > 0 THEN ds[1] || '-长期' WHEN len(ds) >= 2 THEN ds[1] || '-' || ds[2] ELSE '' END AS valid,
   CASE WHEN regexp_matches(c, '^[0-9]+(\\.[0-9]+)?( ?kg)?$') THEN regexp_extract(c, '^[0-9.]+') || 'kg' ELSE '' END AS weight,
   CASE WHEN len(n) = 3 THEN array_to_string(n, '/') ELSE '' END AS size, upper(replace(k, ' ', '')) AS code FROM v"""
+
+# --- tokens and lines ------------------------------------------------------------------------
+
+LABELS = ("the", "de", "der")
+SQL_LABEL = "lower(text) IN ('the', 'de', 'der')"
+SQL_FITS = "length(text) >= 6"
+L = "SELECT group_id, token_index AS li, text AS lt, score AS ls, \"left\" AS ll, top AS lo, \"right\" AS lr, bottom AS lb FROM tokens WHERE " + SQL_LABEL
+
+
+
+def is_label():
+    return F.lower("text").isin(*LABELS)
+
+
+def fits():
+    return F.length("text") >= 6
+
+
+add("clip_tokens", ("tokens",), tokens.clip_tokens, """ SELECT group_id, token_index, text, CASE WHEN score BETWEEN 0 AND 1 THEN score END AS score, l AS "left", t AS top, r AS "right", b AS bottom
+  FROM (SELECT *, least(greatest("left", 0), 480) AS l, least(greatest(top, 0), 400) AS t, least(greatest("right", 0), 480) AS r, least(greatest(bottom, 0), 400) AS b FROM tokens) WHERE r - l >= 2 AND b - t >= 2""")
+add("token_metrics", ("tokens",), tokens.token_metrics, """,
+c AS (SELECT group_id, length(text) AS n, CASE WHEN score BETWEEN 0 AND 1 THEN score END AS s, least(least("right", 480) - least("left", 480), bottom - top) AS side FROM tokens WHERE least("right", 480) - least("left", 480) >= 2 AND bottom - top >= 2)
+SELECT group_id, count(*) AS n_tokens, round(coalesce(sum(s * n) / sum(CASE WHEN s IS NOT NULL THEN n END), 0), 6) AS mean_score, round(coalesce(quantile_cont(s, 0.25), 0), 6) AS lower_quartile,
+  round(coalesce(count(*) FILTER (s < 0.65) / nullif(count(s), 0), 0), 6) AS low_tokens, round(coalesce(sum(CASE WHEN s < 0.65 THEN n END) / sum(CASE WHEN s IS NOT NULL THEN n END), 0), 6) AS low_characters,
+  round(quantile_cont(side, 0.5), 6) AS median_side FROM c GROUP BY group_id""")
+add("anchor_bands", ("tokens",), tokens.anchor_bands, """,
+b AS (SELECT group_id, min(top) - 1.5 * quantile_cont(bottom - top, 0.5) AS band_top, max(bottom) + 1.5 * quantile_cont(bottom - top, 0.5) AS band_bottom, count(*) AS n_anchors
+  FROM tokens WHERE lower(text) IN ('the', 'de', 'der', 'la') GROUP BY 1)
+SELECT b.group_id, round(band_top, 6) AS band_top, round(band_bottom, 6) AS band_bottom, n_anchors, count(t.group_id) AS n_inside FROM b LEFT JOIN tokens t ON t.group_id = b.group_id AND (t.top + t.bottom) / 2 BETWEEN band_top AND band_bottom GROUP BY ALL""")
+add("detect_side", ("tokens",), tokens.detect_side, """,
+n AS (SELECT group_id, count(*) FILTER (lower(text) IN ('of', 'la', 'und')) AS n_front, count(*) FILTER (lower(text) IN ('and', 'les', 'mit')) AS n_back FROM tokens GROUP BY 1)
+SELECT *, CASE WHEN n_front = 0 AND n_back = 0 THEN 'unknown' WHEN n_front > n_back THEN 'front' WHEN n_front < n_back THEN 'back' ELSE 'both' END AS side FROM n""")
+add("associate_labels", ("tokens",), lambda t: tokens.associate_labels(t, is_label()), f""", l AS ({L}),
+v AS (SELECT *, greatest(lb - lo, 1) AS h, (top + bottom - lo - lb) / 2 AS dy, "left" - lr AS dx FROM l JOIN tokens USING (group_id) WHERE NOT {SQL_LABEL})
+SELECT group_id, li AS label_index, token_index AS value_index FROM v
+WHERE (abs(dy) <= 1.1 * h AND dx >= -h AND dx <= 30 * h) OR (dy > 0 AND dy <= 6 * h AND abs("left" - ll) <= 18 * h) OR (token_index - li BETWEEN -3 AND 6)""")
+add("nearest_on_line", ("tokens",), lambda t: tokens.nearest_on_line(t, is_label(), fits()), f""", l AS ({L}),
+v AS (SELECT *, 3 * abs(top - lo) + greatest("left" - lr, 0) AS d FROM l JOIN tokens USING (group_id) WHERE NOT {SQL_LABEL} AND {SQL_FITS} AND abs(top - lo) <= lb - lo AND "left" >= ll)
+SELECT group_id, li AS label_index, token_index AS value_index, text AS value, round(d, 6) AS distance FROM v QUALIFY row_number() OVER (PARTITION BY group_id, li ORDER BY d, token_index) = 1""")
+add("class_after_label", ("tokens",), lambda t: tokens.class_after_label(t, is_label(), fits()), f""", l AS ({L})
+SELECT group_id, li AS label_index, token_index AS value_index FROM l JOIN tokens USING (group_id) WHERE NOT {SQL_LABEL} AND {SQL_FITS} AND token_index - li BETWEEN 1 AND 6
+QUALIFY row_number() OVER (PARTITION BY group_id, li ORDER BY token_index - li, coalesce(score, -1) DESC, token_index) = 1""")
+TARGETS = ["tho", "dea", "und", "lo", "ofn"]
+QUERIES["search_short"] = lambda spark, sf_dir: tokens.search_short(t := frame(spark, sf_dir, "tokens"), t.select("group_id").distinct().select("group_id", F.explode(F.array(*[F.lit(x) for x in TARGETS])).alias("target")))
+ORACLES["search_short"] = with_frames("tokens") + """
+SELECT group_id, target, text AS found, token_index FROM tokens JOIN (VALUES ('tho'), ('dea'), ('und'), ('lo'), ('ofn')) v(target) ON length(text) = length(target)
+WHERE len(list_filter(range(1, length(target) + 1), lambda i: text[i] <> target[i])) = 1
+QUALIFY row_number() OVER (PARTITION BY group_id, target ORDER BY coalesce(score, -1) DESC, token_index DESC) = 1"""
+SECTIONED = """,
+s AS (SELECT group_id, line_no, line, CAST(sum(CASE WHEN is_header THEN 1 ELSE 0 END) OVER (PARTITION BY group_id ORDER BY line_no) AS BIGINT) AS section FROM lines)"""
+add("split_sections", ("lines",), lambda x: tokens.split_sections(x, F.col("is_header")).drop("is_header"), f"{SECTIONED} SELECT * FROM s")
+add("label_windows", ("lines",), lambda x: tokens.line_windows(tokens.split_sections(x, F.col("is_header")), F.col("line").startswith("The")), f"""{SECTIONED},
+n AS (SELECT l.group_id, l.section, l.line_no AS "at", v.line, min(v.line_no) AS k FROM s l JOIN s v ON l.group_id = v.group_id AND l.section = v.section AND v.line_no BETWEEN l.line_no - 1 AND l.line_no + 2
+  WHERE starts_with(l.line, 'The') AND trim(v.line) <> '' GROUP BY ALL)
+SELECT group_id, section, "at", string_agg(line, chr(10) ORDER BY k) AS "window", count(*) AS n_lines FROM n GROUP BY 1, 2, 3""")
+
+# --- image gate ------------------------------------------------------------------------------
+
+add("sharpness_gate", ("tiles",), gate.sharpness_summary, """,
+a AS (SELECT image_id, count(*) FILTER (std >= 10) AS informative_tiles, count(*) FILTER (std >= 10 AND laplacian >= 35 AND tenengrad >= 900) / greatest(count(*) FILTER (std >= 10), 1) AS r,
+  coalesce(quantile_cont(laplacian, 0.5) FILTER (std >= 10), 0) AS m, avg(laplacian) AS l, avg(tenengrad) AS t, min(laplacian) AS c FROM tiles GROUP BY 1)
+SELECT image_id, informative_tiles, round(r, 6) AS sharp_tile_ratio, round(m, 6) AS median_laplacian, round(l, 6) AS laplacian, round(t, 6) AS tenengrad, round(c, 6) AS coarse_laplacian,
+  l < 2 AND t < 800 AND m < 2 AND c < 8 AND r < 0.02 AS too_blurry FROM a""")
+add("glare_gate", ("features",), gate.glare_gate, """ SELECT image_id, (glare_ratio >= 0.12 AND (largest_ratio >= 0.08 OR elongated_ratio >= 0.06)) OR glare_ratio >= 0.20 OR largest_ratio >= 0.16 AS severe_glare FROM features""")
+add("component_summary", ("streaks",), gate.component_summary, """,
+a AS (SELECT *, greatest(width, height) / greatest(least(width, height), 1) >= 3.5 AND ratio >= 0.0008 AS long FROM streaks)
+SELECT image_id, round(max(ratio), 6) AS largest_ratio, round(coalesce(sum(ratio) FILTER (long), 0), 6) AS elongated_ratio, count(*) FILTER (long) AS n_elongated FROM a GROUP BY 1""")
+add("overlap_summary", ("token_overlaps",), gate.overlap_summary, """ SELECT image_id, count(*) FILTER (glare >= 0.08) AS n_candidates, count(*) FILTER (glare >= 0.45) AS n_severe, count(*) FILTER (glare >= 0.08 AND (score IS NULL OR score < 0.8)) AS n_triggered,
+  coalesce(array_to_string(list_slice(list(token_index ORDER BY glare DESC, token_index) FILTER (glare >= 0.08), 1, 5), ','), '') AS worst FROM token_overlaps GROUP BY 1""")
+COVERED = """,
+f AS (SELECT image_id, field, max(glare) AS glare, max(contiguous) AS contiguous, bool_or(glare >= 0.08 AND contiguous >= 0.03) AND NOT bool_or(coalesce(score >= 0.98, false)) AS covered FROM token_overlaps GROUP BY 1, 2)"""
+add("field_glare", ("token_overlaps",), gate.field_glare, f"{COVERED} SELECT image_id, field, round(glare, 6) AS glare, round(contiguous, 6) AS contiguous, covered FROM f")
+add("triggered_message", ("token_overlaps",), gate.triggered_message, f"{COVERED} SELECT image_id, array_to_string(list_slice(list(field ORDER BY field), 1, 3), '、') AS message, count(*) AS n_fields FROM f WHERE covered GROUP BY 1")
+add("streak_gate", ("streaks",), gate.streak_gate, """,
+a AS (SELECT *, text_overlap > 0 AND greatest(width, height) >= 3 * greatest(least(width, height), 1) AS crossing FROM streaks),
+b AS (SELECT image_id, count(*) FILTER (crossing) AS n_streaks, coalesce(sum(area) FILTER (crossing), 0) AS s, array_to_string(list_slice(list(streak ORDER BY area DESC, streak), 1, 20), ',') AS largest FROM a GROUP BY 1)
+SELECT image_id, n_streaks, round(s, 6) AS streak_area, largest, n_streaks >= 4 AND s >= 0.001 AS rejected FROM b""")
+add("client_checks", ("features",), gate.client_checks, """ SELECT image_id, concat_ws(',', CASE WHEN short_side < 600 THEN 'small' END, CASE WHEN mean < 45 THEN 'dark' END, CASE WHEN mean > 228 THEN 'bright' END, CASE WHEN contrast < 24 THEN 'flat' END,
+  CASE WHEN sharpness < 65 THEN 'soft' END) AS issues FROM features""")
+add("text_quality", ("tokens",), lambda t: gate.text_quality(tokens.token_metrics(t)), ORACLES["token_metrics"].removeprefix(with_frames("tokens")).replace("SELECT group_id, count(*) AS n_tokens", ", m AS (SELECT group_id, count(*) AS n_tokens", 1) + """)
+SELECT group_id, CASE WHEN n_tokens < 3 THEN 'no_text' WHEN median_side < 8 THEN 'too_small' WHEN median_side < 14 THEN 'low_resolution' WHEN low_characters >= 0.5 OR mean_score < 0.45 THEN 'unreadable'
+  WHEN lower_quartile < 0.25 THEN 'partly_unreadable' ELSE 'fine' END AS reason FROM m""")

@@ -123,6 +123,40 @@ FRAMES = {
         FROM {events}""",
 }
 
+#: Frames that unnest arrays, which the two engines write differently.
+_WORDS = "split(replace(text, chr(10), ' '), ' ')"
+_TOKEN = """
+        SELECT doc_id * 100000 + CAST(floor(i / 40) AS BIGINT) AS group_id, CAST(i % 40 AS BIGINT) AS token_index, w AS text,
+               CASE WHEN i % 29 = 0 THEN NULL ELSE CAST((doc_id * 31 + i * 17) % 1000 AS DOUBLE) / 1000 END AS score,
+               CAST(60 * (i % 8) AS DOUBLE) AS left, CAST(40 * CAST(floor((i % 40) / 8) AS BIGINT) AS DOUBLE) AS top,
+               CAST(60 * (i % 8) + 10 * length(w) AS DOUBLE) AS right, CAST(40 * CAST(floor((i % 40) / 8) AS BIGINT) + 24 AS DOUBLE) AS bottom
+        FROM ({source}) AS x WHERE w <> ''"""
+_LINE = "SELECT doc_id AS group_id, CAST(i AS BIGINT) AS line_no, w AS line, i % 5 = 0 AS is_header FROM ({source}) AS x"
+_TILE = """
+        SELECT vec_id AS image_id, CAST(i AS BIGINT) AS tile, abs(CAST(e AS DOUBLE)) * 100 AS std, abs(CAST(e AS DOUBLE)) * 200 AS laplacian, abs(CAST(e AS DOUBLE)) * 5000 AS tenengrad
+        FROM ({source}) AS x"""
+_OVERLAP = """
+        SELECT vec_id AS image_id, CAST(i AS BIGINT) AS token_index, concat('field', CAST(i % 5 AS STRING)) AS field, abs(CAST(e AS DOUBLE)) AS glare, abs(CAST(e AS DOUBLE)) / 2 AS contiguous,
+               CASE WHEN i % 9 = 0 THEN NULL ELSE CAST((vec_id * 7 + i * 13) % 100 AS DOUBLE) / 100 END AS score
+        FROM ({source}) AS x"""
+_STREAK = """
+        SELECT vec_id AS image_id, CAST(i AS BIGINT) AS streak, abs(CAST(e AS DOUBLE)) / 100 AS area, abs(CAST(e AS DOUBLE)) / 100 AS ratio, CAST(4 + i % 40 AS DOUBLE) AS width, CAST(4 + i % 7 AS DOUBLE) AS height,
+               CAST(i % 3 AS DOUBLE) / 10 AS text_overlap
+        FROM ({source}) AS x"""
+_FEATURE = """
+        SELECT vec_id AS image_id, sum(CASE WHEN i = 0 THEN abs(CAST(e AS DOUBLE)) END) AS glare_ratio, sum(CASE WHEN i = 1 THEN abs(CAST(e AS DOUBLE)) END) AS largest_ratio,
+               sum(CASE WHEN i = 2 THEN abs(CAST(e AS DOUBLE)) END) AS elongated_ratio, sum(CASE WHEN i = 3 THEN abs(CAST(e AS DOUBLE)) END) * 5000 AS short_side,
+               sum(CASE WHEN i = 4 THEN abs(CAST(e AS DOUBLE)) END) * 1000 AS mean, sum(CASE WHEN i = 5 THEN abs(CAST(e AS DOUBLE)) END) * 200 AS contrast, sum(CASE WHEN i = 6 THEN abs(CAST(e AS DOUBLE)) END) * 600 AS sharpness
+        FROM ({source}) AS x GROUP BY vec_id"""
+_SPARK = {"words": "SELECT doc_id, posexplode(" + _WORDS + ") AS (i, w) FROM {documents}", "lines": "SELECT doc_id, posexplode(split(text, chr(10))) AS (i, w) FROM {documents}", "vector": "SELECT vec_id, posexplode(embedding) AS (i, e) FROM {embeddings}"}
+_DUCK = {
+    "words": "SELECT doc_id, generate_subscripts(ws, 1) - 1 AS i, unnest(ws) AS w FROM (SELECT doc_id, " + _WORDS + " AS ws FROM documents)",
+    "lines": "SELECT doc_id, generate_subscripts(ws, 1) - 1 AS i, unnest(ws) AS w FROM (SELECT doc_id, split(text, chr(10)) AS ws FROM documents)",
+    "vector": "SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS i, unnest(embedding) AS e FROM embeddings",
+}
+_UNNESTED = {"tokens": (_TOKEN, "words"), "lines": (_LINE, "lines"), "tiles": (_TILE, "vector"), "token_overlaps": (_OVERLAP, "vector"), "streaks": (_STREAK, "vector"), "features": (_FEATURE, "vector")}
+FRAMES |= {name: text.format(source=_SPARK[kind]) for name, (text, kind) in _UNNESTED.items()}
+
 
 def tables_of(name: str) -> list[str]:
     import string
@@ -137,6 +171,9 @@ def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def as_sql(name: str) -> str:
     """A frame as DuckDB text over the given tables."""
+    if name in _UNNESTED:
+        text, kind = _UNNESTED[name]
+        return text.format(source=_DUCK[kind])
     text = FRAMES[name].format(**{t: t for t in tables_of(name)})
     return text.replace("date_format(", "strftime(").replace("'yyyyMMdd'", "'%Y%m%d'")
 
