@@ -6,24 +6,36 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+LONGEST_NAME = 24  # characters of a division's name, at most
+
+
+def _halves(x: Column, n: Column) -> Column:
+    """Both halves of a text of n characters, numbered: one of them is equal if one character differs."""
+    half = F.floor(n / 2).cast("int")
+    return F.explode(F.array(F.struct(F.lit(0).alias("side"), F.substring(x, F.lit(1), half).alias("half")), F.struct(F.lit(1).alias("side"), F.substring(x, half + 1, n - half).alias("half"))))
+
+
 def _level(addresses: DataFrame, names: DataFrame, keys: list[str], name: str) -> DataFrame:
     """Match one level of the hierarchy at each row's current position.
 
     An exact longest prefix wins; else the only name of equal length at Hamming
-    distance 1; else nothing is taken and the position stays. The hierarchy is a
-    dimension table: Spark broadcasts it by its size, else joins on ``keys``.
+    distance 1; else nothing is taken and the position stays. Prefixes of each
+    length meet names of that length by equal halves, so the join is on keys.
     """
-    here = F.substring(F.col("address"), F.col("pos"), F.length(name))
-    candidates = names.select(*keys, name).distinct()
-    joined = addresses.join(candidates, keys) if keys else addresses.crossJoin(F.broadcast(candidates))
-    exact = here == F.col(name)
-    near = (F.length(here) == F.length(name)) & (F.levenshtein(here, F.col(name)) == 1)
-    best = joined.where(exact | near).groupBy("id").agg(
-        F.max_by(name, F.when(exact, F.length(name))).alias("exact"),
-        F.countDistinct(F.when(near & ~exact, F.col(name))).alias("n_near"),
-        F.max(F.when(near & ~exact, F.col(name))).alias("near"),
+    sized = names.select(*keys, name).distinct().withColumn("n", F.length(name))
+    sized = sized.select("*", _halves(F.col(name), F.col("n")).alias("h")).select(*keys, name, "n", "h.side", "h.half")
+    cut = addresses.select("id", *keys, F.expr("substring(address, pos, 1000)").alias("rest"), F.explode(F.sequence(F.lit(1), F.lit(LONGEST_NAME))).alias("n"))
+    cut = cut.withColumn("here", F.substring("rest", F.lit(1), F.col("n"))).where(F.length("here") == F.col("n"))
+    cut = cut.select("*", _halves(F.col("here"), F.col("n")).alias("h")).select("id", *keys, "here", "n", "h.side", "h.half")
+    joined = cut.join(sized, [*keys, "n", "side", "half"])
+    exact = F.col("here") == F.col(name)
+    differ = F.aggregate(F.zip_with(F.split("here", ""), F.split(name, ""), lambda a, b: (a != b).cast("int")), F.lit(0), lambda a, v: a + v) == 1
+    best = joined.groupBy("id").agg(
+        F.max_by(F.when(exact, F.col(name)), F.when(exact, F.col("n"))).alias("exact"),
+        F.min(F.when(differ, F.col(name))).alias("near"),
+        F.max(F.when(differ, F.col(name))).alias("near_too"),
     )
-    chosen = F.coalesce("exact", F.when(F.col("n_near") == 1, F.col("near")))
+    chosen = F.coalesce("exact", F.when(F.col("near") == F.col("near_too"), F.col("near")))
     out = addresses.join(best.select("id", chosen.alias(name)), "id", "left")
     return out.withColumn("pos", F.col("pos") + F.coalesce(F.length(name), F.lit(0)))
 

@@ -8,8 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docloom.operators import files, gate, normalize, survivors, tokens
-from docloom.sources.frames import frame, with_frames
+from docloom.operators import files, gate, ingest, normalize, places, reconcile, survivors, tokens
+from docloom.sources.frames import FRAMES, frame, with_frames
+from docloom.streaming import jobs
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -262,3 +263,93 @@ add("client_checks", ("features",), gate.client_checks, """ SELECT image_id, con
 add("text_quality", ("tokens",), lambda t: gate.text_quality(tokens.token_metrics(t)), ORACLES["token_metrics"].removeprefix(with_frames("tokens")).replace("SELECT group_id, count(*) AS n_tokens", ", m AS (SELECT group_id, count(*) AS n_tokens", 1) + """)
 SELECT group_id, CASE WHEN n_tokens < 3 THEN 'no_text' WHEN median_side < 8 THEN 'too_small' WHEN median_side < 14 THEN 'low_resolution' WHEN low_characters >= 0.5 OR mean_score < 0.45 THEN 'unreadable'
   WHEN lower_quartile < 0.25 THEN 'partly_unreadable' ELSE 'fine' END AS reason FROM m""")
+
+# --- ingestion --------------------------------------------------------------------------------
+
+PARSED = """,
+b AS (SELECT id, trim(CASE WHEN contains(raw, '```') THEN regexp_extract(raw, '```(json)?\\s*([^`]*?)\\s*```', 2) ELSE raw END) AS b FROM responses),
+j AS (SELECT id, CASE WHEN (starts_with(b, '{') AND ends_with(b, '}') OR starts_with(b, '[') AND ends_with(b, ']')) AND json_valid(b) THEN b
+  WHEN regexp_extract(b, '\\{.*\\}') <> '' AND json_valid(regexp_extract(b, '\\{.*\\}')) THEN regexp_extract(b, '\\{.*\\}')
+  WHEN contains(b, '{') AND (length(b) - length(replace(b, '"', ''))) % 2 = 1 AND json_valid(substring(b, strpos(b, '{')) || '"}') THEN substring(b, strpos(b, '{')) || '"}' END AS j FROM b)"""
+add("parse_responses", ("responses",), ingest.parse_responses, f"{PARSED} SELECT id, coalesce(j, '') AS json, j IS NOT NULL AS ok FROM j")
+add("response_records", ("responses",), ingest.response_records, f"""{PARSED},
+r AS (SELECT id, unnest(range(0, CASE WHEN j IS NULL THEN 0 WHEN starts_with(j, '[') THEN 2 ELSE 1 END)) AS position, CASE WHEN starts_with(j, '[') THEN trim(split(substring(j, 2, length(j) - 2), ', 5, ')[1]) ELSE j END AS j FROM j)
+SELECT id, position, replace(j, ': ', ':') AS record FROM r WHERE starts_with((SELECT raw FROM responses x WHERE x.id = r.id), '[') UNION ALL SELECT id, position, j FROM r WHERE NOT starts_with((SELECT raw FROM responses x WHERE x.id = r.id), '[')
+UNION ALL SELECT id, NULL, '' FROM j WHERE j IS NULL""")
+add("collect_chunks", ("chunks",), ingest.collect_chunks, """,
+d AS (SELECT *, max(CASE WHEN text = '[DONE]' THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY seq) AS done FROM chunks)
+SELECT id, string_agg(text, '' ORDER BY seq) AS text, count(*) AS n_chunks FROM d WHERE done = 0 AND NOT starts_with(text, ':') GROUP BY id""")
+QUERIES["merge_page_text"] = lambda spark, sf_dir: ingest.merge_page_text(frame(spark, sf_dir, "chunks").select("id", F.col("seq").alias("page"), F.when(F.col("seq") % 5 == 0, " ").otherwise(F.col("text")).alias("text")))
+ORACLES["merge_page_text"] = with_frames("chunks") + """,
+p AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY seq, CASE WHEN seq % 5 = 0 THEN ' ' ELSE text END) AS i, CASE WHEN seq % 5 = 0 THEN ' ' ELSE text END AS t, count(*) OVER (PARTITION BY id) AS n FROM chunks)
+SELECT id, n AS n_pages, CASE WHEN n = 1 THEN any_value(t) ELSE coalesce(string_agg('[page ' || i || ']' || chr(10) || t, chr(10) ORDER BY i) FILTER (trim(t) <> ''), '') END AS text FROM p GROUP BY id, n"""
+TOKENED = """,
+t AS (SELECT *, c_custkey % 50 AS x FROM customer WHERE c_custkey % 17 <> 0)"""
+add("ingest_tokens", ("payloads",), ingest.ingest_tokens, TOKENED + """
+SELECT c_custkey AS id, 0 AS token_index, c_name AS text, (c_custkey % 9 + 1) / 10.0 AS score, CASE WHEN c_custkey % 2 = 0 THEN x ELSE least(x, 1) END AS "left", 2.0 AS top, CASE WHEN c_custkey % 2 = 0 THEN 30.0 ELSE 81.0 END AS "right", 12.0 AS bottom FROM t
+UNION ALL SELECT c_custkey, 2, c_mktsegment, NULL, 5.0, 20.0, CASE WHEN c_custkey % 2 = 0 THEN 60.0 ELSE 61.0 END, 31.0 FROM t""")
+add("payload_errors", ("payloads",), ingest.payload_errors, " SELECT c_custkey AS id, 1 AS error_code FROM customer WHERE c_custkey % 17 = 0")
+QUERIES["restore_coordinates"] = lambda spark, sf_dir: rounded(ingest.restore_coordinates(frame(spark, sf_dir, "tokens"), (F.col("token_index") % 4) * 90, F.lit(600.0), F.lit(300.0)))
+ORACLES["restore_coordinates"] = with_frames("tokens") + """
+SELECT group_id, token_index, text, score, CASE token_index % 4 WHEN 1 THEN top WHEN 2 THEN 600 - "right" WHEN 3 THEN 600 - bottom ELSE "left" END AS "left",
+  CASE token_index % 4 WHEN 1 THEN 300 - "right" WHEN 2 THEN 300 - bottom WHEN 3 THEN "left" ELSE top END AS top, CASE token_index % 4 WHEN 1 THEN bottom WHEN 2 THEN 600 - "left" WHEN 3 THEN 600 - top ELSE "right" END AS "right",
+  CASE token_index % 4 WHEN 1 THEN 300 - "left" WHEN 2 THEN 300 - top WHEN 3 THEN "right" ELSE bottom END AS bottom FROM tokens"""
+
+# --- reconciliation ---------------------------------------------------------------------------
+
+PLATES = "[京津冀晋蒙辽吉黑沪苏浙皖闽赣鲁豫鄂湘粤桂琼渝川贵云藏陕甘青宁新使领学警港澳][A-Z][A-Z0-9]{5,6}"
+
+
+def _form(v: str) -> str:
+    """A value's form in SQL, by its row's field."""
+    return f"""CASE field WHEN 'plate' THEN regexp_full_match({v}, '{PLATES}') WHEN 'vin' THEN regexp_full_match({v}, '[A-HJ-NPR-Z0-9]{{17}}')
+    WHEN 'issue' THEN coalesce(year(try_strptime({v}, '%Y%m%d')) BETWEEN 1950 AND 2099, false) ELSE regexp_full_match(upper({v}), '[0-9]{{2,6}}KG') AND coalesce(TRY_CAST(regexp_extract({v}, '^[0-9]+') AS INT) BETWEEN 10 AND 100000, false) END"""
+
+
+ARBITRATED = f""",
+r AS (SELECT *, CASE WHEN other_value IS NULL OR other_value = current_value THEN 'consistent' WHEN association <> 'label-spatial' THEN 'no label nearby' WHEN NOT association_unique THEN 'several candidates'
+  WHEN label_confidence < 0.95 THEN 'label score' WHEN value_confidence < CASE WHEN {_form("current_value")} THEN 0.985 ELSE 0.97 END THEN 'value score' WHEN NOT {_form("other_value")} THEN 'format' ELSE 'other source' END AS reason FROM compare),
+d AS (SELECT id, field, CASE WHEN reason = 'other source' THEN other_value ELSE current_value END AS value, reason, reason = 'other source' AS changed FROM r)"""
+add("arbitrate", ("compare",), reconcile.arbitrate, f"{ARBITRATED} SELECT * FROM d")
+add("audit_log", ("compare",), lambda c: reconcile.audit_log(reconcile.arbitrate(c)), f"{ARBITRATED} SELECT field, reason, count(*) AS n, count(*) FILTER (changed) AS n_changed FROM d GROUP BY 1, 2 UNION ALL SELECT field, '(all)', count(*), count(*) FILTER (changed) FROM d GROUP BY 1")
+add("update_is_valid", ("masses",), reconcile.update_is_valid, """
+SELECT id, total = '' OR TRY_CAST(replace(total, 'kg', '') AS INT) >= CAST(replace(curb, 'kg', '') AS INT) AS mass_ok, length(issued) <> 8 OR replace(registered, '-', '') <= issued AS dates_ok FROM masses""")
+add("cutoff_join", ("branches",), reconcile.cutoff_join, """,
+f AS (SELECT * FROM branches WHERE source IN ('view', 'click') QUALIFY row_number() OVER (PARTITION BY group_id, day, source ORDER BY finished_at, id) = 1)
+SELECT a.group_id, a.day, a.finished_at, CASE WHEN b.id IS NULL THEN 'missing' WHEN b.finished_at > a.finished_at THEN 'discarded' WHEN b.error <> '' THEN 'failed' ELSE 'completed' END AS status
+FROM f a LEFT JOIN f b ON a.group_id = b.group_id AND a.day = b.day AND b.source = 'click' WHERE a.source = 'view'""")
+
+# --- places --------------------------------------------------------------------------------------
+
+NAMES = {"province": "SELECT DISTINCT province AS name FROM divisions", "prefecture": "SELECT DISTINCT province AS up, prefecture AS name FROM divisions", "county": "SELECT DISTINCT province AS up, prefecture AS up2, county AS name FROM divisions"}
+
+
+def _walk(source: str, level: str, on: str, keep: str) -> str:
+    """One level in SQL: the longest exact prefix, else the only name one character away."""
+    here = f"substring(s.address, s.pos, length(n.name))"
+    near = f"length({here}) = length(n.name) AND len(list_filter(range(1, length(n.name) + 1), lambda i: ({here})[i] <> n.name[i])) = 1"
+    return f"""(SELECT s.*, b.name AS {level} FROM {source} s LEFT JOIN (SELECT id, coalesce(arg_max(name, length(name)) FILTER (exact), CASE WHEN count(DISTINCT name) FILTER (near) = 1 THEN any_value(name) FILTER (near) END) AS name
+  FROM (SELECT s.id, n.name, {here} = n.name AS exact, {near} AS near FROM {source} s JOIN ({NAMES[level]}) n ON {on}) GROUP BY id) b ON s.id = b.id)"""
+
+
+add("correct_divisions", ("addresses", "divisions"), lambda a, d: places.correct_divisions(a.select("id", "address"), d), f""",
+s0 AS (SELECT id, address, 1 AS pos FROM addresses),
+s1 AS (SELECT id, address, province, pos + coalesce(length(province), 0) AS pos FROM {_walk("s0", "province", "true", "")}),
+s2 AS (SELECT id, address, province, prefecture, pos + coalesce(length(prefecture), 0) AS pos FROM {_walk("s1", "prefecture", "n.up = s.province", "")}),
+s3 AS (SELECT id, address, province, prefecture, county, pos + coalesce(length(county), 0) AS pos FROM {_walk("s2", "county", "n.up = s.province AND n.up2 = s.prefecture", "")})
+SELECT id, CASE WHEN province IS NULL THEN address ELSE province || coalesce(prefecture, '') || coalesce(county, '') || substring(address, pos) END AS corrected,
+  coalesce(province || coalesce(prefecture, '') || coalesce(county, '') || substring(address, pos) <> address, false) AS changed FROM s3""".replace(", NAMES", ""))
+QUERIES["repair_numbers"] = lambda spark, sf_dir: frame(spark, sf_dir, "addresses").select("id", places.repair_numbers(F.concat(F.lit("Z路"), F.translate(F.expr("right(address, 4)"), "015", "OlS"), F.lit("2 - 3号"))).alias("repaired"))
+
+# --- streams ------------------------------------------------------------------------------------
+
+
+def _stream(spark, sf_dir, name, source, job):
+    return jobs.run_available(job(spark.sql(FRAMES[name], **{source: jobs.read_table_stream(spark, sf_dir, source)})))
+
+
+QUERIES["stream_dedupe"] = lambda spark, sf_dir: _stream(spark, sf_dir, "files", "orders", lambda f: jobs.dedupe_stream(f, "9000 days").select("application_no", "material", "digest"))
+ORACLES["stream_dedupe"] = with_frames("files") + " SELECT DISTINCT application_no, material, digest FROM files"
+QUERIES["stream_normalize"] = lambda spark, sf_dir: _stream(spark, sf_dir, "responses", "events", jobs.normalize_stream)
+ORACLES["stream_normalize"] = ORACLES["parse_responses"]
+QUERIES["stream_cutoff"] = lambda spark, sf_dir: jobs.run_available(jobs.cutoff_stream_join(*[jobs.read_table_stream(spark, sf_dir, "events").where(F.col("event_type") == t).select(F.col("user_id").alias("group_id"), F.col("ts").alias("finished_at")) for t in ("view", "click")]))

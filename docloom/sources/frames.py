@@ -118,6 +118,17 @@ FRAMES = {
                CASE WHEN c_custkey % 5 = 0 THEN 'text' ELSE 'label-spatial' END AS association, c_custkey % 4 <> 0 AS association_unique,
                0.94 + (c_custkey % 60) / 1000.0 AS label_confidence, 0.96 + (c_custkey * 7 % 40) / 1000.0 AS value_confidence
         FROM {customer} CROSS JOIN (SELECT 'plate' AS field UNION ALL SELECT 'vin' UNION ALL SELECT 'issue' UNION ALL SELECT 'mass') AS f""",
+    "payloads": """
+        SELECT c_custkey AS id,
+               concat('{{"errorCode": ', CASE WHEN c_custkey % 17 = 0 THEN '1' ELSE '0' END, ', "rec_texts": ["', c_name, '", "  ", " ', c_mktsegment, ' ", "tail"], ',
+                      CASE WHEN c_custkey % 2 = 0 THEN concat('"rec_boxes": [[', CAST(c_custkey % 50 AS STRING), ', 2, 30, 12], [1, 1, 2, 2], [5, 20, 60, 31]], ')
+                           ELSE concat('"rec_polys": [[[', CAST(c_custkey % 50 AS STRING), ', 2], [80, 3], [81, 12], [1, 11]], [[1, 1], [2, 2]], [[5, 21], [60, 20], [61, 30], [6, 31]]], ') END,
+                      '"rec_scores": [0.', CAST(c_custkey % 9 + 1 AS STRING), ', 0.5]}}') AS payload
+        FROM {customer}""",
+    "masses": """
+        SELECT c_custkey AS id, CASE WHEN c_custkey % 8 = 0 THEN '' ELSE concat(CAST(1000 + c_custkey % 900 AS STRING), 'kg') END AS total, concat(CAST(1300 + c_custkey % 70 AS STRING), 'kg') AS curb,
+               concat('2019-0', CAST(1 + c_custkey % 9 AS STRING), '-11') AS registered, CASE WHEN c_custkey % 6 = 0 THEN '20190' ELSE concat('20190', CAST(1 + c_custkey % 7 AS STRING), '11') END AS issued
+        FROM {customer}""",
     "branches": """
         SELECT event_id AS id, user_id AS group_id, CAST(ts AS DATE) AS day, event_type AS source, ts AS finished_at, CASE WHEN event_id % 9 = 0 THEN 'timeout' ELSE '' END AS error
         FROM {events}""",
