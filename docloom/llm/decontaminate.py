@@ -65,17 +65,21 @@ def _samples(c: int, repeat: int) -> np.ndarray:
     return np.sort(list(dict.fromkeys((seed % U64(2 * low)).tolist()))[:SAMPLES])
 
 
-def walk_keys(h: np.ndarray, start: np.ndarray, stop: np.ndarray, c: int, repeat: int) -> np.ndarray:
-    """LSH keys of the windows that begin at ``start`` and read nothing from ``stop`` on."""
-    chosen = _samples(c, repeat)
-    turn = mix(np.arange(int(chosen[-1]) + 1, dtype=U64) + U64(repeat << 32), 42) | U64(1)
-    at, key = start.copy(), np.full(len(start), c * 1000 + repeat, dtype=U64)
+def walk_keys(h: np.ndarray, start: np.ndarray, stop: np.ndarray, c: int) -> np.ndarray:
+    """(REPEATS, windows) LSH keys of the windows that begin at ``start`` and read nothing from ``stop`` on."""
+    chosen = [_samples(c, r) for r in range(REPEATS)]
+    steps = 1 + max(int(x[-1]) for x in chosen)
+    repeat = np.arange(REPEATS, dtype=U64)[:, None]
+    at = np.repeat(start[None, :], REPEATS, axis=0)
+    key = np.repeat(U64(c * 1000) + repeat, len(start), axis=1)
     padded = np.append(h, U64(0))
-    for j in range(int(chosen[-1]) + 1):
+    for j in range(steps):
         symbol = np.where(at < stop, padded[np.minimum(at, len(h))], U64(0))
-        if j in chosen:
-            key = mix(key ^ symbol, 43)
-        at += ((symbol * turn[j]) >> U64(63)).astype(np.int64)
+        sampled = [r for r in range(REPEATS) if j in chosen[r]]
+        if sampled:
+            key[sampled] = mix(key[sampled] ^ symbol[sampled], 43)
+        turn = mix(U64(j) + (repeat << U64(32)), 42) | U64(1)
+        at += ((symbol * turn) >> U64(63)).astype(np.int64)
     return key
 
 
@@ -119,68 +123,88 @@ def _items(benchmark: DataFrame) -> DataFrame:
 
 
 def _item_keys(items: DataFrame) -> DataFrame:
-    """(kind, value): 'k' LSH keys with their item, 'p' bitmap places of word pairs."""
+    """(kind, value, item_id): 'k' LSH keys of items, 'p' bitmap places of their word pairs."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kinds, values, ids = [], [], []
-            for item, seq, c in zip(batch.column("item_id").to_pylist(), batch.column("words"), batch.column("size_class").to_pylist(), strict=True):
-                h = seq.values.to_numpy().view(U64)
-                pairs, _ = windows(Words(h, h, h, np.array([0, len(h)])), 2)
-                keys = [int(walk_keys(h, np.zeros(1, np.int64), np.array([len(h)]), c, r).view(np.int64)[0]) for r in range(REPEATS)]
-                places = np.unique(_bucket(pairs)).tolist()
-                kinds += ["k"] * len(keys) + ["p"] * len(places)
-                values += keys + places
-                ids += [item] * (len(keys) + len(places))
-            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(values, pa.int64()), pa.array(ids, pa.int64())], ["kind", "value", "item_id"])
+            ids, size_class = np.array(batch.column("item_id").to_pylist(), dtype=object), batch.column("size_class").to_numpy()
+            seqs = [x.values.to_numpy().view(U64) for x in batch.column("words")]
+            if not seqs:
+                continue
+            rows = np.cumsum([0, *map(len, seqs)])
+            h = np.concatenate(seqs)
+            pairs, _ = windows(Words(h, h, h, rows), 2)
+            places = np.unique(_bucket(pairs))
+            yield pa.RecordBatch.from_arrays([pa.array(["p"] * len(places)), pa.array(places), pa.nulls(len(places), pa.int64())], ["kind", "value", "item_id"])
+            for c in np.unique(size_class):
+                which = np.flatnonzero(size_class == c)
+                keys = walk_keys(h, rows[which], rows[which + 1], int(c))
+                yield pa.RecordBatch.from_arrays([pa.array(["k"] * keys.size), pa.array(keys.ravel().view(np.int64)), pa.array(np.tile(ids[which], REPEATS).tolist(), pa.int64())], ["kind", "value", "item_id"])
 
     return items.mapInArrow(emit, "kind string, value long, item_id long")
 
 
-def _candidates(docs: DataFrame, classes: list[int], pair_bits: np.ndarray, key_bits: np.ndarray) -> DataFrame:
-    """(doc_id, key, start, words): windows whose LSH key an item may have, with the words around."""
+def _regions(docs: DataFrame, classes: list[int], pair_bits: np.ndarray, key_bits: np.ndarray) -> DataFrame:
+    """(region, doc_id, keys, around): runs of windows whose LSH keys an item may have, and their words.
+
+    Overlapping windows of a document make one region, so its words are kept once.
+    """
     shared = docs.sparkSession.sparkContext.broadcast((pair_bits, key_bits))  # 2 MB, whatever the benchmark's size
 
+    def hits_of(w: Words, pair_map: np.ndarray, key_map: np.ndarray) -> list[tuple[np.ndarray, ...]]:
+        pairs, at = windows(w, 2)
+        known = np.zeros(len(w.hashes) + 1, np.int64)
+        known[at + 1] = pair_map[_bucket(pairs)]
+        if not known.any():
+            return []
+        count = np.cumsum(known)
+        last = np.repeat(w.rows[1:], np.diff(w.rows))
+        first = np.repeat(w.rows[:-1], np.diff(w.rows))
+        out = []
+        for c in classes:
+            low, high = class_range(c)
+            need, reach, slack = low - 1 - 2 * int(edits(low)), high + int(edits(high)), 2 * int(edits(high))
+            end = np.minimum(np.arange(len(w.hashes)) + reach, last)
+            starts = np.flatnonzero(count[np.maximum(end - 1, 0)] - count[: len(w.hashes)] >= max(need, 1))
+            for a in range(0, len(starts), 4096):
+                start = starts[a : a + 4096]
+                keys = walk_keys(w.hashes, start, last[start], c)
+                repeat, i = np.nonzero(key_map[_bucket(keys)])
+                s = start[i]
+                out.append((keys[repeat, i], np.maximum(s - slack, first[s]), np.minimum(s + high + slack, last[s])))
+        return out
+
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair_map, key_map = (np.unpackbits(x).astype(bool) for x in shared.value)
+        pair_map, key_map = (np.unpackbits(x).view(bool) for x in shared.value)
         for whole in batches:
-            for batch in by_bytes(whole, "text"):
+            for batch in by_bytes(whole, "text", 6_000_000):
                 w = folded(batch.column("text"))
-                pairs, at = windows(w, 2)
-                known = np.zeros(len(w.hashes) + 1, np.int64)
-                known[at + 1] = pair_map[_bucket(pairs)]
-                if not known.any():
+                found = hits_of(w, pair_map, key_map)
+                if not found:
                     continue
-                count = np.cumsum(known)
-                row = w.row_of()
-                last = w.rows[1:][row]
-                hits: list[tuple[np.ndarray, ...]] = []
-                for c in classes:
-                    low, high = class_range(c)
-                    need, reach = low - 1 - 2 * int(edits(low)), high + int(edits(high))
-                    # word pairs from each word on, within the window and the row
-                    end = np.minimum(np.arange(len(w.hashes)) + reach, last)
-                    start = np.flatnonzero(count[np.maximum(end - 1, 0) + 0] - count[: len(w.hashes)] >= max(need, 1))
-                    if not len(start):
-                        continue
-                    slack = 2 * int(edits(high))
-                    for r in range(REPEATS):
-                        key = walk_keys(w.hashes, start, last[start], c, r)
-                        keep = key_map[_bucket(key)]
-                        s = start[keep]
-                        hits.append((row[s], key[keep], np.maximum(s - slack, w.rows[row[s]]), np.minimum(s + high + slack, last[s])))
-                if not hits:
+                keys, starts, stops = (np.concatenate(x) for x in zip(*found, strict=True))
+                if not len(keys):
                     continue
-                rows, keys, starts, stops = (np.concatenate(x) for x in zip(*hits, strict=True))
-                for a in range(0, len(rows), 20_000):
-                    part = slice(a, a + 20_000)
-                    around = [w.hashes[x:y].view(np.int64) for x, y in zip(starts[part], stops[part], strict=True)]
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column("doc_id").take(pa.array(rows[part])), pa.array(keys[part].view(np.int64)), pa.array(starts[part] - w.rows[rows[part]]), pa.array(around, pa.list_(pa.int64()))],
-                        ["doc_id", "key", "start", "around"],
-                    )
-
-    return docs.mapInArrow(emit, "doc_id long, key long, start long, around array<long>")
+                order = np.argsort(starts, kind="stable")
+                keys, starts, stops = keys[order], starts[order], stops[order]
+                row = w.row_of()[starts]
+                reach = np.maximum.accumulate(stops)  # rows follow each other, so a reach never passes into the next row's start
+                new = np.ones(len(keys), bool)
+                new[1:] = (row[1:] != row[:-1]) | (starts[1:] >= reach[:-1])
+                edge = np.append(np.flatnonzero(new), len(keys))
+                regions, ids, lists, around = [], [], [], []
+                doc = batch.column("doc_id").to_pylist()
+                for a, b in zip(edge[:-1], edge[1:], strict=True):
+                    x, y, r = int(starts[a]), int(stops[a:b].max()), int(row[a])
+                    mark = np.array([(doc[r] if doc[r] is not None else -(1 << 62)) & 0xFFFFFFFFFFFFFFFF, x - w.rows[r]], dtype=U64)
+                    regions.append(int((mix(mark[:1], 51) ^ mix(mark[1:], 52) ^ w.hashes[x : x + 1]).view(np.int64)[0]))
+                    ids.append(doc[r])
+                    lists.append(np.unique(keys[a:b]).view(np.int64))
+                    around.append(w.hashes[x:y].view(np.int64))
+                longs = pa.list_(pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(regions, pa.int64()), pa.array(ids, pa.int64()), pa.array(lists, longs), pa.array(around, longs)], ["region", "doc_id", "keys", "around"])
+
+    return docs.mapInArrow(emit, "region long, doc_id long, keys array<long>, around array<long>")
 
 
 def _bitmap(places) -> np.ndarray:
@@ -215,8 +239,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     key_bits = _bitmap(r.place for r in keys.select("key").mapInArrow(places, "place long").distinct().toLocalIterator())
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = _candidates(own, classes, pair_bits, key_bits)
-    pairs = found.join(keys, "key").groupBy("doc_id", "item_id", "start").agg(F.first("around").alias("around"))
+    regions = materialize(_regions(own, classes, pair_bits, key_bits))
+    hits = regions.select("region", F.explode("keys").alias("key")).join(keys, "key").select("region", "item_id").distinct()
+    pairs = hits.join(regions.select("region", "doc_id", "around"), "region")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
