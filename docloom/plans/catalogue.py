@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docloom.operators import files, gate, ingest, normalize, places, reconcile, survivors, tokens
+from docloom.functions import similarity
+from docloom.operators import files, gate, ingest, normalize, pages, places, reconcile, survivors, tokens
 from docloom.sources.frames import FRAMES, frame, with_frames
 from docloom.streaming import jobs
 
@@ -353,3 +354,56 @@ ORACLES["stream_dedupe"] = with_frames("files") + " SELECT DISTINCT application_
 QUERIES["stream_normalize"] = lambda spark, sf_dir: _stream(spark, sf_dir, "responses", "events", jobs.normalize_stream)
 ORACLES["stream_normalize"] = ORACLES["parse_responses"]
 QUERIES["stream_cutoff"] = lambda spark, sf_dir: jobs.run_available(jobs.cutoff_stream_join(*[jobs.read_table_stream(spark, sf_dir, "events").where(F.col("event_type") == t).select(F.col("user_id").alias("group_id"), F.col("ts").alias("finished_at")) for t in ("view", "click")]))
+
+# --- pages -----------------------------------------------------------------------------------------
+
+CLEAN = """,
+u AS (SELECT *, upper(replace(number, ' ', '')) AS num FROM pages),
+c AS (SELECT group_id, page_pos, CASE WHEN regexp_full_match(num, '[0-9A-Z*]{15,20}') AND length(regexp_replace(num, '[^0-9]', '', 'g')) >= 6 THEN num ELSE '' END AS number, CASE WHEN replace(name, ' ', '') = '姓名' THEN '' ELSE name END AS name,
+  plate_a, plate_b, kind, CASE WHEN regexp_full_match(archive, '[0-9*]{12}') THEN archive ELSE '' END AS archive, CASE WHEN nationality = '中国' THEN '中国' ELSE '' END AS nationality FROM u)"""
+PAGE_COLUMNS = "group_id, page_pos, number, name, plate_a, plate_b, kind, archive, nationality"
+add("sanitize_records", ("pages",), lambda p: pages.drop_blank_records(pages.sanitize_records(p)), f"{CLEAN} SELECT {PAGE_COLUMNS} FROM c WHERE concat(number, name, plate_a, plate_b, kind, archive, nationality) <> ''")
+add("sync_aliases", ("pages",), lambda p: pages.sync_aliases(p).select("page_pos", "plate_a", "plate_b"), f"""
+SELECT page_pos, CASE WHEN regexp_full_match(plate_a, '{PLATES}') THEN plate_a WHEN regexp_full_match(plate_b, '{PLATES}') THEN plate_b ELSE plate_a END AS plate_a,
+  CASE WHEN regexp_full_match(plate_a, '{PLATES}') THEN plate_a ELSE plate_b END AS plate_b FROM pages""")
+add("merge_pages", ("pages",), lambda p: pages.merge_pages(pages.sanitize_records(p)), CLEAN + """,
+g AS (SELECT group_id, count(DISTINCT number) FILTER (number <> '') AS n, min(number) FILTER (number <> '') AS sole FROM c GROUP BY 1),
+o AS (SELECT group_id, name, min(number) AS owner FROM c WHERE number <> '' AND name <> '' GROUP BY 1, 2 HAVING count(DISTINCT number) = 1),
+k AS (SELECT c.*, CASE WHEN n <= 1 THEN coalesce(sole, '') WHEN c.number <> '' THEN c.number ELSE owner END AS key FROM c JOIN g USING (group_id) LEFT JOIN o ON o.group_id = c.group_id AND o.name = c.name),
+p AS (SELECT * FROM k WHERE key IS NOT NULL),
+v AS (SELECT group_id, key, 'n' AS f, name AS v, count(*) AS t, min(page_pos) AS first FROM p WHERE name <> '' GROUP BY ALL UNION ALL SELECT group_id, key, 'a', archive, count(*), min(page_pos) FROM p WHERE archive <> '' GROUP BY ALL),
+w AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY group_id, key, f ORDER BY t DESC, length(v) - length(replace(v, '*', '')), first) = 1),
+s AS (SELECT group_id, key, bool_or(contains(kind, '正本') OR contains(kind, '行驶证') AND NOT contains(kind, '副页')) AS fr, bool_or(contains(kind, '副页') OR archive <> '') AS ba, count(*) AS n_pages FROM p GROUP BY 1, 2)
+SELECT group_id, key AS number, coalesce((SELECT v FROM w WHERE w.group_id = s.group_id AND w.key = s.key AND f = 'n'), '') AS name, coalesce((SELECT v FROM w WHERE w.group_id = s.group_id AND w.key = s.key AND f = 'a'), '') AS archive,
+  CASE WHEN fr AND ba THEN 'both' WHEN fr THEN 'front' WHEN ba THEN 'back' ELSE '' END AS kind, n_pages FROM s""")
+
+CHECKED = [("mass", "amount"), ("dimensions", "dimensions"), ("date", "one_date"), ("engine", "code"), ("people", "amount")]
+add("validate_fields", ("dirty",), lambda d: d.select("id", *[normalize.n.check(F.lit(k), F.col(c)).alias(f"is_{k}") for k, c in CHECKED]), """,
+t AS (SELECT id, upper(regexp_replace(amount, '[ ,.·/-]+', '', 'g')) AS a, upper(regexp_replace(dimensions, '[ ,.·/-]+', '', 'g')) AS d, upper(regexp_replace(one_date, '[ ,.·/-]+', '', 'g')) AS o, upper(regexp_replace(code, '[ ,.·/_-]+', '', 'g')) AS c FROM dirty)
+SELECT id, regexp_full_match(a, '[0-9]{2,6}KG') AND coalesce(TRY_CAST(regexp_extract(a, '^[0-9]+') AS INT) BETWEEN 10 AND 100000, false) AS is_mass,
+  regexp_full_match(d, '[0-9]{3,5}([×X*][0-9]{3,5}){2}(MM)?') AND len(list_filter(regexp_extract_all(d, '[0-9]+'), lambda x: NOT coalesce(TRY_CAST(x AS INT) BETWEEN 300 AND 30000, false))) = 0 AS is_dimensions,
+  regexp_full_match(o, '[0-9]{8}') AND coalesce(year(try_strptime(o, '%Y%m%d')) BETWEEN 1950 AND 2099, false) AS is_date,
+  regexp_full_match(c, '[A-Z0-9][A-Z0-9*-]{3,29}') AND NOT regexp_full_match(c, '[0-9]{8}') AS is_engine, regexp_full_match(a, '[1-9][0-9]?人') AS is_people FROM t""")
+
+# --- similarity -----------------------------------------------------------------------------------
+
+QUERIES["address_similarity"] = lambda spark, sf_dir: rounded(_address_pairs(frame(spark, sf_dir, "addresses")))
+QUERIES["text_relations"] = lambda spark, sf_dir: _relations(frame(spark, sf_dir, "addresses"))
+ORACLES["text_relations"] = with_frames("addresses") + """,
+p AS (SELECT id, address AS a, province || prefecture || county || (id % 90) || '号' AS b FROM addresses)
+SELECT id, regexp_full_match(b, array_to_string(list_transform(split(regexp_replace(a, '#', 'N', 'g'), ''), lambda c: '.*' || c), '') || '.*') AS is_part, (SELECT coalesce(min(i) - 1, least(length(a), length(b))) FROM unnest(range(1, least(length(a), length(b)) + 1)) x(i) WHERE a[i] <> b[i]) AS n_prefix FROM p"""
+
+
+def _whole(a):
+    return a.withColumn("whole", F.concat("province", "prefecture", "county", (F.col("id") % 90).cast("string"), F.lit("号")))
+
+
+def _address_pairs(addresses):
+    """Each address against its full form, scored once per distinct pair that can reach 0.72."""
+    scored = similarity.distinct_ratios(_whole(addresses), "address", "whole", 0.72)
+    return scored.select("id", F.coalesce("ratio", F.lit(0.0)).alias("ratio"), (F.coalesce("ratio", F.lit(0.0)) >= 0.72).alias("similar"))
+
+
+def _relations(addresses):
+    pairs = _whole(addresses)
+    return pairs.select("id", similarity.is_subsequence(F.translate("address", "#", "N"), F.col("whole")).alias("is_part"), similarity.common_prefix(F.col("address"), F.col("whole")).cast("long").alias("n_prefix"))

@@ -129,6 +129,16 @@ FRAMES = {
         SELECT c_custkey AS id, CASE WHEN c_custkey % 8 = 0 THEN '' ELSE concat(CAST(1000 + c_custkey % 900 AS STRING), 'kg') END AS total, concat(CAST(1300 + c_custkey % 70 AS STRING), 'kg') AS curb,
                concat('2019-0', CAST(1 + c_custkey % 9 AS STRING), '-11') AS registered, CASE WHEN c_custkey % 6 = 0 THEN '20190' ELSE concat('20190', CAST(1 + c_custkey % 7 AS STRING), '11') END AS issued
         FROM {customer}""",
+    "pages": """
+        SELECT o_custkey % 500 AS group_id, o_orderkey AS page_pos,
+               CASE WHEN o_orderkey % 6 = 0 THEN '' WHEN o_orderkey % 31 = 0 THEN '12345' WHEN o_orderkey % 10 = 0 THEN concat(' ', lpad(CAST(o_custkey AS STRING), 16, '4'), 'x ') ELSE concat(lpad(CAST(o_custkey AS STRING), 16, '4'), 'X') END AS number,
+               CASE WHEN o_orderkey % 9 = 0 THEN '' WHEN o_orderkey % 8 = 0 THEN '姓 名' WHEN o_orderkey % 4 = 0 THEN concat('na*e', CAST(o_custkey % 7 AS STRING)) ELSE concat('name', CAST(o_custkey % 7 AS STRING)) END AS name,
+               CASE WHEN o_orderkey % 3 = 0 THEN concat('京A', lpad(CAST(o_custkey AS STRING), 5, '0')) ELSE '' END AS plate_a,
+               CASE WHEN o_orderkey % 4 = 0 THEN concat('沪B', lpad(CAST(o_custkey AS STRING), 5, '0')) WHEN o_orderkey % 4 = 1 THEN 'none here' ELSE '' END AS plate_b,
+               CASE o_orderkey % 5 WHEN 0 THEN '中国行驶证副页' WHEN 1 THEN '中国行驶证正本' WHEN 2 THEN '行驶证' ELSE '' END AS kind,
+               CASE WHEN o_orderkey % 7 = 0 THEN lpad(CAST(o_custkey AS STRING), 12, '5') WHEN o_orderkey % 7 = 1 THEN 'no archive' ELSE '' END AS archive,
+               CASE o_orderkey % 3 WHEN 0 THEN '中国' WHEN 1 THEN 'Elsewhere' ELSE '国籍' END AS nationality
+        FROM {orders}""",
     "branches": """
         SELECT event_id AS id, user_id AS group_id, CAST(ts AS DATE) AS day, event_type AS source, ts AS finished_at, CASE WHEN event_id % 9 = 0 THEN 'timeout' ELSE '' END AS error
         FROM {events}""",
