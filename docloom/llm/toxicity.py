@@ -189,7 +189,7 @@ def learn_lexicon(labelled: DataFrame) -> dict[str, float]:
     rows = rows.orderBy(F.desc(F.log("ratio") * F.sqrt("t")), "word").limit(LEXICON).collect()
     seen_in, ratios = {r.word: r.t for r in rows}, {r.word: r.ratio for r in rows}
     for word in sorted(ratios, key=len, reverse=True):  # a stem gives way to a purer entry that accounts for it
-        for stem in stems(word.rstrip("*")):
+        for stem in stems(word.rstrip("*")) if word in ratios else ():
             if stem in ratios and ratios[word] > ratios[stem] and seen_in[word] >= 0.8 * seen_in[stem]:
                 del ratios[stem]
     kept = {w: v for w, v in ratios.items() if not any(x in ratios for x in stems(w.rstrip("*")))}
