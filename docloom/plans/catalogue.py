@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docloom.functions import similarity
-from docloom.operators import files, gate, ingest, normalize, pages, places, reconcile, survivors, tokens
+from docloom.operators import evidence, files, gate, ingest, normalize, pages, places, reconcile, refine, survivors, tokens
 from docloom.sources.frames import FRAMES, frame, with_frames
 from docloom.streaming import jobs
 
@@ -407,3 +407,29 @@ def _address_pairs(addresses):
 def _relations(addresses):
     pairs = _whole(addresses)
     return pairs.select("id", similarity.is_subsequence(F.translate("address", "#", "N"), F.col("whole")).alias("is_part"), similarity.common_prefix(F.col("address"), F.col("whole")).cast("long").alias("n_prefix"))
+
+# --- field repair and evidence ------------------------------------------------------------------
+
+add("refine_vehicle", ("vehicles",), refine.refine_vehicle, """
+SELECT id, CASE WHEN id % 2 = 1 THEN 'LSVKEPT0000000000' WHEN id % 7 < 3 THEN 'LSV' || lpad(CAST(id AS STRING), 14, '1') ELSE 'LSV**************' END AS vin,
+  CASE id % 5 WHEN 0 THEN '汽油' WHEN 1 THEN '新能源/电' ELSE 'old fuel' END AS fuel,
+  CASE id % 3 WHEN 0 THEN '非营运' WHEN 2 THEN '货运' ELSE CASE WHEN id % 2 = 0 THEN '租赁' ELSE '' END END AS use_nature,
+  CASE WHEN id % 4 < 3 THEN '京A' || lpad(CAST(id AS STRING), 5, '0') WHEN id % 8 = 7 THEN '沪B12345' ELSE '' END AS plate,
+  CASE WHEN id % 2 = 0 THEN '4490×1860×1590mm' ELSE 'old size' END AS dimensions, CASE WHEN id % 6 < 2 THEN (1 + id % 6) || '人' WHEN id % 6 < 4 THEN '5人' ELSE '9人' END AS people,
+  CASE WHEN id % 5 = 0 THEN 'KEEP123' WHEN id % 3 = 0 THEN lpad(CAST(id AS STRING), 12, '3') WHEN id % 3 = 1 THEN 'AB1234' ELSE '' END AS archive FROM vehicles""")
+add("label_values", ("vehicles",), lambda v: v.select("id", refine.label_value(F.col("text"), "外廓尺寸", ["VIN"]).alias("size"), refine.label_value(F.col("text"), "核定载人数", ["VIN"]).alias("people")), """
+SELECT id, CASE WHEN id % 2 = 0 THEN '4490×1860x1590 mm' ELSE 'filler one' END AS size, CASE WHEN id % 6 < 2 THEN (1 + id % 6) || ' 人' ELSE '' END AS people FROM vehicles""")
+add("shape_id_pages", ("id_pages",), refine.shape_id_pages, """,
+b AS (SELECT id, side, CASE WHEN side = 'back' THEN '' ELSE number END AS number, CASE WHEN side = 'back' THEN '' ELSE name END AS name, CASE WHEN side = 'back' THEN '' ELSE sex END AS sex,
+  CASE WHEN side = 'front' THEN '' ELSE authority END AS authority, CASE WHEN side = 'front' THEN '' ELSE period END AS period FROM id_pages)
+SELECT id, side, number, name, CASE WHEN number <> '' AND sex = '' THEN CASE WHEN CAST(substring(number, 17, 1) AS INT) % 2 = 1 THEN '男' ELSE '女' END ELSE sex END AS sex, substring(number, 7, 8) AS born, authority, period,
+  CASE WHEN concat(number, name, sex, authority, period) <> '' THEN '第二代身份证' ELSE '' END AS document_type, (side = 'back' AND authority = '' AND period = '') OR (side = 'front' AND number = '' AND name = '' AND sex = '') AS rejected FROM b""")
+
+
+def _targets(t):
+    """Two neighbouring words of each page as one value, with one character changed on every other page."""
+    near = t.where("token_index IN (4, 5)").groupBy("group_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("token_index", "text"))), lambda x: x["text"]), "").alias("v"))
+    return near.select("group_id", F.when(F.col("group_id") % 2 == 0, F.col("v")).otherwise(F.concat(F.lit("Q"), F.expr("substring(v, 2, 1000)"))).alias("target"))
+
+
+QUERIES["search_evidence"] = lambda spark, sf_dir: evidence.search_evidence(t := frame(spark, sf_dir, "tokens"), _targets(t))

@@ -139,6 +139,22 @@ FRAMES = {
                CASE WHEN o_orderkey % 7 = 0 THEN lpad(CAST(o_custkey AS STRING), 12, '5') WHEN o_orderkey % 7 = 1 THEN 'no archive' ELSE '' END AS archive,
                CASE o_orderkey % 3 WHEN 0 THEN '中国' WHEN 1 THEN 'Elsewhere' ELSE '国籍' END AS nationality
         FROM {orders}""",
+    "vehicles": """
+        SELECT c_custkey AS id,
+               concat('[图片 1]', chr(10), '使用性质', chr(10), CASE c_custkey % 3 WHEN 0 THEN '非营运' WHEN 1 THEN 'noise' ELSE ' 货运 ' END, chr(10), 'Plate No.', chr(10),
+                      CASE WHEN c_custkey % 4 < 3 THEN concat('京a', lpad(CAST(c_custkey AS STRING), 5, '0')) ELSE 'none' END, chr(10), CASE c_custkey % 5 WHEN 0 THEN '燃料 汽油' WHEN 1 THEN '新能源/电 汽油' ELSE 'x' END, chr(10), chr(10),
+                      CASE WHEN c_custkey % 6 < 2 THEN concat('核定载人数', chr(10), CAST(1 + c_custkey % 6 AS STRING), ' 人') WHEN c_custkey % 6 < 4 THEN '小 型 轿 车' ELSE 'y' END, chr(10),
+                      CASE WHEN c_custkey % 2 = 0 THEN '外廓尺寸: 4490×1860x1590 mm' ELSE '外廓尺寸' END, chr(10), 'filler one', chr(10), 'filler two', chr(10), 'VIN', chr(10),
+                      CASE WHEN c_custkey % 7 < 3 THEN concat('LSV', lpad(CAST(c_custkey AS STRING), 14, '1')) WHEN c_custkey % 7 = 3 THEN 'LSV11111111111111 LSV22222222222222' ELSE 'z' END, chr(10), 'filler three', chr(10), 'filler four', chr(10), 'filler five', chr(10), '--', chr(10),
+                      '档案编号', chr(10), CASE c_custkey % 3 WHEN 0 THEN concat('20200101', chr(10), lpad(CAST(c_custkey AS STRING), 12, '3')) WHEN 1 THEN 'ab-1234' ELSE '---' END) AS text,
+               CASE WHEN c_custkey % 2 = 0 THEN 'lsv**************' ELSE 'LSVKEPT0000000000' END AS vin, CASE WHEN c_custkey % 2 = 0 THEN ' 租 赁' ELSE 'foo' END AS use_nature, CASE WHEN c_custkey % 8 = 7 THEN '沪B 12345' ELSE 'bad' END AS plate,
+               'old fuel' AS fuel, '9人' AS people, 'old size' AS dimensions, CASE WHEN c_custkey % 5 = 0 THEN 'keep-123' ELSE '?' END AS archive
+        FROM {customer}""",
+    "id_pages": """
+        SELECT o_orderkey AS id, CASE o_orderkey % 3 WHEN 0 THEN 'front' WHEN 1 THEN 'back' ELSE '' END AS side,
+               CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE concat('11010519491231', lpad(CAST(o_orderkey % 1000 AS STRING), 3, '0'), 'X') END AS number, CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE 'name' END AS name,
+               CASE WHEN o_orderkey % 5 = 0 THEN '男' ELSE '' END AS sex, CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE 'office' END AS authority, '' AS period
+        FROM {orders}""",
     "branches": """
         SELECT event_id AS id, user_id AS group_id, CAST(ts AS DATE) AS day, event_type AS source, ts AS finished_at, CASE WHEN event_id % 9 = 0 THEN 'timeout' ELSE '' END AS error
         FROM {events}""",

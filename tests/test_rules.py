@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import normalizers as n
 from docloom.functions import similarity
-from docloom.operators import ingest, pages, places, reconcile, survivors
+from docloom.operators import evidence, ingest, pages, places, reconcile, survivors
 
 RULES = [
     ("text", " a b ", "a b"), ("space", "a 　 b\t\nc", "a b c"), ("compact", " a_b  c ", "abc"), ("compact_upper", "a b", "AB"), ("date_yyyymmdd", "2020年1月2日", "20200102"), ("date_yyyymmdd", "2020-13-40", "20201340"),
@@ -102,3 +102,21 @@ def test_alias_and_page_kind(spark):
     assert sorted(r.field for r in pages.rename_aliases(fields, aliases).collect()) == ["other", "vin"]
     texts = spark.createDataFrame([(1, "电子 生成时间"), (2, "副页 签注"), (3, "电子 生成时间 副页 签注"), (4, "")], "id int, text string")
     assert {r.id: r.page_kind for r in pages.classify_driver_page(texts).collect()} == {1: "electronic", 2: "physical", 3: "", 4: ""}
+
+
+def test_evidence_windows(spark):
+    words = ["Plate", "京A1", "2345", "expires", "2030", "-01-02", "nothing", "abc"]
+    tokens = spark.createDataFrame([(1, i, w, 0.9 if i % 2 else None) for i, w in enumerate(words)], "group_id int, token_index int, text string, score double")
+    wanted = ["京A12345", "京A12545", "20300102", "20310102", "zzzz", "abd", "a"]
+    targets = spark.createDataFrame([(1, w) for w in wanted], "group_id int, target string")
+    got = {r.target: (r.found, r.similarity, r.owners) for r in evidence.search_evidence(tokens, targets).collect()}
+    stream = "".join(words).replace("-", "").upper()
+    for w in wanted:
+        cut = [stream[i : i + len(w)] for i in range(len(stream) - len(w) + 1)]
+        score, _, found = max((SequenceMatcher(None, w.upper(), c, autojunk=False).ratio(), -i, c) for i, c in enumerate(cut))
+        differ = sum(a != b for a, b in zip(w.upper(), found, strict=True))
+        accepted = len(w) >= 2 and score >= (0.8 if len(w) >= 8 else 0.84) and differ <= (3 if len(w) >= 12 else 2 if len(w) >= 5 else 1)
+        assert (w in got) == accepted, w
+        if accepted:
+            assert got[w][:2] == (found, round(score, 6))
+    assert got["京A12345"][2] == "1,2"
