@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docloom.functions import similarity
-from docloom.operators import evidence, files, gate, ingest, normalize, pages, places, reconcile, refine, survivors, tokens
+from docloom.operators import evidence, files, gate, ingest, normalize, pages, places, recheck, reconcile, refine, survivors, tokens
 from docloom.sources.frames import FRAMES, frame, with_frames
 from docloom.streaming import jobs
 
@@ -433,3 +433,19 @@ def _targets(t):
 
 
 QUERIES["search_evidence"] = lambda spark, sf_dir: evidence.search_evidence(t := frame(spark, sf_dir, "tokens"), _targets(t))
+
+# --- coordinate answers and third readings -------------------------------------------------------
+
+add("detect_coordinates", ("spotted",), recheck.detect_coordinates, """
+SELECT id, id % 4 < 2 AS is_coordinates, CASE id % 4 WHEN 0 THEN c_name || chr(10) || c_mktsegment WHEN 1 THEN c_name || chr(10) || c_mktsegment WHEN 2 THEN c_name ELSE '{"name": "' || c_name || '"}' END AS text
+FROM spotted JOIN customer ON id = c_custkey""")
+add("cluster_rows", ("tokens",), recheck.cluster_rows, " SELECT group_id, token_index, dense_rank() OVER (PARTITION BY group_id ORDER BY top) - 1 AS row FROM tokens")
+add("fill_nationality", ("holders", "holder_texts"), recheck.fill_nationality, """,
+s AS (SELECT id, bool_or(contains(text, '中国')) AS seen FROM holder_texts GROUP BY 1),
+r AS (SELECT h.id, nationality, CASE WHEN nationality IN ('中国', 'CHN') THEN 'value' WHEN nationality = '' AND coalesce(seen, false) THEN 'text' WHEN nationality = '' AND (starts_with(address, '广东') OR starts_with(address, '深圳市南山区')) THEN 'address' ELSE '' END AS source FROM holders h LEFT JOIN s USING (id))
+SELECT id, CASE WHEN source <> '' THEN '中国' ELSE nationality END AS nationality, source FROM r""")
+add("elect_document_type", ("pages",), lambda p: recheck.elect_document_type(p.select("group_id", "page_pos", F.when(F.col("page_pos") % 11 == 0, F.col("kind")).otherwise("").alias("detected"), F.col("kind").alias("own"))), """
+SELECT group_id, coalesce(arg_max(kind, page_pos) FILTER (page_pos % 11 = 0 AND kind <> ''), arg_min(kind, page_pos) FILTER (kind <> ''), '') AS document_type FROM pages GROUP BY 1""")
+add("arbitrate_with_recheck", ("third",), recheck.arbitrate_with_recheck, """,
+d AS (SELECT *, other_value <> '' AND contains(replace(third, ' ', ''), other_value) AND current_value <> other_value AND value_confidence >= 0.85 AS s FROM third)
+SELECT id, CASE WHEN s THEN other_value ELSE current_value END AS value, CASE WHEN s THEN 'third reading supports the other source' WHEN third = current_value THEN 'third reading supports the current value' ELSE 'undecided' END AS reason, s AS changed FROM d""")

@@ -155,6 +155,20 @@ FRAMES = {
                CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE concat('11010519491231', lpad(CAST(o_orderkey % 1000 AS STRING), 3, '0'), 'X') END AS number, CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE 'name' END AS name,
                CASE WHEN o_orderkey % 5 = 0 THEN '男' ELSE '' END AS sex, CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE 'office' END AS authority, '' AS period
         FROM {orders}""",
+    "spotted": """
+        SELECT c_custkey AS id,
+               CASE c_custkey % 4 WHEN 0 THEN concat(c_name, '(1,2),(30,40)', c_mktsegment, ' (5,6),(7,8) ,')
+                 WHEN 1 THEN concat('[{{"text": " ', c_name, '", "box": "1"}}, {{"text": "", "box": "2"}}, {{"text": "', c_mktsegment, '", "polygon": "3"}}]')
+                 WHEN 2 THEN concat(c_name, ' (1,2)') ELSE concat('{{"name": "', c_name, '"}}') END AS raw
+        FROM {customer}""",
+    "holders": """
+        SELECT c_custkey AS id, CASE c_custkey % 5 WHEN 0 THEN 'CHN' WHEN 1 THEN '' WHEN 2 THEN 'Elsewhere' WHEN 3 THEN '中国' ELSE '' END AS nationality,
+               CASE c_custkey % 3 WHEN 0 THEN '广东省中山市1号' WHEN 1 THEN '深圳市南山区2号' ELSE 'Main street 3' END AS address
+        FROM {customer}""",
+    "holder_texts": "SELECT o_custkey AS id, CASE WHEN o_orderkey % 40 = 0 THEN '国籍 中国' ELSE o_orderpriority END AS text FROM {orders}",
+    "third": """
+        SELECT id, current_value, coalesce(other_value, '') AS other_value, value_confidence - 0.12 AS value_confidence, CASE id % 3 WHEN 0 THEN concat(coalesce(other_value, ''), ' x') WHEN 1 THEN current_value ELSE 'z' END AS third FROM ({compare}) AS c
+        WHERE field = 'plate'""",
     "branches": """
         SELECT event_id AS id, user_id AS group_id, CAST(ts AS DATE) AS day, event_type AS source, ts AS finished_at, CASE WHEN event_id % 9 = 0 THEN 'timeout' ELSE '' END AS error
         FROM {events}""",
@@ -195,6 +209,9 @@ _UNNESTED = {"tokens": (_TOKEN, "words"), "lines": (_LINE, "lines"), "tiles": (_
 FRAMES |= {name: text.format(source=_SPARK[kind]) for name, (text, kind) in _UNNESTED.items()}
 
 
+FRAMES["third"] = FRAMES["third"].replace("{compare}", FRAMES["compare"])
+
+
 def tables_of(name: str) -> list[str]:
     import string
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import normalizers as n
 from docloom.functions import similarity
-from docloom.operators import evidence, ingest, pages, places, reconcile, survivors
+from docloom.operators import evidence, ingest, pages, places, recheck, reconcile, survivors
 
 RULES = [
     ("text", " a b ", "a b"), ("space", "a 　 b\t\nc", "a b c"), ("compact", " a_b  c ", "abc"), ("compact_upper", "a b", "AB"), ("date_yyyymmdd", "2020年1月2日", "20200102"), ("date_yyyymmdd", "2020-13-40", "20201340"),
@@ -120,3 +120,19 @@ def test_evidence_windows(spark):
         if accepted:
             assert got[w][:2] == (found, round(score, 6))
     assert got["京A12345"][2] == "1,2"
+
+
+def test_third_readings(spark):
+    cases = [('{"证号": "12"}', "12"), ("| 证号 | 34 |", "34"), ("识别结果为：证号：56\n证号 56", "56"), ("(1,2)(3,4)78", "78"), ("无法识别", None), ("", None), ("x" * 161, None)]
+    rows = spark.createDataFrame([(i, c) for i, (c, _) in enumerate(cases)], "id int, raw string")
+    got = {r.id: r.v for r in rows.select("id", recheck.recheck_value(F.col("raw"), "证号").alias("v")).collect()}
+    assert [got[i] for i in range(len(cases))] == [w for _, w in cases]
+
+
+def test_eights(spark):
+    flat = [0.01] * 12
+    rows = [
+        (1, "880000000000", [0.03, 0.001] + flat[2:]), (2, "880000000000", [0.02, 0.001] + flat[2:]), (3, "888800000000", [0.03, 0.001, 0.001, 0.001] + flat[4:]), (4, "800000000000", [0.03] + flat[1:]), (5, "88", [0.03, 0.001]), (6, None, None),
+    ]
+    got = {r.id: (r.value, r.n_changed) for r in recheck.repair_eights(spark.createDataFrame(rows, "id int, value string, scores array<double>")).collect()}
+    assert got == {1: ("800000000000", 1), 2: ("880000000000", 0), 3: ("888800000000", 0), 4: ("800000000000", 0), 5: ("88", 0), 6: (None, 0)}
