@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docloom.functions import similarity
-from docloom.operators import evidence, files, gate, ingest, normalize, pages, places, recheck, reconcile, refine, survivors, tokens
+from docloom.operators import applications, evidence, files, gate, ingest, normalize, pages, places, recheck, reconcile, refine, survivors, tokens
 from docloom.sources.frames import FRAMES, frame, with_frames
 from docloom.streaming import jobs
 
@@ -287,9 +287,10 @@ SELECT id, n AS n_pages, CASE WHEN n = 1 THEN any_value(t) ELSE coalesce(string_
 TOKENED = """,
 t AS (SELECT *, c_custkey % 50 AS x FROM customer WHERE c_custkey % 17 <> 0)"""
 add("ingest_tokens", ("payloads",), ingest.ingest_tokens, TOKENED + """
-SELECT c_custkey AS id, 0 AS token_index, c_name AS text, (c_custkey % 9 + 1) / 10.0 AS score, CASE WHEN c_custkey % 2 = 0 THEN x ELSE least(x, 1) END AS "left", 2.0 AS top, CASE WHEN c_custkey % 2 = 0 THEN 30.0 ELSE 81.0 END AS "right", 12.0 AS bottom FROM t
-UNION ALL SELECT c_custkey, 2, c_mktsegment, NULL, 5.0, 20.0, CASE WHEN c_custkey % 2 = 0 THEN 60.0 ELSE 61.0 END, 31.0 FROM t""")
-add("payload_errors", ("payloads",), ingest.payload_errors, " SELECT c_custkey AS id, 1 AS error_code FROM customer WHERE c_custkey % 17 = 0")
+SELECT c_custkey AS id, CAST(0 AS BIGINT) AS token_index, c_name AS text, CAST((c_custkey % 9 + 1) / 10 AS DOUBLE) AS score, CAST(CASE WHEN c_custkey % 2 = 0 THEN x ELSE least(x, 1) END AS DOUBLE) AS "left", CAST(2 AS DOUBLE) AS top,
+  CAST(CASE WHEN c_custkey % 2 = 0 THEN 30 ELSE 81 END AS DOUBLE) AS "right", CAST(12 AS DOUBLE) AS bottom FROM t
+UNION ALL SELECT c_custkey, 2, c_mktsegment, NULL, 5, 20, CASE WHEN c_custkey % 2 = 0 THEN 60 ELSE 61 END, 31 FROM t""")
+add("payload_errors", ("payloads",), ingest.payload_errors, " SELECT c_custkey AS id, CAST(1 AS BIGINT) AS error_code FROM customer WHERE c_custkey % 17 = 0")
 QUERIES["restore_coordinates"] = lambda spark, sf_dir: rounded(ingest.restore_coordinates(frame(spark, sf_dir, "tokens"), (F.col("token_index") % 4) * 90, F.lit(600.0), F.lit(300.0)))
 ORACLES["restore_coordinates"] = with_frames("tokens") + """
 SELECT group_id, token_index, text, score, CASE token_index % 4 WHEN 1 THEN top WHEN 2 THEN 600 - "right" WHEN 3 THEN 600 - bottom ELSE "left" END AS "left",
@@ -449,3 +450,11 @@ SELECT group_id, coalesce(arg_max(kind, page_pos) FILTER (page_pos % 11 = 0 AND
 add("arbitrate_with_recheck", ("third",), recheck.arbitrate_with_recheck, """,
 d AS (SELECT *, other_value <> '' AND contains(replace(third, ' ', ''), other_value) AND current_value <> other_value AND value_confidence >= 0.85 AS s FROM third)
 SELECT id, CASE WHEN s THEN other_value ELSE current_value END AS value, CASE WHEN s THEN 'third reading supports the other source' WHEN third = current_value THEN 'third reading supports the current value' ELSE 'undecided' END AS reason, s AS changed FROM d""")
+
+# --- whole applications ---------------------------------------------------------------------------
+
+QUERIES["process_applications"] = lambda spark, sf_dir: applications.process_applications(frame(spark, sf_dir, "files"), frame(spark, sf_dir, "people"))
+ORACLES["process_applications"] = f"""
+SELECT a.*, coalesce(n_people, 0) AS n_people, coalesce(n_documents, 0) AS n_documents, coalesce(n_checks, 0) AS n_checks, coalesce(n_different, 0) AS n_different FROM ({ORACLES["application_summary"]}) a
+LEFT JOIN (SELECT application_no, count(DISTINCT person_id) AS n_people, count(*) AS n_documents FROM ({ORACLES["link_people"]}) GROUP BY 1) p ON p.application_no = a.application_no
+LEFT JOIN (SELECT application_no, count(*) AS n_checks, count(*) FILTER (address_status = 'different') AS n_different FROM ({ORACLES["cross_check"]}) GROUP BY 1) c ON c.application_no = a.application_no"""
