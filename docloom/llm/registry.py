@@ -17,4 +17,4 @@ QUERIES = {
     "op10_bpe": bpe.op10_bpe,
 }
 
-ORACLES: dict[str, str] = {"op8_license_scan": licenses.oracle()}
+ORACLES: dict[str, str] = {"op1_warc": warc.ORACLE, "op7_substring_dedup": substring_dedup.ORACLE, "op8_license_scan": licenses.oracle()}

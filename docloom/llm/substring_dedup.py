@@ -291,3 +291,15 @@ def op7_substring_dedup(spark, sf_dir: str) -> DataFrame:
         F.when(all_gone, F.col("n_words")).otherwise(F.coalesce("cut", F.lit(0))).cast("long").alias("n_removed"),
         F.when(all_gone, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("cut_sha256", "digest")).alias("kept_sha256"),
     )
+
+
+#: The contract in DuckDB: window texts instead of hashes, and words removed one by one.
+ORACLE = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+w AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS k FROM d, unnest(range(1, len(ws) - 11)) AS t(i)),
+m AS (SELECT k, min(doc_id) AS lo FROM w GROUP BY k),
+g AS (SELECT DISTINCT doc_id, i + o AS j FROM w JOIN m ON w.k = m.k, unnest(range(0, 13)) AS t(o) WHERE lo < doc_id),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+k AS (SELECT x.doc_id, string_agg(x.word, ' ' ORDER BY x.j) AS kept FROM (SELECT doc_id, j, ws[j] AS word FROM d, unnest(range(1, len(ws) + 1)) AS t(j)) x ANTI JOIN g ON g.doc_id = x.doc_id AND g.j = x.j GROUP BY x.doc_id)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n.n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN k ON k.doc_id = d.doc_id
+"""

@@ -178,3 +178,15 @@ def op1_warc(spark, sf_dir: str) -> DataFrame:
     back = read_records(index, folder, payloads=False)
     checked = F.when(F.col("verified"), F.col("payload_digest")).otherwise(F.raise_error(F.lit("a record differs from its digest")).cast("string"))
     return back.select("page_id", "payload_bytes", checked.alias("payload_digest"), "record_type", "refers_to")
+
+
+#: The contract in DuckDB: the digest's base32 is read five bits at a time from its hexadecimal form.
+ORACLE = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS s FROM pages),
+m AS (SELECT s, max(page_id) AS last FROM p GROUP BY s)
+SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substring('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + ((
+    (strpos('0123456789abcdef', substring(p.s, CAST(i * 5 // 4 + 1 AS BIGINT), 1)) - 1) * 16 + strpos('0123456789abcdef', substring(p.s, CAST(i * 5 // 4 + 2 AS BIGINT), 1)) - 1) >> CAST(3 - i * 5 % 4 AS BIGINT)) % 32 AS BIGINT), 1)), '') AS payload_digest,
+  CASE WHEN page_id < last THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id < last THEN last END AS refers_to
+FROM p JOIN m ON p.s = m.s
+"""
