@@ -10,8 +10,9 @@ k log k, not their product.
 
 Signatures are cut into bands; documents that share a band's key are candidates
 and their similarity is then computed exactly. In a bucket, members are compared
-to a few hubs of it, never to each other in all pairs; further rounds take other
-hubs in buckets whose members are not yet one class.
+to a few hubs of it; further rounds take other hubs, more in each round, until
+the members left are one class or none is left. So each pair of a bucket is
+compared, or in one class anyway.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.arrowtext import U64, Words, mix, to_rows, windows, words
@@ -31,7 +32,7 @@ from docloom.runtime import materialize, ship
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 32, 6
-ROUNDS = 4
+HUBS, MORE_HUBS = 4, 4  # hubs of a bucket in the first further round, and the factor from round to round
 
 _CELL = 12  # darts of a cell, at most; the chance of more is below 1e-9
 _TABLE = np.cumsum(np.exp(-1.0) / np.cumprod(np.concatenate([[1.0], np.arange(1.0, _CELL)])))
@@ -198,13 +199,6 @@ def components(links: DataFrame) -> DataFrame:
             return label
 
 
-def _hubs(turn: int) -> list[Column]:
-    """Aggregates that pick a few members of each bucket, other ones in each round."""
-    if turn == 0:
-        return [F.min("doc_id"), F.max("doc_id")]
-    return [F.min_by("doc_id", F.xxhash64("doc_id", F.lit(turn * 2 + i))) for i in range(2)]
-
-
 def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, weighting: str = "set") -> DataFrame:
     """One row per row of ``docs(doc_id, text)``: doc_id and class_id, the least id of its class.
 
@@ -213,8 +207,8 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, bands: int =
     occur. Classes are connected by links.
 
     Documents with equal word sequences are one text. With the default bands a
-    pair at 0.8 shares a bucket with probability 0.9999, and a text is compared
-    to several hubs in each bucket it is in.
+    pair at 0.8 shares a bucket with probability 0.9999; every pair that shares one
+    is compared, unless other links already make it one class.
 
     Null, empty and blank texts have no words and are a class each. Rows that
     share a doc_id share its class. A null id keeps a null class. Other columns
@@ -231,15 +225,13 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, bands: int =
     copies = materialize(with_words.select("doc_id", "key_a", "key_b").join(copied, ["key_a", "key_b"]).where("doc_id <> text_id").select("doc_id", "text_id"))
     texts = with_words.join(copies.select("doc_id").distinct(), "doc_id", "left_anti")
     entries = texts.select("doc_id", F.explode("bands").alias("bucket"))
-    full = materialize(entries.groupBy("bucket").agg(F.count("*").alias("n"), *[c.alias(f"h{i}") for i, c in enumerate(_hubs(0))]).where("h0 < h1"))
+    full = materialize(entries.groupBy("bucket").agg(F.count("*").alias("n"), F.min("doc_id").alias("h0"), F.max("doc_id").alias("h1")).where("h0 < h1"))
     members = materialize(entries.join(full, "bucket"))
-    hubs = [c for c in members.columns if c.startswith("h")]
 
-    def pairs(frame: DataFrame, names: list[str], own_id: str = "doc_id") -> DataFrame:
-        out = frame.select(F.col(own_id).alias("x"), F.explode(F.array(*names)).alias("y")).where("x <> y")
-        return out.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    def pairs(frame: DataFrame) -> DataFrame:
+        return frame.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
-    tested = materialize(pairs(members, hubs))
+    tested = materialize(pairs(members.select(F.col("doc_id").alias("x"), F.explode(F.array("h0", "h1")).alias("y"))))
     wanted = tested.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     # texts are large, so this join is a sort-merge join at every size
     sets = materialize(_sets(known.join(wanted.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])))
@@ -250,25 +242,30 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, bands: int =
     large = members.where("n > 3")
     with_hub = large.select("bucket", F.least("doc_id", "h0").alias("a"), F.greatest("doc_id", "h0").alias("b"))
     unsettled = with_hub.join(failed, ["a", "b"], "left_semi").select("bucket").distinct()
-    members = materialize(large.join(unsettled, "bucket", "left_semi").select("doc_id", "bucket"))
-    for turn in range(1, ROUNDS):
-        label = components(links)
-        # open buckets whose members are not yet one class get other hubs
+    # Hubs have met all members of their bucket, so they leave it.
+    members = large.join(unsettled, "bucket", "left_semi").where("doc_id <> h0 AND doc_id <> h1").select("doc_id", "bucket")
+    sizes = sets.select("doc_id", (F.octet_length("items") / 4).alias("size"))
+    members = materialize(members.join(sizes, "doc_id"))
+    fits = F.lit(True) if by_count else F.least("size", "hub_size") >= threshold * F.greatest("size", "hub_size") - 1e-6
+    label, n_hubs, turn = components(links), HUBS, 0
+    while True:
         placed = members.join(label, "doc_id", "left").withColumn("class_id", F.coalesce("class_id", "doc_id"))
-        split = placed.groupBy("bucket").agg(F.min("class_id").alias("lo"), F.max("class_id").alias("hi"), *[c.alias(f"h{i}") for i, c in enumerate(_hubs(turn))]).where("lo < hi")
-        split = materialize(split.drop("lo", "hi"))
-        names = [c for c in split.columns if c.startswith("h")]
-        more = pairs(placed.join(split, "bucket"), names).join(tested, ["a", "b"], "left_anti")
-        other = label.select(F.col("doc_id").alias("b"), F.col("class_id").alias("cb"))
-        more = more.join(label.select(F.col("doc_id").alias("a"), F.col("class_id").alias("ca")), "a", "left").join(other, "b", "left")
-        more = materialize(more.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"))
-        if not more.limit(1).count():
-            break
-        new = materialize(_verify(more, sets, threshold, by_count))
-        tested = tested.unionByName(more)
-        links = links.unionByName(new)
-        if not new.limit(1).count():
+        split = placed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("class_id").alias("lo"), F.max("class_id").alias("hi")).where("lo < hi")
+        drawn = F.pmod(F.xxhash64("doc_id", "bucket", F.lit(turn)), F.lit(1 << 30)) / float(1 << 30) * F.col("n") < F.lit(float(n_hubs))
+        placed = materialize(placed.join(split.select("bucket", "n"), "bucket").withColumn("is_hub", drawn))
+        if not placed.limit(1).count():
             break
+        hubs = placed.where("is_hub").select("bucket", F.col("doc_id").alias("hub"), F.col("class_id").alias("hub_class"), F.col("size").alias("hub_size"))
+        met = placed.join(hubs.hint("merge"), "bucket").where(F.col("class_id") != F.col("hub_class")).where(fits)
+        more = materialize(pairs(met.select(F.col("doc_id").alias("x"), F.col("hub").alias("y"))).join(tested, ["a", "b"], "left_anti"))
+        if more.limit(1).count():
+            new = materialize(_verify(more, sets, threshold, by_count))
+            tested = tested.unionByName(more)
+            if new.limit(1).count():
+                links = links.unionByName(new)
+                label = components(links)
+        members = placed.where("NOT is_hub").select("doc_id", "bucket", "size")
+        n_hubs, turn = n_hubs * MORE_HUBS, turn + 1
     links = materialize(links.distinct())
     label = components(links)
     texts_of = copies.groupBy("doc_id").agg(F.min("text_id").alias("text_id"))

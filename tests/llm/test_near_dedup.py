@@ -106,3 +106,23 @@ def test_repeated_rows_and_empty_table(spark):
     counted = spark.createDataFrame([(1, "a b c d e " * 40 + "z"), (2, "a b c d e " * 20 + "z")], "doc_id long, text string")
     assert [r.class_id for r in n.near_duplicates(counted).orderBy("doc_id").collect()] == [1, 1]
     assert [r.class_id for r in n.near_duplicates(counted, weighting="count").orderBy("doc_id").collect()] == [1, 2]
+
+
+def family(rng, couples=100):
+    """Texts on one template: any two are alike to 0.78, the two of a couple to 0.82."""
+    words = lambda k: [f"w{rng.randrange(10**6)}" for _ in range(k)]
+    template, docs = words(176), []
+    for _ in range(couples):
+        both = words(5)
+        docs += [" ".join(template + both + words(19)) for _ in range(2)]
+    rng.shuffle(docs)
+    return list(enumerate(docs))
+
+
+def test_couples_in_a_family_below_the_threshold(spark):
+    rows = family(random.Random(5))
+    want = brute(rows)
+    assert len(set(want.values())) == len(rows) // 2
+    got = {r.doc_id: r.class_id for r in n.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = sum(got[i] == c for i, c in want.items() if i != c)
+    assert got == want, f"{found} of {len(rows) // 2} couples"
