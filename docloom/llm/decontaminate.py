@@ -50,6 +50,17 @@ def class_range(c: int) -> tuple[int, int]:
     return int(n[0]), int(n[-1])
 
 
+def pairs_needed(c: int) -> int:
+    """Word pairs that a match of an item of this size class keeps at least.
+
+    The least over all lengths: an edit more is allowed at every tenth word, so a
+    longer item may keep fewer pairs.
+    """
+    low, high = class_range(c)
+    n = np.arange(low, high + 1)
+    return int((n - 1 - 2 * edits(n)).min())
+
+
 def folded(column: pa.Array) -> Words:
     return words(column, NON_ALNUM, FOLD)
 
@@ -162,8 +173,8 @@ def _regions(docs: DataFrame, classes: list[int], pair_bits: np.ndarray, key_bit
         first = np.repeat(w.rows[:-1], np.diff(w.rows))
         out = []
         for c in classes:
-            low, high = class_range(c)
-            need, reach, slack = low - 1 - 2 * int(edits(low)), high + int(edits(high)), 2 * int(edits(high))
+            _, high = class_range(c)
+            need, reach, slack = pairs_needed(c), high + int(edits(high)), 2 * int(edits(high))
             end = np.minimum(np.arange(len(w.hashes)) + reach, last)
             starts = np.flatnonzero(count[np.maximum(end - 1, 0)] - count[: len(w.hashes)] >= max(need, 1))
             for a in range(0, len(starts), 4096):

@@ -82,3 +82,26 @@ def test_edited_passages(spark):
     assert kept.columns == frame.columns and kept.where("doc_id >= 1000").count() == 104
     assert d.find_leaks(frame.limit(0), bench).count() == 0
     assert d.find_leaks(frame, bench.limit(0)).count() == 0
+
+
+def test_interior_replacements_at_the_limit(spark):
+    """Items of 20 and 40 words, where the fewest word pairs of their size class stay; no other pair is near."""
+    rng, new = random.Random(3), iter(range(10**6))
+    fresh = lambda k: [f"x{next(new)}" for _ in range(k)]
+    items, docs = [], []
+    for n in (20, 40):
+        for _ in range(50):
+            item, e = fresh(n), int(d.edits(n))
+            seq = list(item)
+            for at in rng.sample(range(2, n - 2, 3), e):
+                seq[at] = next(iter(fresh(1)))
+            docs.append((len(items), " ".join(fresh(30) + seq + fresh(30))))
+            items.append((len(items), " ".join(item)))
+    found = d.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id, r.n_edits) for r in found) == [(i, i, 2 if i < 50 else 4) for i in range(100)], len(found)
+
+
+def test_needed_pairs_hold_for_every_length():
+    for c in range(int(d.class_of(np.array(5))), int(d.class_of(np.array(2000)))):
+        low, high = d.class_range(c)
+        assert d.pairs_needed(c) <= min(n - 1 - 2 * int(d.edits(n)) for n in range(low, high + 1))
