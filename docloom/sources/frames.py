@@ -42,7 +42,7 @@ FRAMES = {
         SELECT o_custkey % 40 AS group_id, o_orderkey AS position, concat('name', CAST(o_custkey % 11 AS STRING)) AS name,
                CASE WHEN o_orderkey % 3 = 1 THEN concat(substring(lpad(CAST(o_custkey AS STRING), 10, '7'), 1, 6), '**', substring(lpad(CAST(o_custkey AS STRING), 10, '7'), 9, 2))
                     ELSE lpad(CAST(o_custkey AS STRING), 10, '7') END AS number
-        FROM {orders} WHERE o_orderkey % 5 = 0""",
+        FROM {orders}""",
     "identity": """
         SELECT c_custkey AS id,
                concat('110101', date_format(CAST('1960-01-01' AS DATE) + CAST(c_custkey * 37 % 15000 AS INT), 'yyyyMMdd'), lpad(CAST(c_custkey % 1000 AS STRING), 3, '0')) AS body,
