@@ -30,7 +30,7 @@ FRAMES = {
         FROM {lineitem}""",
     "merge": """
         SELECT concat(source, '/', lang) AS group_id, doc_id AS position,
-               concat(split_part(text, chr(10), 1), CASE WHEN doc_id % 6 = 0 THEN '*' ELSE '' END) AS value, doc_id % 3 = 0 AS is_full_image
+               concat(text, CASE WHEN doc_id % 6 = 0 THEN '*' ELSE '' END) AS value, doc_id % 3 = 0 AS is_full_image
         FROM {documents}""",
     "people": """
         SELECT o_custkey % 700 AS application_no, o_orderkey AS position,
