@@ -6,9 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-LONGEST_NAME = 24  # characters of a division's name, at most
-
-
 def _halves(x: Column, n: Column) -> Column:
     """Both halves of a text of n characters, numbered: one of them is equal if one character differs."""
     half = F.floor(n / 2).cast("int")
@@ -20,12 +17,14 @@ def _level(addresses: DataFrame, names: DataFrame, keys: list[str], name: str) -
 
     An exact longest prefix wins; else the only name of equal length at Hamming
     distance 1; else nothing is taken and the position stays. Prefixes of each
-    length meet names of that length by equal halves, so the join is on keys.
+    length meet names of that length by equal halves, so the join is on keys. The
+    lengths tried are those of the names.
     """
-    sized = names.select(*keys, name).distinct().withColumn("n", F.length(name))
+    sized = names.select(*keys, name).distinct().withColumn("n", F.length(name)).where("n > 0")
+    lengths = sorted(r.n for r in sized.select("n").distinct().collect())
     sized = sized.select("*", _halves(F.col(name), F.col("n")).alias("h")).select(*keys, name, "n", "h.side", "h.half")
-    cut = addresses.select("id", *keys, F.expr("substring(address, pos, 1000)").alias("rest"), F.explode(F.sequence(F.lit(1), F.lit(LONGEST_NAME))).alias("n"))
-    cut = cut.withColumn("here", F.substring("rest", F.lit(1), F.col("n"))).where(F.length("here") == F.col("n"))
+    cut = addresses.select("id", *keys, "address", "pos", F.explode(F.array(*map(F.lit, lengths)).cast("array<int>")).alias("n"))
+    cut = cut.withColumn("here", F.substring("address", F.col("pos"), F.col("n"))).where(F.length("here") == F.col("n"))
     cut = cut.select("*", _halves(F.col("here"), F.col("n")).alias("h")).select("id", *keys, "here", "n", "h.side", "h.half")
     joined = cut.join(sized, [*keys, "n", "side", "half"])
     exact = F.col("here") == F.col(name)
@@ -51,7 +50,7 @@ def correct_divisions(addresses: DataFrame, divisions: DataFrame) -> DataFrame:
     two = _level(one.where("province IS NOT NULL"), divisions, ["province"], "prefecture")
     three = _level(two.where("prefecture IS NOT NULL"), divisions, ["province", "prefecture"], "county")
     found = one.select("id", "address", "province", F.col("pos").alias("p1")).join(two.select("id", "prefecture", F.col("pos").alias("p2")), "id", "left").join(three.select("id", "county", F.col("pos").alias("p3")), "id", "left")
-    rest = F.substring(F.col("address"), F.coalesce("p3", "p2", "p1"), F.lit(10_000))
+    rest = F.substring(F.col("address"), F.coalesce("p3", "p2", "p1"), F.length("address"))
     fixed = F.concat(F.coalesce("province", F.lit("")), F.coalesce("prefecture", F.lit("")), F.coalesce("county", F.lit("")), rest)
     return found.select("id", F.when(F.col("province").isNull(), F.col("address")).otherwise(fixed).alias("corrected"), F.coalesce(fixed != F.col("address"), F.lit(False)).alias("changed"))
 
