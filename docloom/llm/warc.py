@@ -26,6 +26,7 @@ from docloom.runtime import materialize, shared_dir, ship
 FILE_BYTES = 64_000_000  # an archive file is closed beyond this size
 GAP_BYTES = 65_536  # ranges this close are read together
 RANGE_BYTES = 8_000_000  # but no more than this at once
+TASK_BYTES, MOST_TASKS = 4_000_000, 50_000  # archive bytes that a task reads back; beyond so many tasks each reads more
 
 INDEX = "archive string, offset long, length long, url string, payload_digest string, page_id long, record_type string"
 
@@ -66,7 +67,10 @@ def classify(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """``pages(page_id, url, html)`` to page_id, url, html, digest, record_type, refers_to.
 
     Of payloads that are equal and have at least ``least_bytes`` bytes, that with
-    the largest page_id is the response; the others revisit it. Shuffled for
+    the largest page_id is the response; the others revisit it. A null html is an
+    empty payload; a null page_id is a response that nothing refers to; rows that
+    share a page_id and payload have one type, and an empty table gives none. Other
+    columns are ignored. Shuffled for
     this are digests, with one row a digest and task after a partial maximum;
     the join back is a sort-merge join whose hot digests Spark splits.
     """
@@ -82,6 +86,9 @@ def classify(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
 def write_archives(records: DataFrame, folder: str) -> DataFrame:
     """Write ``records(page_id, url, html, record_type, refers_to)``; returns the index, as a table.
 
+    Each row is one record, repeated ones too; a null url or page_id leaves its
+    header out or empty; an empty table writes no file and has an empty index.
+
     ``folder`` is a URI of storage that all executors reach (file, hdfs, s3, gs).
     A payload is written while its record is at hand; a task holds one record.
     """
@@ -121,8 +128,8 @@ def write_archives(records: DataFrame, folder: str) -> DataFrame:
 def read_records(selected: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
     """The records of index rows ``selected(archive, offset, length, ...)``, read by byte range.
 
-    Rows are ranged by archive and offset over the tasks; in a task, ranges at
-    most GAP_BYTES apart are fetched in one read of up to RANGE_BYTES (or one
+    Rows are ranged by archive and offset over the tasks, whose number follows
+    the bytes to be read, not the size of the index; in a task, ranges at most GAP_BYTES apart are fetched in one read of up to RANGE_BYTES (or one
     larger record). Returns page_id, record_type, payload_digest, payload_bytes,
     refers_to, verified, and with ``payloads`` the payload (null for revisits).
     ``verified``: a response's payload has the digest and length of its headers.
@@ -167,7 +174,9 @@ def read_records(selected: DataFrame, folder: str, payloads: bool = True) -> Dat
         for f in opened.values():
             f.close()
 
-    ordered = selected.select("archive", "offset", "length").repartitionByRange("archive", "offset").sortWithinPartitions("archive", "offset")
+    wanted = selected.select("archive", "offset", "length")
+    tasks = min(MOST_TASKS, 1 + (wanted.agg(F.sum("length")).first()[0] or 0) // TASK_BYTES)
+    ordered = wanted.repartitionByRange(tasks, "archive", "offset").sortWithinPartitions("archive", "offset")
     return ordered.mapInArrow(read, "page_id long, record_type string, payload_digest string, payload_bytes long, refers_to long, verified boolean, payload binary")
 
 
