@@ -32,6 +32,7 @@ MIN_WORDS = 5  # shorter items are no evidence of a leak and are left out
 REPEATS, SAMPLES = 32, 2
 GRID = 1.2
 BITS = 1 << 23  # of each bitmap
+TASK_PAIRS, MOST_TASKS = 2_000, 20_000  # candidates that a task verifies; beyond so many tasks each takes more
 
 
 def edits(n):
@@ -251,7 +252,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     key_bits = _bitmap(r.place for r in keys.select("key").mapInArrow(places, "place long").distinct().toLocalIterator())
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     regions = materialize(_regions(own, classes, pair_bits, key_bits))
-    hits = regions.select("region", F.explode("keys").alias("key")).join(keys, "key").select("region", "item_id").distinct()
+    hits = materialize(regions.select("region", F.explode("keys").alias("key")).join(keys, "key").select("region", "item_id").distinct())
+    tasks = min(MOST_TASKS, 1 + hits.count() // TASK_PAIRS)  # few bytes, but much to compute for each
     pairs = hits.join(regions.select("region", "doc_id", "around"), "region")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,7 +265,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 keep = pa.array(d <= edits([len(x) for x in item]))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").filter(keep), batch.column("item_id").filter(keep), pa.array(d).filter(keep)], ["doc_id", "item_id", "n_edits"])
 
-    tested = pairs.join(items.select("item_id", "words").dropDuplicates(["item_id", "words"]), "item_id").mapInArrow(verify, "doc_id long, item_id long, n_edits long")
+    tested = pairs.join(items.select("item_id", "words").dropDuplicates(["item_id", "words"]), "item_id").repartition(tasks, "region", "item_id").mapInArrow(verify, "doc_id long, item_id long, n_edits long")
     return tested.groupBy("doc_id", "item_id").agg(F.min("n_edits").alias("n_edits"))
 
 
