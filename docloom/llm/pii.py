@@ -219,7 +219,8 @@ def find_spans(docs: DataFrame, model: Trees | None = None) -> DataFrame:
 
     none = F.expr("array()").cast("array<struct<k:int,at:int,g:int,n:int,ok:boolean>>")
     lists = F.concat(*[F.coalesce(listed(i, k), none) for i, k in enumerate(kinds)])
-    each = found.select("doc_id", "row", F.explode_outer(lists).alias("p")).repartition("row")
+    each = found.select("doc_id", "row", F.explode_outer(lists).alias("p"))
+    each = each.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "row")  # few bytes, so their size is no guide
     along = Window.partitionBy("row", "p.k").orderBy("p.at")
     placed = each.select("doc_id", "row", F.col("p.k").alias("k"), F.col("p.ok").alias("ok"), F.col("p.n").alias("n"), F.sum(F.col("p.g") + F.col("p.n")).over(along).alias("stop"))
     placed = placed.withColumns({"start": F.col("stop") - F.col("n"), "is_base": F.col("ok") & (F.col("k") < len(KINDS))})
