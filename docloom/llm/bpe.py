@@ -16,12 +16,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.vocab import MEMO_CHARS, by_bytes
+from docloom.llm.vocab import Recent, by_bytes
 from docloom.runtime import ship
 
 #: Added to the last character of a word, to tell word-final symbols apart.
 FINAL = 0x10000
-MEMO_ENTRIES = 350_000
+MEMO_WORDS, MEMO_PIECES = 250_000, 150_000
+
+#: The pre-tokenizer pattern that ``LATIN_WORDS`` stands for; files with another one go through the library. Fixed value.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+# Characters that composition leaves alone and whose lower case is one character, in all versions of Unicode:
+# ASCII, Latin letters, dashes, quotes and currency signs.
+LATIN = re.compile("[\\x00-\x7f\xa0-\u012f\u0131-\u0236\u2010-\u2027\u2030-\u205e\u20a0-\u20b5]*")
+#: ``SPLIT`` on lower-case text of these.
+_LETTER, _NUMBER, _SPACE = "a-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u02af", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \xa0"
+LATIN_WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^{_SPACE}{_LETTER}{_NUMBER}]+")
+
+_BYTES = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b < 127 or 161 <= b < 173 or b > 173))}
 
 _MODELS: dict = {}
 
@@ -29,8 +41,8 @@ _MODELS: dict = {}
 class PrefixBpe:
     """Exact BPE of a ``tokenizers`` vocabulary file.
 
-    ``suffixes`` yields, for each end position, every token that ends there
-    (an automaton over the vocabulary); ``follows`` tells whether BPE of two
+    ``automaton`` yields, for each end position, every token that ends there
+    (an automaton over the vocabulary); a pair test tells whether BPE of two
     tokens' joined text is just these two.
     """
 
@@ -46,11 +58,11 @@ class PrefixBpe:
         self.made: dict[int, tuple[int, int, int]] = {}  # token: rank, left, right
         for rank, pair in enumerate(model["merges"]):
             left, right = pair if isinstance(pair, list) else pair.split(" ")
-            new = model["vocab"][self._joined(left) + right]
+            new = model["vocab"][self._open(left) + right]
             ids = model["vocab"][left], model["vocab"][right]
             self.rank[ids] = rank
             self.made.setdefault(new, (rank, *ids))
-        self._memo: dict[tuple[int, int], bool] = {}
+        self._memo: dict[int, bool] = {}  # whether a pair of tokens stays a pair
         self.automaton = ahocorasick.Automaton()
         reached: dict[int, bool] = {}
         for new, (rank, left, right) in sorted(self.made.items(), key=lambda x: x[1][0]):
@@ -60,16 +72,19 @@ class PrefixBpe:
             if reached.get(i, len(form) == 1):
                 self.automaton.add_word(form, (len(form), i))
         self.automaton.make_automaton()
+        if spec.get("decoder") is not None or any(spec.get(x) is not None for x in ("truncation", "padding")):
+            raise ValueError("only vocabularies without decoder, truncation and padding are handled")
         library = Tokenizer.from_file(path)
         self.normalize = library.normalizer.normalize_str if library.normalizer else lambda x: x
         self.pretokenize = library.pre_tokenizer.pre_tokenize_str
-        added = {x["content"]: x["id"] for x in spec["added_tokens"]}
-        self.added = added
-        self.tokens |= {i: t for t, i in added.items()}
-        self.special = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
-        self.pieces: dict[str, tuple[str, int, str]] = {}
-
-    def _joined(self, left: str) -> str:
+        self.plain = _plain(spec)
+        self.added = {x["content"]: x["id"] for x in spec["added_tokens"]}
+        self.tokens |= {i: t for t, i in self.added.items()}
+        self.special = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
+        self.words = Recent(lambda w: self._entry(self.word(byte_characters(w))), MEMO_WORDS)
+        self.pieces = Recent(self._piece, MEMO_PIECES)
+
+    def _open(self, left: str) -> str:
         return left[: -len(self.tail)] if self.tail and left.endswith(self.tail) else left
 
     def _form(self, token: str) -> str:
@@ -100,27 +115,34 @@ class PrefixBpe:
                     return rank < until
         return False
 
-    def follows(self, left: int, right: int) -> bool:
-        known = self._memo.get((left, right))
-        if known is None:
-            if len(self._memo) > 2_000_000:
-                self._memo.clear()
-            known = self._memo[left, right] = not self._crossed(left, right)
-        return known
-
     def word(self, word: str) -> list[int]:
         """Token ids of one pre-token, given in the vocabulary's byte characters."""
         if self.tail:
             word = word[:-1] + chr(ord(word[-1]) + FINAL)
-        last = [-1] * (len(word) + 1)
-        back = [0] * (len(word) + 1)
+        n, pairs = len(word), self._memo
+        last = [-1] * (n + 1)
+        back = [0] * (n + 1)
         for end, (size, token) in self.automaton.iter(word):
             end += 1
-            if last[end] < 0:
-                start = end - size
-                if start == 0 or (last[start] >= 0 and self.follows(last[start], token)):
-                    last[end], back[end] = token, start
-        ids, at = [], len(word)
+            if last[end] >= 0:
+                continue
+            start = end - size
+            if start:
+                before = last[start]
+                if before < 0:
+                    continue
+                pair = before << 32 | token
+                fits = pairs.get(pair)
+                if fits is None:
+                    if len(pairs) > 2_000_000:
+                        pairs.clear()
+                    fits = pairs[pair] = not self._crossed(before, token)
+                if not fits:
+                    continue
+            last[end], back[end] = token, start
+        if last[n] < 0:
+            raise ValueError(f"the vocabulary has no token for a part of {word!r}")
+        ids, at = [], n
         while at:
             ids.append(last[at])
             at = back[at]
@@ -137,28 +159,56 @@ class PrefixBpe:
                     ids += self.word(word)
         return ids
 
-    def known(self, text: str) -> tuple[str, int, str]:
-        """(ids, their number, tokens) of a piece; ids and tokens joined by a space."""
-        found = self.pieces.get(text)
+    def _entry(self, ids: list[int]) -> tuple[str, str, int]:
+        """(ids, tokens, their number); ids and tokens joined by a space."""
+        return " ".join(map(str, ids)), " ".join([self.tokens[i] for i in ids]), len(ids)
+
+    def _latin(self, text: str) -> list[tuple[str, str, int]] | None:
+        """The entries of the pre-tokens of a text, if it may be cut by ``LATIN_WORDS``."""
+        if not self.plain or LATIN.fullmatch(text) is None or any(x in text for x in self.added):
+            return None
+        return self.words.all(LATIN_WORDS.findall(text.lower()))
+
+    def _piece(self, text: str) -> tuple[str, str, int]:
+        found = self._latin(text)
+        return self._entry(self.piece(text)) if found is None else _joined(found)
+
+    def encode(self, text: str) -> tuple[str, str, int]:
+        """(ids, tokens, their number) of a whole text.
+
+        A Latin text is cut into pre-tokens at once; another one at spaces, as no
+        pre-token holds one, and its other pieces go through the library's rules.
+        """
+        found = self._latin(text)
         if found is None:
-            ids = self.piece(text)
-            found = " ".join(map(str, ids)), len(ids), " ".join(self.tokens[i] for i in ids)
-            if len(text) <= MEMO_CHARS:
-                self.pieces[text] = found
-        return found
-
-    def encode(self, text: str) -> tuple[str, int, str]:
-        """As ``known`` for a whole text: words between white space are encoded alone."""
-        if len(self.pieces) > MEMO_ENTRIES:
-            self.pieces.clear()
-        parts = [x for x in map(self.known, text.replace("\n", " ").split(" ")) if x[1]]
-        return " ".join([x[0] for x in parts]), sum([x[1] for x in parts]), " ".join([x[2] for x in parts])
+            found = [x for x in self.pieces.all(text.replace("\n", " ").split(" ")) if x[2]]
+        return _joined(found)
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids when the file names no decoder: tokens joined by a space."""
         return " ".join(self.tokens[i] for i in ids if i in self.tokens)
 
 
+def _joined(found: list[tuple[str, str, int]]) -> tuple[str, str, int]:
+    return " ".join([x[0] for x in found]), " ".join([x[1] for x in found]), sum([x[2] for x in found])
+
+
+def byte_characters(text: str) -> str:
+    """A text's UTF-8 bytes as the characters of byte-level vocabularies: visible Latin-1 stands for itself, the rest follows from 256 on."""
+    return text if text.isascii() and text.isprintable() and " " not in text else text.encode().decode("latin-1").translate(_BYTES)
+
+
+def _plain(spec: dict) -> bool:
+    """Whether ``LATIN_WORDS`` of the lower-case text are the file's pre-tokens of a Latin text."""
+    normal, pre = spec.get("normalizer") or {}, spec.get("pre_tokenizer") or {}
+    steps = [(x["type"], x.get("pattern"), x.get("content")) for x in normal.get("normalizers", [])]
+    cuts = [{k: x.get(k) for k in ("type", "pattern", "behavior", "invert", "add_prefix_space", "use_regex")} for x in pre.get("pretokenizers", [])]
+    return steps == [("NFC", None, None), ("Replace", {"Regex": r"\s+"}, " "), ("Lowercase", None, None)] and cuts == [
+        {"type": "Split", "pattern": {"Regex": SPLIT}, "behavior": "Removed", "invert": True, "add_prefix_space": None, "use_regex": None},
+        {"type": "ByteLevel", "pattern": None, "behavior": None, "invert": None, "add_prefix_space": False, "use_regex": False},
+    ]
+
+
 def bpe_model(path: str) -> PrefixBpe:
     """One model per file and Python worker."""
     if path not in _MODELS:
@@ -186,7 +236,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, text: str = "text", keep:
         for whole in batches:
             for batch in by_bytes(whole, text):
                 rows = [model.encode(x or "") for x in batch.column(text).to_pylist()]
-                ids, n, decoded = zip(*rows, strict=True)
+                ids, decoded, n = zip(*rows, strict=True)
                 columns = [batch.column(c) for c in keep] + [pa.array(ids, pa.string()), pa.array(n, pa.int64()), pa.array(decoded, pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, keep + results)
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -39,3 +39,25 @@ def by_bytes(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> It
         total += n
     if start < len(sizes):
         yield batch.slice(start)
+
+
+class Recent(dict):
+    """A memo of ``make`` in two generations: what was not asked for since the last turn is forgotten."""
+
+    def __init__(self, make: Callable[[str], tuple], entries: int):
+        self.make, self.entries, self.old = make, entries, {}
+
+    def __missing__(self, key: str) -> tuple:
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= MEMO_CHARS:
+            self[key] = value
+        return value
+
+    def all(self, keys: list[str]) -> list[tuple]:
+        """The values of ``keys``; those of long keys are made anew each time."""
+        if len(self) > self.entries:
+            self.old = dict(self)
+            self.clear()
+        return list(map(self.__getitem__, keys))

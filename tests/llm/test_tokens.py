@@ -1,7 +1,9 @@
 """Token counts and BPE against the library on given texts and on awkward ones."""
 
 import hashlib
+import json
 import os
+import random
 
 import public_tokenizers
 import pytest
@@ -68,3 +70,35 @@ def test_every_token_of_the_vocabulary():
     words = [a for a in letters if a.isascii() and a.isalpha()]
     for word in [*words, *(a + b for a, b in zip(words[::3], words[1::3], strict=False))]:
         assert model.piece(word) == library.encode(word, add_special_tokens=False).ids, word
+
+
+def test_latin_texts_are_cut_as_the_library_cuts_them():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, model, rng = Tokenizer.from_file(path), bpe.bpe_model(path), random.Random(3)
+    letters = [chr(c) for c in range(0x2100) if bpe.LATIN.fullmatch(chr(c))]
+    assert model.plain and len(letters) > 600
+    texts = [t for c in letters for t in (c, f"a{c}b", f"1{c}", f"x {c} y", f"{c}'s{c}")]
+    texts += ["".join(rng.choice(letters + list("   '''sdtrevml") * 20) for _ in range(rng.randrange(1, 12))) for _ in range(3000)]
+    for text in texts:
+        assert model.encode(text)[0] == " ".join(map(str, library.encode(text, add_special_tokens=False).ids)), text
+
+
+def test_memo_forgets_by_age():
+    made = []
+    memo = bpe.Recent(lambda k: made.append(k) or (k,), 2)
+    for keys in (["a", "b", "c"], ["a"], ["x" * 100], ["d", "e", "a"], ["b"]):
+        assert memo.all(keys) == [(k,) for k in keys]
+    assert made == ["a", "b", "c", "x" * 100, "d", "e", "b"]
+
+
+def test_empty_table_and_unfit_vocabulary(spark, tmp_path):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    assert bpe.encode_documents(empty, path).count() == 0
+    assert token_counts.count_tokens(empty, path).count() == 0
+    spec = json.load(open(path, encoding="utf-8"))
+    spec["decoder"] = {"type": "ByteLevel"}
+    other = tmp_path / "other.json"
+    other.write_text(json.dumps(spec))
+    with pytest.raises(ValueError):
+        bpe.PrefixBpe(str(other))
