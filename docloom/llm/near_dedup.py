@@ -9,10 +9,14 @@ coordinates are hit, so a signature costs about the number of shingles plus
 k log k, not their product.
 
 Signatures are cut into bands; documents that share a band's key are candidates
-and their similarity is then computed exactly. In a bucket, members are compared
-to a few hubs of it; further rounds take other hubs, more in each round, until
-the members left are one class or none is left. So each pair of a bucket is
-compared, or in one class anyway.
+and their similarity is then computed exactly. In a bucket, members are first
+compared to two hubs, of which one is the member that shares the most buckets
+with others, so stands in the middle of its family. Buckets whose members are
+not one class by then are open. Their members are compared to all others that
+may reach the threshold at all: sets that do so share one of their rarest
+shingles (prefix filtering), and only pairs of different classes are made. So
+each pair of a bucket is compared, or in one class anyway, or below the
+threshold by its bounds.
 """
 
 from __future__ import annotations
@@ -32,7 +36,6 @@ from docloom.runtime import materialize, ship
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 32, 6
-HUBS, MORE_HUBS = 4, 4  # hubs of a bucket in the first further round, and the factor from round to round
 
 _CELL = 12  # darts of a cell, at most; the chance of more is below 1e-9
 _TABLE = np.cumsum(np.exp(-1.0) / np.cumprod(np.concatenate([[1.0], np.arange(1.0, _CELL)])))
@@ -126,60 +129,107 @@ def _sketch(docs: DataFrame, bands: int, rows: int, by_count: bool) -> DataFrame
     return docs.mapInArrow(emit, "doc_id long, key_a long, key_b long, n_words long, bands array<long>")
 
 
-def _sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, items, counts): the upper halves of the sorted shingle hashes, and counts if one is over one.
+def _sets(docs: DataFrame, by_count: bool) -> DataFrame:
+    """(doc_id, items, size): the upper halves of the sorted shingle hashes.
 
-    Two different shingles of a pair agree in 32 bits with a chance of n**2 / 2**32
-    for n shingles each, which moves the similarity by less than 1e-5.
+    With ``by_count`` the k-th occurrence of a shingle is an element of its own,
+    which makes the weighted similarity by counts that of sets. Two different
+    elements of a pair agree in 32 bits with a chance of n**2 / 2**32 for n
+    elements each, which moves the similarity by less than 1e-5.
     """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in by_bytes(whole, "text"):
                 h, row, count = shingles(words(batch.column("text")))
+                if by_count:
+                    nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+                    h, row = np.repeat(h, count), np.repeat(row, count)
+                    h = np.where(nth > 0, mix(h ^ nth.astype(U64), 22), h)
+                    h = h[np.lexsort((h, row))]
                 cut = np.searchsorted(row, np.arange(batch.num_rows + 1))
                 items = [(h[x:y] >> U64(32)).astype(np.uint32).tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)]
-                counts = [count[x:y].astype(np.uint32).tobytes() if (count[x:y] > 1).any() else None for x, y in zip(cut[:-1], cut[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(items, pa.binary()), pa.array(counts, pa.binary())], ["doc_id", "items", "counts"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(items, pa.binary()), pa.array(np.diff(cut))], ["doc_id", "items", "size"])
 
-    return docs.mapInArrow(emit, "doc_id long, items binary, counts binary")
+    return docs.mapInArrow(emit, "doc_id long, items binary, size long")
 
 
-def similarity(a: bytes, b: bytes, a_counts: bytes | None = None, b_counts: bytes | None = None, by_count: bool = False) -> float:
-    """Jaccard similarity of two sorted sets of hashes, or its weighted form by counts."""
+def similarity(a: bytes, b: bytes) -> float:
+    """Jaccard similarity of two sorted sets of hashes."""
     x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
     if not len(x) or not len(y):
         return 0.0
     i = np.minimum(np.searchsorted(x, y), len(x) - 1)
-    j = np.flatnonzero(x[i] == y)
-    i = i[j]
-    if not by_count:
-        return len(i) / (len(x) + len(y) - len(i))
-    p = np.frombuffer(a_counts, np.uint32) if a_counts else np.ones(len(x), np.uint32)
-    q = np.frombuffer(b_counts, np.uint32) if b_counts else np.ones(len(y), np.uint32)
-    both = float(np.minimum(p[i], q[j]).sum())
-    return both / (float(p.sum()) + float(q.sum()) - both)
+    both = int((x[i] == y).sum())
+    return both / (len(x) + len(y) - both)
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, threshold: float, by_count: bool) -> DataFrame:
+def _verify(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b) whose exact similarity reaches the threshold.
 
     Both joins are sort-merge joins, whose hot keys (hubs) Spark splits.
     """
-    one = sets.select(F.col("doc_id").alias("a"), F.col("items").alias("a_items"), F.col("counts").alias("a_counts"))
-    two = sets.select(F.col("doc_id").alias("b"), F.col("items").alias("b_items"), F.col("counts").alias("b_counts"))
+    one = sets.select(F.col("doc_id").alias("a"), F.col("items").alias("a_items"))
+    two = sets.select(F.col("doc_id").alias("b"), F.col("items").alias("b_items"))
     joined = pairs.join(one, "a").join(two, "b")
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            c = {n: batch.column(n).to_pylist() for n in ("a_items", "a_counts", "b_items", "b_counts")}
-            ok = [similarity(*x, by_count=by_count) >= threshold for x in zip(c["a_items"], c["b_items"], c["a_counts"], c["b_counts"], strict=True)]
+            ok = [similarity(x, y) >= threshold for x, y in zip(batch.column("a_items").to_pylist(), batch.column("b_items").to_pylist(), strict=True)]
             keep = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
 
     return joined.mapInArrow(test, "a long, b long")
 
 
+def _pairs(frame: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b), a < b, of the columns x and y."""
+    return frame.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def _across(open_docs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of ``open_docs(doc_id, class_id)`` of different classes that may reach the threshold.
+
+    The elements of a set are ordered by how few of the documents hold them.
+    Sets of n <= m elements that reach the threshold t have at least
+    t / (1 + t) * (n + m) in common, so they share one of the first
+    n - 2 * t / (1 + t) * n + 1 elements of the smaller and one of the first
+    m - t * m + 1 of the larger, and not too late in either. Elements that one
+    class alone has in its prefixes make no row. Of others, the class with most
+    prefixes is only joined to the rest, so pairs within it are never made.
+    """
+    common = 2 * threshold / (1 + threshold)
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, classes, blobs = batch.column("doc_id").to_numpy(), batch.column("class_id").to_numpy(), batch.column("items").to_pylist()
+            for a in range(0, len(blobs), 500):
+                size = np.array([len(x) // 4 for x in blobs[a : a + 500]])
+                items = np.frombuffer(b"".join(blobs[a : a + 500]), np.uint32).astype(np.int64)
+                columns = [np.repeat(x, size) for x in (ids[a : a + 500], classes[a : a + 500], size)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(items)], ["doc_id", "class_id", "size", "item"])
+
+    held = materialize(open_docs.join(sets.select("doc_id", "items"), "doc_id").mapInArrow(spread, "doc_id long, class_id long, size long, item long"))
+    spreads = held.groupBy("item").agg(F.count("*").alias("n"), F.min("class_id").alias("lo"), F.max("class_id").alias("hi")).where("lo < hi OR n > 1")
+    # elements that a document holds alone come first in its order; they need no rank of their own
+    ranked = held.join(spreads.hint("merge"), "item").groupBy("doc_id", "class_id", "size").agg(F.array_sort(F.collect_list(F.struct("n", "item", (F.col("lo") < F.col("hi")).alias("mixed")))).alias("shared"))
+    ranked = ranked.select("doc_id", "class_id", "size", F.posexplode("shared").alias("at", "e"), (F.col("size") - F.size("shared")).alias("alone"))
+    placed = ranked.select("doc_id", "class_id", F.col("size").alias("n"), (F.col("alone") + F.col("at")).alias("at"), F.col("e.item").alias("item"), F.col("e.mixed").alias("mixed"))
+    prefixes = materialize(placed.where(F.col("mixed") & (F.col("at") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-6))))
+    by_class = prefixes.groupBy("item", "class_id").agg(F.count("*").alias("times"))
+    main = by_class.groupBy("item").agg(F.max(F.struct("times", "class_id"))["class_id"].alias("main"), F.count("*").alias("classes")).where("classes > 1").select("item", "main")
+    marked = materialize(prefixes.drop("mixed").join(main.hint("merge"), "item").withColumn("rest", F.col("class_id") != F.col("main")).drop("main"))
+    small = marked.where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * common - 1e-6))
+    x, y = small.select("item", *[F.col(c).alias(f"x_{c}") for c in ("doc_id", "class_id", "n", "at", "rest")]), marked.select("item", *[F.col(c).alias(f"y_{c}") for c in ("doc_id", "class_id", "n", "at", "rest")])
+    late = F.least(F.col("x_n") - F.col("x_at"), F.col("y_n") - F.col("y_at")) < (F.col("x_n") + F.col("y_n")) * (common / 2) - 1e-6
+    fits = (F.col("x_class_id") != F.col("y_class_id")) & (F.col("x_n") <= F.col("y_n")) & (F.col("x_n") >= F.col("y_n") * threshold - 1e-6) & ~late
+
+    def met(one: DataFrame, two: DataFrame) -> DataFrame:
+        return one.hint("merge").join(two, (one["item"] == two["item"]) & fits).select(F.col("x_doc_id").alias("x"), F.col("y_doc_id").alias("y"))
+
+    return _pairs(met(x.where("x_rest"), y).unionByName(met(x.where("NOT x_rest"), y.where("y_rest"))))
+
+
 def components(links: DataFrame) -> DataFrame:
     """(doc_id, class_id): the least id that links reach, for every id in ``links(a, b)``.
 
@@ -207,8 +257,8 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, bands: int =
     occur. Classes are connected by links.
 
     Documents with equal word sequences are one text. With the default bands a
-    pair at 0.8 shares a bucket with probability 0.9999; every pair that shares one
-    is compared, unless other links already make it one class.
+    pair at 0.8 shares a bucket with probability 0.9999; no pair that shares one
+    is lost.
 
     Null, empty and blank texts have no words and are a class each. Rows that
     share a doc_id share its class. A null id keeps a null class. Other columns
@@ -225,49 +275,26 @@ def near_duplicates(docs: DataFrame, threshold: float = SIMILARITY, bands: int =
     copies = materialize(with_words.select("doc_id", "key_a", "key_b").join(copied, ["key_a", "key_b"]).where("doc_id <> text_id").select("doc_id", "text_id"))
     texts = with_words.join(copies.select("doc_id").distinct(), "doc_id", "left_anti")
     entries = texts.select("doc_id", F.explode("bands").alias("bucket"))
-    full = materialize(entries.groupBy("bucket").agg(F.count("*").alias("n"), F.min("doc_id").alias("h0"), F.max("doc_id").alias("h1")).where("h0 < h1"))
+    full = materialize(entries.groupBy("bucket").agg(F.count("*").alias("n"), F.min("doc_id").alias("h0"), F.max("doc_id").alias("last")).where("h0 < last").drop("last"))
     members = materialize(entries.join(full, "bucket"))
 
-    def pairs(frame: DataFrame) -> DataFrame:
-        return frame.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-
-    tested = materialize(pairs(members.select(F.col("doc_id").alias("x"), F.explode(F.array("h0", "h1")).alias("y"))))
+    known_buckets = members.groupBy("doc_id").agg(F.sum("n").alias("reach"))
+    middle = members.join(known_buckets, "doc_id").groupBy("bucket").agg(F.max(F.struct("reach", "doc_id"))["doc_id"].alias("h1"), F.first("h0").alias("h0"))
+    members = materialize(members.drop("h0").join(middle.hint("merge"), "bucket"))
+    tested = materialize(_pairs(members.select(F.col("doc_id").alias("x"), F.explode(F.array("h0", "h1")).alias("y"))))
     wanted = tested.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     # texts are large, so this join is a sort-merge join at every size
-    sets = materialize(_sets(known.join(wanted.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])))
-    links = materialize(_verify(tested, sets, threshold, by_count))
-    # All pairs of up to three members were tested. In larger buckets, those whose members all
-    # resemble a hub are one class; the others are open.
-    failed = materialize(tested.join(links, ["a", "b"], "left_anti"))
-    large = members.where("n > 3")
-    with_hub = large.select("bucket", F.least("doc_id", "h0").alias("a"), F.greatest("doc_id", "h0").alias("b"))
-    unsettled = with_hub.join(failed, ["a", "b"], "left_semi").select("bucket").distinct()
-    # Hubs have met all members of their bucket, so they leave it.
-    members = large.join(unsettled, "bucket", "left_semi").where("doc_id <> h0 AND doc_id <> h1").select("doc_id", "bucket")
-    sizes = sets.select("doc_id", (F.octet_length("items") / 4).alias("size"))
-    members = materialize(members.join(sizes, "doc_id"))
-    fits = F.lit(True) if by_count else F.least("size", "hub_size") >= threshold * F.greatest("size", "hub_size") - 1e-6
-    label, n_hubs, turn = components(links), HUBS, 0
-    while True:
-        placed = members.join(label, "doc_id", "left").withColumn("class_id", F.coalesce("class_id", "doc_id"))
-        split = placed.groupBy("bucket").agg(F.count("*").alias("n"), F.min("class_id").alias("lo"), F.max("class_id").alias("hi")).where("lo < hi")
-        drawn = F.pmod(F.xxhash64("doc_id", "bucket", F.lit(turn)), F.lit(1 << 30)) / float(1 << 30) * F.col("n") < F.lit(float(n_hubs))
-        placed = materialize(placed.join(split.select("bucket", "n"), "bucket").withColumn("is_hub", drawn))
-        if not placed.limit(1).count():
-            break
-        hubs = placed.where("is_hub").select("bucket", F.col("doc_id").alias("hub"), F.col("class_id").alias("hub_class"), F.col("size").alias("hub_size"))
-        met = placed.join(hubs.hint("merge"), "bucket").where(F.col("class_id") != F.col("hub_class")).where(fits)
-        more = materialize(pairs(met.select(F.col("doc_id").alias("x"), F.col("hub").alias("y"))).join(tested, ["a", "b"], "left_anti"))
-        if more.limit(1).count():
-            new = materialize(_verify(more, sets, threshold, by_count))
-            tested = tested.unionByName(more)
-            if new.limit(1).count():
-                links = links.unionByName(new)
-                label = components(links)
-        members = placed.where("NOT is_hub").select("doc_id", "bucket", "size")
-        n_hubs, turn = n_hubs * MORE_HUBS, turn + 1
-    links = materialize(links.distinct())
+    sets = materialize(_sets(known.join(wanted.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), by_count))
+    links = materialize(_verify(tested, sets, threshold))
     label = components(links)
+    # Of three members, two hubs leave no pair untested; with four or more, or one hub, a bucket of several classes is open.
+    placed = materialize(members.where("n > 3 OR n = 3 AND h0 = h1").join(label, "doc_id", "left").select("bucket", "doc_id", F.coalesce("class_id", "doc_id").alias("class_id")))
+    split = placed.groupBy("bucket").agg(F.min("class_id").alias("lo"), F.max("class_id").alias("hi")).where("lo < hi").select("bucket")
+    open_docs = materialize(placed.join(split.hint("merge"), "bucket", "left_semi").select("doc_id", "class_id").distinct())
+    if open_docs.limit(1).count():
+        more = materialize(_across(open_docs, sets, threshold).join(tested, ["a", "b"], "left_anti"))
+        links = materialize(links.unionByName(_verify(more, sets, threshold)))
+        label = components(links)
     texts_of = copies.groupBy("doc_id").agg(F.min("text_id").alias("text_id"))
     ids = own.select("doc_id").join(texts_of, "doc_id", "left").withColumn("text_id", F.coalesce("text_id", "doc_id"))
     out = ids.join(label.withColumnRenamed("doc_id", "text_id"), "text_id", "left")

@@ -126,3 +126,32 @@ def test_couples_in_a_family_below_the_threshold(spark):
     got = {r.doc_id: r.class_id for r in n.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     found = sum(got[i] == c for i, c in want.items() if i != c)
     assert got == want, f"{found} of {len(rows) // 2} couples"
+
+
+@pytest.mark.parametrize("centre", [True, False])
+def test_families_of_any_distance(spark, centre):
+    """Copies with few to many changes, with and without the text they come from; most pairs are below the threshold."""
+    rng, rows = random.Random(8), []
+    words = lambda k: [f"w{rng.randrange(10**6)}" for _ in range(k)]
+    for length in (60, 150, 400):
+        base = words(length)
+        for _ in range(120):
+            copy = list(base)
+            for _ in range(rng.randrange(1 if centre else max(1, length // 80), max(3, length // 25))):
+                at, op = rng.randrange(len(copy)), rng.randrange(3)
+                copy[at : at + (op != 0)] = [] if op == 1 else words(1)
+            rows.append(" ".join(copy))
+        rows += [" ".join(base)] * centre
+    rng.shuffle(rows)
+    rows = list(enumerate(rows))
+    got = {r.doc_id: r.class_id for r in n.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows)
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(6)
+    long = [f"w{rng.randrange(10**6)}" for _ in range(300_000)]
+    near = long[:280_000] + [f"v{i}" for i in range(10_000)]
+    rows = [(1, " ".join(long)), (2, " ".join(near)), (3, "\n".join(long)), (4, "x" * 3_000_000)]
+    got = {r.doc_id: r.class_id for r in n.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 4}
