@@ -3,7 +3,10 @@
 Every line of a text gets features; Viterbi decoding of the field labels it as
 content or boilerplate; the share of words in content lines decides whether the
 document stays, after fixed base rules. The field is fitted here, on a bounded
-sample of documents with a quality label, whose label stands for their lines.
+sample of documents with a quality label. A label holds for a document, so the
+lines of one alone never change label; the sequences that the field is fitted on
+are therefore spliced: runs of lines of a good document with runs of a bad one
+between them, as pages have their boilerplate between, before and after content.
 """
 
 from __future__ import annotations
@@ -23,7 +26,9 @@ from docloom.runtime import ship
 SAMPLE_PER_LABEL = 1_000  # documents that the field is fitted on, at most, for each label
 MIN_WORDS = 50
 CONTENT_SHARE = 0.5
-STEPS, RATE, RIDGE = 150, 0.2, 1e-3
+LINES_PER_DOCUMENT = 192  # lines of a sampled document that the fit sees, at most
+SEQUENCE = 48  # lines of a spliced sequence, about
+STEPS, RATE, RIDGE, ENOUGH = 150, 0.2, 1e-3, 2e-4
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -118,40 +123,76 @@ def _padded(x: np.ndarray, rows: np.ndarray, which: np.ndarray) -> tuple[np.ndar
     return x[np.where(mask, at, 0)], mask
 
 
+def splice(good: list[np.ndarray], bad: list[np.ndarray], seed: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(features, offsets, labels of lines) of sequences made of runs of good and of bad documents.
+
+    Each document's lines are used once, in order; runs take 2 to 24 lines of one
+    document, and a sequence has runs up to about SEQUENCE lines, of one kind or
+    both. Made with a fixed seed, so equal samples give equal sequences.
+    """
+    rng = np.random.default_rng(seed)
+    runs: dict[int, list[np.ndarray]] = {0: [], 1: []}
+    for kind, docs in ((0, bad), (1, good)):
+        for x in docs:
+            at = 0
+            while at < len(x):
+                n = int(rng.integers(2, 25))
+                runs[kind].append(x[at : at + n])
+                at += n
+        runs[kind] = [runs[kind][i] for i in rng.permutation(len(runs[kind]))]
+    parts, labels, sizes = [], [], [0]
+    while runs[0] or runs[1]:
+        total, kind = 0, int(rng.integers(2))
+        while total < SEQUENCE and (runs[0] or runs[1]):
+            kind = kind if runs[kind] else 1 - kind
+            run = runs[kind].pop()
+            parts.append(run)
+            labels.append(np.full(len(run), kind))
+            total += len(run)
+            kind = 1 - kind if rng.random() < 0.6 else kind
+        sizes.append(sizes[-1] + total)
+    return np.concatenate(parts), np.array(sizes), np.concatenate(labels)
+
+
 def fit(x: np.ndarray, rows: np.ndarray, labels: np.ndarray) -> Field | None:
     """Maximum likelihood by gradient ascent with momentum; None where a label is missing.
 
-    ``labels``: of each sequence, standing for all its lines. Both labels weigh the same.
+    ``labels``: one for each line. Lines of both labels weigh the same in sum. It
+    ends after STEPS steps, or once the gradient is below ENOUGH.
     """
     used = np.flatnonzero(rows[1:] > rows[:-1])
-    if len(set(labels[used].tolist())) < 2:
+    if len(set(labels.tolist())) < 2:
         return None
-    xs, mask = _padded(x, rows, used)
-    y = labels[used].astype(int)
-    weight = np.where(y == 1, 0.5 / (y == 1).mean(), 0.5 / (y == 0).mean()) / mask.sum(1) / len(y)
+    xs, mask = _padded(x.astype(np.float32), rows, used)
+    y, _ = _padded(labels.astype(np.int64), rows, used)
+    share = (y * mask).sum() / mask.sum()
+    balance = np.where(y == 1, 0.5 / share, 0.5 / (1 - share)) * mask
+    weight = (balance.sum(1) / mask.sum(1) / mask.sum()).astype(np.float32)
     n, steps, k = xs.shape
     theta = np.zeros(k * 2 + 6)
     speed = np.zeros_like(theta)
-    gold = np.eye(2)[y][:, None, :] * mask[:, :, None]
+    gold = (np.eye(2, dtype=np.float32)[y] * mask[:, :, None]).astype(np.float32)
+    held = gold * weight[:, None, None]
+    seen_w, seen_start, seen_move = np.einsum("ntk,ntl->kl", xs, held), held[:, 0].sum(0), np.einsum("nti,ntj->ij", gold[:, :-1], held[:, 1:])
     for _ in range(STEPS):
-        w, start, move = theta[: 2 * k].reshape(k, 2), theta[2 * k : 2 * k + 2], theta[2 * k + 2 :].reshape(2, 2)
-        score = xs @ w
-        alpha = np.empty((n, steps, 2))
-        beta = np.zeros((n, steps, 2))
-        alpha[:, 0] = score[:, 0] + start
+        w, start, move = (v.astype(np.float32) for v in (theta[: 2 * k].reshape(k, 2), theta[2 * k : 2 * k + 2], theta[2 * k + 2 :].reshape(2, 2)))
+        local, jump = np.exp(xs @ w - (xs @ w).max(2, keepdims=True)), np.exp(move)
+        alpha, beta = np.empty((n, steps, 2), np.float32), np.ones((n, steps, 2), np.float32)
+        first = local[:, 0] * np.exp(start)
+        alpha[:, 0] = first / first.sum(1, keepdims=True)
         for t in range(1, steps):
-            reach = np.logaddexp.reduce(alpha[:, t - 1, :, None] + move, axis=1) + score[:, t]
-            alpha[:, t] = np.where(mask[:, t, None], reach, alpha[:, t - 1])
+            reach = (alpha[:, t - 1] @ jump) * local[:, t]
+            alpha[:, t] = np.where(mask[:, t, None], reach / reach.sum(1, keepdims=True), alpha[:, t - 1])
         for t in range(steps - 2, -1, -1):
-            after = np.logaddexp.reduce(move[None] + (score[:, t + 1] + beta[:, t + 1])[:, None, :], axis=2)
-            beta[:, t] = np.where(mask[:, t + 1, None], after, 0)
-        total = np.logaddexp.reduce(alpha[:, -1], axis=1)
-        p = np.exp(alpha + beta - total[:, None, None]) * mask[:, :, None]
-        pair = np.exp(alpha[:, :-1, :, None] + move + (score[:, 1:] + beta[:, 1:])[:, :, None, :] - total[:, None, None, None]) * mask[:, 1:, None, None]
-        grad_w = np.einsum("ntk,ntl,n->kl", xs, gold - p, weight)
-        grad_start = np.einsum("nl,n->l", gold[:, 0] - p[:, 0], weight)
-        held = np.einsum("nti,ntj,n->ij", gold[:, :-1], gold[:, 1:], weight) - np.einsum("ntij,n->ij", pair, weight)
-        step = np.concatenate([grad_w.ravel(), grad_start, held.ravel()]) - RIDGE * theta
+            after = (local[:, t + 1] * beta[:, t + 1]) @ jump.T
+            beta[:, t] = np.where(mask[:, t + 1, None], after / after.sum(1, keepdims=True), 1)
+        p = alpha * beta
+        p *= (weight[:, None] * mask / p.sum(2))[:, :, None]
+        pair = alpha[:, :-1, :, None] * jump * (local[:, 1:] * beta[:, 1:])[:, :, None, :]
+        pair *= (weight[:, None] * mask[:, 1:] / pair.sum((2, 3)))[:, :, None, None]
+        step = np.concatenate([(seen_w - np.einsum("ntk,ntl->kl", xs, p)).ravel(), seen_start - p[:, 0].sum(0), (seen_move - pair.sum((0, 1))).ravel()]) - RIDGE * theta
+        if np.abs(step).max() < ENOUGH:
+            break
         speed = 0.9 * speed + step
         theta = theta + RATE * speed * 10
     return Field(theta[: 2 * k].reshape(k, 2), theta[2 * k : 2 * k + 2], theta[2 * k + 2 :].reshape(2, 2))
@@ -184,14 +225,19 @@ def viterbi(field: Field, x: np.ndarray, rows: np.ndarray) -> np.ndarray:
 
 
 def _train(docs: DataFrame, labels: DataFrame) -> Field | None:
-    """Fit on at most SAMPLE_PER_LABEL whole documents for each label, chosen by a hash of their id."""
+    """Fit on at most SAMPLE_PER_LABEL documents for each label, chosen by a hash of their id.
+
+    A document labelled both ways is left out; of rows that share an id, one is
+    used, and of each LINES_PER_DOCUMENT lines at most, taken evenly.
+    """
     order = F.xxhash64("doc_id")
     rated = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id IS NOT NULL AND quality IN (0, 1)")
+    rated = rated.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("other")).where("quality = other").drop("other")
     chosen = None
     for label in (0, 1):
         part = rated.where(F.col("quality") == label).orderBy(order, "doc_id").limit(SAMPLE_PER_LABEL)
         chosen = part if chosen is None else chosen.unionByName(part)
-    rows = chosen.dropDuplicates(["doc_id"]).collect()  # at most twice SAMPLE_PER_LABEL
+    rows = chosen.collect()  # at most twice SAMPLE_PER_LABEL
     if len({r.quality for r in rows}) < 2:
         return None
     known = {r.doc_id: r.quality for r in rows}
@@ -202,14 +248,24 @@ def _train(docs: DataFrame, labels: DataFrame) -> Field | None:
             for batch in by_bytes(whole, "text"):
                 data, offsets = utf8(batch.column("text"))
                 x, _, lines, _ = line_features(batch.column("text"), data, offsets, words(batch.column("text")))
-                blobs = [x[a:b].astype(np.float32).tobytes() for a, b in zip(lines[:-1], lines[1:], strict=True)]
+                blobs = [_evenly(x[a:b], LINES_PER_DOCUMENT).astype(np.float32).tobytes() for a, b in zip(lines[:-1], lines[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(blobs, pa.binary())], ["doc_id", "x"])
 
-    got = sorted((r.doc_id, bytes(r.x)) for r in sample.mapInArrow(features, "doc_id long, x binary").collect())
-    parts = [np.frombuffer(x, np.float32).reshape(-1, len(FEATURES)).astype(float) for _, x in got]
-    parts, ids = zip(*[(p[k : k + 64], i) for p, (i, _) in zip(parts, got, strict=True) for k in range(0, max(len(p), 1), 64)], strict=True)
-    sizes = np.cumsum([0, *map(len, parts)])
-    return fit(np.concatenate(parts), sizes, np.array([known[i] for i in ids]))
+    got = sample.mapInArrow(features, "doc_id long, x binary").groupBy("doc_id").agg(F.min("x").alias("x")).collect()
+    parts: dict[int, list[np.ndarray]] = {0: [], 1: []}
+    for r in sorted(got):
+        parts[known[r.doc_id]].append(np.frombuffer(bytes(r.x), np.float32).reshape(-1, len(FEATURES)))
+    if not sum(map(len, parts[0])) or not sum(map(len, parts[1])):
+        return None
+    return fit(*splice(parts[1], parts[0]))
+
+
+def _evenly(x: np.ndarray, most: int) -> np.ndarray:
+    """A block of lines for each of up to eight parts of a long document, ``most`` lines in all."""
+    if len(x) <= most:
+        return x
+    starts = np.linspace(0, len(x) - most // 8, 8).astype(int)
+    return x[np.unique((starts[:, None] + np.arange(most // 8)[None, :]).ravel())]
 
 
 def judge_quality(docs: DataFrame, labels: DataFrame, content_share: float = CONTENT_SHARE) -> DataFrame:

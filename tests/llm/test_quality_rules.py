@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from docloom.llm import quality_rules as q
 
@@ -68,3 +69,39 @@ def test_without_labels_and_empty(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert [r.kept for r in q.judge_quality(docs, labels).collect()] == [True]
     assert q.judge_quality(docs.limit(0), labels).count() == 0
+
+
+def test_lines_of_mixed_documents_are_marked(spark):
+    """Texts of which one part is a good document and the other a bad one: most lines get their own label."""
+    folder = "/root/testdata/sf0.01"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    rated = sorted((r.doc_id, r.quality) for r in labels.collect())
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
+    field = q._train(docs.where("doc_id % 2 = 0"), labels)  # so that odd documents are new to it
+    good = [texts[i] for i, y in rated if y == 1 and i % 2 and q.MIN_WORDS < len(texts[i].split()) < 3000][:40]
+    bad = [texts[i] for i, y in rated if y == 0 and i % 2 and q.MIN_WORDS < len(texts[i].split()) < 3000][:40]
+    right, total = 0, 0
+    for a, b in zip(good, bad, strict=False):
+        n, m = (sum(bool(line.strip()) for line in t.split("\n")) for t in (a, b))
+        column = pa.array([a + "\n" + b])
+        data, offsets = q.utf8(column)
+        x, _, rows, _ = q.line_features(column, data, offsets, q.words(column))
+        got = q.viterbi(field, x, rows)
+        assert len(got) == n + m
+        right += int((got[:n] == 1).sum() + (got[n:] == 0).sum())
+        total += n + m
+    assert total > 200 and right >= 0.85 * total, (right, total)
+    assert field.move[0, 0] > field.move[0, 1] and field.move[1, 1] > field.move[1, 0]
+
+
+def test_conflicting_labels_and_repeated_rows(spark):
+    folder = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{folder}/labels.parquet")
+    once = q._train(docs, labels)
+    wrong = labels.where("doc_id % 3 = 0").withColumn("quality", 1 - labels.quality)
+    both = q._train(docs, labels.unionByName(wrong))
+    without = q._train(docs, labels.where("doc_id % 3 <> 0"))
+    assert np.array_equal(both.weights, without.weights) and not np.array_equal(both.weights, once.weights)
+    again = q._train(docs.unionByName(docs), labels.unionByName(labels))
+    assert np.array_equal(again.weights, once.weights)
