@@ -12,7 +12,7 @@ from docloom.operators import survivors
 def process_applications(files: DataFrame, documents: DataFrame) -> DataFrame:
     """The summary of each application with its people, documents and address checks."""
     people = survivors.link_people(documents).groupBy("application_no").agg(F.countDistinct("person_id").alias("n_people"), F.count("*").alias("n_documents"))
-    checks = survivors.cross_check(documents).groupBy("application_no").agg(F.count("*").alias("n_checks"), F.count_if(F.col("address_status") == "different").alias("n_different"))
+    checks = survivors.cross_check(documents).groupBy("application_no").agg(F.count("*").alias("n_checks"), F.count_if(F.col("status") == "different").alias("n_different"))
     out = f.application_summary(files).join(people, "application_no", "left").join(checks, "application_no", "left")
     return out.fillna(0, ["n_people", "n_documents", "n_checks", "n_different"])
 

@@ -61,18 +61,35 @@ def cluster_rows(tokens: DataFrame) -> DataFrame:
     return rows.select("group_id", F.col("r.i").alias("token_index"), F.col("r.row").alias("row"))
 
 
-def recheck_value(raw: Column, field: str) -> Column:
-    """The value of a verbose third reading, or null: JSON member, table cell, or lines without prefixes and repeats."""
-    member = F.get_json_object(raw, f"$['{field}']")
-    plain = F.regexp_replace(F.regexp_replace(raw, PAIR, ""), r"<\|/?(?:ref|det)\|>", "")
-    plain = F.regexp_replace(plain, r"^[`\"' ：:，,。]+|[`\"' ：:，,。]+$", "")
-    cell = n.trim(F.regexp_extract(plain, rf"\|\s*{field}\s*\|\s*([^|\r\n]+)", 1))
-    body = F.when(cell != "", cell).otherwise(plain)
-    bare = lambda x: n.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(x, r"^\s*(?:图片中的(?:文本内容|文字)|识别结果)\s*(?:是|为)?\s*[:：]?\s*", ""), rf"^\s*{field}\s*[:：,，]?\s*", ""), r"^[ `\"'：:,，。]+|[ `\"'：:,，。]+$", ""))
-    lines = F.array_distinct(F.filter(F.transform(F.split(body, "\n"), bare), lambda x: (x != "") & (x != field)))
-    value = F.array_join(lines, "")
-    good = (value != "") & (F.length(value) <= 160) & ~value.rlike("无法识别|识别结果如下|JSON")
-    return F.coalesce(member, F.when(good, value))
+#: Words of a sentence about the picture rather than a value, and of phrases that introduce one. Fixed values.
+REMARKS = ["无法", "抱歉", "看不清", "JSON"]
+INTRODUCTIONS = ["图片", "识别", "结果", "内容", "文字"]
+
+
+def read_answer(raw: Column, field: str) -> Column:
+    """The value in a verbose answer to a question for one field, or null.
+
+    A JSON object gives its member. Otherwise tags and coordinate pairs go, and a
+    table gives the cell after the field's. Else each line is cut after a colon
+    that an introduction or the field's name stands before; equal lines count
+    once. Empty values, remarks and values of over 160 characters are none.
+    """
+    member = n.trim(F.get_json_object(raw, f"$['{field}']"))
+    bare = F.regexp_replace(F.regexp_replace(raw, "<[^<>]*>", ""), PAIR, "")
+    cells = F.transform(F.split(bare, r"\|"), lambda c: n.trim(c))
+    cell = F.try_element_at(cells, F.nullif(F.array_position(cells, F.lit(field)), F.lit(0)).cast("int") + 1)
+    said = lambda x: F.exists(F.array(*[F.lit(w) for w in [field, *INTRODUCTIONS]]), lambda w: F.contains(x, w))
+
+    def value_of(line: Column) -> Column:
+        head, tail = F.substring_index(line, ":", 1), F.regexp_extract(line, "(?s):(.*)", 1)
+        cut = F.when(F.contains(line, F.lit(":")) & said(head), tail).when(F.startswith(line, F.lit(field)), F.substring(line, F.lit(len(field) + 1), F.length(line))).otherwise(line)
+        return F.btrim(cut, F.lit(" \t\r`\"',.，。"))
+
+    lines = F.transform(F.split(F.translate(bare, "：", ":"), "\n"), lambda x: value_of(value_of(x)))
+    spoken = F.array_join(F.array_distinct(F.filter(lines, lambda x: (x != "") & (x != field))), "")
+    value = F.coalesce(F.nullif(cell, F.lit("")), spoken)
+    remark = F.exists(F.array(*map(F.lit, REMARKS)), lambda w: F.contains(value, w))
+    return F.coalesce(member, F.when((value != "") & (F.length(value) <= 160) & ~remark, value))
 
 
 def arbitrate_with_recheck(comparisons: DataFrame) -> DataFrame:
@@ -85,8 +102,11 @@ def arbitrate_with_recheck(comparisons: DataFrame) -> DataFrame:
 
 
 def domestic_address(address: Column) -> Column:
+    """Whether an address begins with a province, or names a city and, after it, a smaller place."""
     key = n.compact_key(address)
-    return key.rlike("^(?:" + "|".join(PROVINCES) + ")") | key.rlike("^[㐀-鿿]{2,12}市.*(?:区|县|镇|乡|街道|村)")
+    province = F.exists(F.array(*map(F.lit, PROVINCES)), lambda p: F.startswith(key, p))
+    after_city = F.regexp_extract(key, "^[^市]{2,12}市(.*)", 1)
+    return province | (~key.rlike("^[ -~]") & F.exists(F.array(*[F.lit(w) for w in "区 县 镇 乡 街道 村".split()]), lambda w: F.contains(after_city, w)))
 
 
 def fill_nationality(records: DataFrame, texts: DataFrame) -> DataFrame:

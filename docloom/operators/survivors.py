@@ -8,6 +8,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.functions import similarity
+
+SIMILAR_ADDRESS = 0.72
+
 
 def stars(value: Column) -> Column:
     return F.length(value) - F.length(F.replace(value, F.lit("*"), F.lit("")))
@@ -24,13 +28,19 @@ def vote_values(votes: DataFrame, prefer_long: tuple[str, ...] = ("size",)) -> D
     return counted.groupBy("group_id", "field").agg(best.alias("value"))
 
 
-def vote_pairs(pairs: DataFrame) -> DataFrame:
-    """Per group the most frequent (total, curb) pair; on a tie the current (latest) pair if it leads, else none."""
-    counted = pairs.groupBy("group_id", "total", "curb").agg(F.count("*").alias("n"), F.max("position").alias("last"))
-    most = counted.withColumns({"top": F.max("n").over(w := Window.partitionBy("group_id")), "latest": F.max("last").over(w)})
-    leaders = most.where("n = top").groupBy("group_id").agg(F.count("*").alias("k"), F.max(F.struct("last", "total", "curb")).alias("best"), F.first("latest").alias("latest"))
-    keep = (F.col("k") == 1) | (F.col("best.last") == F.col("latest"))
-    return leaders.select("group_id", F.when(keep, F.col("best.total")).otherwise("").alias("total"), F.when(keep, F.col("best.curb")).otherwise("").alias("curb"), F.col("k").alias("n_leaders"))
+def vote_pairs(pairs: DataFrame, held: DataFrame) -> DataFrame:
+    """Per group the most frequent (total, curb) pair of ``pairs``; on a tie the pair that the record holds, if it leads, else none.
+
+    ``held(group_id, total, curb)``: one row for each record.
+    """
+    counted = pairs.groupBy("group_id", "total", "curb").agg(F.count("*").alias("n"))
+    most = counted.groupBy("group_id").agg(F.max("n").alias("n"))
+    mine = held.select("group_id", "total", "curb", F.lit(True).alias("mine"))
+    leaders = counted.join(most, ["group_id", "n"]).join(mine, ["group_id", "total", "curb"], "left")
+    pair = F.struct("total", "curb")
+    chosen = leaders.groupBy("group_id").agg(F.count("*").alias("n_leaders"), F.min(pair).alias("only"), F.min(F.when(F.col("mine"), pair)).alias("kept"))
+    best = F.when(F.col("n_leaders") == 1, F.col("only")).otherwise(F.col("kept"))
+    return chosen.select("group_id", *[F.coalesce(best[c], F.lit("")).alias(c) for c in ("total", "curb")], "n_leaders")
 
 
 def merge_longest(values: DataFrame) -> DataFrame:
@@ -114,10 +124,18 @@ def link_people(documents: DataFrame) -> DataFrame:
 
 
 def cross_check(documents: DataFrame) -> DataFrame:
-    """Earliest card and earliest licence of each linked number: whether their addresses agree."""
+    """Earliest card and earliest licence of each linked number: a row for the number, and one for the addresses if both have one.
+
+    Addresses are compared without white space and separators: equal ones are
+    consistent, those of a similarity of SIMILAR_ADDRESS similar, others different.
+    """
     keyed = documents.withColumn("key", clean_key(F.col("number"))).where("key <> ''")
     first = keyed.groupBy("application_no", "key", "document_type").agg(F.min_by("address", "position").alias("address"))
-    card, licence = (first.where(F.col("document_type") == t).select("application_no", "key", F.col("address").alias(n)) for t, n in (("id_card", "card_address"), ("driver_license", "licence_address")))
-    both = card.join(licence, ["application_no", "key"])
-    status = F.when((F.col("card_address") == "") | (F.col("licence_address") == ""), "not compared").when(F.col("card_address") == F.col("licence_address"), "consistent").otherwise("different")
-    return both.select("application_no", F.col("key").alias("number"), status.alias("address_status"))
+    plain = F.regexp_replace("address", r"(?U)[\s,，。;；、]", "")
+    card, licence = (first.where(F.col("document_type") == t).select("application_no", F.col("key").alias("number"), plain.alias(n)) for t, n in (("id_card", "card_address"), ("driver_license", "licence_address")))
+    both = card.join(licence, ["application_no", "number"])
+    rated = similarity.distinct_ratios(both.where("card_address <> '' AND licence_address <> ''"), "card_address", "licence_address", SIMILAR_ADDRESS)
+    status = F.when(F.col("card_address") == F.col("licence_address"), "consistent").when(F.col("ratio") >= SIMILAR_ADDRESS, "similar").otherwise("different")
+    numbers = both.select("application_no", "number", F.lit("number").alias("checked"), F.lit("consistent").alias("status"))
+    rows = numbers.unionByName(rated.select("application_no", "number", F.lit("address").alias("checked"), status.alias("status")))
+    return rows.withColumn("severity", F.when(F.col("status") == "different", "warning").otherwise("info"))

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.functions.normalizers import compact_key
+
 LOW_SCORE = 0.65
 
 
@@ -61,20 +63,30 @@ def _labelled(tokens: DataFrame, is_label: Column) -> tuple[DataFrame, DataFrame
     return label, tokens.where(~is_label)
 
 
-def associate_labels(tokens: DataFrame, is_label: Column) -> DataFrame:
-    """(group_id, label, value) token pairs where the value is near the label.
+def associate_labels(tokens: DataFrame, labels: DataFrame) -> DataFrame:
+    """(group_id, field, label_index, value_index, label_score): tokens near the labels of ``labels(field, alias)``.
 
-    Near: on the label's row, up to 30 heights to its right; or below it by up to 6
-    heights and aside by up to 18; or from 3 tokens before to 6 after it.
+    A token that begins with an alias is a label of its field; what follows the
+    alias in it is a value of its own. A value is near on the label's row (centres
+    1.1 of the larger height apart at most, from 2 label heights left to 30 right),
+    or below it (6 heights down, from 3 left to 18 right), or 3 tokens before to 6
+    after it. Tokens that are just an alias are never values. Pages are joined by
+    their id, so work is bounded by a page's own tokens; labels are a small table.
     """
-    label, value = _labelled(tokens, is_label)
+    keyed = tokens.withColumn("key", compact_key(F.col("text")))
+    words = labels.select("field", compact_key(F.col("alias")).alias("alias")).where("alias <> ''").distinct()
+    box = ["left", "top", "right", "bottom"]
+    found = keyed.join(words, F.startswith("key", "alias")).groupBy("group_id", "field", F.col("token_index").alias("label_index"), F.col("score").alias("label_score"), *[F.col(c).alias(f"l_{c}") for c in box]).agg(F.bool_or(F.col("key") != F.col("alias")).alias("inline"))
+    values = keyed.join(words.select(F.col("alias").alias("key")).distinct(), "key", "left_anti").select("group_id", F.col("token_index").alias("value_index"), *box)
     h = F.greatest(F.col("l_bottom") - F.col("l_top"), F.lit(1.0))
-    dy = (F.col("top") + F.col("bottom") - F.col("l_top") - F.col("l_bottom")) / 2
-    dx = F.col("left") - F.col("l_right")
-    row = (F.abs(dy) <= 1.1 * h) & dx.between(-h, 30 * h)
-    below = (dy > 0) & (dy <= 6 * h) & (F.abs(F.col("left") - F.col("l_left")) <= 18 * h)
-    order = (F.col("token_index") - F.col("l_token_index")).between(-3, 6)
-    return label.join(value, "group_id").where(row | below | order).select("group_id", F.col("l_token_index").alias("label_index"), F.col("token_index").alias("value_index"))
+    across = lambda before, after: (F.col("right") >= F.col("l_left") - before * h) & (F.col("left") <= F.col("l_right") + after * h)
+    centres = F.abs(F.col("top") + F.col("bottom") - F.col("l_top") - F.col("l_bottom")) / 2
+    row = (centres <= 1.1 * F.greatest(h, F.col("bottom") - F.col("top"))) & across(2, 30)
+    below = (F.col("top") >= F.col("l_top") - h / 2) & (F.col("top") - F.col("l_bottom") <= 6 * h) & across(3, 18)
+    step = F.col("value_index") - F.col("label_index")
+    out = ["group_id", "field", "label_index", "value_index", "label_score"]
+    near = found.join(values, "group_id").where((step != 0) & (row | below | step.between(-3, 6))).select(out)
+    return near.unionByName(found.where("inline").withColumn("value_index", F.col("label_index")).select(out))
 
 
 def nearest_on_line(tokens: DataFrame, is_label: Column, fits: Column) -> DataFrame:

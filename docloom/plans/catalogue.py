@@ -10,25 +10,10 @@ from pyspark.sql import functions as F
 
 from docloom.functions import similarity
 from docloom.operators import applications, evidence, files, gate, ingest, normalize, pages, places, recheck, reconcile, refine, survivors, tokens
+from docloom.plans.base import ORACLES, QUERIES, add, rounded
 from docloom.sources.frames import FRAMES, frame, with_frames
 from docloom.streaming import jobs
 
-QUERIES: dict = {}
-ORACLES: dict = {}
-
-
-def rounded(out):
-    """Doubles to six places, as the oracles give them."""
-    return out.withColumns({c: F.round(c, 6) for c, kind in out.dtypes if kind == "double"})
-
-
-def add(name: str, frames: tuple[str, ...], operator, oracle: str | None = None) -> None:
-    """Register ``operator`` over ``frames``; ``oracle`` follows the frames' common tables."""
-    QUERIES[name] = lambda spark, sf_dir: rounded(operator(*[frame(spark, sf_dir, f) for f in frames]))
-    if oracle is not None:
-        ORACLES[name] = f"{with_frames(*frames)}{oracle}"
-
-
 # --- files of applications ------------------------------------------------------------
 
 DEDUPED = """,
@@ -73,11 +58,11 @@ add("page_fanout", ("responses",), files.page_fanout, """ SELECT id, p AS page,
 add("vote_values", ("votes",), survivors.vote_values, """,
 c AS (SELECT group_id, field, value, count(*) AS n, min(position) AS p FROM votes GROUP BY 1, 2, 3)
 SELECT group_id, field, value FROM c QUALIFY row_number() OVER (PARTITION BY group_id, field ORDER BY n DESC, length(value) - length(replace(value, '*', '')), CASE WHEN field = 'size' THEN length(value) ELSE 0 END DESC, p) = 1""")
-add("vote_pairs", ("pairs",), survivors.vote_pairs, """,
-c AS (SELECT group_id, total, curb, count(*) AS n, max(position) AS last FROM pairs GROUP BY 1, 2, 3),
-l AS (SELECT *, max(last) OVER (PARTITION BY group_id) AS latest FROM c), t AS (SELECT * FROM l QUALIFY n = max(n) OVER (PARTITION BY group_id)),
-b AS (SELECT group_id, count(*) AS k, arg_max(total, last) AS total, arg_max(curb, last) AS curb, max(last) AS last, any_value(latest) AS latest FROM t GROUP BY 1)
-SELECT group_id, CASE WHEN k = 1 OR last = latest THEN total ELSE '' END AS total, CASE WHEN k = 1 OR last = latest THEN curb ELSE '' END AS curb, k AS n_leaders FROM b""")
+add("vote_pairs", ("pairs", "held_pairs"), survivors.vote_pairs, """,
+c AS (SELECT group_id, total, curb, count(*) AS n FROM pairs GROUP BY 1, 2, 3), t AS (SELECT * FROM c QUALIFY n = max(n) OVER (PARTITION BY group_id)),
+k AS (SELECT group_id, count(*) AS k, any_value(total) AS total, any_value(curb) AS curb FROM t GROUP BY 1)
+SELECT k.group_id, CASE WHEN k = 1 THEN k.total ELSE coalesce(t.total, '') END AS total, CASE WHEN k = 1 THEN k.curb ELSE coalesce(t.curb, '') END AS curb, k AS n_leaders
+FROM k LEFT JOIN held_pairs h ON h.group_id = k.group_id LEFT JOIN t ON t.group_id = k.group_id AND t.total = h.total AND t.curb = h.curb""")
 add("merge_longest", ("merge",), survivors.merge_longest, """ SELECT group_id, value, n_merged FROM (SELECT *, count(*) OVER (PARTITION BY group_id) AS n_merged FROM merge)
   QUALIFY row_number() OVER (PARTITION BY group_id ORDER BY length(value) DESC, position) = 1""")
 add("unique_or_blank", ("merge",), survivors.unique_or_blank, """,
@@ -95,10 +80,13 @@ d AS (SELECT *, CASE WHEN number = '' THEN '#' || position ELSE number END AS ke
 g AS (SELECT application_no, key, min(position) FILTER (document_type = 'id_card') AS card, min(position) AS first FROM d GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY application_no ORDER BY CASE WHEN card IS NULL THEN 1 ELSE 0 END, coalesce(card, first)) AS person FROM g)
 SELECT d.application_no, d.position, d.document_type || '-' || d.instance AS instance_id, 'person-' || r.person AS person_id FROM d JOIN r ON d.application_no = r.application_no AND d.key = r.key""")
+#: Addresses of this frame differ in single characters at fixed places or throughout, so that the similarity is one minus the share of different places.
 add("cross_check", ("people",), survivors.cross_check, """,
-f AS (SELECT application_no, number, document_type, arg_min(address, position) AS address FROM people WHERE number <> '' GROUP BY 1, 2, 3)
-SELECT c.application_no, c.number, CASE WHEN c.address = '' OR l.address = '' THEN 'not compared' WHEN c.address = l.address THEN 'consistent' ELSE 'different' END AS address_status
-FROM f c JOIN f l ON c.application_no = l.application_no AND c.number = l.number AND c.document_type = 'id_card' AND l.document_type = 'driver_license'""")
+f AS (SELECT application_no, number, document_type, regexp_replace(arg_min(address, position), '[\\s,，。;；、]', '', 'g') AS address FROM people WHERE number <> '' GROUP BY 1, 2, 3),
+b AS (SELECT c.application_no, c.number, c.address AS x, l.address AS y, CASE WHEN length(c.address) = length(l.address) THEN 1 - len(list_filter(range(1, length(c.address) + 1), lambda i: c.address[i] <> l.address[i])) / length(c.address) ELSE 0 END AS r
+  FROM f c JOIN f l ON c.application_no = l.application_no AND c.number = l.number AND c.document_type = 'id_card' AND l.document_type = 'driver_license')
+SELECT application_no, number, 'number' AS checked, 'consistent' AS status, 'info' AS severity FROM b
+UNION ALL SELECT application_no, number, 'address', CASE WHEN x = y THEN 'consistent' WHEN r >= 0.72 THEN 'similar' ELSE 'different' END, CASE WHEN x = y OR r >= 0.72 THEN 'info' ELSE 'warning' END FROM b WHERE x <> '' AND y <> ''""")
 
 # --- normalisation -----------------------------------------------------------------------
 
@@ -214,10 +202,24 @@ SELECT b.group_id, round(band_top, 6) AS band_top, round(band_bottom, 6) AS band
 add("detect_side", ("tokens",), tokens.detect_side, """,
 n AS (SELECT group_id, count(*) FILTER (lower(text) IN ('of', 'la', 'und')) AS n_front, count(*) FILTER (lower(text) IN ('and', 'les', 'mit')) AS n_back FROM tokens GROUP BY 1)
 SELECT *, CASE WHEN n_front = 0 AND n_back = 0 THEN 'unknown' WHEN n_front > n_back THEN 'front' WHEN n_front < n_back THEN 'back' ELSE 'both' END AS side FROM n""")
-add("associate_labels", ("tokens",), lambda t: tokens.associate_labels(t, is_label()), f""", l AS ({L}),
-v AS (SELECT *, greatest(lb - lo, 1) AS h, (top + bottom - lo - lb) / 2 AS dy, "left" - lr AS dx FROM l JOIN tokens USING (group_id) WHERE NOT {SQL_LABEL})
-SELECT group_id, li AS label_index, token_index AS value_index FROM v
-WHERE (abs(dy) <= 1.1 * h AND dx >= -h AND dx <= 30 * h) OR (dy > 0 AND dy <= 6 * h AND abs("left" - ll) <= 18 * h) OR (token_index - li BETWEEN -3 AND 6)""")
+ALIASES = [("first", "the"), ("second", "de"), ("second", "la"), ("third", "der"), ("third", "un")]
+SQL_ALIASES = "(VALUES " + ", ".join(f"('{f}', '{a}')" for f, a in ALIASES) + ") a(field, alias)"
+#: Label tokens by field, and tokens that are no label, near them: the bounds in SQL.
+SQL_NEAR = f""",
+t AS MATERIALIZED (SELECT *, upper(regexp_replace(text, '[\\s:：,，.。·/\\\\_—()（）-]+', '', 'g')) AS key FROM tokens),
+l AS MATERIALIZED (SELECT group_id, field, token_index AS li, score AS ls, "left" AS ll, top AS lo, "right" AS lr, bottom AS lb, greatest(1, bottom - top) AS h, bool_or(key <> upper(alias)) AS inline
+  FROM t JOIN {SQL_ALIASES} ON starts_with(key, upper(alias)) GROUP BY ALL),
+near AS MATERIALIZED (SELECT l.group_id, field, li AS label_index, token_index AS value_index, ls FROM l JOIN t ON l.group_id = t.group_id AND token_index <> li AND key NOT IN (SELECT upper(alias) FROM {SQL_ALIASES})
+  WHERE (abs((top + bottom) / 2 - (lo + lb) / 2) <= 1.1 * greatest(h, bottom - top, 1) AND "right" >= ll - 2 * h AND "left" <= lr + 30 * h)
+    OR (top >= lo - 0.5 * h AND top - lb <= 6 * h AND "right" >= ll - 3 * h AND "left" <= lr + 18 * h) OR token_index - li BETWEEN -3 AND 6
+  UNION ALL SELECT group_id, field, li, li, ls FROM l WHERE inline)"""
+
+
+def aliases(spark):
+    return spark.createDataFrame(ALIASES, "field string, alias string")
+
+
+add("associate_labels", ("tokens",), lambda t: tokens.associate_labels(t, aliases(t.sparkSession)).drop("label_score"), SQL_NEAR + " SELECT group_id, field, label_index, value_index FROM near")
 add("nearest_on_line", ("tokens",), lambda t: tokens.nearest_on_line(t, is_label(), fits()), f""", l AS ({L}),
 v AS (SELECT *, 3 * abs(top - lo) + greatest("left" - lr, 0) AS d FROM l JOIN tokens USING (group_id) WHERE NOT {SQL_LABEL} AND {SQL_FITS} AND abs(top - lo) <= lb - lo AND "left" >= ll)
 SELECT group_id, li AS label_index, token_index AS value_index, text AS value, round(d, 6) AS distance FROM v QUALIFY row_number() OVER (PARTITION BY group_id, li ORDER BY d, token_index) = 1""")
@@ -323,25 +325,38 @@ FROM f a LEFT JOIN f b ON a.group_id = b.group_id AND a.day = b.day AND b.source
 
 # --- places --------------------------------------------------------------------------------------
 
-NAMES = {"province": "SELECT DISTINCT province AS name FROM divisions", "prefecture": "SELECT DISTINCT province AS up, prefecture AS name FROM divisions", "county": "SELECT DISTINCT province AS up, prefecture AS up2, county AS name FROM divisions"}
-
-
-def _walk(source: str, level: str, on: str, keep: str) -> str:
-    """One level in SQL: the longest exact prefix, else the only name one character away."""
-    here = f"substring(s.address, s.pos, length(n.name))"
-    near = f"length({here}) = length(n.name) AND len(list_filter(range(1, length(n.name) + 1), lambda i: ({here})[i] <> n.name[i])) = 1"
-    return f"""(SELECT s.*, b.name AS {level} FROM {source} s LEFT JOIN (SELECT id, coalesce(arg_max(name, length(name)) FILTER (exact), CASE WHEN count(DISTINCT name) FILTER (near) = 1 THEN any_value(name) FILTER (near) END) AS name
-  FROM (SELECT s.id, n.name, {here} = n.name AS exact, {near} AS near FROM {source} s JOIN ({NAMES[level]}) n ON {on}) GROUP BY id) b ON s.id = b.id)"""
-
-
-add("correct_divisions", ("addresses", "divisions"), lambda a, d: places.correct_divisions(a.select("id", "address"), d), f""",
-s0 AS (SELECT id, address, 1 AS pos FROM addresses),
-s1 AS (SELECT id, address, province, pos + coalesce(length(province), 0) AS pos FROM {_walk("s0", "province", "true", "")}),
-s2 AS (SELECT id, address, province, prefecture, pos + coalesce(length(prefecture), 0) AS pos FROM {_walk("s1", "prefecture", "n.up = s.province", "")}),
-s3 AS (SELECT id, address, province, prefecture, county, pos + coalesce(length(county), 0) AS pos FROM {_walk("s2", "county", "n.up = s.province AND n.up2 = s.prefecture", "")})
-SELECT id, CASE WHEN province IS NULL THEN address ELSE province || coalesce(prefecture, '') || coalesce(county, '') || substring(address, pos) END AS corrected,
-  coalesce(province || coalesce(prefecture, '') || coalesce(county, '') || substring(address, pos) <> address, false) AS changed FROM s3""".replace(", NAMES", ""))
-QUERIES["repair_numbers"] = lambda spark, sf_dir: frame(spark, sf_dir, "addresses").select("id", places.repair_numbers(F.concat(F.lit("Z路"), F.translate(F.expr("right(address, 4)"), "015", "OlS"), F.lit("2 - 3号"))).alias("repaired"))
+#: Places of an address one level at a time, for all candidates: branches of the walk, each with the names that may stand next.
+SQL_WALK = """,
+forms AS (SELECT DISTINCT province, province AS form FROM divisions UNION SELECT DISTINCT province, 'As' FROM divisions WHERE province = 'ASIA'),
+{one}, {two}, {city}, {three}, {skipped}, {county}, {alone}
+SELECT id, w AS corrected, w <> address AS changed FROM (
+  SELECT id, address, done || substring(address, length(done) + 1) AS w FROM (SELECT * FROM three UNION ALL SELECT * FROM skipped UNION ALL SELECT * FROM county UNION ALL SELECT * FROM alone))"""
+
+
+def _step(name: str, source: str, names: str, on: str, keep: str) -> str:
+    """``source(id, address, done, ...)`` with what is found behind ``done``: the longest equal name, else the only one a character away."""
+    here = "substring(s.address, length(s.done) + 1, length(n.name))"
+    near = f"length({here}) = length(n.name) AND NOT regexp_matches({here}, '[*＊×Xx]') AND len(list_filter(range(1, length(n.name) + 1), lambda i: ({here})[i] <> n.name[i])) = 1"
+    return f"""{name}_c AS (SELECT s.id, n.name, {here} = n.name AS same, {near} AS near FROM ({source}) s JOIN (SELECT DISTINCT * FROM ({names})) n ON {on}),
+{name}_b AS (SELECT id, coalesce(arg_max(name, length(name)) FILTER (same), CASE WHEN count(DISTINCT name) FILTER (near) = 1 THEN min(name) FILTER (near) END) AS found FROM {name}_c GROUP BY id),
+{name} AS (SELECT s.id, s.address, s.done || coalesce(b.found, '') AS done{keep} FROM ({source}) s LEFT JOIN {name}_b b ON s.id = b.id)"""
+
+
+add("correct_divisions", ("addresses", "divisions"), lambda a, d: places.correct_divisions(a.select("id", "address"), d, [("ASIA", "As")]), SQL_WALK.format(
+    one=_step("one", "SELECT id, address, '' AS done FROM addresses", "SELECT form AS name FROM forms", "true", ", b.found AS p"),
+    two=_step("two", "SELECT one.id, address, done, province FROM one JOIN forms ON form = p", "SELECT province, prefecture AS name FROM divisions", "n.province = s.province", ", s.province, b.found AS prefecture"),
+    city=_step("city", "SELECT id, address, done FROM one WHERE p IS NULL", "SELECT prefecture AS name FROM divisions", "true", ", b.found AS prefecture"),
+    three=_step("three", "SELECT * FROM two WHERE prefecture IS NOT NULL", "SELECT province, prefecture, county AS name FROM divisions", "n.province = s.province AND n.prefecture = s.prefecture", ""),
+    skipped=_step("skipped", "SELECT * FROM two WHERE prefecture IS NULL", "SELECT province, county AS name FROM divisions", "n.province = s.province", ""),
+    county=_step("county", "SELECT * FROM city WHERE prefecture IS NOT NULL", "SELECT prefecture, county AS name FROM divisions", "n.prefecture = s.prefecture", ""),
+    alone=_step("alone", "SELECT * FROM city WHERE prefecture IS NULL", "SELECT county AS name FROM divisions", "true", ""),
+))
+SQL_DIGITS = "translate({x}, 'OoIl|丨ZzSsBbGg', '00111122558866')"
+add("repair_numbers", ("doors",), lambda d: d.select("id", places.repair_numbers(F.col("address")).alias("repaired")), f""",
+a AS (SELECT id, regexp_replace(regexp_replace(address, '\\s', '', 'g'), '[\\[［【〔(（]([0-9OoIl|丨ZzSsBbGg]+)[\\]］】〕)）]号', '1\\1' || '1号', 'g') AS x FROM doors),
+b AS (SELECT id, regexp_replace(x, '(^|[^0-9OoIl|丨ZzSsBbGg])([0-9OoIl|丨ZzSsBbGg])[-－—/／·•]([0-9OoIl|丨ZzSsBbGg])[-－—/／·•]([0-9OoIl|丨ZzSsBbGg])(号|栋|幢|单元|楼|室|组|户)', '\\1\\2\\3\\4\\5', 'g') AS x FROM a),
+c AS (SELECT id, x, string_split_regex(x, '[0-9OoIl|丨ZzSsBbGg]+(号|栋|幢|单元|楼|室|组|户)') AS gaps, regexp_extract_all(x, '[0-9OoIl|丨ZzSsBbGg]+(号|栋|幢|单元|楼|室|组|户)') AS hits FROM b)
+SELECT id, gaps[1] || array_to_string(list_transform(range(1, len(hits) + 1), lambda i: CASE WHEN regexp_matches(hits[i], '[0-9]') THEN {SQL_DIGITS.format(x="hits[i]")} ELSE hits[i] END || gaps[i + 1]), '') AS repaired FROM c""")
 
 # --- streams ------------------------------------------------------------------------------------
 
@@ -457,4 +472,6 @@ QUERIES["process_applications"] = lambda spark, sf_dir: applications.process_app
 ORACLES["process_applications"] = f"""
 SELECT a.*, coalesce(n_people, 0) AS n_people, coalesce(n_documents, 0) AS n_documents, coalesce(n_checks, 0) AS n_checks, coalesce(n_different, 0) AS n_different FROM ({ORACLES["application_summary"]}) a
 LEFT JOIN (SELECT application_no, count(DISTINCT person_id) AS n_people, count(*) AS n_documents FROM ({ORACLES["link_people"]}) GROUP BY 1) p ON p.application_no = a.application_no
-LEFT JOIN (SELECT application_no, count(*) AS n_checks, count(*) FILTER (address_status = 'different') AS n_different FROM ({ORACLES["cross_check"]}) GROUP BY 1) c ON c.application_no = a.application_no"""
+LEFT JOIN (SELECT application_no, count(*) AS n_checks, count(*) FILTER (status = 'different') AS n_different FROM ({ORACLES["cross_check"]}) GROUP BY 1) c ON c.application_no = a.application_no"""
+
+from docloom.plans import repairs  # noqa: E402,F401  (registers its queries)

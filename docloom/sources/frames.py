@@ -28,6 +28,13 @@ FRAMES = {
         SELECT l_partkey AS group_id, CAST(CAST(l_quantity AS INT) % 4 + 2 AS STRING) AS total, CAST(CAST(l_quantity AS INT) % 2 + 1 AS STRING) AS curb,
                row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_suppkey, l_extendedprice, l_quantity, l_discount, l_tax, l_shipdate) AS position
         FROM {lineitem}""",
+    "held_pairs": "SELECT p_partkey AS group_id, CAST(p_size % 4 + 2 AS STRING) AS total, CAST(p_size % 2 + 1 AS STRING) AS curb FROM {part}",
+    "doors": """
+        SELECT c_custkey AS id, concat(CASE c_custkey % 3 WHEN 0 THEN '东BIG路 ' WHEN 1 THEN 'Zoo街' ELSE '中山路' END,
+               CASE c_custkey % 6 WHEN 0 THEN concat('[', CAST(c_custkey % 90 AS STRING), ']号') WHEN 1 THEN concat('1-', translate(CAST(c_custkey % 9 AS STRING), '158', 'lSB'), '-3号') WHEN 2 THEN concat('12-', CAST(c_custkey % 9 AS STRING), '-3号')
+                 WHEN 3 THEN concat(translate(CAST(c_custkey AS STRING), '0125', 'OlzS'), '号') WHEN 4 THEN 'BIG号' ELSE '12 - 3 号' END,
+               CASE c_custkey % 4 WHEN 0 THEN concat('（', translate(CAST(c_custkey % 77 AS STRING), '16', '丨b'), '）号') WHEN 1 THEN '2o组 l2户' WHEN 2 THEN 'SO单元1O1室' ELSE '' END) AS address
+        FROM {customer}""",
     "merge": """
         SELECT concat(source, '/', lang) AS group_id, doc_id AS position,
                concat(text, CASE WHEN doc_id % 6 = 0 THEN '*' ELSE '' END) AS value, doc_id % 3 = 0 AS is_full_image
@@ -36,7 +43,7 @@ FRAMES = {
         SELECT o_custkey % 700 AS application_no, o_orderkey AS position,
                CASE WHEN o_orderkey % 2 = 0 THEN 'id_card' ELSE 'driver_license' END AS document_type,
                CASE WHEN o_orderkey % 13 = 0 THEN '' ELSE lpad(CAST(o_custkey AS STRING), 18, '3') END AS number,
-               CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE concat('city ', CAST(o_custkey % 9 AS STRING), ' street ', CAST(o_orderkey % 3 AS STRING)) END AS address
+               CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE CASE WHEN o_orderkey % 5 = 0 THEN 'no-one' ELSE concat('city ', CAST(o_custkey % 9 AS STRING), ', street；', CAST(o_orderkey % 3 AS STRING)) END END AS address
         FROM {orders}""",
     "masked": """
         SELECT o_custkey % 40 AS group_id, o_orderkey AS position, concat('name', CAST(o_custkey % 11 AS STRING)) AS name,
@@ -101,8 +108,8 @@ FRAMES = {
         UNION ALL SELECT conv_id, turn * 2 + 1, ': ping' FROM {conversations} WHERE turn = 0""",
     "addresses": """
         SELECT c_custkey AS id, r_name AS province, n_name AS prefecture, c_mktsegment AS county,
-               concat(CASE WHEN c_custkey % 4 = 0 THEN '' WHEN c_custkey % 5 = 1 THEN concat(substring(r_name, 1, 2), '#', substring(r_name, 4, 50)) ELSE r_name END,
-                      CASE WHEN c_custkey % 5 = 2 THEN concat('#', substring(n_name, 2, 50)) ELSE n_name END,
+               concat(CASE WHEN c_custkey % 4 = 0 THEN '' WHEN c_custkey % 9 = 4 THEN substring(r_name, 1, 2) WHEN c_custkey % 5 = 1 THEN concat(substring(r_name, 1, 2), '#', substring(r_name, 4, 50)) ELSE r_name END,
+                      CASE WHEN c_custkey % 7 = 3 THEN '' WHEN c_custkey % 11 = 2 THEN concat('*', substring(n_name, 2, 50)) WHEN c_custkey % 5 = 2 THEN concat('#', substring(n_name, 2, 50)) ELSE n_name END,
                       CASE WHEN c_custkey % 5 = 3 THEN concat(substring(c_mktsegment, 1, 3), '#', substring(c_mktsegment, 5, 50)) ELSE c_mktsegment END,
                       CAST(c_custkey % 90 AS STRING), '号') AS address
         FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey JOIN {region} ON n_regionkey = r_regionkey""",
