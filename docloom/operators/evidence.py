@@ -40,4 +40,4 @@ def search_evidence(tokens: DataFrame, targets: DataFrame) -> DataFrame:
     owned = F.array_distinct(F.slice("owners", -F.col("b.s"), F.length("key")))
     known = F.filter(F.transform(owned, lambda i: F.col("scores")[i]), lambda s: s.isNotNull())
     mean = F.aggregate(known, F.lit(0.0), lambda a, v: a + v) / F.nullif(F.size(known), F.lit(0))
-    return good.select("group_id", "target", F.col("b.window").alias("found"), F.round("b.ratio", 6).alias("similarity"), F.array_join(F.transform(owned, lambda i: i.cast("string")), ",").alias("owners"), F.round(mean, 6).alias("confidence"))
+    return good.select("group_id", "target", F.col("b.window").alias("found"), F.round("b.ratio", 6).alias("similarity"), F.array_join(F.transform(owned, lambda i: i.cast("string")), ",").alias("owners"), F.round(mean, 6).alias("confidence"), F.round(F.array_min(known), 6).alias("weakest"))

@@ -81,6 +81,22 @@ def ingest_tokens(payloads: DataFrame) -> DataFrame:
     return rows.select("id", F.col("token_index").cast("long").alias("token_index"), F.trim("t.text").alias("text"), F.col("t.score").alias("score"), *[F.col("t.box")[i].alias(n) for i, n in enumerate(("left", "top", "right", "bottom"))])
 
 
+LAYOUT = "rec_texts array<string>, blocks array<struct<block_content: string, block_order: int, block_id: int>>"
+
+
+def ingest_text(payloads: DataFrame) -> DataFrame:
+    """``payloads(id, payload)`` to a page's text: its recognised texts, one a line, or, without any, its layout blocks by order, then id.
+
+    Blank texts are left out; blocks without an order or id come last. Unreadable payloads give ''.
+    """
+    p = F.from_json("payload", LAYOUT)
+    kept = lambda texts: F.filter(F.transform(texts, lambda x: F.trim(x)), lambda x: x != "")
+    last = F.lit(1_000_000_000)
+    blocks = F.array_sort(F.transform(p["blocks"], lambda b: F.struct(F.coalesce(b["block_order"], last).alias("o"), F.coalesce(b["block_id"], last).alias("i"), b["block_content"].alias("t"))))
+    lines = F.coalesce(F.array_join(kept(p["rec_texts"]), "\n"), F.lit(""))
+    return payloads.select("id", F.when(lines != "", lines).otherwise(F.coalesce(F.array_join(kept(F.transform(blocks, lambda b: b["t"])), "\n"), F.lit(""))).alias("text"))
+
+
 def payload_errors(payloads: DataFrame) -> DataFrame:
     """Payloads with an error code."""
     code = F.from_json("payload", PAYLOAD)["errorCode"]

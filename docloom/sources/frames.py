@@ -179,6 +179,43 @@ FRAMES = {
                       '[图片 2]', chr(10), '总质量', chr(10), CASE c_custkey % 6 WHEN 0 THEN '1600kg' WHEN 1 THEN '1500kg' ELSE '' END, chr(10), '整备质量', CASE c_custkey % 4 WHEN 0 THEN '1300kg' ELSE '' END, chr(10), '注册日期 20190203', chr(10), CASE c_custkey % 5 WHEN 0 THEN '发证日期 20200105' WHEN 1 THEN '发证日期 20210105' ELSE '' END) AS text,
                CASE c_custkey % 2 WHEN 0 THEN '1600kg' ELSE '1500kg' END AS total, '1300kg' AS curb, '20190203' AS registered, CASE c_custkey % 3 WHEN 0 THEN '20200105' ELSE '20210105' END AS issued, 'held' AS inspection
         FROM {customer}""",
+    "claim_tokens": """
+        SELECT c_custkey * 10 + p AS group_id, CAST(i AS BIGINT) AS token_index,
+               CASE i WHEN 0 THEN 'Name' WHEN 1 THEN CASE WHEN p = 1 THEN replace(c_name, 'm', 'n') ELSE c_name END WHEN 2 THEN 'Plate No.' WHEN 3 THEN concat('京A', lpad(CAST(c_custkey AS STRING), 6, '7'))
+                      WHEN 4 THEN concat('VIN: LSV', lpad(CAST(c_custkey AS STRING), 14, '1')) WHEN 5 THEN 'class' WHEN 6 THEN CASE c_custkey % 3 WHEN 0 THEN 'C' WHEN 1 THEN 'D' ELSE 'C1' END
+                      WHEN 7 THEN CASE c_custkey % 4 WHEN 0 THEN '2020-01-02' WHEN 1 THEN '20200102' ELSE 'filler' END WHEN 8 THEN CASE c_custkey % 5 WHEN 0 THEN '2021年3月4日' ELSE '2022.5' END
+                      WHEN 9 THEN CASE c_custkey % 2 WHEN 0 THEN 'chn' ELSE '2019/1/1' END ELSE 'name' END AS text,
+               CASE WHEN (c_custkey + i) % 37 = 0 THEN NULL ELSE 0.9 + ((c_custkey * 7 + i * 13 + p * 5) % 100) / 1000.0 END AS score,
+               CAST(120 * (i % 2) AS DOUBLE) AS left, CAST(60 * CAST(floor(i / 2) AS BIGINT) AS DOUBLE) AS top, CAST(120 * (i % 2) + 100 AS DOUBLE) AS right, CAST(60 * CAST(floor(i / 2) AS BIGINT) + 20 + p AS DOUBLE) AS bottom
+        FROM {customer} CROSS JOIN (SELECT 0 AS p UNION ALL SELECT 1) AS pp
+        CROSS JOIN (SELECT 0 AS i UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5 UNION ALL SELECT 6 UNION ALL SELECT 7 UNION ALL SELECT 8 UNION ALL SELECT 9 UNION ALL SELECT 10) AS ii""",
+    "claims": """
+        SELECT c_custkey AS record_id, f.field AS field,
+               CASE f.field WHEN 'name' THEN CASE c_custkey % 4 WHEN 0 THEN c_name WHEN 1 THEN replace(c_name, '#', '§') WHEN 2 THEN '§§§§§§§§' ELSE '' END
+                 WHEN 'plate' THEN CASE c_custkey % 3 WHEN 0 THEN concat('京a-', lpad(CAST(c_custkey AS STRING), 6, '7')) WHEN 1 THEN concat('京§', lpad(CAST(c_custkey AS STRING), 6, '7')) ELSE NULL END
+                 WHEN 'vin' THEN CASE c_custkey % 2 WHEN 0 THEN concat('LSV', lpad(CAST(c_custkey AS STRING), 14, '1')) ELSE concat('§SV', lpad(CAST(c_custkey AS STRING), 14, '1')) END ELSE CASE c_custkey % 2 WHEN 0 THEN 'c' ELSE 'D' END END AS value
+        FROM {customer} CROSS JOIN (SELECT 'name' AS field UNION ALL SELECT 'plate' UNION ALL SELECT 'vin' UNION ALL SELECT 'class') AS f""",
+    "forms": """
+        SELECT p_partkey AS id, k.kind AS kind,
+               CASE k.kind WHEN 'address' THEN CASE p_partkey % 9 WHEN 0 THEN concat('江苏省南京市中山路', CAST(p_partkey AS STRING), '号') WHEN 1 THEN '江苏省南京市' WHEN 2 THEN '江苏省南京*' WHEN 3 THEN '中山路1' WHEN 4 THEN '江苏省签发机关市' WHEN 5 THEN '江苏省北土组3号' WHEN 6 THEN '江苏省南京市abc路' WHEN 7 THEN '江苏省南京市1234567890123456789号' ELSE '南京市！路号' END
+                 WHEN 'period' THEN CASE p_partkey % 7 WHEN 0 THEN '2020-01-02 至 长期' WHEN 1 THEN '2020年1月2日-2030年1月2日' WHEN 2 THEN '2020-13-02 至 2030-01-02' WHEN 3 THEN '2020.01.02' WHEN 4 THEN '20200102至 长' WHEN 5 THEN '20200102-20300102' ELSE '1940-01-01 至 长期' END
+                 WHEN 'identity' THEN CASE p_partkey % 3 WHEN 0 THEN '11010519491231002X' WHEN 1 THEN '110105199001010015' ELSE '11010519900101001X' END
+                 WHEN 'archive' THEN CASE p_partkey % 4 WHEN 0 THEN '20200101' WHEN 1 THEN 'ab-12 34' WHEN 2 THEN '12345' ELSE '123456789012' END
+                 WHEN 'people' THEN concat(CAST(p_partkey % 120 AS STRING), ' 人') WHEN 'mass' THEN concat(CAST(p_partkey % 130 AS STRING), CASE p_partkey % 2 WHEN 0 THEN 'kg' ELSE '.5千克' END)
+                 WHEN 'dimensions' THEN concat(CAST(p_partkey % 400 AS STRING), '×1860x', '1590', CASE p_partkey % 3 WHEN 0 THEN 'mm' ELSE '' END) WHEN 'class' THEN concat(substring('ABCDZ', 1 + p_partkey % 5, 1), CASE p_partkey % 4 WHEN 0 THEN '' ELSE CAST(p_partkey % 4 AS STRING) END) ELSE 'x' END AS value
+        FROM {part} CROSS JOIN (SELECT 'address' AS kind UNION ALL SELECT 'period' UNION ALL SELECT 'identity' UNION ALL SELECT 'archive' UNION ALL SELECT 'people' UNION ALL SELECT 'mass' UNION ALL SELECT 'dimensions' UNION ALL SELECT 'class' UNION ALL SELECT 'other') AS k""",
+    "layouts": """
+        SELECT c_custkey AS id, CASE c_custkey % 4 WHEN 0 THEN concat('{{"rec_texts": ["', c_name, '", " ", " b "]}}') WHEN 1 THEN concat('{{"rec_texts": [" "], "blocks": [{{"block_content": "second", "block_order": 2}}, {{"block_content": " ', c_name, '", "block_order": 1, "block_id": 7}}, {{"block_content": "last", "block_id": 1}}]}}')
+                 WHEN 2 THEN '{{"blocks": [{{"block_content": "b", "block_order": 1, "block_id": 9}}, {{"block_content": "a", "block_order": 1, "block_id": 2}}]}}' ELSE 'not json' END AS payload
+        FROM {customer}""",
+    "runs": "SELECT user_id AS group_id, event_id % 11 = 0 AS skipped, CASE WHEN event_id % 9 = 0 THEN 'timeout' ELSE '' END AS error, CASE WHEN event_id % 5 = 0 THEN '' ELSE event_type END AS text FROM {events}",
+    "requests": "SELECT o_orderkey AS id, CASE o_orderkey % 5 WHEN 0 THEN 'id_card' WHEN 1 THEN ' Identity card ' WHEN 2 THEN 'driver' WHEN 3 THEN 'invoice' ELSE o_orderpriority END AS asked FROM {orders}",
+    "answers": """
+        SELECT c_custkey AS id, CASE c_custkey % 8 WHEN 0 THEN concat('{{"number": " ', c_name, '"}}') WHEN 1 THEN concat('| number | ', c_name, ' | x |') WHEN 2 THEN concat('识别结果：number: ', c_name, chr(10), 'number ', c_name) WHEN 3 THEN concat('<b>', c_name, '</b>(1,2),(3,4)')
+                 WHEN 4 THEN '无法看到' WHEN 5 THEN '' WHEN 6 THEN repeat(c_name, 10) ELSE concat(c_name, chr(10), c_mktsegment) END AS raw
+        FROM {customer}""",
+    "holes": """
+        SELECT c_custkey AS id, concat(lpad(CAST(c_custkey AS STRING), 6, '8'), '808818') AS value, c_custkey % 50 AS a, c_custkey % 7 AS b FROM {customer}""",
     "id_pages": """
         SELECT o_orderkey AS id, CASE o_orderkey % 3 WHEN 0 THEN 'front' WHEN 1 THEN 'back' ELSE '' END AS side,
                CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE concat('11010519491231', lpad(CAST(o_orderkey % 1000 AS STRING), 3, '0'), 'X') END AS number, CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE 'name' END AS name,
