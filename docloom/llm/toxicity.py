@@ -5,13 +5,15 @@ threats, targets, negations, reporting verbs, quotes and clause ends. Three
 transducers read the classes from left to right and are composed into one table:
 
 * scope: plain, negated (for a few words), or reported (until the clause ends);
-* clause: what the clause holds so far - a target, a threat, an insult;
-* emission: the feature that a matched word fires in that state.
-
-So an insult counts by the clause it stands in - aimed at a target, negated,
-reported, next to others - and not alone. Weights of the features are fitted on
-a bounded sample of labelled documents; the lexicon of insults is learned from
-the same sample.
+* clause: which of a target, a threat and an insult the clause holds so far;
+* emission: at a clause's end, the pattern that it matched - an insult aimed at a
+  target or not, a threat aimed at a target or not, an insult with a threat; and
+  where a scope takes a word out, that it was negated or reported.
+
+A clause's weight is the summed strength of its insults, or one; a text has the
+summed weights of its matched clauses by pattern, and no word counts alone. What
+the patterns are worth is fitted on a bounded sample of labelled documents; the
+lexicon of insults is learned from the same sample.
 """
 
 from __future__ import annotations
@@ -36,20 +38,27 @@ MIN_SUPPORT = 6  # toxic documents that an entry must occur in
 STEMS = (4, 5, 6, 7)  # letters of learned stems
 MIN_RATIO = 40.0  # how much likelier an entry is in toxic documents
 
-#: Closed classes of the grammar. Fixed values.
+#: Closed classes of the grammar; ``*`` stands for any ending. Fixed values.
 CLASSES = {
-    "target": "you your yours he him she her they them this that those du ihr sie dich euch er tu vous il elle ils tú usted ustedes él ella ellos".split(),
-    "negation": "not no never isn't aren't don't nicht kein keine nie ne pas jamais sin nunca ni".split(),
+    "target": "you your yours he him she her they them this that those du dich dir ihr sie euch er tu te toi vous il elle ils tú te usted ustedes él ella ellos".split(),
+    "negation": "not no never isn't aren't don't won't nicht kein keine nie ne pas jamais sin nunca ni".split(),
     "report": "said says quoted wrote called allegedly reported sagte schrieb zitierte dit écrit cité dijo escribió citó".split(),
-    "threat": "kill hurt destroy beat burn punish töten schlagen tuer frapper matar golpear".split(),
-}
+    "threat": (
+        "kill* murder* hurt* destroy* beat* burn* punish* suffer* stab* shoot* strangl* töten tötet schlag* umbring* umgebracht erschie* verbrenn* leiden tuer tuera* frapper* brûler* "
+        "massacr* étrangl* souffrir matar* golpear* quemar* sufrir* apuñal*"
+    ).split(),
+}
 
 WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|[.!?;:\n]+|[\"“”«»]")
 
-# States: scope (0 plain, 1..3 negated with so many words left, 4 reported) x clause (0 nothing, 1 target, 2 threat, 3 insult).
-SCOPES, HELD = 5, 4
+# States: scope (0 plain, 1..3 negated with so many words left, 4 reported) x what the clause holds (bits: 1 target, 2 threat, 4 insult).
+SCOPES, HELD = 5, 8
 SYMBOLS = ["word", "insult", "threat", "target", "negation", "report", "end", "quote"]
-FEATURES = ["insult", "insult_at_target", "insult_again", "threat", "threat_with_insult", "negated", "reported"]
+BITS = {"target": 1, "threat": 2, "insult": 4}
+FEATURES = ["insult", "aimed_insult", "insult_with_threat", "aimed_threat", "threat", "negated", "reported"]
+
+#: What a pattern is worth before any label was seen; the fit departs from it where the sample has the pattern.
+PRIOR = {"insult_with_threat": 12.0, "aimed_threat": 12.0}
 
 
 def _scope(state: int, symbol: str) -> int:
@@ -68,24 +77,25 @@ def _rewritten(scope: int, symbol: str) -> str:
     return "word" if scope and symbol in ("insult", "threat") else symbol
 
 
-def _clause(state: int, symbol: str) -> int:
-    """The clause transducer: the strongest thing seen since the last end."""
-    if symbol == "end":
-        return 0
-    return max(state, {"target": 1, "threat": 2, "insult": 3}.get(symbol, 0))
+def _clause(held: int, symbol: str) -> int:
+    """The clause transducer: what was seen since the last end."""
+    return 0 if symbol == "end" else held | BITS.get(symbol, 0)
 
 
-def _emit(scope: int, clause: int, symbol: str) -> str | None:
-    """The feature that a symbol fires in a composed state."""
-    if symbol not in ("insult", "threat"):
-        return None
-    if 1 <= scope <= 3:
-        return "negated"
-    if scope == 4:
-        return "reported"
-    if symbol == "threat":
-        return "threat_with_insult" if clause == 3 else "threat"
-    return {0: "insult", 1: "insult_at_target", 2: "threat_with_insult", 3: "insult_again"}[clause]
+def pattern(held: int) -> str | None:
+    """The pattern that a clause matches by what it holds."""
+    if held & 4:
+        return "insult_with_threat" if held & 2 else "aimed_insult" if held & 1 else "insult"
+    return ("aimed_threat" if held & 1 else "threat") if held & 2 else None
+
+
+def _emit(scope: int, held: int, symbol: str) -> str | None:
+    """The feature that a symbol fires in a composed state: a clause's pattern at its end, or a word taken out by its scope."""
+    if symbol == "end":
+        return pattern(held)
+    if symbol in ("insult", "threat") and scope:
+        return "reported" if scope == 4 else "negated"
+    return None
 
 
 def compose() -> tuple[np.ndarray, np.ndarray]:
@@ -93,11 +103,11 @@ def compose() -> tuple[np.ndarray, np.ndarray]:
     move = np.zeros((SCOPES * HELD, len(SYMBOLS)), np.int16)
     fire = np.full_like(move, -1)
     for scope in range(SCOPES):
-        for clause in range(HELD):
+        for held in range(HELD):
             for k, symbol in enumerate(SYMBOLS):
-                move[scope * HELD + clause, k] = _scope(scope, symbol) * HELD + _clause(clause, _rewritten(scope, symbol))
-                name = _emit(scope, clause, symbol)
-                fire[scope * HELD + clause, k] = FEATURES.index(name) if name else -1
+                move[scope * HELD + held, k] = _scope(scope, symbol) * HELD + _clause(held, _rewritten(scope, symbol))
+                name = _emit(scope, held, symbol)
+                fire[scope * HELD + held, k] = FEATURES.index(name) if name else -1
     return move, fire
 
 
@@ -126,12 +136,12 @@ class Grammar:
         strength = max([self.insults.get(x, 0.0) for x in (w, *stems(w))])
         if strength:
             return 1, strength
-        return self.closed.get(w, 0), 0.0
+        return next((self.closed[x] for x in (w, *(w[:n] + "*" for n in range(len(w), 3, -1))) if x in self.closed), 0), 0.0
 
     def features(self, text: str) -> list[float]:
-        """Summed strengths by fired feature, over the whole text."""
+        """Summed weights of matched clauses by pattern, over the whole text; its end ends the last clause."""
         out = [0.0] * len(FEATURES)
-        state, memo, move, fire = 0, self.memo, self.move, self.fire
+        state, weight, memo, move, fire = 0, 0.0, self.memo, self.move, self.fire
         if len(memo) > 300_000:
             memo.clear()
         for token in WORD.findall(text):
@@ -141,10 +151,21 @@ class Grammar:
                 if len(token) <= 40:
                     memo[token] = known
             symbol, strength = known
+            if not symbol and state < HELD:
+                continue  # a plain word in a plain scope changes nothing
             k = fire[state][symbol]
-            if k >= 0:
+            if symbol == 6:
+                if k >= 0:
+                    out[k] += weight or 1.0
+                weight = 0.0
+            elif k >= 0:
                 out[k] += strength or 1.0
+            else:
+                weight += strength
             state = move[state][symbol]
+        k = fire[state][6]
+        if k >= 0:
+            out[k] += weight or 1.0
         return out
 
     def score(self, features: np.ndarray) -> np.ndarray:
@@ -197,14 +218,15 @@ def learn_lexicon(labelled: DataFrame) -> dict[str, float]:
 
 
 def fit_weights(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
-    """Ridge logistic regression by Newton steps; insult and threat weights are kept from being negative."""
+    """Logistic regression by Newton steps, with a ridge around PRIOR; weights of insults and threats are kept from being negative."""
+    prior = np.array([*(PRIOR.get(f, 0.0) for f in FEATURES), 0.0])
     x = np.column_stack([np.log1p(x), np.ones(len(x))])
-    theta = np.zeros(x.shape[1])
+    theta = prior.copy()
     ridge = np.full(len(theta), 0.05)
     ridge[-1] = 1e-4
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ theta, -30, 30)))
-        grad = x.T @ (y - p) - ridge * theta
+        grad = x.T @ (y - p) - ridge * (theta - prior)
         hess = (x * (p * (1 - p) + 1e-6)[:, None]).T @ x + np.diag(ridge)
         theta = theta + np.linalg.solve(hess, grad)
         theta[:5] = np.maximum(theta[:5], 0)
@@ -214,14 +236,16 @@ def fit_weights(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
 def train(docs: DataFrame, labels: DataFrame) -> Grammar:
     """Lexicon and weights from at most TRAIN_ROWS whole documents, chosen by a hash of their id.
 
-    ``labels(doc_id, toxic)``; rows with another or no label are left out. With
+    ``labels(doc_id, toxic)``; rows with another or no label are left out, and so
+    are documents labelled both ways. With
     no row of one of the labels, the grammar has no insults and scores are low.
     The chosen ids are few by the bound, so they are broadcast and texts are
     filtered where they are read.
     """
     spark = docs.sparkSession
     ship(spark)
-    rated = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id IS NOT NULL AND toxic IN (0, 1)").dropDuplicates(["doc_id"])
+    rated = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id IS NOT NULL AND toxic IN (0, 1)")
+    rated = rated.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("other")).where("toxic = other").drop("other")
     parts = [rated.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for label, n in TRAIN_ROWS.items()]
     chosen = [tuple(r) for r in parts[0].unionByName(parts[1]).collect()]
     if len({label for _, label in chosen}) < 2:

@@ -1,8 +1,10 @@
 """The composed grammar step by step, and held-out accuracy."""
 
+import random
 import zlib
 
 import numpy as np
+import pytest
 
 from docloom.llm import toxicity as t
 
@@ -14,27 +16,88 @@ def fired(text, insults=("idiot", "clown")):
 
 def test_clauses():
     assert fired("an idiot") == {"insult": 1}
-    assert fired("You are an idiot") == {"insult_at_target": 1}
+    assert fired("You are an idiot") == fired("an idiot, you are") == {"aimed_insult": 1}
     assert fired("You. An idiot") == {"insult": 1}
-    assert fired("you idiot clown") == {"insult_at_target": 1, "insult_again": 1}
+    assert fired("you idiot clown") == {"aimed_insult": 2}
+    assert fired("you idiot. a clown") == {"aimed_insult": 1, "insult": 1}
     assert fired("you are not an idiot") == {"negated": 1}
     assert fired("not in any way at all an idiot") == {"insult": 1}
     assert fired("He said they are idiot") == {"reported": 1}
     assert fired('a "clown" and a clown') == {"reported": 1, "insult": 1}
-    assert fired("He said it. You clown") == {"insult_at_target": 1}
-    assert fired("i will hurt you") == {"threat": 1}
-    assert fired("you idiot i will hurt you") == {"insult_at_target": 1, "threat_with_insult": 1}
+    assert fired("He said it. You clown") == {"aimed_insult": 1}
+    assert fired("i will hurt you") == fired("I'll make you suffer") == fired("ich werde dich umbringen") == fired("we are going to murder you") == {"aimed_threat": 1}
+    assert fired("you idiot i will hurt you") == {"insult_with_threat": 1}
+    assert fired("kill the process") == {"threat": 1}
     assert fired("never hurt anyone") == {"negated": 1}
     assert fired("") == fired("plain words only") == {}
 
 
+def brute(g, text):
+    """Clause by clause, without a machine: scopes by counting words, patterns by what is left of a clause."""
+    out, clause = dict.fromkeys(t.FEATURES, 0.0), []
+    for token in [*t.WORD.findall(text), "."]:
+        if token[0] not in ".!?;:\n":
+            clause.append(token)
+            continue
+        negated, reported, held, weight = 0, False, set(), 0.0
+        for word in clause:
+            kind, strength = g.symbol(word)
+            kind = t.SYMBOLS[kind]
+            if kind == "negation":
+                negated, reported = 3, False
+            elif kind in ("report", "quote"):
+                reported, negated = not (reported and kind == "quote"), 0
+            elif kind in ("insult", "threat") and (reported or negated):
+                out["reported" if reported else "negated"] += strength or 1.0
+                negated = max(negated - 1, 0)
+            else:
+                negated = max(negated - 1, 0)
+                if kind in ("insult", "threat", "target"):
+                    held.add(kind)
+                    weight += strength
+        name = {("insult", "threat"): "insult_with_threat", ("insult", "target"): "aimed_insult", ("insult",): "insult", ("target", "threat"): "aimed_threat", ("threat",): "threat"}.get(
+            tuple(sorted(held - ({"target"} if {"insult", "threat"} <= held else set())))
+        )
+        if name:
+            out[name] += weight or 1.0
+        clause = []
+    return [out[k] for k in t.FEATURES]
+
+
+def test_features_equal_brute_force(spark, sf_dir):
+    rng = random.Random(4)
+    words = ["you", "idiot", "clown", "kill", "not", "said", '"', ".", "the", "go", "word", "murdering", "\n", "never"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(0, 40))) for _ in range(2000)]
+    texts += [r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    g = t.Grammar({"idiot": 1.0, "clown": 0.5, "th": 0.1, "pathet*": 0.7})
+    for text in texts:
+        assert g.features(text) == pytest.approx(brute(g, text)), text[:200]
+
+
+def test_labels_that_contradict_each_other_are_left_out(spark):
+    folder = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", "toxic")
+    both = t.train(docs, labels.unionByName(labels.where("doc_id % 3 = 0").withColumn("toxic", 1 - labels.toxic)))
+    without = t.train(docs, labels.where("doc_id % 3 <> 0"))
+    assert both.insults == without.insults and np.array_equal(both.weights, without.weights)
+
+
+def test_threats_count_without_examples(spark):
+    folder = "/root/testdata/sf0.01"
+    g = t.train(spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", "toxic"))
+    docs = spark.createDataFrame([(1, "we are going to murder you"), (2, "kill the process and burn the cd"), (3, "he said we are going to murder you")], "doc_id long, text string")
+    score = {r.doc_id: r.score for r in t.score_toxicity(docs, g).collect()}
+    assert score[1] >= 0.2 > score[2] and score[1] > score[3]
+
+
 def test_table_is_the_composition():
     move, fire = t.compose()
     for s in range(t.SCOPES):
         for c in range(t.HELD):
             for k, symbol in enumerate(t.SYMBOLS):
                 assert divmod(int(move[s * t.HELD + c, k]), t.HELD) == (t._scope(s, symbol), t._clause(c, t._rewritten(s, symbol)))
-                assert (fire[s * t.HELD + c, k] < 0) == (symbol not in ("insult", "threat"))
+                want = t._emit(s, c, symbol)
+                assert fire[s * t.HELD + c, k] == (t.FEATURES.index(want) if want else -1)
 
 
 def test_held_out_accuracy(spark):
