@@ -36,6 +36,7 @@ from docloom.runtime import materialize, ship
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 32, 6
+SPREAD = 200_000  # elements of an Arrow batch, about
 
 _CELL = 12  # darts of a cell, at most; the chance of more is below 1e-9
 _TABLE = np.cumsum(np.exp(-1.0) / np.cumprod(np.concatenate([[1.0], np.arange(1.0, _CELL)])))
@@ -203,10 +204,12 @@ def _across(open_docs: DataFrame, sets: DataFrame, threshold: float) -> DataFram
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, classes, blobs = batch.column("doc_id").to_numpy(), batch.column("class_id").to_numpy(), batch.column("items").to_pylist()
-            for a in range(0, len(blobs), 500):
-                size = np.array([len(x) // 4 for x in blobs[a : a + 500]])
-                items = np.frombuffer(b"".join(blobs[a : a + 500]), np.uint32).astype(np.int64)
-                columns = [np.repeat(x, size) for x in (ids[a : a + 500], classes[a : a + 500], size)]
+            total = np.cumsum([0, *map(len, blobs)]) // 4
+            cuts = np.unique(np.searchsorted(total, np.arange(0, total[-1] + SPREAD, SPREAD)).clip(0, len(blobs)))
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):  # about SPREAD elements, or one larger document
+                size = np.array([len(x) // 4 for x in blobs[a:b]])
+                items = np.frombuffer(b"".join(blobs[a:b]), np.uint32).astype(np.int64)
+                columns = [np.repeat(x, size) for x in (ids[a:b], classes[a:b], size)]
                 yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(items)], ["doc_id", "class_id", "size", "item"])
 
     held = materialize(open_docs.join(sets.select("doc_id", "items"), "doc_id").mapInArrow(spread, "doc_id long, class_id long, size long, item long"))

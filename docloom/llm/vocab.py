@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 from collections.abc import Callable, Iterator
 
@@ -28,7 +29,7 @@ def safe_pieces(text: str) -> list[str]:
 
 
 def by_bytes(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of ``batch`` with about ``limit`` bytes of ``column`` each."""
+    """Slices of ``batch`` with about ``limit`` bytes of ``column`` each; freed memory goes back to the system at the end."""
     col = batch.column(column)
     sizes = pc.fill_null(pc.binary_length(col), 0).to_pylist()
     start = total = 0
@@ -39,6 +40,15 @@ def by_bytes(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> It
         total += n
     if start < len(sizes):
         yield batch.slice(start)
+    release()
+
+
+def release() -> None:
+    """Give freed memory back: a Python worker lives on through all stages of a job, beside others on its executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+    if trim is not None:
+        trim(0)
 
 
 class Recent(dict):
