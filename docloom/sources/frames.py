@@ -46,7 +46,7 @@ FRAMES = {
                CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE CASE WHEN o_orderkey % 5 = 0 THEN 'no-one' ELSE concat('city ', CAST(o_custkey % 9 AS STRING), ', street；', CAST(o_orderkey % 3 AS STRING)) END END AS address
         FROM {orders}""",
     "masked": """
-        SELECT o_custkey % 40 AS group_id, o_orderkey AS position, concat('name', CAST(o_custkey % 11 AS STRING)) AS name,
+        SELECT o_custkey % 40 + 40 * CAST(floor(o_custkey / 10000) AS BIGINT) AS group_id, o_orderkey AS position, concat('name', CAST(o_custkey % 11 AS STRING)) AS name,
                CASE WHEN o_orderkey % 3 = 1 THEN concat(substring(lpad(CAST(o_custkey AS STRING), 10, '7'), 1, 6), '**', substring(lpad(CAST(o_custkey AS STRING), 10, '7'), 9, 2))
                     ELSE lpad(CAST(o_custkey AS STRING), 10, '7') END AS number
         FROM {orders}""",
@@ -235,6 +235,33 @@ FRAMES = {
     "third": """
         SELECT id, current_value, coalesce(other_value, '') AS other_value, value_confidence - 0.12 AS value_confidence, CASE id % 3 WHEN 0 THEN concat(coalesce(other_value, ''), ' x') WHEN 1 THEN current_value ELSE 'z' END AS third FROM ({compare}) AS c
         WHERE field = 'plate'""",
+    "gate_metrics": """
+        SELECT o_orderkey AS id, 5 + o_orderkey % 5 AS fields, 3 + o_custkey % 5 AS candidates, 5 + o_orderkey % 3 AS scored, CAST(880 + 10 * (o_custkey % 12) AS DOUBLE) / 1000 AS mean,
+               CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE CAST(810 + 10 * (o_custkey % 7) AS DOUBLE) / 1000 END AS p25, CAST(50 * (o_orderkey % 4) AS DOUBLE) / 1000 AS low_tokens, CAST(40 * (o_custkey % 4) AS DOUBLE) / 1000 AS low_chars,
+               CASE WHEN o_orderkey % 6 = 0 THEN 1 ELSE 0 END AS low_under_glare, CAST(10 + o_custkey % 17 AS DOUBLE) / 1000 AS glare, o_orderkey % 4 AS streaks, CAST(o_orderkey % 5 AS DOUBLE) / 1000 AS streak_ratio, CAST(o_custkey % 20 AS DOUBLE) / 100 AS overlap
+        FROM {orders}""",
+    "image_reports": """
+        SELECT CAST(floor(event_id / 5) AS BIGINT) AS group_id, event_id AS position, CASE event_id % 3 WHEN 0 THEN 'front' WHEN 1 THEN 'back' ELSE 'document' END AS side_label,
+               CASE WHEN event_id % 7 = 0 THEN event_type ELSE '' END AS code, CASE WHEN event_id % 23 = 0 THEN 'timeout' ELSE '' END AS error
+        FROM {events}""",
+    "card_pages": """
+        SELECT o_custkey AS group_id, o_orderkey AS page_pos, CASE o_orderkey % 3 WHEN 0 THEN 'front' WHEN 1 THEN 'back' ELSE '' END AS side,
+               concat(CASE WHEN o_orderkey % 4 = 0 THEN '方向校正_' ELSE '' END, CAST(o_orderkey AS STRING), '.jpg') AS name
+        FROM {orders}""",
+    "file_refs": "SELECT o_custkey AS group_id, o_orderkey AS position, o_orderstatus AS material, concat(o_orderpriority, '.jpg') AS name FROM {orders}",
+    "single_claims": """
+        SELECT c_custkey * 10 + p AS group_id, f AS field, CASE WHEN c_custkey % 2 = 0 THEN 'C' ELSE 'D' END AS value
+        FROM {customer} CROSS JOIN (SELECT 0 AS p UNION ALL SELECT 1) AS pp CROSS JOIN (SELECT 'Class' AS f UNION ALL SELECT 'VIN' UNION ALL SELECT 'Name') AS ff""",
+    "readings": """
+        SELECT id, CASE id % 8 WHEN 0 THEN '' WHEN 1 THEN '' WHEN 2 THEN a WHEN 3 THEN replace(a, '中山', '噪中山') WHEN 4 THEN concat(a, '123') ELSE 'held' END AS current,
+               CASE id % 8 WHEN 0 THEN concat(a, '|', a) WHEN 3 THEN concat(a, '|', a) WHEN 5 THEN concat(a, '|', replace(a, '山', '噪山')) WHEN 6 THEN concat(a, '|', replace(a, '中山', '北京'))
+                 WHEN 7 THEN concat(a, '|', a, '7') ELSE a END AS listed
+        FROM (SELECT c_custkey AS id, concat('江苏省南京市鼓楼区中山路', CAST(c_custkey AS STRING), '号') AS a FROM {customer}) AS x""",
+    "spotted": """
+        SELECT c_custkey AS id, CASE WHEN c_custkey % 5 = 0 THEN concat(' ', c_name, chr(10), chr(10), c_mktsegment) ELSE
+               concat('[{{"text": "', c_name, '", "box": [50, 100, 120, 120]}}, {{"text": "loose"}}, {{"text": "", "box": [1, 1, 2, 2]}}, {{"text": " ', c_mktsegment, '", "box": [10, ', CAST(100 + c_custkey % 30 AS STRING), ', 45, ', CAST(120 + c_custkey % 30 AS STRING),
+                      ']}}, {{"text": "', c_name, '|', CAST(c_custkey AS STRING), '", "bbox": [90, ', CAST(100 + 2 * (c_custkey % 30) AS STRING), ', 99, ', CAST(120 + 2 * (c_custkey % 30) AS STRING), ']}}]') END AS raw
+        FROM {customer}""",
     "branches": """
         SELECT event_id AS id, user_id AS group_id, CAST(ts AS DATE) AS day, event_type AS source, ts AS finished_at, CASE WHEN event_id % 9 = 0 THEN 'timeout' ELSE '' END AS error
         FROM {events}""",
