@@ -407,7 +407,7 @@ QUERIES["address_similarity"] = lambda spark, sf_dir: rounded(_address_pairs(fra
 QUERIES["text_relations"] = lambda spark, sf_dir: _relations(frame(spark, sf_dir, "addresses"))
 ORACLES["text_relations"] = with_frames("addresses") + """,
 p AS (SELECT id, address AS a, province || prefecture || county || (id % 90) || '号' AS b FROM addresses)
-SELECT id, regexp_full_match(b, array_to_string(list_transform(split(regexp_replace(a, '#', 'N', 'g'), ''), lambda c: '.*' || c), '') || '.*') AS is_part, (SELECT coalesce(min(i) - 1, least(length(a), length(b))) FROM unnest(range(1, least(length(a), length(b)) + 1)) x(i) WHERE a[i] <> b[i]) AS n_prefix FROM p"""
+SELECT id, regexp_full_match(b, array_to_string(list_transform(split(regexp_replace(a, '#', 'N', 'g'), ''), lambda c: '.*' || CASE WHEN c = '*' THEN '\\*' ELSE c END), '') || '.*') AS is_part, (SELECT coalesce(min(i) - 1, least(length(a), length(b))) FROM unnest(range(1, least(length(a), length(b)) + 1)) x(i) WHERE a[i] <> b[i]) AS n_prefix FROM p"""
 
 
 def _whole(a):

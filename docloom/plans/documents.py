@@ -35,8 +35,8 @@ b AS (SELECT id, x FROM (SELECT id, d, unnest(d) AS x FROM r WHERE len(d) > 1) W
 u AS (SELECT id, min(x) AS x FROM b GROUP BY 1 HAVING count(*) = 1),
 o AS (SELECT id, d[1] AS x FROM r WHERE len(d) = 1 AND (len(l) > 1 AND current = '' OR current = d[1] OR len(l) > 1 AND {_SUB.format(a="d[1]", b="current")} AND right(d[1], 4) = right(current, 4) OR regexp_matches(current, '号[0-9]{{2,4}}$') AND regexp_replace(current, '[0-9]{{2,4}}$', '') = d[1]))
 SELECT r.id, coalesce(u.x, o.x, r.current) AS address FROM r LEFT JOIN u ON u.id = r.id LEFT JOIN o ON o.id = r.id""")
-add("coordinates_to_table", ("spotted",), lambda s: s.select("id", documents.coordinates_to_table(F.col("raw")).alias("rendered")), """,
-v AS (SELECT id, id % 30 AS d, c_name AS t1, c_mktsegment AS t2, c_name || '\\|' || id AS t3 FROM spotted JOIN customer ON c_custkey = id)
+add("coordinates_to_table", ("spotted_boxes",), lambda s: s.select("id", documents.coordinates_to_table(F.col("raw")).alias("rendered")), """,
+v AS (SELECT id, id % 30 AS d, c_name AS t1, c_mktsegment AS t2, c_name || '\\|' || id AS t3 FROM spotted_boxes JOIN customer ON c_custkey = id)
 SELECT id, '| 字段 | 内容 |' || chr(10) || '| --- | --- |' || chr(10) || CASE WHEN id % 5 = 0 THEN '| 文字 | ' || t1 || ' |' || chr(10) || '| 文字 | ' || t2 || ' |'
   WHEN d <= 9 THEN '| ' || t2 || ' | ' || t1 || ' |' || chr(10) || '| ' || t3 || ' | [无法识别] |' || chr(10) || '| 文字 | loose |'
   WHEN d <= 14 THEN '| ' || t2 || ' | ' || t1 || ' |' || chr(10) || '| 文字 | ' || t3 || ' |' || chr(10) || '| 文字 | loose |'

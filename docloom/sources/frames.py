@@ -10,52 +10,61 @@ from pyspark.sql import DataFrame, SparkSession
 
 from docloom.runtime import table
 
-FRAMES = {
-    "files": """
+FRAMES: dict[str, str] = {}
+
+
+def define(name: str, text: str) -> None:
+    """Add a frame; a name stands for one frame only."""
+    if name in FRAMES:
+        raise ValueError(f"frame {name} is defined already")
+    FRAMES[name] = text
+
+
+define("files", """
         SELECT o_custkey AS application_no,
                CASE o_orderstatus WHEN 'F' THEN 'front' WHEN 'O' THEN 'back' ELSE 'driver' END AS material,
                concat(CAST(year(o_orderdate) AS STRING), '_', CASE WHEN o_orderkey % 11 = 0 THEN '' ELSE CAST(o_orderkey % 5 AS STRING) END, '_', CAST(o_orderkey AS STRING), '.jpg') AS name,
                concat(CAST(month(o_orderdate) AS STRING), '-', o_orderpriority) AS digest,
                o_orderkey AS file_id, o_orderdate AS added_at
-        FROM {orders}""",
-    "votes": """
+        FROM {orders}""")
+define("votes", """
         SELECT l_partkey AS group_id, f.field AS field,
                concat(CASE f.field WHEN 'flag' THEN l_returnflag WHEN 'status' THEN l_linestatus ELSE CAST(CAST(l_quantity AS INT) % 5 AS STRING) END,
                       CASE WHEN (l_orderkey + l_linenumber) % 4 = 0 THEN '*' ELSE '' END) AS value,
                row_number() OVER (PARTITION BY l_partkey, f.field ORDER BY l_orderkey, l_linenumber, l_suppkey, l_extendedprice, l_quantity, l_discount, l_tax, l_shipdate) AS position
-        FROM {lineitem} CROSS JOIN (SELECT 'flag' AS field UNION ALL SELECT 'status' UNION ALL SELECT 'size') AS f""",
-    "pairs": """
+        FROM {lineitem} CROSS JOIN (SELECT 'flag' AS field UNION ALL SELECT 'status' UNION ALL SELECT 'size') AS f""")
+define("pairs", """
         SELECT l_partkey AS group_id, CAST(CAST(l_quantity AS INT) % 4 + 2 AS STRING) AS total, CAST(CAST(l_quantity AS INT) % 2 + 1 AS STRING) AS curb,
                row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_suppkey, l_extendedprice, l_quantity, l_discount, l_tax, l_shipdate) AS position
-        FROM {lineitem}""",
-    "held_pairs": "SELECT p_partkey AS group_id, CAST(p_size % 4 + 2 AS STRING) AS total, CAST(p_size % 2 + 1 AS STRING) AS curb FROM {part}",
-    "doors": """
+        FROM {lineitem}""")
+define("held_pairs", "SELECT p_partkey AS group_id, CAST(p_size % 4 + 2 AS STRING) AS total, CAST(p_size % 2 + 1 AS STRING) AS curb FROM {part}")
+define("doors", """
         SELECT c_custkey AS id, concat(CASE c_custkey % 3 WHEN 0 THEN '东BIG路 ' WHEN 1 THEN 'Zoo街' ELSE '中山路' END,
                CASE c_custkey % 6 WHEN 0 THEN concat('[', CAST(c_custkey % 90 AS STRING), ']号') WHEN 1 THEN concat('1-', translate(CAST(c_custkey % 9 AS STRING), '158', 'lSB'), '-3号') WHEN 2 THEN concat('12-', CAST(c_custkey % 9 AS STRING), '-3号')
                  WHEN 3 THEN concat(translate(CAST(c_custkey AS STRING), '0125', 'OlzS'), '号') WHEN 4 THEN 'BIG号' ELSE '12 - 3 号' END,
                CASE c_custkey % 4 WHEN 0 THEN concat('（', translate(CAST(c_custkey % 77 AS STRING), '16', '丨b'), '）号') WHEN 1 THEN '2o组 l2户' WHEN 2 THEN 'SO单元1O1室' ELSE '' END) AS address
-        FROM {customer}""",
-    "merge": """
+        FROM {customer}""")
+define("merge", """
         SELECT concat(source, '/', lang) AS group_id, doc_id AS position,
                concat(text, CASE WHEN doc_id % 6 = 0 THEN '*' ELSE '' END) AS value, doc_id % 3 = 0 AS is_full_image
-        FROM {documents}""",
-    "people": """
+        FROM {documents}""")
+define("people", """
         SELECT o_custkey % 700 AS application_no, o_orderkey AS position,
                CASE WHEN o_orderkey % 2 = 0 THEN 'id_card' ELSE 'driver_license' END AS document_type,
                CASE WHEN o_orderkey % 13 = 0 THEN '' ELSE lpad(CAST(o_custkey AS STRING), 18, '3') END AS number,
                CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE CASE WHEN o_orderkey % 5 = 0 THEN 'no-one' ELSE concat('city ', CAST(o_custkey % 9 AS STRING), ', street；', CAST(o_orderkey % 3 AS STRING)) END END AS address
-        FROM {orders}""",
-    "masked": """
+        FROM {orders}""")
+define("masked", """
         SELECT o_custkey % 40 + 40 * CAST(floor(o_custkey / 10000) AS BIGINT) AS group_id, o_orderkey AS position, concat('name', CAST(o_custkey % 11 AS STRING)) AS name,
                CASE WHEN o_orderkey % 3 = 1 THEN concat(substring(lpad(CAST(o_custkey AS STRING), 10, '7'), 1, 6), '**', substring(lpad(CAST(o_custkey AS STRING), 10, '7'), 9, 2))
                     ELSE lpad(CAST(o_custkey AS STRING), 10, '7') END AS number
-        FROM {orders}""",
-    "identity": """
+        FROM {orders}""")
+define("identity", """
         SELECT c_custkey AS id,
                concat('110101', date_format(CAST('1960-01-01' AS DATE) + CAST(c_custkey * 37 % 15000 AS INT), 'yyyyMMdd'), lpad(CAST(c_custkey % 1000 AS STRING), 3, '0')) AS body,
                c_custkey % 7 = 0 AS corrupted, c_custkey % 5 = 0 AS spaced, c_custkey % 11 AS digit
-        FROM {customer}""",
-    "dirty": """
+        FROM {customer}""")
+define("dirty", """
         SELECT o_orderkey AS id,
                CASE o_orderkey % 6
                  WHEN 0 THEN concat(CAST(year(o_orderdate) AS STRING), '年', CAST(month(o_orderdate) AS STRING), '月', CAST(day(o_orderdate) AS STRING), '日')
@@ -83,15 +92,15 @@ FRAMES = {
                  WHEN 1 THEN concat('47.62*1860*15', lpad(CAST(o_orderkey % 100 AS STRING), 2, '0'))
                  WHEN 2 THEN '4490.0 1860.0 1590.00' ELSE '4490 x 1860' END AS dimensions,
                CASE o_orderkey % 13 WHEN 0 THEN 'UNKNOWN' WHEN 1 THEN '' WHEN 2 THEN ' / ' ELSE concat(' a_', substring(o_orderpriority, 3, 4), ' ', CAST(o_orderkey % 17 AS STRING), ' ') END AS code
-        FROM {orders}""",
-    "words": """
+        FROM {orders}""")
+define("words", """
         SELECT p_partkey AS id,
                CASE p_partkey % 8 WHEN 0 THEN ' 男 ' WHEN 1 THEN '女' WHEN 2 THEN '汉族' WHEN 3 THEN '穿青' WHEN 4 THEN '未知' WHEN 5 THEN 'CHN' WHEN 6 THEN '中华人民共和国' ELSE 'US A' END AS person,
                CASE p_partkey % 9 WHEN 0 THEN '电子驾驶证' WHEN 1 THEN '机动车驾驶证' WHEN 2 THEN '中国行驶证正本 副页' WHEN 3 THEN '副页' WHEN 4 THEN '行驶证' WHEN 5 THEN '电子 机动车 发票' WHEN 6 THEN '机动车销售发票' WHEN 7 THEN '进口/国产' ELSE '其他' END AS document,
                CASE p_size % 7 WHEN 0 THEN 'a1, b2' WHEN 1 THEN '6 年' WHEN 2 THEN '长期' WHEN 3 THEN '红章' WHEN 4 THEN '非红章' WHEN 5 THEN 'C1、D' ELSE '  x   y ' END AS noise,
                CASE p_partkey % 6 WHEN 0 THEN '1.5;20；' WHEN 1 THEN '3.10' WHEN 2 THEN 'x;1' WHEN 3 THEN '20200101至20300101' WHEN 4 THEN '2020年1月1日至2030.1.1' ELSE '80 km/h' END AS listed
-        FROM {part}""",
-    "responses": """
+        FROM {part}""")
+define("responses", """
         SELECT event_id AS id,
                CASE event_id % 6
                  WHEN 0 THEN props
@@ -101,22 +110,22 @@ FRAMES = {
                  WHEN 4 THEN concat('[', props, ', 5, ', props, ']')
                  ELSE concat('no json: ', event_type) END AS raw,
                CAST(event_id % 104 AS INT) AS page_count
-        FROM {events}""",
-    "chunks": """
+        FROM {events}""")
+define("chunks", """
         SELECT conv_id AS id, turn * 2 AS seq, text FROM {conversations}
         UNION ALL SELECT conv_id, 7, '[DONE]' FROM {conversations} WHERE turn = 3
-        UNION ALL SELECT conv_id, turn * 2 + 1, ': ping' FROM {conversations} WHERE turn = 0""",
-    "addresses": """
+        UNION ALL SELECT conv_id, turn * 2 + 1, ': ping' FROM {conversations} WHERE turn = 0""")
+define("addresses", """
         SELECT c_custkey AS id, r_name AS province, n_name AS prefecture, c_mktsegment AS county,
                concat(CASE WHEN c_custkey % 4 = 0 THEN '' WHEN c_custkey % 9 = 4 THEN substring(r_name, 1, 2) WHEN c_custkey % 5 = 1 THEN concat(substring(r_name, 1, 2), '#', substring(r_name, 4, 50)) ELSE r_name END,
                       CASE WHEN c_custkey % 7 = 3 THEN '' WHEN c_custkey % 11 = 2 THEN concat('*', substring(n_name, 2, 50)) WHEN c_custkey % 5 = 2 THEN concat('#', substring(n_name, 2, 50)) ELSE n_name END,
                       CASE WHEN c_custkey % 5 = 3 THEN concat(substring(c_mktsegment, 1, 3), '#', substring(c_mktsegment, 5, 50)) ELSE c_mktsegment END,
                       CAST(c_custkey % 90 AS STRING), '号') AS address
-        FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey JOIN {region} ON n_regionkey = r_regionkey""",
-    "divisions": """
+        FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey JOIN {region} ON n_regionkey = r_regionkey""")
+define("divisions", """
         SELECT DISTINCT r_name AS province, n_name AS prefecture, c_mktsegment AS county
-        FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey JOIN {region} ON n_regionkey = r_regionkey""",
-    "compare": """
+        FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey JOIN {region} ON n_regionkey = r_regionkey""")
+define("compare", """
         SELECT c_custkey AS id, f.field AS field,
                CASE f.field WHEN 'plate' THEN concat('京A', lpad(CAST(c_custkey % 100000 AS STRING), 5, '0')) WHEN 'vin' THEN concat('LSV', lpad(CAST(c_custkey AS STRING), 14, '1'))
                             WHEN 'issue' THEN concat('2019', lpad(CAST(c_custkey % 14 AS STRING), 2, '0'), '15') ELSE concat(CAST(c_custkey * 11 % 120000 AS STRING), 'kg') END AS current_value,
@@ -124,19 +133,19 @@ FRAMES = {
                     WHEN f.field = 'issue' THEN concat('2020', lpad(CAST(c_custkey % 13 AS STRING), 2, '0'), '15') ELSE concat(CAST(c_custkey * 7 % 110000 AS STRING), 'kg') END AS other_value,
                CASE WHEN c_custkey % 5 = 0 THEN 'text' ELSE 'label-spatial' END AS association, c_custkey % 4 <> 0 AS association_unique,
                0.94 + (c_custkey % 60) / 1000.0 AS label_confidence, 0.96 + (c_custkey * 7 % 40) / 1000.0 AS value_confidence
-        FROM {customer} CROSS JOIN (SELECT 'plate' AS field UNION ALL SELECT 'vin' UNION ALL SELECT 'issue' UNION ALL SELECT 'mass') AS f""",
-    "payloads": """
+        FROM {customer} CROSS JOIN (SELECT 'plate' AS field UNION ALL SELECT 'vin' UNION ALL SELECT 'issue' UNION ALL SELECT 'mass') AS f""")
+define("payloads", """
         SELECT c_custkey AS id,
                concat('{{"errorCode": ', CASE WHEN c_custkey % 17 = 0 THEN '1' ELSE '0' END, ', "rec_texts": ["', c_name, '", "  ", " ', c_mktsegment, ' ", "tail"], ',
                       CASE WHEN c_custkey % 2 = 0 THEN concat('"rec_boxes": [[', CAST(c_custkey % 50 AS STRING), ', 2, 30, 12], [1, 1, 2, 2], [5, 20, 60, 31]], ')
                            ELSE concat('"rec_polys": [[[', CAST(c_custkey % 50 AS STRING), ', 2], [80, 3], [81, 12], [1, 11]], [[1, 1], [2, 2]], [[5, 21], [60, 20], [61, 30], [6, 31]]], ') END,
                       '"rec_scores": [0.', CAST(c_custkey % 9 + 1 AS STRING), ', 0.5]}}') AS payload
-        FROM {customer}""",
-    "masses": """
+        FROM {customer}""")
+define("masses", """
         SELECT c_custkey AS id, CASE WHEN c_custkey % 8 = 0 THEN '' ELSE concat(CAST(1000 + c_custkey % 900 AS STRING), 'kg') END AS total, concat(CAST(1300 + c_custkey % 70 AS STRING), 'kg') AS curb,
                concat('2019-0', CAST(1 + c_custkey % 9 AS STRING), '-11') AS registered, CASE WHEN c_custkey % 6 = 0 THEN '20190' ELSE concat('20190', CAST(1 + c_custkey % 7 AS STRING), '11') END AS issued
-        FROM {customer}""",
-    "pages": """
+        FROM {customer}""")
+define("pages", """
         SELECT o_custkey % 500 AS group_id, o_orderkey AS page_pos,
                CASE WHEN o_orderkey % 6 = 0 THEN '' WHEN o_orderkey % 31 = 0 THEN '12345' WHEN o_orderkey % 10 = 0 THEN concat(' ', lpad(CAST(o_custkey AS STRING), 16, '4'), 'x ') ELSE concat(lpad(CAST(o_custkey AS STRING), 16, '4'), 'X') END AS number,
                CASE WHEN o_orderkey % 9 = 0 THEN '' WHEN o_orderkey % 8 = 0 THEN '姓 名' WHEN o_orderkey % 4 = 0 THEN concat('na*e', CAST(o_custkey % 7 AS STRING)) ELSE concat('name', CAST(o_custkey % 7 AS STRING)) END AS name,
@@ -145,8 +154,8 @@ FRAMES = {
                CASE o_orderkey % 5 WHEN 0 THEN '中国行驶证副页' WHEN 1 THEN '中国行驶证正本' WHEN 2 THEN '行驶证' ELSE '' END AS kind,
                CASE WHEN o_orderkey % 7 = 0 THEN lpad(CAST(o_custkey AS STRING), 12, '5') WHEN o_orderkey % 7 = 1 THEN 'no archive' ELSE '' END AS archive,
                CASE o_orderkey % 3 WHEN 0 THEN '中国' WHEN 1 THEN 'Elsewhere' ELSE '国籍' END AS nationality
-        FROM {orders}""",
-    "vehicles": """
+        FROM {orders}""")
+define("vehicles", """
         SELECT c_custkey AS id,
                concat('[图片 1]', chr(10), '使用性质', chr(10), CASE c_custkey % 3 WHEN 0 THEN '非营运' WHEN 1 THEN 'noise' ELSE ' 货运 ' END, chr(10), 'Plate No.', chr(10),
                       CASE WHEN c_custkey % 4 < 3 THEN concat('京a', lpad(CAST(c_custkey AS STRING), 5, '0')) ELSE 'none' END, chr(10), CASE c_custkey % 5 WHEN 0 THEN '燃料 汽油' WHEN 1 THEN '新能源/电 汽油' ELSE 'x' END, chr(10), chr(10),
@@ -156,8 +165,8 @@ FRAMES = {
                       '档案编号', chr(10), CASE c_custkey % 3 WHEN 0 THEN concat('20200101', chr(10), lpad(CAST(c_custkey AS STRING), 12, '3')) WHEN 1 THEN 'ab-1234' ELSE '---' END) AS text,
                CASE WHEN c_custkey % 2 = 0 THEN 'lsv**************' ELSE 'LSVKEPT0000000000' END AS vin, CASE WHEN c_custkey % 2 = 0 THEN ' 租 赁' ELSE 'foo' END AS use_nature, CASE WHEN c_custkey % 8 = 7 THEN '沪B 12345' ELSE 'bad' END AS plate,
                'old fuel' AS fuel, '9人' AS people, 'old size' AS dimensions, CASE WHEN c_custkey % 5 = 0 THEN 'keep-123' ELSE '?' END AS archive
-        FROM {customer}""",
-    "licences": """
+        FROM {customer}""")
+define("licences", """
         SELECT c_custkey AS id,
                concat('[图片 1]', chr(10), CASE c_custkey % 8 WHEN 0 THEN 'Class' ELSE '准驾车型' END, chr(10), CASE c_custkey % 5 WHEN 0 THEN ' C1 ' WHEN 1 THEN 'c|' WHEN 2 THEN '姓名 B2' WHEN 3 THEN 'B2D' ELSE 'x' END, chr(10), chr(10),
                       '初次领证日期 ', CASE c_custkey % 3 WHEN 0 THEN '2010-3-7' WHEN 1 THEN '2010年13月1日' ELSE '' END, chr(10), '有效期限', chr(10),
@@ -170,16 +179,16 @@ FRAMES = {
                CASE c_custkey % 6 WHEN 0 THEN 'c1' WHEN 1 THEN 'a2, e' WHEN 2 THEN 'Z9' ELSE '' END AS class, CASE c_custkey % 4 WHEN 0 THEN '1234-5678 9012' WHEN 1 THEN '12345' ELSE NULL END AS archive,
                CASE c_custkey % 7 WHEN 0 THEN '20091301' WHEN 1 THEN '2009-02-03' ELSE '' END AS first_issue, CASE c_custkey % 2 WHEN 0 THEN '19800101' ELSE 'x' END AS birth,
                CASE c_custkey % 5 WHEN 0 THEN '20150101-长期' WHEN 1 THEN '2015-' ELSE '' END AS period, CASE c_custkey % 3 WHEN 0 THEN '男' WHEN 1 THEN 'M' ELSE NULL END AS sex
-        FROM {customer}""",
-    "mass_texts": """
+        FROM {customer}""")
+define("mass_texts", """
         SELECT c_custkey AS id,
                concat('[图片 1]', chr(10), 'head ', CASE c_custkey % 5 WHEN 0 THEN '1800kg' ELSE 'x' END, chr(10), '总质量 ', CASE c_custkey % 3 WHEN 0 THEN concat(CAST(1500 + c_custkey % 200 AS STRING), ' kg') ELSE '' END, chr(10), '4490x1860 1700kg', chr(10),
                       CASE c_custkey % 4 WHEN 0 THEN '1300KG' WHEN 1 THEN '99 千克' ELSE 'y' END, chr(10), '整备质量', chr(10), CASE c_custkey % 2 WHEN 0 THEN '1250.5kg' ELSE 'z' END, chr(10), '检验有效期至 ', CASE c_custkey % 5 WHEN 0 THEN '2024年6月' WHEN 1 THEN '2024-13' WHEN 2 THEN '202509' WHEN 3 THEN '2026.7.8' ELSE '' END, chr(10),
                       CASE c_custkey % 2 WHEN 0 THEN '注册日期' ELSE '发证日期' END, chr(10), CASE c_custkey % 7 WHEN 0 THEN '2019-2-30' ELSE '2019-2-3' END, chr(10), CASE c_custkey % 2 WHEN 0 THEN '发证日期' ELSE '注册日期' END, ' ', CASE c_custkey % 3 WHEN 0 THEN '2020-01-05' ELSE '' END, chr(10),
                       '[图片 2]', chr(10), '总质量', chr(10), CASE c_custkey % 6 WHEN 0 THEN '1600kg' WHEN 1 THEN '1500kg' ELSE '' END, chr(10), '整备质量', CASE c_custkey % 4 WHEN 0 THEN '1300kg' ELSE '' END, chr(10), '注册日期 20190203', chr(10), CASE c_custkey % 5 WHEN 0 THEN '发证日期 20200105' WHEN 1 THEN '发证日期 20210105' ELSE '' END) AS text,
                CASE c_custkey % 2 WHEN 0 THEN '1600kg' ELSE '1500kg' END AS total, '1300kg' AS curb, '20190203' AS registered, CASE c_custkey % 3 WHEN 0 THEN '20200105' ELSE '20210105' END AS issued, 'held' AS inspection
-        FROM {customer}""",
-    "claim_tokens": """
+        FROM {customer}""")
+define("claim_tokens", """
         SELECT c_custkey * 10 + p AS group_id, CAST(i AS BIGINT) AS token_index,
                CASE i WHEN 0 THEN 'Name' WHEN 1 THEN CASE WHEN p = 1 THEN replace(c_name, 'm', 'n') ELSE c_name END WHEN 2 THEN 'Plate No.' WHEN 3 THEN concat('京A', lpad(CAST(c_custkey AS STRING), 6, '7'))
                       WHEN 4 THEN concat('VIN: LSV', lpad(CAST(c_custkey AS STRING), 14, '1')) WHEN 5 THEN 'class' WHEN 6 THEN CASE c_custkey % 3 WHEN 0 THEN 'C' WHEN 1 THEN 'D' ELSE 'C1' END
@@ -188,14 +197,14 @@ FRAMES = {
                CASE WHEN (c_custkey + i) % 37 = 0 THEN NULL ELSE 0.9 + ((c_custkey * 7 + i * 13 + p * 5) % 100) / 1000.0 END AS score,
                CAST(120 * (i % 2) AS DOUBLE) AS left, CAST(60 * CAST(floor(i / 2) AS BIGINT) AS DOUBLE) AS top, CAST(120 * (i % 2) + 100 AS DOUBLE) AS right, CAST(60 * CAST(floor(i / 2) AS BIGINT) + 20 + p AS DOUBLE) AS bottom
         FROM {customer} CROSS JOIN (SELECT 0 AS p UNION ALL SELECT 1) AS pp
-        CROSS JOIN (SELECT 0 AS i UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5 UNION ALL SELECT 6 UNION ALL SELECT 7 UNION ALL SELECT 8 UNION ALL SELECT 9 UNION ALL SELECT 10) AS ii""",
-    "claims": """
+        CROSS JOIN (SELECT 0 AS i UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5 UNION ALL SELECT 6 UNION ALL SELECT 7 UNION ALL SELECT 8 UNION ALL SELECT 9 UNION ALL SELECT 10) AS ii""")
+define("claims", """
         SELECT c_custkey AS record_id, f.field AS field,
                CASE f.field WHEN 'name' THEN CASE c_custkey % 4 WHEN 0 THEN c_name WHEN 1 THEN replace(c_name, '#', '§') WHEN 2 THEN '§§§§§§§§' ELSE '' END
                  WHEN 'plate' THEN CASE c_custkey % 3 WHEN 0 THEN concat('京a-', lpad(CAST(c_custkey AS STRING), 6, '7')) WHEN 1 THEN concat('京§', lpad(CAST(c_custkey AS STRING), 6, '7')) ELSE NULL END
                  WHEN 'vin' THEN CASE c_custkey % 2 WHEN 0 THEN concat('LSV', lpad(CAST(c_custkey AS STRING), 14, '1')) ELSE concat('§SV', lpad(CAST(c_custkey AS STRING), 14, '1')) END ELSE CASE c_custkey % 2 WHEN 0 THEN 'c' ELSE 'D' END END AS value
-        FROM {customer} CROSS JOIN (SELECT 'name' AS field UNION ALL SELECT 'plate' UNION ALL SELECT 'vin' UNION ALL SELECT 'class') AS f""",
-    "forms": """
+        FROM {customer} CROSS JOIN (SELECT 'name' AS field UNION ALL SELECT 'plate' UNION ALL SELECT 'vin' UNION ALL SELECT 'class') AS f""")
+define("forms", """
         SELECT p_partkey AS id, k.kind AS kind,
                CASE k.kind WHEN 'address' THEN CASE p_partkey % 9 WHEN 0 THEN concat('江苏省南京市中山路', CAST(p_partkey AS STRING), '号') WHEN 1 THEN '江苏省南京市' WHEN 2 THEN '江苏省南京*' WHEN 3 THEN '中山路1' WHEN 4 THEN '江苏省签发机关市' WHEN 5 THEN '江苏省北土组3号' WHEN 6 THEN '江苏省南京市abc路' WHEN 7 THEN '江苏省南京市1234567890123456789号' ELSE '南京市！路号' END
                  WHEN 'period' THEN CASE p_partkey % 7 WHEN 0 THEN '2020-01-02 至 长期' WHEN 1 THEN '2020年1月2日-2030年1月2日' WHEN 2 THEN '2020-13-02 至 2030-01-02' WHEN 3 THEN '2020.01.02' WHEN 4 THEN '20200102至 长' WHEN 5 THEN '20200102-20300102' ELSE '1940-01-01 至 长期' END
@@ -203,69 +212,68 @@ FRAMES = {
                  WHEN 'archive' THEN CASE p_partkey % 4 WHEN 0 THEN '20200101' WHEN 1 THEN 'ab-12 34' WHEN 2 THEN '12345' ELSE '123456789012' END
                  WHEN 'people' THEN concat(CAST(p_partkey % 120 AS STRING), ' 人') WHEN 'mass' THEN concat(CAST(p_partkey % 130 AS STRING), CASE p_partkey % 2 WHEN 0 THEN 'kg' ELSE '.5千克' END)
                  WHEN 'dimensions' THEN concat(CAST(p_partkey % 400 AS STRING), '×1860x', '1590', CASE p_partkey % 3 WHEN 0 THEN 'mm' ELSE '' END) WHEN 'class' THEN concat(substring('ABCDZ', 1 + p_partkey % 5, 1), CASE p_partkey % 4 WHEN 0 THEN '' ELSE CAST(p_partkey % 4 AS STRING) END) ELSE 'x' END AS value
-        FROM {part} CROSS JOIN (SELECT 'address' AS kind UNION ALL SELECT 'period' UNION ALL SELECT 'identity' UNION ALL SELECT 'archive' UNION ALL SELECT 'people' UNION ALL SELECT 'mass' UNION ALL SELECT 'dimensions' UNION ALL SELECT 'class' UNION ALL SELECT 'other') AS k""",
-    "layouts": """
+        FROM {part} CROSS JOIN (SELECT 'address' AS kind UNION ALL SELECT 'period' UNION ALL SELECT 'identity' UNION ALL SELECT 'archive' UNION ALL SELECT 'people' UNION ALL SELECT 'mass' UNION ALL SELECT 'dimensions' UNION ALL SELECT 'class' UNION ALL SELECT 'other') AS k""")
+define("layouts", """
         SELECT c_custkey AS id, CASE c_custkey % 4 WHEN 0 THEN concat('{{"rec_texts": ["', c_name, '", " ", " b "]}}') WHEN 1 THEN concat('{{"rec_texts": [" "], "blocks": [{{"block_content": "second", "block_order": 2}}, {{"block_content": " ', c_name, '", "block_order": 1, "block_id": 7}}, {{"block_content": "last", "block_id": 1}}]}}')
                  WHEN 2 THEN '{{"blocks": [{{"block_content": "b", "block_order": 1, "block_id": 9}}, {{"block_content": "a", "block_order": 1, "block_id": 2}}]}}' ELSE 'not json' END AS payload
-        FROM {customer}""",
-    "runs": "SELECT user_id AS group_id, event_id % 11 = 0 AS skipped, CASE WHEN event_id % 9 = 0 THEN 'timeout' ELSE '' END AS error, CASE WHEN event_id % 5 = 0 THEN '' ELSE event_type END AS text FROM {events}",
-    "requests": "SELECT o_orderkey AS id, CASE o_orderkey % 5 WHEN 0 THEN 'id_card' WHEN 1 THEN ' Identity card ' WHEN 2 THEN 'driver' WHEN 3 THEN 'invoice' ELSE o_orderpriority END AS asked FROM {orders}",
-    "answers": """
+        FROM {customer}""")
+define("runs", "SELECT user_id AS group_id, event_id % 11 = 0 AS skipped, CASE WHEN event_id % 9 = 0 THEN 'timeout' ELSE '' END AS error, CASE WHEN event_id % 5 = 0 THEN '' ELSE event_type END AS text FROM {events}")
+define("requests", "SELECT o_orderkey AS id, CASE o_orderkey % 5 WHEN 0 THEN 'id_card' WHEN 1 THEN ' Identity card ' WHEN 2 THEN 'driver' WHEN 3 THEN 'invoice' ELSE o_orderpriority END AS asked FROM {orders}")
+define("answers", """
         SELECT c_custkey AS id, CASE c_custkey % 8 WHEN 0 THEN concat('{{"number": " ', c_name, '"}}') WHEN 1 THEN concat('| number | ', c_name, ' | x |') WHEN 2 THEN concat('识别结果：number: ', c_name, chr(10), 'number ', c_name) WHEN 3 THEN concat('<b>', c_name, '</b>(1,2),(3,4)')
                  WHEN 4 THEN '无法看到' WHEN 5 THEN '' WHEN 6 THEN repeat(c_name, 10) ELSE concat(c_name, chr(10), c_mktsegment) END AS raw
-        FROM {customer}""",
-    "holes": """
-        SELECT c_custkey AS id, concat(lpad(CAST(c_custkey AS STRING), 6, '8'), '808818') AS value, c_custkey % 50 AS a, c_custkey % 7 AS b FROM {customer}""",
-    "id_pages": """
+        FROM {customer}""")
+define("holes", """
+        SELECT c_custkey AS id, concat(lpad(CAST(c_custkey AS STRING), 6, '8'), '808818') AS value, c_custkey % 50 AS a, c_custkey % 7 AS b FROM {customer}""")
+define("id_pages", """
         SELECT o_orderkey AS id, CASE o_orderkey % 3 WHEN 0 THEN 'front' WHEN 1 THEN 'back' ELSE '' END AS side,
                CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE concat('11010519491231', lpad(CAST(o_orderkey % 1000 AS STRING), 3, '0'), 'X') END AS number, CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE 'name' END AS name,
                CASE WHEN o_orderkey % 5 = 0 THEN '男' ELSE '' END AS sex, CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE 'office' END AS authority, '' AS period
-        FROM {orders}""",
-    "spotted": """
+        FROM {orders}""")
+define("spotted", """
         SELECT c_custkey AS id,
                CASE c_custkey % 4 WHEN 0 THEN concat(c_name, '(1,2),(30,40)', c_mktsegment, ' (5,6),(7,8) ,')
                  WHEN 1 THEN concat('[{{"text": " ', c_name, '", "box": "1"}}, {{"text": "", "box": "2"}}, {{"text": "', c_mktsegment, '", "polygon": "3"}}]')
                  WHEN 2 THEN concat(c_name, ' (1,2)') ELSE concat('{{"name": "', c_name, '"}}') END AS raw
-        FROM {customer}""",
-    "holders": """
+        FROM {customer}""")
+define("holders", """
         SELECT c_custkey AS id, CASE c_custkey % 5 WHEN 0 THEN 'CHN' WHEN 1 THEN '' WHEN 2 THEN 'Elsewhere' WHEN 3 THEN '中国' ELSE '' END AS nationality,
                CASE c_custkey % 3 WHEN 0 THEN '广东省中山市1号' WHEN 1 THEN '深圳市南山区2号' ELSE 'Main street 3' END AS address
-        FROM {customer}""",
-    "holder_texts": "SELECT o_custkey AS id, CASE WHEN o_orderkey % 40 = 0 THEN '国籍 中国' ELSE o_orderpriority END AS text FROM {orders}",
-    "third": """
+        FROM {customer}""")
+define("holder_texts", "SELECT o_custkey AS id, CASE WHEN o_orderkey % 40 = 0 THEN '国籍 中国' ELSE o_orderpriority END AS text FROM {orders}")
+define("third", """
         SELECT id, current_value, coalesce(other_value, '') AS other_value, value_confidence - 0.12 AS value_confidence, CASE id % 3 WHEN 0 THEN concat(coalesce(other_value, ''), ' x') WHEN 1 THEN current_value ELSE 'z' END AS third FROM ({compare}) AS c
-        WHERE field = 'plate'""",
-    "gate_metrics": """
+        WHERE field = 'plate'""")
+define("gate_metrics", """
         SELECT o_orderkey AS id, 5 + o_orderkey % 5 AS fields, 3 + o_custkey % 5 AS candidates, 5 + o_orderkey % 3 AS scored, CAST(880 + 10 * (o_custkey % 12) AS DOUBLE) / 1000 AS mean,
                CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE CAST(810 + 10 * (o_custkey % 7) AS DOUBLE) / 1000 END AS p25, CAST(50 * (o_orderkey % 4) AS DOUBLE) / 1000 AS low_tokens, CAST(40 * (o_custkey % 4) AS DOUBLE) / 1000 AS low_chars,
                CASE WHEN o_orderkey % 6 = 0 THEN 1 ELSE 0 END AS low_under_glare, CAST(10 + o_custkey % 17 AS DOUBLE) / 1000 AS glare, o_orderkey % 4 AS streaks, CAST(o_orderkey % 5 AS DOUBLE) / 1000 AS streak_ratio, CAST(o_custkey % 20 AS DOUBLE) / 100 AS overlap
-        FROM {orders}""",
-    "image_reports": """
+        FROM {orders}""")
+define("image_reports", """
         SELECT CAST(floor(event_id / 5) AS BIGINT) AS group_id, event_id AS position, CASE event_id % 3 WHEN 0 THEN 'front' WHEN 1 THEN 'back' ELSE 'document' END AS side_label,
                CASE WHEN event_id % 7 = 0 THEN event_type ELSE '' END AS code, CASE WHEN event_id % 23 = 0 THEN 'timeout' ELSE '' END AS error
-        FROM {events}""",
-    "card_pages": """
+        FROM {events}""")
+define("card_pages", """
         SELECT o_custkey AS group_id, o_orderkey AS page_pos, CASE o_orderkey % 3 WHEN 0 THEN 'front' WHEN 1 THEN 'back' ELSE '' END AS side,
                concat(CASE WHEN o_orderkey % 4 = 0 THEN '方向校正_' ELSE '' END, CAST(o_orderkey AS STRING), '.jpg') AS name
-        FROM {orders}""",
-    "file_refs": "SELECT o_custkey AS group_id, o_orderkey AS position, o_orderstatus AS material, concat(o_orderpriority, '.jpg') AS name FROM {orders}",
-    "single_claims": """
+        FROM {orders}""")
+define("file_refs", "SELECT o_custkey AS group_id, o_orderkey AS position, o_orderstatus AS material, concat(o_orderpriority, '.jpg') AS name FROM {orders}")
+define("single_claims", """
         SELECT c_custkey * 10 + p AS group_id, f AS field, CASE WHEN c_custkey % 2 = 0 THEN 'C' ELSE 'D' END AS value
-        FROM {customer} CROSS JOIN (SELECT 0 AS p UNION ALL SELECT 1) AS pp CROSS JOIN (SELECT 'Class' AS f UNION ALL SELECT 'VIN' UNION ALL SELECT 'Name') AS ff""",
-    "readings": """
+        FROM {customer} CROSS JOIN (SELECT 0 AS p UNION ALL SELECT 1) AS pp CROSS JOIN (SELECT 'Class' AS f UNION ALL SELECT 'VIN' UNION ALL SELECT 'Name') AS ff""")
+define("readings", """
         SELECT id, CASE id % 8 WHEN 0 THEN '' WHEN 1 THEN '' WHEN 2 THEN a WHEN 3 THEN replace(a, '中山', '噪中山') WHEN 4 THEN concat(a, '123') ELSE 'held' END AS current,
                CASE id % 8 WHEN 0 THEN concat(a, '|', a) WHEN 3 THEN concat(a, '|', a) WHEN 5 THEN concat(a, '|', replace(a, '山', '噪山')) WHEN 6 THEN concat(a, '|', replace(a, '中山', '北京'))
                  WHEN 7 THEN concat(a, '|', a, '7') ELSE a END AS listed
-        FROM (SELECT c_custkey AS id, concat('江苏省南京市鼓楼区中山路', CAST(c_custkey AS STRING), '号') AS a FROM {customer}) AS x""",
-    "spotted": """
+        FROM (SELECT c_custkey AS id, concat('江苏省南京市鼓楼区中山路', CAST(c_custkey AS STRING), '号') AS a FROM {customer}) AS x""")
+define("spotted_boxes", """
         SELECT c_custkey AS id, CASE WHEN c_custkey % 5 = 0 THEN concat(' ', c_name, chr(10), chr(10), c_mktsegment) ELSE
                concat('[{{"text": "', c_name, '", "box": [50, 100, 120, 120]}}, {{"text": "loose"}}, {{"text": "", "box": [1, 1, 2, 2]}}, {{"text": " ', c_mktsegment, '", "box": [10, ', CAST(100 + c_custkey % 30 AS STRING), ', 45, ', CAST(120 + c_custkey % 30 AS STRING),
                       ']}}, {{"text": "', c_name, '|', CAST(c_custkey AS STRING), '", "bbox": [90, ', CAST(100 + 2 * (c_custkey % 30) AS STRING), ', 99, ', CAST(120 + 2 * (c_custkey % 30) AS STRING), ']}}]') END AS raw
-        FROM {customer}""",
-    "branches": """
+        FROM {customer}""")
+define("branches", """
         SELECT event_id AS id, user_id AS group_id, CAST(ts AS DATE) AS day, event_type AS source, ts AS finished_at, CASE WHEN event_id % 9 = 0 THEN 'timeout' ELSE '' END AS error
-        FROM {events}""",
-}
+        FROM {events}""")
 
 #: Frames that unnest arrays, which the two engines write differently.
 _WORDS = "split(replace(text, chr(10), ' '), ' ')"
