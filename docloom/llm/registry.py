@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docloom.llm import bpe, decontaminate, licenses, near_dedup, pii, quality_rules, substring_dedup, token_counts, toxicity, warc
+from docloom.llm import bpe, decontaminate, language_id, licenses, near_dedup, periodic_runs, pii, quality_rules, substring_dedup, token_alignment, token_counts, toxicity, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_license_scan": licenses.op8_license_scan,
     "op9_pii": pii.op9_pii,
     "op10_bpe": bpe.op10_bpe,
+    "op11_periodic_runs": periodic_runs.op11_periodic_runs,
+    "op12_token_alignment": token_alignment.op12_token_alignment,
+    "op13_language_id": language_id.op13_language_id,
 }
 
 ORACLES: dict[str, str] = {"op1_warc": warc.ORACLE, "op7_substring_dedup": substring_dedup.ORACLE, "op8_license_scan": licenses.oracle()}
