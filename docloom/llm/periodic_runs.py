@@ -32,7 +32,7 @@ PRIME, GENERATOR = 65537, 3
 RADIX = 32
 FIRST = 8  # the least scale; a run of LEAST words with a shorter period holds a block of it and its repeat
 BLOCK = 512  # words of a block, at most; longer windows are covered by more transforms
-CELLS = 1 << 19  # cells of one batch of transforms
+CELLS = 1 << 17  # cells of one batch of transforms
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -234,8 +234,8 @@ def periodic_runs(docs: DataFrame, text: str = "text", key: str = "doc_id") -> D
                 texts = [(x or "").encode().split() for x in batch.column("text").to_pylist()]  # of bytes: at ASCII white space only
                 numbers = []
                 for words in texts:
-                    seen: dict[bytes, int] = {}
-                    numbers.append(np.fromiter((seen.setdefault(w, len(seen)) for w in words), np.int64, len(words)))
+                    number = {w: i for i, w in enumerate(dict.fromkeys(words))}
+                    numbers.append(np.array(list(map(number.__getitem__, words)), np.int64))
                 edges = np.concatenate([[0], np.cumsum([len(x) for x in texts])]).astype(np.int64)
                 runs = find_runs(np.concatenate([*numbers, np.zeros(0, np.int64)]), edges)
                 collapsed = [_collapse(w, r).decode() for w, r in zip(texts, runs, strict=True)]

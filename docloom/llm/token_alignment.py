@@ -19,6 +19,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,13 +29,14 @@ from docloom.runtime import materialize, ship
 
 RANGE = 4096  # documents of a container
 ENTRIES = 3_000_000  # a range is closed early when it has so many (document, pair) entries
+RUN_CHARS = 20_000  # of words that are encoded as one text, about
 WORDS = 400_000  # words that a worker remembers from range to range, about
 
 _READY: dict = {}
 
 
 def _byte_level(path: str):
-    """(encode a batch, bytes of each id) of a byte-level tokenizers file."""
+    """(encode a batch of texts with a space in front, bytes of each id) of a byte-level tokenizers file."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -50,11 +52,11 @@ def _byte_level(path: str):
     letter = {chr(b): b for b in visible} | {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)) - set(visible)))}
     special = {i: t.content.encode() for i, t in tokenizer.get_added_tokens_decoder().items()}
     tokens = [special[i] if i in special else bytes(map(letter.__getitem__, tokenizer.id_to_token(i))) for i in range(tokenizer.get_vocab_size())]
-    return lambda words: [e.ids for e in tokenizer.encode_batch_fast([f" {w}" for w in words], add_special_tokens=False)], tokens
+    return lambda texts: [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)], tokens
 
 
 def _pieces(path: str):
-    """(encode a batch, bytes of each id) of a sentencepiece model, which adds a space in front."""
+    """(encode a batch, bytes of each id) of a sentencepiece model, which adds the texts' first space itself."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -63,7 +65,7 @@ def _pieces(path: str):
         raise ValueError(f"{path} has pieces that run from a visible character into a space, so words don't stand alone")
     tokens = [bytes([int(t[3:5], 16)]) if model.is_byte(i) else t.replace("▁", " ").encode() for i, t in enumerate(texts)]
     lone = model.encode("a ")[len(model.encode("a")) :]  # a space with nothing behind it, to which the empty text gives no token
-    return lambda words: [ids if w else lone for w, ids in zip(words, model.encode(words, num_threads=1), strict=True)], tokens
+    return lambda texts: [ids if len(t) > 1 else lone for t, ids in zip(texts, model.encode([t[1:] for t in texts], num_threads=1), strict=True)], tokens
 
 
 def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -86,7 +88,7 @@ class Lexicon:
 
     def forget(self) -> None:
         self.number: dict[str, int] = {}
-        self.groups: list[str] = []
+        self.groups = pa.array([], pa.large_string())
         self.counts = np.zeros((0, 4), np.int64)  # tokens of A, of B, groups, links; -1 where a tokenizer changes the word
         self.first = np.zeros(1, np.int64)  # the pairs of word i are first[i]:first[i + 1]
         self.pair = np.zeros(0, np.int32)  # numbers of pairs
@@ -96,7 +98,7 @@ class Lexicon:
 
     def trim(self) -> None:
         """Keep words that were used again since they were learned or last kept."""
-        if len(self.groups) <= WORDS:
+        if len(self.number) <= WORDS:
             return
         keep = np.flatnonzero(self.uses > 1)
         if len(keep) > WORDS:
@@ -108,54 +110,72 @@ class Lexicon:
         self.pair, self.times = self.pair[flat], self.times[flat]
         self.first = np.concatenate([[0], np.cumsum(sizes)])
         self.counts, self.uses = self.counts[keep], np.zeros(len(keep), np.int64)
-        self.groups = [self.groups[i] for i in keep]
+        self.groups = self.groups.take(pa.array(keep))
         self.number = {names[i]: k for k, i in enumerate(keep)}
 
     def learn(self, words: list[str]) -> None:
+        """Encode new words, many in one text; where a tokenizer changes something, each alone."""
         if not words:
             return
-        ids_a, ids_b = self.encode_a(words), self.encode_b(words)
-        good = np.array([b"".join(map(self.bytes_a.__getitem__, a)) == (w := f" {x}".encode()) == b"".join(map(self.bytes_b.__getitem__, b)) for x, a, b in zip(words, ids_a, ids_b, strict=True)])
-        counts = np.full((len(words), 4), -1, np.int64)
-        groups = [""] * len(words)
-        sizes = np.zeros(len(words), np.int64)
-        which = np.flatnonzero(good)
-        if len(which):
-            counts[which], texts, sizes[which], pair, times = self._align([ids_a[i] for i in which], [ids_b[i] for i in which])
-            for i, t in zip(which, texts, strict=True):
-                groups[i] = t
-            self.pair, self.times = np.concatenate([self.pair, pair]), np.concatenate([self.times, times])
-        for w in words:
-            self.number[w] = len(self.number)
-        self.groups += groups
+        runs, size = [[]], 0
+        for w in sorted(words, key=lambda w: not w or w[-1].isspace()):  # a space may follow any other word
+            if size + len(w) > RUN_CHARS or not w or w[-1].isspace():
+                runs.append([])
+                size = 0
+            runs[-1].append(w)
+            size += len(w) + 1
+        runs = [r for r in runs if r]
+        texts = [" " + " ".join(r) for r in runs]
+        found = list(zip(runs, texts, self.encode_a(texts), self.encode_b(texts), strict=True))
+        sound = [self._kept(t, b) for _, t, _, b in found]
+        apart = [w for (run, *_), ok in zip(found, sound, strict=True) if not ok for w in run]
+        if apart:
+            texts = [" " + w for w in apart]
+            found = [f for f, ok in zip(found, sound, strict=True) if ok] + [([w], t, a, b) for w, t, a, b in zip(apart, texts, self.encode_a(texts), self.encode_b(texts), strict=True) if self._kept(t, b)]
+        kept = [w for run, *_ in found for w in run]
+        spoilt = set(apart).difference(kept)
+        if kept:
+            self._align(kept, *(np.fromiter((i for f in found for i in f[k]), np.int64) for k in (2, 3)))
+        self._append(list(spoilt), np.full((len(spoilt), 4), -1, np.int64), pa.array([""] * len(spoilt), pa.large_string()), np.zeros(len(spoilt), np.int64))
+
+    def _kept(self, text: str, ids: list[int]) -> bool:
+        return b"".join(map(self.bytes_b.__getitem__, ids)) == text.encode()
+
+    def _append(self, words: list[str], counts: np.ndarray, groups: pa.Array, sizes: np.ndarray) -> None:
+        for i, w in enumerate(words, len(self.number)):
+            self.number[w] = i
         self.counts = np.concatenate([self.counts, counts])
+        self.groups = pa.concat_arrays([self.groups, groups])
         self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(sizes)])
         self.uses = np.concatenate([self.uses, np.zeros(len(words), np.int64)])
 
-    def _align(self, ids_a: list[list[int]], ids_b: list[list[int]]):
-        n_a, n_b = (np.array([len(x) for x in ids], np.int64) for ids in (ids_a, ids_b))
-        a, b = (np.fromiter((i for x in ids for i in x), np.int64) for ids in (ids_a, ids_b))
+    def _align(self, words: list[str], a: np.ndarray, b: np.ndarray) -> None:
+        """Groups and pairs of words one behind another, given all their tokens."""
+        end = np.cumsum([len(w.encode()) + 1 for w in words])
         end_a, end_b = np.cumsum(self.length_a[a]), np.cumsum(self.length_b[b])
-        both = np.intersect1d(end_a, end_b, assume_unique=True)  # both cut all words at the same bytes
+        both = np.intersect1d(end_a, end_b, assume_unique=True)  # among them are all ends of words
         group_a, group_b = np.searchsorted(both, end_a), np.searchsorted(both, end_b)
         in_a, in_b = np.bincount(group_a, minlength=len(both)), np.bincount(group_b, minlength=len(both))
-        word = np.searchsorted(end_a[np.cumsum(n_a) - 1], both)  # of each group
-        n_groups = np.bincount(word, minlength=len(n_a))
-        links = np.bincount(word, weights=in_a * in_b, minlength=len(n_a)).astype(np.int64)
+        word = np.searchsorted(end, both)  # of each group
+        each = lambda weights=None: np.bincount(word, weights, minlength=len(words)).astype(np.int64)
+        counts = np.stack([each(in_a), each(in_b), each(), each(in_a * in_b)], axis=1)
         first_b = np.cumsum(in_b) - in_b
         code = (np.repeat(a, in_b[group_a]) << 32) | b[_spread(first_b[group_a], in_b[group_a])]
         distinct, inverse = np.unique(code, return_inverse=True)
         numbers = np.array([self.pair_number.setdefault(c, len(self.pair_number)) for c in distinct.tolist()], np.int64)
         key, times = np.unique((np.repeat(word[group_a], in_b[group_a]) << 32) | numbers[inverse], return_counts=True)
-        text_a, text_b = list(map(str, a.tolist())), list(map(str, b.tolist()))
-        texts, i, j = [], 0, 0
-        for p, q in zip(in_a.tolist(), in_b.tolist(), strict=True):
-            texts.append(f"{text_a[i]}|{text_b[j]}" if p == q == 1 else f"{','.join(text_a[i : i + p])}|{','.join(text_b[j : j + q])}")
-            i, j = i + p, j + q
-        cut = np.concatenate([[0], np.cumsum(n_groups)]).tolist()
-        joined = [";".join(texts[x:y]) for x, y in zip(cut[:-1], cut[1:], strict=True)]
-        sizes = np.bincount(key >> 32, minlength=len(n_a))
-        return np.stack([n_a, n_b, n_groups, links], axis=1), joined, sizes, (key & 0xFFFFFFFF).astype(np.int32), times
+        self.pair, self.times = np.concatenate([self.pair, (key & 0xFFFFFFFF).astype(np.int32)]), np.concatenate([self.times, times])
+        groups = pc.binary_join_element_wise(_joined(_decimal(a), in_a, ","), _joined(_decimal(b), in_b, ","), pa.scalar("|", pa.large_string()))
+        self._append(words, counts, _joined(groups, counts[:, 2], ";"), np.bincount(key >> 32, minlength=len(words)))
+
+
+def _decimal(ids: np.ndarray) -> pa.Array:
+    return pa.array(ids).cast(pa.large_string())
+
+
+def _joined(texts: pa.Array, sizes: np.ndarray, by: str) -> pa.Array:
+    """sizes[i] of the texts each, joined."""
+    return pc.binary_join(pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)])), texts), pa.scalar(by, pa.large_string()))
 
 
 class _Range:
@@ -273,29 +293,25 @@ def _words(text: str) -> list[str]:
 def _documents(lexicon: Lexicon, held: _Range, texts: list[str | None]) -> dict:
     """Counts and groups of a slice's documents; their words go into the range."""
     cut = [_words(t) if t else [] for t in texts]
-    lexicon.learn(list({w for words in cut for w in words}.difference(lexicon.number)))
-    n, number = len(texts), lexicon.number
-    counts, groups = np.zeros((n, 4), np.int64), [""] * n
-    positions, chosen, often = [], [], []
-    for i, words in enumerate(cut):
-        if not words:
-            continue
-        ids = list(map(number.__getitem__, words))
-        word, times = np.unique(np.array(ids, np.int64), return_counts=True)
-        of = lexicon.counts[word]
-        lexicon.uses[word] += times
-        if (of[:, 0] < 0).any():
-            continue
-        counts[i] = times @ of
-        groups[i] = ";".join(map(lexicon.groups.__getitem__, ids))
-        positions.append(np.full(len(word), held.documents + i, np.int64))
-        chosen.append(word)
-        often.append(times)
-    if chosen:
-        held.add(lexicon, np.concatenate(positions), np.concatenate(chosen), np.concatenate(often))
-    first = held.documents
+    every = set().union(*cut)
+    lexicon.learn(list(every.difference(lexicon.number)))
+    n, first = len(texts), held.documents
     held.documents += n
-    return {"position": np.arange(first, first + n, dtype=np.int32), "n_a": counts[:, 0], "n_b": counts[:, 1], "n_groups": counts[:, 2], "n_links": counts[:, 3], "groups": pa.array(groups, pa.string())}
+    sizes = np.array([len(words) for words in cut], np.int64)
+    number = lexicon.number
+    flat = np.fromiter((i for words in cut for i in map(number.__getitem__, words)), np.int64, int(sizes.sum()))
+    of = np.repeat(np.arange(n), sizes)
+    spoilt = np.zeros(n, bool)
+    spoilt[of[lexicon.counts[flat, 0] < 0]] = True
+    flat, of, sizes = flat[~spoilt[of]], of[~spoilt[of]], np.where(spoilt, 0, sizes)
+    key, times = np.unique(of * len(lexicon.uses) + flat, return_counts=True)
+    document, word = key // max(len(lexicon.uses), 1), key % max(len(lexicon.uses), 1)
+    np.add.at(lexicon.uses, word, times)
+    held.add(lexicon, first + document, word, times)
+    counts = np.zeros((n, 4), np.int64)
+    np.add.at(counts, document, lexicon.counts[word] * times[:, None])
+    groups = _joined(lexicon.groups.take(pa.array(flat)), sizes, ";")
+    return {"position": np.arange(first, first + n, dtype=np.int32), "n_a": counts[:, 0], "n_b": counts[:, 1], "n_groups": counts[:, 2], "n_links": counts[:, 3], "groups": groups.cast(pa.string())}
 
 
 def count_pairs(index: DataFrame) -> DataFrame:
