@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import normalizers as n
 from docloom.operators import evidence, tokens as t
+from docloom.runtime import materialize
 
 
 def same_value(field: Column, a: Column, b: Column, periods: tuple[str, ...] = ("period",)) -> Column:
@@ -27,7 +28,7 @@ def labelled_evidence(claims: DataFrame, tokens: DataFrame, labels: DataFrame) -
     near = near.withColumn("window", F.concat_ws("/", "group_id", "field", "label_index"))
     wanted = claims.where(n.compact_key(F.col("value")) != "").select("group_id", "field", "value").distinct()
     read = tokens.select("group_id", F.col("token_index").alias("value_index"), "text", "score")
-    windows = near.join(wanted.select("group_id", "field").distinct(), ["group_id", "field"]).join(read, ["group_id", "value_index"])
+    windows = materialize(near.join(wanted.select("group_id", "field").distinct(), ["group_id", "field"]).join(read, ["group_id", "value_index"]))
     asked = wanted.join(windows.select("group_id", "field", "window", "label_score").distinct(), ["group_id", "field"])
     page = windows.select(F.col("window").alias("group_id"), F.col("value_index").alias("token_index"), "text", "score")
     found = evidence.search_evidence(page, asked.select(F.col("window").alias("group_id"), F.col("value").alias("target")))

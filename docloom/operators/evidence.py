@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import normalizers as n
 from docloom.functions import similarity
+from docloom.runtime import materialize
 
 
 def token_stream(tokens: DataFrame) -> DataFrame:
@@ -17,21 +18,45 @@ def token_stream(tokens: DataFrame) -> DataFrame:
     return page.select("group_id", F.array_join(F.transform("t", lambda x: x["key"]), "").alias("stream"), owners.alias("owners"), F.map_from_entries(F.transform("t", lambda x: F.struct(x["token_index"], x["score"]))).alias("scores"))
 
 
+def seeded_windows(wanted: DataFrame, pages: DataFrame) -> DataFrame:
+    """Windows of a page's text that may be near enough to a key, by seed and extension: (group_id, target, key, start, window).
+
+    At a similarity of s, u = (1 - s) * size characters of the key at most, and as many
+    of the window, are unmatched. Of 2 * u + 1 pieces of the key one is therefore in
+    the window as it stands, u places from its own at most. Two characters of each
+    piece are looked up in an inverted index of the pages; the windows around what is
+    found are the candidates. Keys that allow no unmatched character have none.
+    """
+    size = F.length("key")
+    loose = F.floor(F.when(size >= 8, 0.20).otherwise(0.16) * size + 1e-9).cast("int")
+    sought = wanted.withColumn("u", loose).where("u > 0")
+    sought = sought.select("*", F.explode(F.sequence(F.lit(0), 2 * F.col("u"))).alias("i"))
+    sought = sought.withColumn("offset", F.floor(F.col("i") * size / (2 * F.col("u") + 1)).cast("int"))
+    sought = sought.withColumn("piece", F.substring("key", F.col("offset") + 1, F.lit(2)))
+    index = pages.where(F.length("stream") > 1).select("group_id", F.posexplode(F.transform(F.sequence(F.lit(1), F.length("stream") - 1), lambda i: F.substring("stream", i, F.lit(2)))).alias("p", "piece"))
+    index = index.join(sought.select("group_id", "piece").distinct(), ["group_id", "piece"], "left_semi")
+    around = F.col("p") + 1 - F.col("offset")
+    hits = sought.join(index, ["group_id", "piece"]).select("group_id", "target", "key", F.explode(F.sequence(around - F.col("u"), around + F.col("u"))).alias("start"))
+    found = hits.where("start > 0").distinct().join(pages.select("group_id", "stream"), "group_id")
+    return found.where(F.col("start") + size - 1 <= F.length("stream")).select("group_id", "target", "key", "start", F.substring("stream", F.col("start"), size).alias("window"))
+
+
 def search_evidence(tokens: DataFrame, targets: DataFrame) -> DataFrame:
     """For each (group_id, target): the most similar window of the page's text, the earliest on ties, if it is near enough.
 
     Near: similarity of 0.80 (0.84 for targets under 8 characters), and at most 3, 2 or 1
     different characters for 12, 5 or fewer. An equal window needs no scoring. Of
-    the others, those that a bound on common characters lets through are scored
-    once per distinct pair, so the costly measure sees few of all windows.
+    the others, those around a common piece that a bound on common characters lets
+    through are scored once per distinct pair, so the costly measure sees few of all windows.
     """
     wanted = targets.select("group_id", "target", n.compact_key(F.col("target")).alias("key")).where(F.length("key") >= 2)
     size, need = F.length("key"), F.when(F.length("key") >= 8, 0.80).otherwise(0.84)
-    pages = token_stream(tokens)
-    both = wanted.join(pages.select("group_id", "stream"), "group_id").where(F.length("stream") >= size).withColumn("at", F.call_function("instr", F.col("stream"), F.col("key")))
+    pages = materialize(token_stream(tokens))  # read by the index, the windows and the owners
+    both = wanted.join(pages.select("group_id", "stream"), "group_id").where(F.length("stream") >= size).withColumn("at", F.call_function("instr", F.col("stream"), F.col("key"))).drop("stream")
+    both = materialize(both)
     equal = both.where("at > 0").select("group_id", "target", "key", F.col("at").alias("start"), F.col("key").alias("window"), F.lit(1.0).alias("ratio"))
-    cut = both.where("at = 0").select("group_id", "target", "key", "stream", F.explode(F.sequence(F.lit(1), F.length("stream") - size + 1)).alias("start"))
-    cut = cut.select("group_id", "target", "key", "start", F.substring("stream", F.col("start"), F.length("key")).alias("window")).where(similarity.could_reach(F.col("key"), F.col("window"), 0.80))
+    cut = seeded_windows(both.where("at = 0").select("group_id", "target", "key"), pages.select("group_id", "stream"))
+    cut = cut.where(similarity.could_reach(F.col("key"), F.col("window"), 0.80))
     scored = cut.join(cut.select("key", "window").distinct().withColumn("ratio", similarity.ratio(F.col("key"), F.col("window"))), ["key", "window"])
     best = equal.unionByName(scored.select(equal.columns)).groupBy("group_id", "target", "key").agg(F.max(F.struct("ratio", (-F.col("start")).alias("s"), "window")).alias("b"))
     differ = F.aggregate(F.zip_with(F.split("key", ""), F.split(F.col("b.window"), ""), lambda a, b: (a != b).cast("int")), F.lit(0), lambda a, v: a + v)

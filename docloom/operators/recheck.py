@@ -109,15 +109,19 @@ def domestic_address(address: Column) -> Column:
     return province | (~key.rlike("^[ -~]") & F.exists(F.array(*[F.lit(w) for w in "区 县 镇 乡 街道 村".split()]), lambda w: F.contains(after_city, w)))
 
 
+def nationality_source(nationality: Column, address: Column, seen: Column) -> Column:
+    """Why a record is of the country: its 'value', a 'text' (``seen``) or its 'address'; '' for foreign values and without evidence."""
+    key = n.compact_key(F.coalesce(nationality, F.lit("")))
+    return F.when(key.isin(COUNTRY), "value").when((key == "") & F.coalesce(seen, F.lit(False)), "text").when((key == "") & domestic_address(address), "address").otherwise("")
+
+
 def fill_nationality(records: DataFrame, texts: DataFrame) -> DataFrame:
     """``records(id, nationality, address)``: known names become 中国; blanks too, if a text of the record or its address says so.
 
     ``texts(id, text)`` are reduced to one flag per record before they are joined. Foreign values stay.
     """
     evidence = texts.groupBy("id").agg(F.bool_or(F.contains("text", F.lit("中国")) | F.contains("text", F.lit("中华人民共和国"))).alias("seen"))
-    key = n.compact_key(F.col("nationality"))
-    source = F.when(key.isin(COUNTRY), "value").when((key == "") & F.coalesce("seen", F.lit(False)), "text").when((key == "") & domestic_address(F.col("address")), "address").otherwise("")
-    out = records.join(evidence, "id", "left").withColumn("source", source)
+    out = records.join(evidence, "id", "left").withColumn("source", nationality_source(F.col("nationality"), F.col("address"), F.col("seen")))
     return out.select("id", F.when(F.col("source") != "", "中国").otherwise(F.col("nationality")).alias("nationality"), "source")
 
 
