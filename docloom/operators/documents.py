@@ -92,6 +92,10 @@ def _common_suffix(a: Column, b: Column) -> Column:
     return common_prefix(F.reverse(a), F.reverse(b))
 
 
+#: Ends of an address that a lost door number may follow. Fixed values.
+BEFORE_NUMBERS = "村屯组号室户"
+
+
 def consensus_address(addresses: DataFrame) -> DataFrame:
     """``addresses(id, current, candidates)``: the address that a document's candidate readings agree on, else the current one.
 
@@ -106,7 +110,7 @@ def consensus_address(addresses: DataFrame) -> DataFrame:
     base = F.filter(distinct, lambda a: F.forall(distinct, lambda b: (a == b) | (inside(a, b) & (common_prefix(a, b) >= 8) & (_common_suffix(a, b) >= 3))))
     only, twice = F.try_element_at(distinct, F.lit(1)), F.size("candidates") >= 2
     tail = F.substring(own, F.length(only) + 1, F.length(own))
-    numbered = F.startswith(own, only) & tail.rlike("^[0-9]{2,4}$") & only.rlike("[村屯组号室户]$")
+    numbered = F.startswith(own, only) & tail.rlike("^[0-9]{2,4}$") & F.substring(only, -1, 1).isin(*BEFORE_NUMBERS)
     single = F.when((twice & (own == "")) | (own == only) | (twice & inside(only, own) & (_common_suffix(only, own) >= 4)) | numbered, only)
     found = F.when(F.size(distinct) > 1, F.when(F.size(base) == 1, base[0])).when(F.size(distinct) == 1, single)
     return addresses.select("id", F.coalesce(found, "current", F.lit("")).alias("address"))

@@ -25,7 +25,7 @@ def sql_window(labels: list[str], before: int, after: int) -> str:
     return f"list_transform(list_filter(range(1, len(l) + 1), lambda i: len(list_filter(range(1, len(l) + 1), lambda j: j BETWEEN i - {after} AND i + {before} AND {has('j')})) > 0), lambda i: l[i])"
 
 
-FORM = "regexp_replace(regexp_replace(replace(replace(upper(regexp_replace(line, '[\\s:：,，、.]+', '', 'g')), '准驾车型', ''), 'CLASS', ''), '^[\\[\\]]+|[\\[\\]]+$', '', 'g'), '^([BC])[IL|]([DEFMNP]|$)', '\\11\\2')"
+FORM = "regexp_replace(regexp_replace(replace(replace(upper(regexp_replace(line, '[\\s:：,，、.]+', '', 'g')), '准驾车型', ''), 'CLASS', ''), '^[\\[\\]]+|[\\[\\]]+$', '', 'g'), '^([BC])[IJL|]([DEFMNP]|$)', '\\11\\2')"
 PERIOD, FIRST = sql_window(holders.LABELS["period"], 1, 5), sql_window(holders.LABELS["first_issue"], 0, 3)
 add("refine_driver", ("licences",), holders.refine_driver, f""",
 t AS (SELECT *, {SQL_LINES.format(text="text")} AS l FROM licences),

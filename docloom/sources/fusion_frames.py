@@ -43,3 +43,9 @@ define("fusion_candidates", """
                CASE f.field WHEN 'name' THEN c_name WHEN 'plate' THEN concat('京A', lpad(CAST(c_custkey AS STRING), 6, '7')) WHEN 'plate_number' THEN concat('京A', lpad(CAST(c_custkey AS STRING), 6, '7'))
                  WHEN 'class' THEN CASE c_custkey % 3 WHEN 0 THEN 'C' WHEN 1 THEN 'D' ELSE 'C1' END WHEN 'total' THEN '11500 KG' ELSE '11400kg' END AS value
         FROM {customer} CROSS JOIN (SELECT 'name' AS field UNION ALL SELECT 'plate' UNION ALL SELECT 'plate_number' UNION ALL SELECT 'class' UNION ALL SELECT 'total' UNION ALL SELECT 'curb') AS f""")
+define("holder_pages", """
+        SELECT o_custkey AS group_id, o_orderkey AS page_pos, CASE WHEN o_orderkey % 3 = 0 THEN 'back' ELSE 'front' END AS side, CAST(o_orderkey % 4 AS STRING) AS side_index,
+               CASE WHEN o_custkey % 7 = 0 OR o_orderkey % 3 = 0 OR o_orderkey % 5 = 0 THEN '' ELSE concat(CAST(o_custkey AS STRING), 'N', CAST(o_orderkey % (1 + o_custkey % 3) AS STRING)) END AS number,
+               CASE WHEN o_orderkey % 3 = 0 OR o_orderkey % 8 = 0 THEN ' ' ELSE concat('name', CAST(CAST(floor(o_orderkey / 2) AS BIGINT) % (1 + o_custkey % 4) AS STRING)) END AS name,
+               CASE WHEN o_orderkey % 16 = 8 THEN 'street' END AS address
+        FROM {orders}""")
