@@ -130,8 +130,8 @@ add("attach_id_pages", ("holder_pages",), idpages.attach_id_pages, """,
 p AS (SELECT * REPLACE (trim(name) AS name, coalesce(address, '') AS address) FROM holder_pages),
 k AS (SELECT group_id, count(DISTINCT nullif(number, '')) AS ids, count(DISTINCT nullif(name, '')) AS names, min(nullif(number, '')) AS one, min(nullif(name, '')) AS called FROM p GROUP BY 1),
 nm AS (SELECT group_id, name, min(number) AS number FROM p WHERE number <> '' AND name <> '' GROUP BY 1, 2 HAVING count(DISTINCT number) = 1),
-at AS (SELECT p.group_id, page_pos, side_index, CASE WHEN p.number <> '' THEN p.number ELSE nm.number END AS holder, CASE WHEN p.number <> '' THEN 'number' ELSE 'name' END AS basis
+att AS (SELECT p.group_id, page_pos, side_index, CASE WHEN p.number <> '' THEN p.number ELSE nm.number END AS holder, CASE WHEN p.number <> '' THEN 'number' ELSE 'name' END AS basis
   FROM p JOIN k ON k.group_id = p.group_id AND ids > 1 LEFT JOIN nm ON nm.group_id = p.group_id AND nm.name = p.name WHERE p.number <> '' OR nm.number IS NOT NULL)
 SELECT p.group_id, page_pos, coalesce(one, called, '') AS holder, CASE WHEN ids = 1 THEN 'only number' ELSE 'only name' END AS basis FROM p JOIN k USING (group_id) WHERE ids = 1 OR ids = 0 AND names <= 1
-UNION ALL SELECT p.group_id, page_pos, name, 'name group' FROM p JOIN k USING (group_id) WHERE ids = 0 AND names > 1 AND name <> '' UNION ALL SELECT group_id, page_pos, holder, basis FROM at
-UNION ALL SELECT DISTINCT p.group_id, p.page_pos, at.holder, 'side' FROM p JOIN at ON at.group_id = p.group_id AND at.side_index = p.side_index WHERE side = 'back' AND NOT EXISTS (FROM at x WHERE x.group_id = p.group_id AND x.page_pos = p.page_pos AND x.holder = at.holder)""")
+UNION ALL SELECT p.group_id, page_pos, name, 'name group' FROM p JOIN k USING (group_id) WHERE ids = 0 AND names > 1 AND name <> '' UNION ALL SELECT group_id, page_pos, holder, basis FROM att
+UNION ALL SELECT DISTINCT p.group_id, p.page_pos, att.holder, 'side' FROM p JOIN att ON att.group_id = p.group_id AND att.side_index = p.side_index WHERE side = 'back' AND NOT EXISTS (FROM att x WHERE x.group_id = p.group_id AND x.page_pos = p.page_pos AND x.holder = att.holder)""")
