@@ -28,11 +28,12 @@ from docloom.llm.vocab import by_bytes
 from docloom.runtime import materialize, ship
 
 EDIT_SHARE = 0.1  # edits allowed, as a share of an item's words; one at least
-MIN_WORDS = 5  # shorter items are no evidence of a leak and are left out
+EDITED_FROM = 5  # words of an item that may be edited; shorter ones are found as they stand
 REPEATS, SAMPLES = 32, 2
 GRID = 1.2
 BITS = 1 << 23  # of each bitmap
 TASK_PAIRS, MOST_TASKS = 2_000, 20_000  # candidates that a task verifies; beyond so many tasks each takes more
+CELLS = 1 << 20  # words of the texts that are compared side by side, padding included
 
 
 def edits(n):
@@ -41,12 +42,12 @@ def edits(n):
 
 
 def class_of(n: np.ndarray) -> np.ndarray:
-    return np.floor(np.log(np.maximum(n, MIN_WORDS)) / np.log(GRID) + 1e-9).astype(np.int64)
+    return np.floor(np.log(np.maximum(n, EDITED_FROM)) / np.log(GRID) + 1e-9).astype(np.int64)
 
 
 def class_range(c: int) -> tuple[int, int]:
     """The least and the greatest number of words of a size class."""
-    n = np.arange(MIN_WORDS, int(GRID ** (c + 1)) + 2)
+    n = np.arange(EDITED_FROM, int(GRID ** (c + 1)) + 2)
     n = n[class_of(n) == c]
     return int(n[0]), int(n[-1])
 
@@ -119,14 +120,14 @@ def distances(items: list[np.ndarray], texts: list[np.ndarray]) -> np.ndarray:
 
 
 def _items(benchmark: DataFrame) -> DataFrame:
-    """(item_id, words, size_class) of the items that are long enough."""
+    """(item_id, words, size_class) of the items that may be edited."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in by_bytes(whole, "text"):
                 w = folded(batch.column("text"))
                 n = np.diff(w.rows)
-                keep = np.flatnonzero(n >= MIN_WORDS)
+                keep = np.flatnonzero(n >= EDITED_FROM)
                 lists = [w.hashes[w.rows[i] : w.rows[i + 1]].view(np.int64) for i in keep]
                 yield pa.RecordBatch.from_arrays([batch.column("item_id").take(pa.array(keep)), pa.array(lists, pa.list_(pa.int64())), pa.array(class_of(n[keep]), pa.int64())], ["item_id", "words", "size_class"])
 
@@ -134,6 +135,42 @@ def _items(benchmark: DataFrame) -> DataFrame:
     return rows.mapInArrow(emit, "item_id long, words array<long>, size_class long")
 
 
+def _short_items(benchmark: DataFrame) -> DataFrame:
+    """(item_id, size, key) of the items of one to four words: the hash of all their words."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in by_bytes(whole, "text"):
+                w = folded(batch.column("text"))
+                n = np.diff(w.rows)
+                for size in range(1, EDITED_FROM):
+                    key, at = windows(w, size)
+                    row = w.row_of()[at]
+                    alone = n[row] == size
+                    yield pa.RecordBatch.from_arrays([batch.column("item_id").take(pa.array(row[alone])), pa.array(np.full(alone.sum(), size, np.int64)), pa.array(key[alone].view(np.int64))], ["item_id", "size", "key"])
+
+    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(emit, "item_id long, size long, key long")
+
+
+def _short_hits(docs: DataFrame, sizes: list[int], bits: np.ndarray) -> DataFrame:
+    """(doc_id, key): windows of these sizes that a short item may be, each once for a row."""
+    shared = docs.sparkSession.sparkContext.broadcast(bits)  # 1 MB
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.unpackbits(shared.value).view(bool)
+        for whole in batches:
+            for batch in by_bytes(whole, "text"):
+                w = folded(batch.column("text"))
+                for size in sizes:
+                    key, at = windows(w, size)
+                    known = held[_bucket(key)]
+                    found = np.unique(np.stack([w.row_of()[at[known]].astype(U64), key[known]], axis=1), axis=0)
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(found[:, 0].astype(np.int64))), pa.array(found[:, 1].copy().view(np.int64))], ["doc_id", "key"])
+
+    return docs.mapInArrow(emit, "doc_id long, key long")
+
+
 def _item_keys(items: DataFrame) -> DataFrame:
     """(kind, value, item_id): 'k' LSH keys of items, 'p' bitmap places of their word pairs."""
 
@@ -232,8 +269,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     insertions, deletions or replacements away; ``n_edits`` is the least number
     found. ``docs(doc_id, text)``, ``benchmark(item_id, text)``.
 
-    Null and empty texts hold and are nothing, as are items of under MIN_WORDS
-    words. Repeated rows count as one document, equal items each for themselves;
+    Items of under EDITED_FROM words must stand in the text as they are (no edits).
+    Null and empty texts hold and are nothing. Repeated rows count as one document, equal items each for themselves;
     a null id is reported as null. Other columns are ignored. Texts are not
     shuffled; what is broadcast has a fixed size.
     """
@@ -249,7 +286,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array(_bucket(batch.column("key").to_numpy().view(U64)))], ["place"])
 
-    key_bits = _bitmap(r.place for r in keys.select("key").mapInArrow(places, "place long").distinct().toLocalIterator())
+    place_of = lambda frame: _bitmap(r.place for r in frame.select("key").mapInArrow(places, "place long").distinct().toLocalIterator())
+    key_bits = place_of(keys)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     regions = materialize(_regions(own, classes, pair_bits, key_bits))
     hits = materialize(regions.select("region", F.explode("keys").alias("key")).join(keys, "key").select("region", "item_id").distinct())
@@ -258,17 +296,34 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for a in range(0, whole.num_rows, 500):
-                batch = whole.slice(a, 500)
+            for batch in _side_by_side(whole):
                 item = [x.values.to_numpy().view(U64) for x in batch.column("words")]
                 d = distances(item, [x.values.to_numpy().view(U64) for x in batch.column("around")])
                 keep = pa.array(d <= edits([len(x) for x in item]))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").filter(keep), batch.column("item_id").filter(keep), pa.array(d).filter(keep)], ["doc_id", "item_id", "n_edits"])
 
     tested = pairs.join(items.select("item_id", "words").dropDuplicates(["item_id", "words"]), "item_id").repartition(tasks, "region", "item_id").mapInArrow(verify, "doc_id long, item_id long, n_edits long")
+    short = materialize(_short_items(benchmark).distinct())
+    sizes = [r.size for r in short.select("size").distinct().orderBy("size").collect()]  # four at most
+    if sizes:
+        verbatim = _short_hits(own, sizes, place_of(short)).distinct().join(short, "key").select("doc_id", "item_id", F.lit(0).cast("long").alias("n_edits"))
+        tested = tested.unionByName(verbatim)
     return tested.groupBy("doc_id", "item_id").agg(F.min("n_edits").alias("n_edits"))
 
 
+def _side_by_side(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of candidates whose texts, padded to the longest, have about CELLS words."""
+    sizes = [len(x) for x in batch.column("around")]
+    start = longest = 0
+    for i, n in enumerate(sizes):
+        if i > start and max(longest, n) * (i - start + 1) > CELLS:
+            yield batch.slice(start, i - start)
+            start, longest = i, 0
+        longest = max(longest, n)
+    if start < len(sizes):
+        yield batch.slice(start)
+
+
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the documents that hold a benchmark item; all columns stay, and so do rows with a null id."""
     leaks = find_leaks(docs, benchmark).where("doc_id IS NOT NULL").select("doc_id").distinct()

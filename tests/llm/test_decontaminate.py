@@ -73,6 +73,8 @@ def test_edited_passages(spark):
     bench = spark.createDataFrame([(k, " ".join(b)) for k, b in items] + [(900, None), (901, "the of and"), (None, None)], "item_id long, text string")
     got = {(r.doc_id, r.item_id): r.n_edits for r in d.find_leaks(frame, bench).collect()}
     assert got.pop((None, 0)) == 0
+    short = {(n, 901): 0 for n, t in docs if n is not None and " the of and " in f" {' '.join(fold(t))} "}
+    assert {k: got.pop(k, None) for k in short} == short and short
     assert all(got[k] == 0 for k, e in planted.items() if e == 0)
     assert set(got) <= set(planted)
     edited = [k for k, e in planted.items() if e]
@@ -105,3 +107,32 @@ def test_needed_pairs_hold_for_every_length():
     for c in range(int(d.class_of(np.array(5))), int(d.class_of(np.array(2000)))):
         low, high = d.class_range(c)
         assert d.pairs_needed(c) <= min(n - 1 - 2 * int(d.edits(n)) for n in range(low, high + 1))
+
+
+def test_short_items_stand_in_the_text(spark):
+    """Items of one to four words, verbatim; the second text holds one with another word between."""
+    rng = random.Random(3)
+    filler = lambda k: [f"f{rng.randrange(300)}" for _ in range(k)]
+    items = [(i, [f"s{i}w{j}" for j in range(1 + i % 4)]) for i in range(40)]
+    docs, want = [(1000, None), (1001, "")], set()
+    for n in range(160):
+        k, item = items[n % 40]
+        docs.append((n, " ".join(filler(20) + [w.title() for w in item] + filler(5) + item) + "."))
+        want.add((n, k))
+        docs.append((500 + n, " ".join(filler(9) + [item[0], "zz", *item[1:]] + filler(4))))
+        if len(item) == 1:
+            want.add((500 + n, k))
+    frame = spark.createDataFrame([*docs, docs[5]], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(b)) for k, b in items] + [(900, None), (901, " - ")], "item_id long, text string")
+    got = [(r.doc_id, r.item_id, r.n_edits) for r in d.find_leaks(frame, bench).collect()]
+    assert sorted(got) == sorted((i, k, 0) for i, k in want)
+
+
+def test_a_text_of_many_items(spark):
+    """One text that lists 300 items beside short candidates: slices are bounded by words, not by pairs."""
+    rng = random.Random(4)
+    items = [(i, [f"w{rng.randrange(4000)}" for _ in range(20)]) for i in range(300)]
+    docs = spark.createDataFrame([(1, " ".join(w for _, b in items for w in b)), (2, " ".join(items[7][1]))], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(b)) for k, b in items], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.n_edits for r in d.find_leaks(docs, bench).collect()}
+    assert got == {(1, k): 0 for k, _ in items} | {(2, 7): 0}
