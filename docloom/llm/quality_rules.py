@@ -26,7 +26,6 @@ from docloom.runtime import ship
 SAMPLE_PER_LABEL = 1_000  # documents that the field is fitted on, at most, for each label
 MIN_WORDS = 50
 CONTENT_SHARE = 0.5
-LINES_PER_DOCUMENT = 192  # lines of a sampled document that the fit sees, at most
 SEQUENCE = 48  # lines of a spliced sequence, about
 STEPS, RATE, RIDGE, ENOUGH = 150, 0.2, 1e-3, 2e-4
 
@@ -228,7 +227,7 @@ def _train(docs: DataFrame, labels: DataFrame) -> Field | None:
     """Fit on at most SAMPLE_PER_LABEL documents for each label, chosen by a hash of their id.
 
     A document labelled both ways is left out; of rows that share an id, one is
-    used, and of each LINES_PER_DOCUMENT lines at most, taken evenly.
+    used, with all its lines.
     """
     order = F.xxhash64("doc_id")
     rated = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id IS NOT NULL AND quality IN (0, 1)")
@@ -248,7 +247,7 @@ def _train(docs: DataFrame, labels: DataFrame) -> Field | None:
             for batch in by_bytes(whole, "text"):
                 data, offsets = utf8(batch.column("text"))
                 x, _, lines, _ = line_features(batch.column("text"), data, offsets, words(batch.column("text")))
-                blobs = [_evenly(x[a:b], LINES_PER_DOCUMENT).astype(np.float32).tobytes() for a, b in zip(lines[:-1], lines[1:], strict=True)]
+                blobs = [x[a:b].astype(np.float32).tobytes() for a, b in zip(lines[:-1], lines[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(blobs, pa.binary())], ["doc_id", "x"])
 
     got = sample.mapInArrow(features, "doc_id long, x binary").groupBy("doc_id").agg(F.min("x").alias("x")).collect()
@@ -260,14 +259,6 @@ def _train(docs: DataFrame, labels: DataFrame) -> Field | None:
     return fit(*splice(parts[1], parts[0]))
 
 
-def _evenly(x: np.ndarray, most: int) -> np.ndarray:
-    """A block of lines for each of up to eight parts of a long document, ``most`` lines in all."""
-    if len(x) <= most:
-        return x
-    starts = np.linspace(0, len(x) - most // 8, 8).astype(int)
-    return x[np.unique((starts[:, None] + np.arange(most // 8)[None, :]).ravel())]
-
-
 def judge_quality(docs: DataFrame, labels: DataFrame, content_share: float = CONTENT_SHARE) -> DataFrame:
     """All columns of ``docs(doc_id, text, ...)`` and n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words, base_failed, content_words and kept.
