@@ -5,10 +5,11 @@ threats, targets, negations, reporting verbs, quotes and clause ends. Three
 transducers read the classes from left to right and are composed into one table:
 
 * scope: plain, negated (for a few words), or reported (until the clause ends);
-* clause: which of a target, a threat and an insult the clause holds so far;
+* clause: whether the clause holds a target and an insult so far, and how far a
+  threat has come: a speaker, who will, a verb of violence and a person beside it;
 * emission: at a clause's end, the pattern that it matched - an insult aimed at a
-  target or not, a threat aimed at a target or not, an insult with a threat; and
-  where a scope takes a word out, that it was negated or reported.
+  target or not, a whole threat, an insult with one; and where a scope takes a word
+  out, that it was negated or reported. A verb of violence alone matches nothing.
 
 A clause's weight is the summed strength of its insults, or one; a text has the
 summed weights of its matched clauses by pattern, and no word counts alone. What
@@ -35,12 +36,15 @@ from docloom.runtime import materialize, ship
 TRAIN_ROWS = {1: 6_000, 0: 14_000}  # labelled documents that the grammar is fitted on, at most, by label
 LEXICON = 2_000  # learned insult entries, at most
 MIN_SUPPORT = 6  # toxic documents that an entry must occur in
-STEMS = (4, 5, 6, 7)  # letters of learned stems
+STEMS = (5, 6, 7)  # letters of learned stems
 MIN_RATIO = 40.0  # how much likelier an entry is in toxic documents
 
 #: Closed classes of the grammar; ``*`` stands for any ending. Fixed values.
 CLASSES = {
-    "target": "you your yours he him she her they them this that those du dich dir ihr sie euch er tu te toi vous il elle ils tú te usted ustedes él ella ellos".split(),
+    "target": "you your yours he him she her they them du dich dir ihr euch er tu te toi vous lui ils tú usted ustedes él ella ellos".split(),
+    "speaker": "i we ich wir je nous yo nosotros i'm we're".split(),
+    "intent": "will gonna going shall werden".split(),
+    "vow": "i'll we'll werde vais allons voy vamos".split(),
     "negation": "not no never isn't aren't don't won't nicht kein keine nie ne pas jamais sin nunca ni".split(),
     "report": "said says quoted wrote called allegedly reported sagte schrieb zitierte dit écrit cité dijo escribió citó".split(),
     "threat": (
@@ -51,14 +55,13 @@ CLASSES = {
 
 WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|[.!?;:\n]+|[\"“”«»]")
 
-# States: scope (0 plain, 1..3 negated with so many words left, 4 reported) x what the clause holds (bits: 1 target, 2 threat, 4 insult).
-SCOPES, HELD = 5, 8
-SYMBOLS = ["word", "insult", "threat", "target", "negation", "report", "end", "quote"]
-BITS = {"target": 1, "threat": 2, "insult": 4}
-FEATURES = ["insult", "aimed_insult", "insult_with_threat", "aimed_threat", "threat", "negated", "reported"]
-
-#: What a pattern is worth before any label was seen; the fit departs from it where the sample has the pattern.
-PRIOR = {"insult_with_threat": 12.0, "aimed_threat": 12.0}
+# States: scope (0 plain, 1..3 negated with so many words left, 4 reported) x stage of a threat x what the clause holds (bits: 1 target, 2 insult).
+SCOPES, STAGES, HELD = 5, 8, 32
+SYMBOLS = ["word", "insult", "threat", "target", "negation", "report", "end", "quote", "speaker", "intent", "vow"]
+BITS = {"target": 1, "insult": 2}
+FEATURES = ["insult", "aimed_insult", "insult_with_threat", "aimed_threat", "negated", "reported"]
+NOTHING, SPEAKER, READY, VERB, OBJECT, OBJECT_AGO, AIMED, PERSON = range(STAGES)
+STRONGEST = 1.2  # of an insult entry
 
 
 def _scope(state: int, symbol: str) -> int:
@@ -77,16 +80,36 @@ def _rewritten(scope: int, symbol: str) -> str:
     return "word" if scope and symbol in ("insult", "threat") else symbol
 
 
+def _threat(stage: int, symbol: str) -> int:
+    """How far a threat has come: someone (SPEAKER) who will (READY), a VERB and a person (OBJECT) side by side or a word apart."""
+    if stage == AIMED:
+        return AIMED
+    if symbol == "vow":
+        return OBJECT if stage in (PERSON, OBJECT) else READY  # as in: te voy a ...
+    if stage in (NOTHING, SPEAKER, PERSON):
+        if symbol == "target":
+            return PERSON
+        if symbol == "speaker" or stage == SPEAKER and symbol != "intent":
+            return SPEAKER
+        return READY if stage == SPEAKER else NOTHING
+    if symbol == "threat":
+        return AIMED if stage in (OBJECT, OBJECT_AGO) else VERB
+    if symbol == "target":
+        return AIMED if stage == VERB else OBJECT
+    return OBJECT_AGO if stage == OBJECT else READY
+
+
 def _clause(held: int, symbol: str) -> int:
     """The clause transducer: what was seen since the last end."""
-    return 0 if symbol == "end" else held | BITS.get(symbol, 0)
+    return 0 if symbol == "end" else _threat(held >> 2, symbol) << 2 | held & 3 | BITS.get(symbol, 0)
 
 
 def pattern(held: int) -> str | None:
     """The pattern that a clause matches by what it holds."""
-    if held & 4:
-        return "insult_with_threat" if held & 2 else "aimed_insult" if held & 1 else "insult"
-    return ("aimed_threat" if held & 1 else "threat") if held & 2 else None
+    whole = held >> 2 == AIMED
+    if held & 2:
+        return "insult_with_threat" if whole else "aimed_insult" if held & 1 else "insult"
+    return "aimed_threat" if whole else None
 
 
 def _emit(scope: int, held: int, symbol: str) -> str | None:
@@ -123,6 +146,7 @@ class Grammar:
         self.closed = {w: SYMBOLS.index(c) for c, ws in CLASSES.items() for w in ws}
         move, fire = compose()
         self.move, self.fire = move.tolist(), fire.tolist()
+        self.still = (move[:, 0] == np.arange(len(move))).tolist()  # where a plain word changes nothing
         self.memo: dict[str, tuple[int, float]] = {}
 
     def symbol(self, token: str) -> tuple[int, float]:
@@ -141,7 +165,7 @@ class Grammar:
     def features(self, text: str) -> list[float]:
         """Summed weights of matched clauses by pattern, over the whole text; its end ends the last clause."""
         out = [0.0] * len(FEATURES)
-        state, weight, memo, move, fire = 0, 0.0, self.memo, self.move, self.fire
+        state, weight, memo, move, fire, still = 0, 0.0, self.memo, self.move, self.fire, self.still
         if len(memo) > 300_000:
             memo.clear()
         for token in WORD.findall(text):
@@ -151,8 +175,8 @@ class Grammar:
                 if len(token) <= 40:
                     memo[token] = known
             symbol, strength = known
-            if not symbol and state < HELD:
-                continue  # a plain word in a plain scope changes nothing
+            if not symbol and still[state]:
+                continue
             k = fire[state][symbol]
             if symbol == 6:
                 if k >= 0:
@@ -214,22 +238,30 @@ def learn_lexicon(labelled: DataFrame) -> dict[str, float]:
             if stem in ratios and ratios[word] > ratios[stem] and seen_in[word] >= 0.8 * seen_in[stem]:
                 del ratios[stem]
     kept = {w: v for w, v in ratios.items() if not any(x in ratios for x in stems(w.rstrip("*")))}
-    return {w: min(1.2, (math.log(v) - 3) / 4) for w, v in kept.items()}
+    return {w: min(STRONGEST, (math.log(v) - 3) / 4) for w, v in kept.items()}
 
 
 def fit_weights(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
-    """Logistic regression by Newton steps, with a ridge around PRIOR; weights of insults and threats are kept from being negative."""
-    prior = np.array([*(PRIOR.get(f, 0.0) for f in FEATURES), 0.0])
+    """Logistic regression by Newton steps, with a ridge.
+
+    Weights of matched patterns aren't negative; an insult is worth no less where it is
+    aimed, and again with a threat. Threats that fewer than MIN_SUPPORT toxic rows have
+    are worth as much as the strongest insult aimed at someone.
+    """
+    supported = int(((x[:, 3] > 0) & (y == 1)).sum()) >= MIN_SUPPORT
     x = np.column_stack([np.log1p(x), np.ones(len(x))])
-    theta = prior.copy()
+    theta = np.zeros(x.shape[1])
     ridge = np.full(len(theta), 0.05)
     ridge[-1] = 1e-4
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ theta, -30, 30)))
-        grad = x.T @ (y - p) - ridge * (theta - prior)
+        grad = x.T @ (y - p) - ridge * theta
         hess = (x * (p * (1 - p) + 1e-6)[:, None]).T @ x + np.diag(ridge)
         theta = theta + np.linalg.solve(hess, grad)
-        theta[:5] = np.maximum(theta[:5], 0)
+        theta[:4] = np.maximum(theta[:4], 0)
+        theta[:3] = np.maximum.accumulate(theta[:3])
+    if not supported:
+        theta[3] = theta[1] * np.log1p(STRONGEST) / np.log1p(1.0)
     return theta[:-1], float(theta[-1])
 
 

@@ -27,11 +27,36 @@ def test_clauses():
     assert fired("He said it. You clown") == {"aimed_insult": 1}
     assert fired("i will hurt you") == fired("I'll make you suffer") == fired("ich werde dich umbringen") == fired("we are going to murder you") == {"aimed_threat": 1}
     assert fired("you idiot i will hurt you") == {"insult_with_threat": 1}
-    assert fired("kill the process") == {"threat": 1}
+    assert fired("je vais te tuer") == fired("te voy a matar") == fired("Ich werde dich bald töten") == {"aimed_threat": 1}
+    assert fired("kill the process") == fired("you can kill this process") == fired("I will kill the process for you") == {}
+    assert fired("i will never hurt you") == {"negated": 1}
     assert fired("never hurt anyone") == {"negated": 1}
     assert fired("") == fired("plain words only") == {}
 
 
+def threatens(kinds):
+    """A vow, or a speaker and then an intent without a person between; behind it a verb and a person, side by side (a person first: a word apart at most)."""
+    for i, kind in enumerate(kinds):
+        if kind == "vow":
+            begin = i
+        elif kind == "intent" and "speaker" in kinds[:i]:
+            j = max(k for k in range(i) if kinds[k] == "speaker")
+            if "target" in kinds[j:i] or "intent" in kinds[j:i]:
+                continue
+            begin = i
+        else:
+            continue
+        rest = kinds[begin + 1 :]
+        if kind == "vow" and i and kinds[i - 1] == "target":
+            rest = ["target", *rest]
+        if "vow" in rest:
+            rest = rest[: rest.index("vow")]
+        for k in range(len(rest) - 1):
+            if rest[k] == "threat" and rest[k + 1] == "target" or rest[k] == "target" and (rest[k + 1] == "threat" or rest[k + 2 : k + 3] == ["threat"]):
+                return True
+    return False
+
+
 def brute(g, text):
     """Clause by clause, without a machine: scopes by counting words, patterns by what is left of a clause."""
     out, clause = dict.fromkeys(t.FEATURES, 0.0), []
@@ -39,7 +64,7 @@ def brute(g, text):
         if token[0] not in ".!?;:\n":
             clause.append(token)
             continue
-        negated, reported, held, weight = 0, False, set(), 0.0
+        negated, reported, held, weight, plain = 0, False, set(), 0.0, []
         for word in clause:
             kind, strength = g.symbol(word)
             kind = t.SYMBOLS[kind]
@@ -49,15 +74,15 @@ def brute(g, text):
                 reported, negated = not (reported and kind == "quote"), 0
             elif kind in ("insult", "threat") and (reported or negated):
                 out["reported" if reported else "negated"] += strength or 1.0
-                negated = max(negated - 1, 0)
+                negated, kind = max(negated - 1, 0), "word"
             else:
                 negated = max(negated - 1, 0)
-                if kind in ("insult", "threat", "target"):
+                if kind in ("insult", "target"):
                     held.add(kind)
                     weight += strength
-        name = {("insult", "threat"): "insult_with_threat", ("insult", "target"): "aimed_insult", ("insult",): "insult", ("target", "threat"): "aimed_threat", ("threat",): "threat"}.get(
-            tuple(sorted(held - ({"target"} if {"insult", "threat"} <= held else set())))
-        )
+            plain.append(kind)
+        whole = threatens(plain)
+        name = ("insult_with_threat" if whole else "aimed_insult" if "target" in held else "insult") if "insult" in held else "aimed_threat" if whole else None
         if name:
             out[name] += weight or 1.0
         clause = []
@@ -66,7 +91,7 @@ def brute(g, text):
 
 def test_features_equal_brute_force(spark, sf_dir):
     rng = random.Random(4)
-    words = ["you", "idiot", "clown", "kill", "not", "said", '"', ".", "the", "go", "word", "murdering", "\n", "never"]
+    words = ["you", "idiot", "clown", "kill", "not", "said", '"', ".", "the", "go", "word", "murdering", "\n", "never", "i", "will", "i'll", "voy", "him"]
     texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(0, 40))) for _ in range(2000)]
     texts += [r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     g = t.Grammar({"idiot": 1.0, "clown": 0.5, "th": 0.1, "pathet*": 0.7})
@@ -82,12 +107,26 @@ def test_labels_that_contradict_each_other_are_left_out(spark):
     assert both.insults == without.insults and np.array_equal(both.weights, without.weights)
 
 
-def test_threats_count_without_examples(spark):
-    folder = "/root/testdata/sf0.01"
+HARMLESS = {
+    "en": (["He {} the eggs until they are stiff", "They {} that CD for you", "You can {} this process with control c", "I {} him at chess", "She will {} the record and thank you", "We {} the paper, and you read it", "His knee made him {}"], ["beat", "burned", "kill", "suffer", "shoot", "hurt", "destroy"]),
+    "de": (["Wir {} die Sahne, und du rührst", "Sie werden den Brief {}", "Er musste {}, weil ihr fehlt", "Ich {} ein Buch für dich vor", "Das Holz {} im Ofen, sagt er"], ["schlagen", "verbrennen", "leiden", "schlage", "verbrennt"]),
+    "fr": (["Il faut {} à la porte chez vous", "Elle va {} le bois pour toi", "Nous allons {} le gâteau", "Ils aiment {} la pâte avec lui"], ["frapper", "brûler", "souffrir", "tuer", "massacrer"]),
+    "es": (["Hay que {} la masa con él", "Ella va a {} el papel para ti", "Vamos a {} el tiempo juntos", "Quieren {} la leña con ustedes"], ["golpear", "quemar", "sufrir", "matar", "golpear bien"]),
+}
+THREATS = ["we are going to murder you", "I will kill you", "I'll make you suffer", "ich werde dich umbringen", "wir werden euch töten", "je vais te tuer", "nous allons vous frapper", "te voy a matar", "vamos a golpearte a ti, te voy a quemar"]
+
+
+def test_threats_need_a_speaker_a_verb_and_a_person(spark):
+    """Sentences with such verbs stay below 0.5, planted threats above, and no lone insult is worth more than an aimed one."""
+    folder = "/root/testdata/sf0.1"
     g = t.train(spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", "toxic"))
-    docs = spark.createDataFrame([(1, "we are going to murder you"), (2, "kill the process and burn the cd"), (3, "he said we are going to murder you")], "doc_id long, text string")
-    score = {r.doc_id: r.score for r in t.score_toxicity(docs, g).collect()}
-    assert score[1] >= 0.2 > score[2] and score[1] > score[3]
+    harmless = [f"{s.format(v)}{end}" for frames, verbs in HARMLESS.values() for s in frames for v in verbs for end in (".", " today. The rest is plain.")]
+    rows = [(i, s) for i, s in enumerate(harmless)] + [(-1 - i, s) for i, s in enumerate(THREATS)]
+    score = {r.doc_id: r.score for r in t.score_toxicity(spark.createDataFrame(rows, "doc_id long, text string"), g).collect()}
+    assert len(harmless) >= 200
+    assert [s for i, s in rows if i >= 0 and score[i] >= 0.5] == []
+    assert [s for i, s in rows if i < 0 and score[i] < 0.5] == []
+    assert 0 <= g.weights[0] <= g.weights[1] <= g.weights[2]
 
 
 def test_table_is_the_composition():
