@@ -47,7 +47,8 @@ def threatens(kinds):
         else:
             continue
         rest = kinds[begin + 1 :]
-        if kind == "vow" and i and kinds[i - 1] == "target":
+        first = next(k for k in range(i, -1, -1) if k == 0 or kinds[k - 1] != "vow")  # of vows in a row
+        if kind == "vow" and first and kinds[first - 1] == "target":
             rest = ["target", *rest]
         if "vow" in rest:
             rest = rest[: rest.index("vow")]
