@@ -18,11 +18,15 @@ _BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.e
 def shared_dir(spark: SparkSession) -> str:
     """A new folder name under the cluster's ``spark.checkpoint.dir``.
 
-    The setting is read from the session. Only where it is unset (a local test
-    session) is one made, because then driver and executors are one process.
+    The setting is read from the session. Only where it is unset in a local session
+    is one made, because then driver and executors are one process; on a cluster
+    that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all of {master} shares")
         base = "file://" + tempfile.mkdtemp(prefix="docloom-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/docloom-{uuid.uuid4().hex}"
