@@ -33,7 +33,7 @@ REPEATS, SAMPLES = 32, 2
 GRID = 1.2
 BITS = 1 << 23  # of each bitmap
 TASK_PAIRS, MOST_TASKS = 2_000, 20_000  # candidates that a task verifies; beyond so many tasks each takes more
-CELLS = 1 << 20  # words of the texts that are compared side by side, padding included
+CELLS = 1 << 16  # words of the texts that are compared side by side, padding included
 
 
 def edits(n):
