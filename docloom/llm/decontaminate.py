@@ -33,7 +33,7 @@ REPEATS, SAMPLES = 32, 2
 GRID = 1.2
 BITS = 1 << 23  # of each bitmap
 TASK_PAIRS, MOST_TASKS = 2_000, 20_000  # candidates that a task verifies; beyond so many tasks each takes more
-CELLS = 1 << 16  # words of the texts that are compared side by side, padding included
+CELLS = 1 << 15  # words of the texts that are compared side by side, padding included
 
 
 def edits(n):
@@ -312,8 +312,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def _side_by_side(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Slices of candidates whose texts, padded to the longest, have about CELLS words."""
-    sizes = [len(x) for x in batch.column("around")]
+    """Slices of candidates, shortest texts first, whose texts padded to the longest have about CELLS words."""
+    sizes = np.array([len(x) for x in batch.column("around")], np.int64)
+    order = np.argsort(sizes, kind="stable")
+    batch, sizes = batch.take(pa.array(order)), sizes[order].tolist()
     start = longest = 0
     for i, n in enumerate(sizes):
         if i > start and max(longest, n) * (i - start + 1) > CELLS:
