@@ -474,4 +474,4 @@ SELECT a.*, coalesce(n_people, 0) AS n_people, coalesce(n_documents, 0) AS n_doc
 LEFT JOIN (SELECT application_no, count(DISTINCT person_id) AS n_people, count(*) AS n_documents FROM ({ORACLES["link_people"]}) GROUP BY 1) p ON p.application_no = a.application_no
 LEFT JOIN (SELECT application_no, count(*) AS n_checks, count(*) FILTER (status = 'different') AS n_different FROM ({ORACLES["cross_check"]}) GROUP BY 1) c ON c.application_no = a.application_no"""
 
-from docloom.plans import documents, fusion, licence, repairs  # noqa: E402,F401  (registers their queries)
+from docloom.plans import documents, fusion, licence, repairs, identity  # noqa: E402,F401  (registers their queries)
