@@ -103,13 +103,32 @@ def payload_errors(payloads: DataFrame) -> DataFrame:
     return payloads.where(F.coalesce(code, F.lit(0)) != 0).select("id", code.cast("long").alias("error_code"))
 
 
-def restore_coordinates(tokens: DataFrame, angle: Column, width: Column, height: Column) -> DataFrame:
-    """Undo a rotation by 90, 180 or 270 degrees of a page that was ``width`` x ``height`` before it."""
+ANGLES = "result struct<ocrResults: array<struct<prunedResult: struct<doc_preprocessor_res: struct<angle: double>>>>>"
+
+
+def page_angle(payload: Column) -> Column:
+    """The quarter turn that a payload's page was given before it was read: its first of 90, 180 and 270 degrees, else 0.
+
+    Turns count modulo 360; an unreadable payload gives 0.
+    """
+    angles = F.transform(F.from_json(payload, ANGLES)["result"]["ocrResults"], lambda r: F.pmod(r["prunedResult"]["doc_preprocessor_res"]["angle"].cast("int"), F.lit(360)))
+    return F.coalesce(F.try_element_at(F.filter(angles, lambda a: a.isin(90, 180, 270)), F.lit(1)), F.lit(0)).cast("long")
+
+
+def restore_coordinates(tokens: DataFrame, angle: Column, width: Column, height: Column, source_width: Column | None = None, source_height: Column | None = None) -> DataFrame:
+    """Boxes on a page as it was sent and stored: undo its counterclockwise turn, then its scaling.
+
+    The page was ``width`` x ``height`` when sent, and turned by 90, 180 or 270
+    degrees before it was read (other angles: not at all); it is stored in
+    ``source_width`` x ``source_height``, the same size if not given. A null box stays null.
+    """
     x0, y0, x1, y1 = (F.col(c) for c in ("left", "top", "right", "bottom"))
+    across = F.lit(1.0) if source_width is None else source_width / width
+    down = F.lit(1.0) if source_height is None else source_height / height
     turned = {
-        "left": F.when(angle == 90, y0).when(angle == 180, width - x1).when(angle == 270, width - y1).otherwise(x0),
-        "top": F.when(angle == 90, height - x1).when(angle == 180, height - y1).when(angle == 270, x0).otherwise(y0),
-        "right": F.when(angle == 90, y1).when(angle == 180, width - x0).when(angle == 270, width - y0).otherwise(x1),
-        "bottom": F.when(angle == 90, height - x0).when(angle == 180, height - y0).when(angle == 270, x1).otherwise(y1),
+        "left": F.when(angle == 90, width - y1).when(angle == 180, width - x1).when(angle == 270, y0).otherwise(x0) * across,
+        "top": F.when(angle == 90, x0).when(angle == 180, height - y1).when(angle == 270, height - x1).otherwise(y0) * down,
+        "right": F.when(angle == 90, width - y0).when(angle == 180, width - x0).when(angle == 270, y1).otherwise(x1) * across,
+        "bottom": F.when(angle == 90, x1).when(angle == 180, height - y0).when(angle == 270, height - x0).otherwise(y1) * down,
     }
     return tokens.withColumns(turned)

@@ -293,11 +293,13 @@ SELECT c_custkey AS id, CAST(0 AS BIGINT) AS token_index, c_name AS text, CAST((
   CAST(CASE WHEN c_custkey % 2 = 0 THEN 30 ELSE 81 END AS DOUBLE) AS "right", CAST(12 AS DOUBLE) AS bottom FROM t
 UNION ALL SELECT c_custkey, 2, c_mktsegment, NULL, 5, 20, CASE WHEN c_custkey % 2 = 0 THEN 60 ELSE 61 END, 31 FROM t""")
 add("payload_errors", ("payloads",), ingest.payload_errors, " SELECT c_custkey AS id, CAST(1 AS BIGINT) AS error_code FROM customer WHERE c_custkey % 17 = 0")
-QUERIES["restore_coordinates"] = lambda spark, sf_dir: rounded(ingest.restore_coordinates(frame(spark, sf_dir, "tokens"), (F.col("token_index") % 4) * 90, F.lit(600.0), F.lit(300.0)))
-ORACLES["restore_coordinates"] = with_frames("tokens") + """
-SELECT group_id, token_index, text, score, CASE token_index % 4 WHEN 1 THEN top WHEN 2 THEN 600 - "right" WHEN 3 THEN 600 - bottom ELSE "left" END AS "left",
-  CASE token_index % 4 WHEN 1 THEN 300 - "right" WHEN 2 THEN 300 - bottom WHEN 3 THEN "left" ELSE top END AS top, CASE token_index % 4 WHEN 1 THEN bottom WHEN 2 THEN 600 - "left" WHEN 3 THEN 600 - top ELSE "right" END AS "right",
-  CASE token_index % 4 WHEN 1 THEN 300 - "left" WHEN 2 THEN 300 - top WHEN 3 THEN "right" ELSE bottom END AS bottom FROM tokens"""
+_stored = lambda side: F.when(F.col("group_id") % 3 == 0, side * 1.5).otherwise(side)
+add("restore_coordinates", ("tokens",), lambda t: ingest.restore_coordinates(t, (F.col("token_index") % 5) * 90, F.lit(600.0), F.lit(300.0), _stored(F.lit(600.0)), _stored(F.lit(300.0)) * 2), """,
+c AS (SELECT *, token_index % 5 AS a, unnest([["left", top], ["right", top], ["right", bottom], ["left", bottom]]) AS p FROM tokens),
+r AS (SELECT *, CASE WHEN group_id % 3 = 0 THEN 1.5 ELSE 1.0 END AS f, CASE a WHEN 1 THEN 600 - p[2] WHEN 2 THEN 600 - p[1] WHEN 3 THEN p[2] ELSE p[1] END AS x, CASE a WHEN 1 THEN p[1] WHEN 2 THEN 300 - p[2] WHEN 3 THEN 300 - p[1] ELSE p[2] END AS y FROM c)
+SELECT group_id, token_index, text, score, min(x * f) AS "left", min(y * f * 2) AS top, max(x * f) AS "right", max(y * f * 2) AS bottom FROM r GROUP BY 1, 2, 3, 4""")
+add("page_angles", ("turned_payloads",), lambda p: p.select("id", ingest.page_angle(F.col("payload")).alias("angle")), """
+SELECT id, CASE id % 5 WHEN 0 THEN 90 WHEN 1 THEN 180 WHEN 2 THEN 270 WHEN 3 THEN 0 ELSE CASE WHEN id % 2 = 0 THEN 270 ELSE 0 END END AS angle FROM turned_payloads""")
 
 # --- reconciliation ---------------------------------------------------------------------------
 

@@ -134,6 +134,12 @@ define("compare", """
                CASE WHEN c_custkey % 5 = 0 THEN 'text' ELSE 'label-spatial' END AS association, c_custkey % 4 <> 0 AS association_unique,
                0.94 + (c_custkey % 60) / 1000.0 AS label_confidence, 0.96 + (c_custkey * 7 % 40) / 1000.0 AS value_confidence
         FROM {customer} CROSS JOIN (SELECT 'plate' AS field UNION ALL SELECT 'vin' UNION ALL SELECT 'issue' UNION ALL SELECT 'mass') AS f""")
+define("turned_payloads", """
+        SELECT c_custkey AS id,
+               concat('{{"result": {{"ocrResults": [', CASE WHEN c_custkey % 3 = 0 THEN '{{"prunedResult": {{"doc_preprocessor_res": {{"angle": 45}}}}}}, {{}}, ' WHEN c_custkey % 3 = 1 THEN '{{"prunedResult": null}}, ' ELSE '' END,
+                      '{{"prunedResult": {{"doc_preprocessor_res": {{"angle": ', CASE c_custkey % 5 WHEN 0 THEN '450' WHEN 1 THEN '180.0' WHEN 2 THEN '-90' WHEN 3 THEN '0' ELSE 'null' END, '}}}}}}',
+                      CASE WHEN c_custkey % 2 = 0 AND c_custkey % 5 <> 3 THEN ', {{"prunedResult": {{"doc_preprocessor_res": {{"angle": 270}}}}}}' ELSE '' END, CASE WHEN c_custkey % 5 = 3 AND c_custkey % 2 = 0 THEN ' broken' ELSE ']}}}}' END) AS payload
+        FROM {customer}""")
 define("payloads", """
         SELECT c_custkey AS id,
                concat('{{"errorCode": ', CASE WHEN c_custkey % 17 = 0 THEN '1' ELSE '0' END, ', "rec_texts": ["', c_name, '", "  ", " ', c_mktsegment, ' ", "tail"], ',

@@ -136,3 +136,14 @@ def test_eights(spark):
     ]
     got = {r.id: (r.value, r.n_changed) for r in recheck.repair_eights(spark.createDataFrame(rows, "id int, value string, scores array<double>")).collect()}
     assert got == {1: ("800000000000", 1), 2: ("880000000000", 0), 3: ("888800000000", 0), 4: ("800000000000", 0), 5: ("88", 0), 6: (None, 0)}
+
+
+def test_turned_and_scaled_boxes(spark):
+    boxes = spark.createDataFrame([(0, 10.0, 20.0, 30.0, 60.0), (90, 10.0, 20.0, 30.0, 60.0), (180, 10.0, 20.0, 30.0, 60.0), (270, 10.0, 20.0, 30.0, 60.0), (45, None, None, None, None)], "angle int, left double, top double, right double, bottom double")
+    args = (F.col("angle"), F.lit(200.0), F.lit(100.0))
+    plain = [tuple(r)[1:] for r in ingest.restore_coordinates(boxes, *args).collect()]
+    assert plain == [(10, 20, 30, 60), (140, 10, 180, 30), (170, 40, 190, 80), (20, 70, 60, 90), (None,) * 4]
+    scaled = [tuple(r)[1:] for r in ingest.restore_coordinates(boxes, *args, F.lit(400.0), F.lit(50.0)).collect()]
+    assert scaled == [tuple(v and v * (2, 0.5)[i % 2] for i, v in enumerate(b)) for b in plain]
+    raw = spark.createDataFrame([(None,), ("",), ("{",), ('{"result": null}',), ('{"result": {"ocrResults": [{"prunedResult": {"doc_preprocessor_res": {"angle": -180}}}]}}',)], "payload string")
+    assert [r[0] for r in raw.select(ingest.page_angle(F.col("payload"))).collect()] == [0, 0, 0, 0, 180]
