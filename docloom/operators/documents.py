@@ -104,16 +104,16 @@ def consensus_address(addresses: DataFrame) -> DataFrame:
     over a current value with characters inserted before its last 4 if read twice,
     and over one with 2 to 4 digits behind the door. Null is ''.
     """
-    own = n.compact(F.coalesce("current", F.lit("")))
-    distinct = F.array_distinct("candidates")
+    own, distinct = F.col("own"), F.col("distinct")
     inside = lambda a, b: (F.length(a) < F.length(b)) & is_subsequence(a, b)
-    base = F.filter(distinct, lambda a: F.forall(distinct, lambda b: (a == b) | (inside(a, b) & (common_prefix(a, b) >= 8) & (_common_suffix(a, b) >= 3))))
+    base = lambda: F.filter(distinct, lambda a: F.forall(distinct, lambda b: (a == b) | (inside(a, b) & (common_prefix(a, b) >= 8) & (_common_suffix(a, b) >= 3))))
     only, twice = F.try_element_at(distinct, F.lit(1)), F.size("candidates") >= 2
     tail = F.substring(own, F.length(only) + 1, F.length(own))
     numbered = F.startswith(own, only) & tail.rlike("^[0-9]{2,4}$") & F.substring(only, -1, 1).isin(*BEFORE_NUMBERS)
     single = F.when((twice & (own == "")) | (own == only) | (twice & inside(only, own) & (_common_suffix(only, own) >= 4)) | numbered, only)
-    found = F.when(F.size(distinct) > 1, F.when(F.size(base) == 1, base[0])).when(F.size(distinct) == 1, single)
-    return addresses.select("id", F.coalesce(found, "current", F.lit("")).alias("address"))
+    found = F.when(F.size(distinct) > 1, n.once(base(), lambda b: F.when(F.size(b) == 1, b[0]))).when(F.size(distinct) == 1, single)
+    read = addresses.withColumns({"own": n.compact(F.coalesce("current", F.lit(""))), "distinct": F.array_distinct("candidates")})
+    return read.select("id", F.coalesce(found, "current", F.lit("")).alias("address"))
 
 
 def coordinates_to_table(raw: Column) -> Column:

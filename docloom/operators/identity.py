@@ -8,6 +8,7 @@ profiles are rows of one frame, filtered and put together again.
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from docloom.functions import normalizers as n
 from docloom.functions.similarity import is_subsequence
 from docloom.operators import documents, holders, places, refine
-from docloom.runtime import materialize
+from docloom.runtime import materialize, spread
 
 #: Hidden characters, and the mark above an address that a layout step wrote. Fixed values.
 HIDDEN = "[*＊]"
@@ -39,8 +40,7 @@ def _nothing(x: Column) -> Column:
 
 def _until(lines: Column, ends: Column) -> Column:
     """The lines before the first one that ends them."""
-    at = F.array_position(ends, F.lit(True)).cast("int")
-    return F.when(at > 0, F.slice(lines, F.lit(1), at - 1)).otherwise(lines)
+    return n.once(F.array_position(ends, F.lit(True)).cast("int"), lambda at: F.when(at > 0, F.slice(lines, F.lit(1), at - 1)).otherwise(lines))
 
 
 def region_addresses(text: Column, kind: str) -> Column:
@@ -58,19 +58,17 @@ def region_addresses(text: Column, kind: str) -> Column:
 
     def last(x: Column) -> Column:
         said = n.compact(x) if card else F.lower(x)
-        word = F.exists(F.array(*[F.lit(w if card else w.lower()) for w in ends]), lambda w: F.contains(said, w))
+        word = n.once(said, lambda v: reduce(Column.__or__, [F.contains(v, F.lit(w if card else w.lower())) for w in ends]))
         return ~english(x) & (word | ~x.rlike(HAN) if card else word)
 
     def address(lines: Column, line: Column, i: Column) -> Column:
         rest = F.regexp_replace(line, head, "")
         first = rest if card else F.when(english(rest), "").otherwise(rest)
-        below = F.slice(lines, i + 2, F.lit(after))
-        kept = F.filter(_until(below, F.transform(below, last)), lambda x: ~english(x))
+        kept = F.filter(n.once(F.slice(lines, i + 2, F.lit(after)), lambda below: _until(below, F.transform(below, last))), lambda x: ~english(x))
         return n.compact(F.concat(first, F.array_join(kept, "")))
 
     def of_section(section: Column) -> Column:
-        lines = refine.lines_of(section)
-        found = F.transform(lines, lambda x, i: F.when(x.rlike(head), address(lines, x, i)))
+        found = n.once(refine.lines_of(section), lambda lines: F.transform(lines, lambda x, i: F.when(x.rlike(head), address(lines, x, i))))
         return F.filter(found, lambda a: F.length(F.regexp_replace(a, "[^一-鿿]", "")) >= least)
 
     cut = r"(?m)(?=^\[(?:图片|局部复识别)\s)" if card else "(?i)" + holders.SECTION
@@ -81,7 +79,7 @@ def region_addresses(text: Column, kind: str) -> Column:
 def only_whole(values: Column) -> Column:
     """The only distinct value without hidden characters, or ''."""
     whole = F.array_distinct(F.filter(F.transform(values, n.trim), lambda v: (v != "") & ~v.rlike(HIDDEN)))
-    return F.when(F.size(whole) == 1, whole[0]).otherwise("")
+    return n.once(whole, lambda w: F.when(F.size(w) == 1, w[0]).otherwise(""))
 
 
 def prefer_whole(current: Column, text: Column) -> Column:
@@ -93,8 +91,8 @@ def prefer_whole(current: Column, text: Column) -> Column:
 def laid_out(text: Column) -> Column:
     """Addresses on the lines below the mark LAID_OUT, without white space, each once."""
     lines = F.filter(F.split(_nothing(text), "\n"), lambda x: n.trim(x) != "")
-    below = F.transform(lines, lambda x, i: F.when(F.startswith(x, F.lit(LAID_OUT)) & (n.trim(x) == LAID_OUT), n.compact(F.get(lines, i + 1))))
-    return F.array_distinct(F.filter(below, lambda x: x.isNotNull()))
+    below = lambda lines: F.transform(lines, lambda x, i: F.when(F.startswith(x, F.lit(LAID_OUT)) & (n.trim(x) == LAID_OUT), n.compact(F.get(lines, i + 1))))
+    return F.array_distinct(F.filter(n.once(lines, below), lambda x: x.isNotNull()))
 
 
 def prefer_laid_out(current: Column, text: Column) -> Column:
@@ -102,9 +100,10 @@ def prefer_laid_out(current: Column, text: Column) -> Column:
 
     An address that contradicts it stays, without white space; with none laid out, see ``prefer_whole``.
     """
-    held, found = n.compact(_nothing(current)), only_whole(laid_out(text))
-    agrees = (held == "") | held.rlike(HIDDEN) | is_subsequence(held, found)
-    return F.when(found == "", prefer_whole(current, text)).when(agrees, found).otherwise(held)
+    agrees = lambda held, found: (held == "") | held.rlike(HIDDEN) | is_subsequence(held, found)
+    chosen = lambda held, found: F.when(agrees(held, found), found).otherwise(held)
+    either = lambda found: F.when(found == "", prefer_whole(current, text)).otherwise(n.once(n.compact(_nothing(current)), lambda held: chosen(held, found)))
+    return n.once(only_whole(laid_out(text)), either)
 
 
 def refine_identity(cards: DataFrame, divisions: DataFrame, short_forms: list[tuple[str, str]] = places.SHORT_FORMS) -> DataFrame:
@@ -113,12 +112,12 @@ def refine_identity(cards: DataFrame, divisions: DataFrame, short_forms: list[tu
     ``id`` is unique. A card without a valid number, or with several, keeps its
     date; null is ''. Columns beyond these are left out.
     """
-    read = cards.select("id", F.col("address").alias("current"), region_addresses(F.col("text"), "identity").alias("candidates"))
+    read = spread(cards, "id").select("id", F.col("address").alias("current"), region_addresses(F.col("text"), "identity").alias("candidates"))
     agreed = materialize(documents.consensus_address(read))  # the walk reads it twice
     corrected = places.correct_divisions(agreed, divisions, short_forms).select("id", F.col("corrected").alias("address"))
     number = holders.identity_in(_nothing(F.col("text")))
-    born = cards.select("id", F.when(number != "", F.substring(number, 7, 8)).otherwise(_nothing(F.col("birth"))).alias("birth"))
-    return born.join(corrected, "id")
+    born = cards.select("id", n.once(number, lambda v: F.when(v != "", F.substring(v, 7, 8)).otherwise(_nothing(F.col("birth")))).alias("birth"))
+    return born.join(corrected.hint("merge"), "id")
 
 
 def repair_driver(licences: DataFrame, divisions: DataFrame, short_forms: list[tuple[str, str]] = places.SHORT_FORMS) -> DataFrame:
@@ -129,7 +128,7 @@ def repair_driver(licences: DataFrame, divisions: DataFrame, short_forms: list[t
     whole = licences.withColumn("address", prefer_laid_out(F.col("address"), F.col("text")))
     fixed = materialize(holders.refine_driver(whole))
     corrected = places.correct_divisions(fixed.select("id", "address"), divisions, short_forms).select("id", F.col("corrected").alias("address"))
-    return fixed.drop("address").join(corrected, "id")
+    return fixed.drop("address").join(corrected.hint("merge"), "id")
 
 
 def value_after(text: Column, labels: list[str], stops: list[str]) -> Column:
@@ -188,10 +187,10 @@ def read_labels(texts: DataFrame, profile: str) -> DataFrame:
         if profile == "driver" and field == "period":
             lines = F.filter(F.split(text, "\n"), lambda x: F.contains(x, F.lit(PERIOD_LINES[0])) | F.contains(x, F.lit(PERIOD_LINES[1])))
             dates = F.regexp_extract_all(F.array_join(lines, "\n"), F.lit(PRINTED_DATE), F.lit(0))
-            return F.when(F.size(dates) >= 2, F.concat(F.get(dates, F.lit(0)), F.lit("-"), F.get(dates, F.lit(1)))).otherwise(plain)
+            return n.once(dates, lambda d: F.when(F.size(d) >= 2, F.concat(F.get(d, F.lit(0)), F.lit("-"), F.get(d, F.lit(1)))).otherwise(plain))
         return refine._or(value_after(text, labels, stops), plain) if labels else plain
 
-    return texts.select("id", F.col("text"), *[n.apply(rule, value(field, label, labels)).alias(field) for field, (label, labels, rule) in fields.items()])
+    return spread(texts, "id").select("id", F.col("text"), *[n.apply(rule, value(field, label, labels)).alias(field) for field, (label, labels, rule) in fields.items()])
 
 
 def _melted(wide: DataFrame, profile: str, fields: list[str]) -> DataFrame:

@@ -27,14 +27,16 @@ def _level(addresses: DataFrame, names: DataFrame, keys: list[str], name: str, l
     prefix wins; else the only name of equal length at Hamming distance 1, unless
     a hidden character is in its place; else nothing is taken and the position
     stays. Prefixes of each length meet names of that length by equal halves, so
-    the join is on keys; ``lengths`` are those of the names.
+    the join is on keys; ``lengths`` are those of the names. The names, a country's
+    at most, are broadcast; what has a row for each address never is, though its
+    compressed files look small.
     """
     sized = names.where(~F.col(name).isin(NO_PLACE)).select(*keys, name).distinct().withColumn("n", F.length(name)).where("n > 0")
     sized = sized.select("*", _halves(F.col(name), F.col("n")).alias("h")).select(*keys, name, "n", "h.side", "h.half")
     cut = addresses.select("id", *keys, "address", "pos", F.explode(F.array(*map(F.lit, lengths)).cast("array<int>")).alias("n"))
     cut = cut.withColumn("here", F.substring("address", F.col("pos"), F.col("n"))).where(F.length("here") == F.col("n"))
     cut = cut.select("*", _halves(F.col("here"), F.col("n")).alias("h")).select("id", *keys, "here", "n", "h.side", "h.half")
-    joined = cut.join(sized, [*keys, "n", "side", "half"])
+    joined = cut.join(F.broadcast(sized), [*keys, "n", "side", "half"])
     exact = F.col("here") == F.col(name)
     differ = F.aggregate(F.zip_with(F.split("here", ""), F.split(name, ""), lambda a, b: (a != b).cast("int")), F.lit(0), lambda a, v: a + v) == 1
     differ = differ & ~F.col("here").rlike(f"[{MASKS}]".replace("*", "\\*"))
@@ -44,7 +46,7 @@ def _level(addresses: DataFrame, names: DataFrame, keys: list[str], name: str, l
         F.max(F.when(differ, F.col(name))).alias("near_too"),
     )
     chosen = F.coalesce("exact", F.when(F.col("near") == F.col("near_too"), F.col("near")))
-    out = addresses.drop(name).join(best.select("id", chosen.alias(name)), "id", "left")
+    out = addresses.drop(name).join(best.select("id", chosen.alias(name)).hint("merge"), "id", "left")
     return out.withColumn("pos", F.col("pos") + F.coalesce(F.length(name), F.lit(0)))
 
 
@@ -65,7 +67,7 @@ def correct_divisions(addresses: DataFrame, divisions: DataFrame, short_forms: l
     sizes = lambda frame, c: F.array_sort(F.collect_set(F.when(F.length(c) > 0, F.length(c))))
     of_prefecture, of_county = divisions.select(sizes(divisions, "prefecture"), sizes(divisions, "county")).first()  # a few numbers
     of_form = named.select(sizes(named, "form")).first()[0]
-    one = _level(start, named.select(F.col("form").alias("p")), [], "p", of_form).join(named.withColumnRenamed("form", "p"), "p", "left")
+    one = _level(start, named.select(F.col("form").alias("p")), [], "p", of_form).join(F.broadcast(named.withColumnRenamed("form", "p")), "p", "left")
     one = materialize(one)  # each step is read by two branches
     inside, outside = one.where("p IS NOT NULL"), one.where("p IS NULL").drop("province")
     two = _level(inside, divisions, ["province"], "prefecture", of_prefecture).select("id", "address", "province", "pos", "p", "prefecture")

@@ -8,6 +8,7 @@ from docloom.operators import holders, identity
 from docloom.plans.base import ORACLES, add
 from docloom.plans.catalogue import SQL_WALK, _step
 from docloom.plans.repairs import SQL_LINES, sql_dates, sql_window
+from docloom.runtime import spread
 from docloom.sources import identity_frames  # noqa: F401  (defines the frames)
 from docloom.sources.frames import with_frames
 
@@ -51,10 +52,10 @@ def _walk(source: str) -> str:
 
 
 _listed = lambda kind: F.array_join(identity.region_addresses(F.col("text"), kind), "|").alias(kind)
-add("region_addresses", ("card_texts",), lambda c: c.select("id", _listed("identity"), _listed("licence")), f"""{_regions("identity")}{_regions("licence")},
+add("region_addresses", ("card_texts",), lambda c: spread(c, "id").select("id", _listed("identity"), _listed("licence")), f"""{_regions("identity")}{_regions("licence")},
 a AS (SELECT id, string_agg(v, '|' ORDER BY s, i) AS v FROM identity GROUP BY 1), f AS (SELECT id, v, min(s * 1000 + i) AS o FROM licence GROUP BY 1, 2), b AS (SELECT id, string_agg(v, '|' ORDER BY o) AS v FROM f GROUP BY 1)
 SELECT c.id, coalesce(a.v, '') AS identity, coalesce(b.v, '') AS licence FROM card_texts c LEFT JOIN a ON a.id = c.id LEFT JOIN b ON b.id = c.id""")
-add("prefer_addresses", ("card_texts",), lambda c: c.select("id", identity.prefer_whole(F.col("address"), F.col("text")).alias("whole"), identity.prefer_laid_out(F.col("address"), F.col("text")).alias("address")), f"""{_regions("licence")},
+add("prefer_addresses", ("card_texts",), lambda c: spread(c, "id").select("id", identity.prefer_whole(F.col("address"), F.col("text")).alias("whole"), identity.prefer_laid_out(F.col("address"), F.col("text")).alias("address")), f"""{_regions("licence")},
 w AS (SELECT c.id, address AS held, regexp_replace(address, '\\s', '', 'g') AS x, CASE WHEN regexp_matches(address, '[*＊]') THEN coalesce(v, address) ELSE address END AS whole FROM card_texts c LEFT JOIN {_WHOLE.format(source="SELECT id, v FROM licence")} k ON k.id = c.id)
 SELECT w.id, whole, CASE WHEN v IS NULL THEN whole WHEN x = '' OR regexp_matches(x, '[*＊]') OR regexp_full_match(v, '.*' || array_to_string(string_split(x, ''), '.*') || '.*') THEN v ELSE x END AS address
 FROM w LEFT JOIN {_WHOLE.format(source=_LAID)} l ON l.id = w.id""")

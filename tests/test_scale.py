@@ -17,3 +17,20 @@ def test_texts_are_split_once_for_all_windows(spark, name):
     plan = plan_of(spark, name)
     assert plan.count("split(") <= 12
     assert "RepartitionByExpression" in plan
+
+
+def test_walk_broadcasts_names_and_no_addresses(spark):
+    plan = plan_of(spark, "correct_divisions")
+    assert plan.count("strategy=merge") >= 4
+    assert plan.count("strategy=broadcast") >= 4
+
+
+@pytest.mark.parametrize(("name", "splits"), [("read_labels", 300), ("region_addresses", 8), ("prefer_addresses", 12)])
+def test_labels_are_read_once_a_field(spark, name, splits):
+    plan = plan_of(spark, name)
+    assert plan.count("split(") <= splits
+    assert "RepartitionByExpression" in plan
+
+
+def test_masses_are_spread(spark):
+    assert "RepartitionByExpression" in plan_of(spark, "refine_masses_and_dates")
