@@ -14,7 +14,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.runtime import materialize
+from docloom.functions.normalizers import once
+from docloom.runtime import materialize, spread
 
 # Printed labels of the fields that are assigned, in order.
 LABELS = {
@@ -84,9 +85,13 @@ def _digits(x: Column) -> Column:
 
 def useful_tokens(tokens: DataFrame, profile: str) -> DataFrame:
     """Tokens that can be evidence of a field: a marker, a typed value, or Han text read with 0.8 or more."""
-    key = licence_key(F.col("text"))
+    return _useful(tokens.withColumn("key", licence_key(F.col("text"))), profile).drop("key")
+
+
+def _useful(keyed: DataFrame, profile: str) -> DataFrame:
+    key = F.col("key")
     known = "|".join([*MARKERS[profile], *(f"^(?:{form})$" for form in USEFUL_FORMS[profile])])
-    return tokens.where(F.rlike(key, F.lit(known)) | (F.coalesce(F.col("score") >= 0.8, F.lit(False)) & F.rlike(key, F.lit("[一-鿿]"))))
+    return keyed.where(F.rlike(key, F.lit(known)) | (F.coalesce(F.col("score") >= 0.8, F.lit(False)) & F.rlike(key, F.lit("[一-鿿]"))))
 
 
 def label_of(key: Column, profile: str) -> Column:
@@ -124,17 +129,13 @@ def _only_printed(key: Column) -> Column:
     return F.aggregate(longest, key, lambda rest, label: F.replace(rest, label, F.lit(""))) == ""
 
 
-def _fits_vehicle(key: Column, raw: Column) -> dict[str, Column]:
-    """Any text that is no label or part of one may be a value, as glare spoils forms; a plate needs its form."""
+def _free_vehicle(key: Column) -> Column:
+    """Whether a text is no label or part of one: it may be a value then, as glare spoils forms."""
     aliases = [a for _, a in LABELS["vehicle"]]
     han, latin = [a for a in aliases if not a.isascii()], [a for a in aliases if a.isascii()]
     part = reduce(lambda a, b: a | b, [(key != a) & F.contains(F.lit(a), key) for a in han])
     clipped = _whole(key, "[A-Z]{2,}") & reduce(lambda a, b: a | b, [F.startswith(F.lit(a), key) for a in latin])
-    free = (key != "") & ~_only_printed(key) & ~part & ~clipped
-    return {"plate_number": free & plate_priority(key).isNotNull(), "owner": free, "address": free & (F.length(key) >= 2), "vin": free, "engine_number": free}
-
-
-_FITS = {"driver": _fits_driver, "vehicle": _fits_vehicle}
+    return (key != "") & ~part & ~clipped & ~_only_printed(key)
 
 
 def _remainder(key: Column, label: Column, profile: str) -> Column:
@@ -147,17 +148,21 @@ def _remainder(key: Column, label: Column, profile: str) -> Column:
 
 
 def _kinds(key: Column, raw: Column, profile: str) -> Column:
-    """The fields that a text can be a value of."""
-    return F.array_compact(F.array(*[F.when(c, F.lit(f)) for f, c in _FITS[profile](key, raw).items()]))
+    """The fields that a text can be a value of; a vehicle's plate needs its form."""
+    if profile == "driver":
+        return F.array_compact(F.array(*[F.when(c, F.lit(f)) for f, c in _fits_driver(key, raw).items()]))
+    plate, long = F.when(plate_priority(key).isNotNull(), F.lit("plate_number")), F.when(F.length(key) >= 2, F.lit("address"))
+    fields = F.array_compact(F.array(plate, F.lit("owner"), long, F.lit("vin"), F.lit("engine_number")))
+    return F.when(_free_vehicle(key), fields).otherwise(F.array().cast("array<string>"))
 
 
 def _judged(tokens: DataFrame, profile: str) -> DataFrame:
     """Useful tokens with their label, what follows it, the fields they fit, and the field their form alone tells.
 
-    Written once, since five ways of assignment read it.
+    Written once, since five ways of assignment read it; tokens are spread by image first.
     """
-    keyed = useful_tokens(tokens, profile).withColumn("key", licence_key(F.col("text"))).withColumn("label", label_of(F.col("key"), profile))
-    keyed = keyed.withColumn("rest", _remainder(F.col("key"), F.col("label"), profile))
+    keyed = _useful(spread(tokens, "group_id").withColumn("key", licence_key(F.col("text"))), profile).withColumn("label", label_of(F.col("key"), profile))
+    keyed = keyed.withColumn("rest", F.when(F.col("label").isNotNull(), _remainder(F.col("key"), F.col("label"), profile)))
     key, free = F.col("key"), F.col("label").isNull()
     if profile == "driver":
         follows = F.array_contains(_kinds(F.col("rest"), F.col("rest"), profile), F.col("label.field"))
@@ -198,7 +203,7 @@ def assign_fields(tokens: DataFrame, profile: str) -> DataFrame:
     order = F.when(F.col("field") == "plate_number", plate_priority(F.col("value"))).otherwise(0)
     at = labels.select("group_id", "field", F.col("token_index").alias("l_index"), *[F.col(c).alias(f"l_{c}") for c in BOX])
     boxed = reduce(lambda a, b: a & b, [F.col(c).isNotNull() & F.col(f"l_{c}").isNotNull() for c in BOX])
-    pairs = at.join(typed, ["group_id", "field"]).where(boxed & (across <= 1.5 * thin))
+    pairs = at.join(typed.hint("merge"), ["group_id", "field"]).where(boxed & (across <= 1.5 * thin))
     best = pairs.groupBy("group_id", "field", "l_index").agg(F.min_by(F.struct("token_index", "value", "score", *BOX), F.struct(order, 3 * across + along, "token_index")).alias("b"))
     near = best.select("group_id", "field", F.lit(2).alias("rank"), "b.*").select(out)
 

@@ -34,3 +34,20 @@ def test_labels_are_read_once_a_field(spark, name, splits):
 
 def test_masses_are_spread(spark):
     assert "RepartitionByExpression" in plan_of(spark, "refine_masses_and_dates")
+
+
+@pytest.mark.parametrize("name", ["assign_driver_fields", "assign_vehicle_fields"])
+def test_labels_of_images_are_never_broadcast(spark, name):
+    assert "strategy=merge" in plan_of(spark, name)
+
+
+def test_seeds_shuffle_no_positions_of_pages(spark):
+    from docloom.operators import evidence
+
+    wanted = spark.createDataFrame([(1, "t", "ABCDEFGHIJ")], "group_id long, target string, key string")
+    pages = spark.createDataFrame([(1, "XXABCDEFGHIJYABCXEFGHIJAAA")], "group_id long, stream string")
+    found = evidence.seeded_windows(wanted, pages)
+    spark.conf.set("spark.sql.debug.maxToStringFields", "100000")
+    assert "posexplode" not in found._jdf.queryExecution().optimizedPlan().toString()
+    windows = {r.start: r.window for r in found.collect()}
+    assert {3: "ABCDEFGHIJ", 14: "ABCXEFGHIJ"}.items() <= windows.items() and min(windows) >= 1 and max(windows) <= 17
