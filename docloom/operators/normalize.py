@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions import normalizers as n
+from docloom.runtime import spread
 
 
 def normalize_columns(frame: DataFrame, rules: dict[str, tuple[str, str]], keep: tuple[str, ...] = ("id",)) -> DataFrame:
@@ -16,14 +17,13 @@ def normalize_columns(frame: DataFrame, rules: dict[str, tuple[str, str]], keep:
 def normalize_fields(records: DataFrame, profile: DataFrame, columns: list[str]) -> DataFrame:
     """Wide ``records`` to normalised fields, as ``profile(field, source, normalizer)`` says.
 
-    Records are melted to (id, source, value), joined to the profile - a small rule
-    table, which Spark broadcasts by its size - and pivoted back with the profile's
-    fields, given explicitly so that no pass looks for them.
+    The profile, a small rule table with a row a field, is read by the driver; each
+    record, spread by id, is then normalised where it stands, in one pass. ``id``
+    is unique; a field whose source is none of ``columns`` is ''.
     """
-    long = records.unpivot(["id"], columns, "source", "value")
-    named = long.join(profile, "source").select("id", "field", n.normalize(F.col("normalizer"), F.col("value")).alias("value"))
-    fields = sorted(r.field for r in profile.select("field").collect())
-    return named.groupBy("id").pivot("field", fields).agg(F.first("value")).fillna("")
+    rules = sorted((r.field, r.normalizer, r.source) for r in profile.select("field", "normalizer", "source").collect())
+    value = lambda rule, source: n.apply(rule, F.col(source)) if source in columns else F.lit("")
+    return spread(records, "id").select("id", *[F.coalesce(value(rule, source), F.lit("")).alias(field) for field, rule, source in rules])
 
 
 def check_identity(people: DataFrame) -> DataFrame:

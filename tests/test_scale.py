@@ -51,3 +51,8 @@ def test_seeds_shuffle_no_positions_of_pages(spark):
     assert "posexplode" not in found._jdf.queryExecution().optimizedPlan().toString()
     windows = {r.start: r.window for r in found.collect()}
     assert {3: "ABCDEFGHIJ", 14: "ABCXEFGHIJ"}.items() <= windows.items() and min(windows) >= 1 and max(windows) <= 17
+
+
+def test_records_are_normalised_where_they_stand(spark):
+    plan = plan_of(spark, "normalize_fields")
+    assert "Aggregate" not in plan and "Join" not in plan
