@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from docloom.operators import tokens
+from docloom.operators import gate, tokens
 from docloom.plans import catalogue
 from docloom.sources.frames import FRAMES, frame
 
@@ -38,6 +38,12 @@ def test_metrics_shuffle_nothing(spark, name):
     assert "Exchange" not in plan_of(spark, name)
 
 
+def test_reasons_of_odd_pages(spark):
+    rows = [token(1, 0), token(1, 1), *[token(2, i, box=(0, 0, 7, 20)) for i in range(3)], *[token(3, i, box=(0, 0, 13, 20)) for i in range(3)], *[token(4, i, score=0.6) for i in range(3)], *[token(5, i, score=s) for i, s in enumerate((0.2, 0.2, 0.9, 0.9, 0.9))], *[token(6, i, score=0.9) for i in range(3)]]
+    reasons = {r.group_id: r.reason for r in gate.text_quality(tokens.token_metrics(tokens.pages_of(spark.createDataFrame(rows, TOKEN)))).collect()}
+    assert reasons == {1: "no_text", 2: "too_small", 3: "low_resolution", 4: "unreadable", 5: "partly_unreadable", 6: "fine"}
+
+
 def test_metrics_of_odd_pages(spark):
     rows = [
         token(1, 0, "ab", 0.2), token(1, 1, "abcd", 0.8, (470, 0, 600, 20)), token(1, 2, "x", None, (0, 0, 6, 20)), token(1, 3, "x", 7.0), token(1, 4, "gone", 0.1, (480, 0, 500, 20)),
