@@ -73,18 +73,27 @@ def merge_references(references: DataFrame) -> DataFrame:
     return names.groupBy("group_id").agg(joined(F.collect_list(F.struct("first", F.col("name").alias("text")))).alias("names"), joined(F.flatten(F.collect_list("refs"))).alias("refs"))
 
 
-def adjacent_single(values: DataFrame, tokens: DataFrame) -> DataFrame:
+def adjacent_single(values: DataFrame, pages: DataFrame) -> DataFrame:
     """Evidence for one-character values: an equal token at most three tokens after one that holds the field's label.
 
-    ``values(group_id, field, value)``, ``tokens(group_id, token_index, text, score)``.
-    The highest score wins (null counts as 0), then the last token; values without
-    evidence, longer ones and blank labels give no row.
+    ``values(group_id, field, value)``, ``pages(group_id, tokens)`` with tokens in
+    order of their index. The highest score wins (null counts as 0), then the last
+    token; values without evidence, longer ones and blank labels give no row. Only
+    tokens of one character leave their page, with the three before them, and meet
+    the values that ask for them.
     """
-    keyed = tokens.select("group_id", "token_index", n.compact_key(F.col("text")).alias("key"), F.coalesce("score", F.lit(0.0)).alias("score"))
-    asked = values.select("group_id", "field", "value", n.compact_key(F.col("field")).alias("label"), n.compact_key(F.col("value")).alias("wanted")).where("label <> '' AND length(wanted) = 1").distinct()
-    before = Window.partitionBy("group_id", "field", "value").orderBy("token_index").rangeBetween(-3, -1)
-    near = asked.join(keyed, "group_id").withColumn("labelled", F.coalesce(F.bool_or(F.contains("key", F.col("label"))).over(before), F.lit(False)))
-    best = near.where("labelled AND key = wanted").groupBy("group_id", "field", "value").agg(F.max(F.struct("score", "token_index")).alias("b"))
+    keyed = pages.select("group_id", "tokens", F.transform("tokens", lambda t: n.compact_key(t["text"])).alias("key")).select("group_id", "key", F.arrays_zip("tokens", "key").alias("z"))
+    short = F.filter(F.slice(F.sequence(F.lit(0), F.size("key")), F.lit(2), F.size("key")), lambda i: F.length(F.element_at("key", i)) == 1)
+
+    def spot(i: Column) -> Column:
+        token = F.element_at("z", i)["tokens"]
+        before = F.filter(F.slice("z", F.greatest(i - 3, F.lit(1)), F.least(i - 1, F.lit(3))), lambda b: b["tokens"]["token_index"] >= token["token_index"] - 3)
+        return F.struct(token["token_index"].alias("token_index"), F.coalesce(token["score"], F.lit(0.0)).alias("score"), F.element_at("key", i).alias("key"), F.transform(before, lambda b: b["key"]).alias("before"))
+
+    spots = keyed.select("group_id", F.inline(F.transform(short, spot)))
+    asked = values.select("group_id", "field", "value", n.compact_key(F.col("field")).alias("label"), n.compact_key(F.col("value")).alias("key")).where("label <> '' AND length(key) = 1")
+    near = asked.join(spots, ["group_id", "key"]).where(F.exists("before", lambda b: F.contains(b, F.col("label"))))
+    best = near.groupBy("group_id", "key", "field", "value").agg(F.max(F.struct("score", "token_index")).alias("b"))
     return best.select("group_id", "field", "value", "b.token_index", F.nullif("b.score", F.lit(0.0)).alias("confidence"))
 
 

@@ -24,10 +24,10 @@ r AS (SELECT group_id, material, name FROM file_refs QUALIFY row_number() OVER (
 a AS (SELECT group_id, list(name ORDER BY position) AS l, list(material || '/' || name ORDER BY position) AS m FROM file_refs GROUP BY 1)
 SELECT group_id, array_to_string(list_transform(list_filter(range(1, len(l) + 1), lambda i: list_position(l, l[i]) = i), lambda i: l[i]), ',') AS names,
   array_to_string(list_transform(list_filter(range(1, len(m) + 1), lambda i: list_position(m, m[i]) = i), lambda i: m[i]), ',') AS refs FROM a""")
-add("adjacent_single", ("single_claims", "claim_tokens"), documents.adjacent_single, """,
+add("adjacent_single", ("single_claims", "claim_pages"), documents.adjacent_single, """,
 h AS (SELECT c.group_id, field, value, t.token_index, coalesce(t.score, 0) AS s FROM single_claims c JOIN claim_tokens t ON t.group_id = c.group_id AND upper(t.text) = value
   JOIN claim_tokens l ON l.group_id = c.group_id AND contains(upper(l.text), upper(field)) AND l.token_index BETWEEN t.token_index - 3 AND t.token_index - 1)
-SELECT DISTINCT group_id, field, value, token_index, round(CAST(nullif(s, 0) AS DOUBLE), 6) AS confidence FROM h QUALIFY rank() OVER (PARTITION BY group_id, field, value ORDER BY s DESC, token_index DESC) = 1""")
+SELECT DISTINCT group_id, field, value, token_index, round(CAST(nullif(s, 0) AS DOUBLE), 6) AS confidence FROM h QUALIFY rank() OVER (PARTITION BY group_id, field, value ORDER BY s DESC, token_index DESC) = 1""", told=("single_claims", "claim_tokens"))
 _SUB = "(length({a}) < length({b}) AND regexp_full_match({b}, '.*' || array_to_string(string_split({a}, ''), '.*') || '.*'))"
 add("consensus_address", ("readings",), lambda r: documents.consensus_address(r.select("id", "current", F.split("listed", r"\|").alias("candidates"))), f""",
 r AS (SELECT id, current, string_split(listed, '|') AS l, list_distinct(string_split(listed, '|')) AS d FROM readings),

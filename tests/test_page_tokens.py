@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from docloom.operators import gate, recheck, tokens
+from docloom.operators import documents, gate, recheck, tokens
 from docloom.plans import catalogue
 from docloom.sources.frames import FRAMES, frame
 
@@ -79,3 +79,20 @@ def test_labels_of_one_field_with_aliases_that_begin_alike(spark):
     got = tokens.associate_labels(tokens.pages_of(spark.createDataFrame(rows, TOKEN)), labels)
     assert sorted(map(tuple, got.drop("label_score").collect())) == [(1, "name", 0, 0), (1, "name", 0, 1), (1, "name", 0, 2), (1, "name", 1, 1), (1, "name", 1, 2), (1, "other", 1, 1), (1, "other", 1, 2)]
     assert got.where("label_score = 0.5").count() == 7
+
+
+def test_claim_pages_hold_the_rows_of_claim_tokens(spark):
+    assert same_rows(frame(spark, FOLDER, "claim_pages").select("group_id", F.inline("tokens")), frame(spark, FOLDER, "claim_tokens"))
+
+
+def test_single_values_sort_no_window_of_tokens(spark):
+    plan = plan_of(spark, "adjacent_single")
+    assert "Window" not in plan and plan.count("Exchange hashpartitioning") <= 3
+
+
+def test_single_values_next_to_their_label(spark):
+    rows = [token(1, 0, "C", 0.9), token(1, 1, "Class:"), token(1, 4, "c", 0.7), token(1, 5, "C", 0.9), token(2, 0, "my class"), token(2, 1, "C", 0.4), token(2, 2, "C", 0.4), token(3, 0, "class"), token(3, 1, "C", None), token(4, 0, None), token(4, 1, "C")]
+    pages = tokens.pages_of(spark.createDataFrame(rows, TOKEN)).unionByName(spark.createDataFrame([(5, []), (6, None)], f"group_id long, tokens array<struct<{TOKEN.removeprefix('group_id long, ').replace(' ', ':').replace(',:', ',')}>>"))
+    claims = spark.createDataFrame([(g, f, v) for g in range(1, 7) for f, v in (("class", "C"), ("class", "c"), ("class", "CC"), ("", "C"), (None, "C"), ("class", None))] + [(2, "class", "C")], "group_id long, field string, value string")
+    got = sorted(map(tuple, documents.adjacent_single(claims, pages).collect()))
+    assert got == [(g, "class", v, i, s) for g, i, s in ((1, 4, 0.7), (2, 2, 0.4), (3, 1, None)) for v in ("C", "c")]
