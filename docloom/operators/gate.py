@@ -82,9 +82,14 @@ def client_checks(images: DataFrame) -> DataFrame:
 
 
 def text_quality(metrics: DataFrame) -> DataFrame:
-    """The first matching reason of a ladder over token metrics: no text, small, low resolution, low scores, fine."""
+    """The first matching reason of a ladder over token metrics: no text, small, low resolution, low scores, fine.
+
+    Metrics count to six places, as they are given out: a mean that is a limit but for
+    the order of its sum is that limit.
+    """
+    m = lambda c: F.round(c, 6)
     reason = (
-        F.when(F.col("n_tokens") < 3, "no_text").when(F.col("median_side") < 8, "too_small").when(F.col("median_side") < 14, "low_resolution")
-        .when((F.col("low_characters") >= 0.5) | (F.col("mean_score") < 0.45), "unreadable").when(F.col("lower_quartile") < 0.25, "partly_unreadable").otherwise("fine")
+        F.when(F.col("n_tokens") < 3, "no_text").when(m("median_side") < 8, "too_small").when(m("median_side") < 14, "low_resolution")
+        .when((m("low_characters") >= 0.5) | (m("mean_score") < 0.45), "unreadable").when(m("lower_quartile") < 0.25, "partly_unreadable").otherwise("fine")
     )
     return metrics.select("group_id", reason.alias("reason"))
