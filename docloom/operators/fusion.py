@@ -7,6 +7,7 @@ left, and each change gives one row of the audit.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from docloom.functions import normalizers as n
 from docloom.functions import similarity
 from docloom.operators import compare, evidence, places, recheck
+from docloom.operators import tokens as t
 from docloom.runtime import materialize
 
 #: Fields whose value the other source may replace, by their kind of check.
@@ -48,7 +50,7 @@ def contained_keys(keys: DataFrame, streams: DataFrame) -> DataFrame:
     index = streams.select("case_id", "group_id", listed.alias("piece"))
     wanted = keys.select("case_id", "key").where("key <> ''").distinct()
     asked = wanted.select("case_id", "key", F.explode(F.when(F.length("key") >= GRAM, pieces(F.col("key"), GRAM)).otherwise(pieces(F.col("key"), 1))).alias("piece"))
-    index = index.join(asked.select("case_id", "piece").distinct(), ["case_id", "piece"], "left_semi")
+    index = materialize(index.join(asked.select("case_id", "piece").distinct(), ["case_id", "piece"], "left_semi"))
     pages_of = index.groupBy("case_id", "piece").agg(F.count("*").alias("n"))
     rarest = asked.join(pages_of, ["case_id", "piece"], "left").groupBy("case_id", "key").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "piece")).alias("r"))
     near = rarest.where("r.n > 0").select("case_id", "key", F.col("r.piece").alias("piece")).join(index, ["case_id", "piece"])
@@ -64,14 +66,20 @@ def restrict_evidence(keys: DataFrame, pages: DataFrame, tokens: DataFrame) -> D
     pages that hold one of its keys; a record without any has the page at its own
     position, if there are as many pages as records; else none.
     """
+    return _restrict(keys, pages, lambda wanted: page_streams(tokens, wanted))
+
+
+def _restrict(keys: DataFrame, pages: DataFrame, streams_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """As ``restrict_evidence``; ``streams_of`` gives pages their ``stream``."""
     records = keys.select("case_id", "record_id", "record_pos").distinct()
     sizes = records.groupBy("case_id").agg(F.count("*").alias("n_records")).join(pages.groupBy("case_id").agg(F.count("*").alias("n_pages")), "case_id")
-    only = records.join(sizes.where("n_records = 1"), "case_id").join(pages, "case_id").select("record_id", "group_id", F.lit("only record").alias("basis"))
-    several = sizes.where("n_records > 1")
-    compacted = keys.select("case_id", "record_id", n.compact(F.coalesce("key", F.lit(""))).alias("key")).join(several.select("case_id"), "case_id", "left_semi")
-    found = contained_keys(compacted, page_streams(tokens, pages.join(several.select("case_id"), "case_id", "left_semi")))
-    keyed = compacted.join(found, ["case_id", "key"]).select("record_id", "group_id", F.lit("key").alias("basis")).distinct()
-    rest = records.join(several.where("n_records = n_pages"), "case_id").join(keyed, "record_id", "left_anti")
+    records = materialize(records.join(sizes, "case_id"))  # read by each of the ways
+    only = records.where("n_records = 1").join(pages, "case_id").select("record_id", "group_id", F.lit("only record").alias("basis"))
+    several = records.where("n_records > 1").select("case_id").distinct()
+    compacted = keys.select("case_id", "record_id", n.compact(F.coalesce("key", F.lit(""))).alias("key")).where("key <> ''").join(several, "case_id", "left_semi")
+    found = contained_keys(compacted, streams_of(pages.join(several, "case_id", "left_semi")))
+    keyed = materialize(compacted.join(found, ["case_id", "key"]).select("record_id", "group_id", F.lit("key").alias("basis")).distinct())
+    rest = records.where("n_records > 1 AND n_records = n_pages").join(keyed, "record_id", "left_anti")
     placed = rest.join(pages, (rest["case_id"] == pages["case_id"]) & (F.col("record_pos") == F.col("page_pos"))).select("record_id", "group_id", F.lit("position").alias("basis"))
     return only.unionByName(keyed).unionByName(placed)
 
@@ -109,12 +117,6 @@ def compare_fulltext(claims: DataFrame, pages: DataFrame, tokens: DataFrame) ->
 KEEP = ["case_id", "record_id", "record_pos", "field", "field_pos", "kind", "value"]
 
 
-def applied(values: DataFrame, changes: DataFrame) -> DataFrame:
-    """``values`` with the changes ``(record_id, field, value)`` in place; fields that a record lacks are not added."""
-    new = changes.select("record_id", "field", F.col("value").alias("new"))
-    return values.join(new, ["record_id", "field"], "left").withColumn("value", F.coalesce("new", "value")).select(KEEP)
-
-
 def supplement_missing(values: DataFrame, candidates: DataFrame, pages: DataFrame, tokens: DataFrame, labels: DataFrame, least: float = 0.97) -> DataFrame:
     """Blank fields that the other source fills: (record_id, field, value, group_id, confidence, label_score).
 
@@ -125,17 +127,27 @@ def supplement_missing(values: DataFrame, candidates: DataFrame, pages: DataFram
     first page. It is taken if it is unique, its score is ``least`` or more, its
     label's 0.95 or more, and, where its kind may be overridden, it has the form.
     """
-    alone = values.select("case_id", "record_id").distinct().groupBy("case_id").agg(F.count("*").alias("n"), F.min("record_id").alias("record_id")).where("n = 1").select("case_id", "record_id")
-    blank = values.where(n.compact_key(F.coalesce("value", F.lit(""))) == "").join(alone, ["case_id", "record_id"], "left_semi").select("case_id", "record_id", "field", "kind")
-    asked = blank.join(candidates.where(n.compact_key(F.col("value")) != "").select("record_id", "field", "value"), ["record_id", "field"])
-    placed = asked.join(pages.select("case_id", "group_id", "page_pos"), "case_id")
-    seen = compare.labelled_evidence(placed.select("group_id", "field", "value"), tokens, labels).join(placed, ["group_id", "field", "value"])
+    alone = values.groupBy("case_id").agg(F.min("record_id").alias("record_id"), F.max("record_id").alias("last")).where("record_id = last").select("case_id")
+    blank = values.where(_is_blank()).join(alone, "case_id", "left_semi")
+    return _supplements(blank, candidates, pages, compare.keyed_pages(t.pages_of(tokens)), labels, least).drop("old")
+
+
+def _is_blank() -> Column:
+    return n.compact_key(F.coalesce("value", F.lit(""))) == ""
+
+
+def _supplements(blank: DataFrame, candidates: DataFrame, pages: DataFrame, read: DataFrame, labels: DataFrame, least: float = 0.97) -> DataFrame:
+    """As ``supplement_missing``, for the fields ``blank`` of cases with one record, with their ``old`` value; ``read`` are keyed pages."""
+    held = blank.join(F.broadcast(labels.select("field").distinct()), "field", "left_semi").select("case_id", "record_id", "field", "kind", F.coalesce("value", F.lit("")).alias("old"))
+    asked = held.join(candidates.where(n.compact_key(F.col("value")) != "").select("record_id", "field", "value"), ["record_id", "field"])
+    placed = asked.join(pages.select("case_id", "group_id", "page_pos"), "case_id").drop("case_id")
+    seen = compare.search_labelled(placed, read, labels)
     equal = seen.where(compare.same_value(F.col("field"), F.col("value"), F.col("found")))
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     rank = F.struct("is_unique", zero("confidence").alias("c"), zero("label_score").alias("l"), (-F.col("page_pos")).alias("first"), "group_id", "confidence", "label_score")
-    best = equal.groupBy("record_id", "field", "kind", "value").agg(F.max(rank).alias("b"))
+    best = equal.groupBy("record_id", "field", "kind", "old", "value").agg(F.max(rank).alias("b"))
     sound = F.col("b.is_unique") & (zero("b.confidence") >= least) & (zero("b.label_score") >= 0.95) & (~F.col("kind").isin(OVERRIDABLE) | n.check(F.col("kind"), F.col("value")))
-    return best.where(sound).select("record_id", "field", "value", "b.group_id", "b.confidence", "b.label_score")
+    return best.where(sound).select("record_id", "field", "value", "b.group_id", "b.confidence", "b.label_score", "old")
 
 
 #: Pairs of kinds that a record must hold in order: the first is no less (masses) or no later (days) than the second.
@@ -153,9 +165,11 @@ def settle_conflicts(conflicts: DataFrame, values: DataFrame) -> DataFrame:
     """
     least = F.when(n.check(F.col("kind"), F.col("value")), 0.985).otherwise(0.97)
     score = F.coalesce("confidence", F.lit(0.0))
-    addresses = conflicts.where("kind = 'address'").select(n.compact(F.col("value")).alias("a"), n.compact(F.col("found")).alias("b")).distinct()
-    alike = similarity.distinct_ratios(addresses, "a", "b", 0.90)
-    judged = conflicts.withColumns({"a": F.when(F.col("kind") == "address", n.compact(F.col("value"))), "b": F.when(F.col("kind") == "address", n.compact(F.col("found")))}).join(alike, ["a", "b"], "left")
+    is_address = F.coalesce(F.col("kind") == "address", F.lit(False))
+    addresses = conflicts.where(is_address).withColumns({"a": n.compact(F.col("value")), "b": n.compact(F.col("found"))})
+    alike = similarity.distinct_ratios(addresses.select("a", "b").distinct(), "a", "b", 0.90)
+    none = {"a": F.lit(None).cast("string"), "b": F.lit(None).cast("string"), "ratio": F.lit(None).cast("double")}
+    judged = addresses.join(alike, ["a", "b"], "left").unionByName(conflicts.where(~is_address).withColumns(none))  # what has no address to compare joins nothing
     here, there = places.administrative_prefix(F.col("a")), places.administrative_prefix(F.col("b"))
     reason = (
         F.when(~F.col("kind").isin(OVERRIDABLE), "not overridable").when(~F.col("is_unique"), "several candidates").when(F.coalesce("label_score", F.lit(0.0)) < 0.95, "label score")
@@ -187,10 +201,12 @@ def settle_conflicts(conflicts: DataFrame, values: DataFrame) -> DataFrame:
     return out.withColumn("reason", reason).withColumn("changed", F.col("reason") == "other source").drop("disordered")
 
 
-def _changes(before: DataFrame, changes: DataFrame, rule: str) -> DataFrame:
-    """The audit of a rule: one row for each value that is another one now."""
-    old = before.select("record_id", "field", F.coalesce("value", F.lit("")).alias("old"))
-    return changes.join(old, ["record_id", "field"]).where("value <> old").select("record_id", "field", "old", F.col("value").alias("new"), F.lit(rule).alias("rule"), "detail")
+AUDIT = ["record_id", "field", "old", "new", "rule", "detail"]
+
+
+def _audit(changes: DataFrame, rule: str) -> DataFrame:
+    """The audit of a rule: one row for each value that is another one now; ``changes`` have the old and the new one."""
+    return changes.withColumn("old", F.coalesce("old", F.lit(""))).where("new <> old").withColumn("rule", F.lit(rule)).select(AUDIT)
 
 
 def reconcile_sources(values: DataFrame, page_types: DataFrame, candidates: DataFrame, pages: DataFrame, tokens: DataFrame, labels: DataFrame, keys: tuple[str, ...] = ("vin", "plate", "plate_number"), twins: tuple[str, str] = ("plate", "plate_number")) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -208,37 +224,58 @@ def reconcile_sources(values: DataFrame, page_types: DataFrame, candidates: Data
        twin changes the other;
     4. nationality: the country's names become one, blanks follow texts or address.
     """
-    start = materialize(values.select(KEEP))
-    late = page_types.where("detected <> ''").groupBy("case_id").agg(F.max_by("detected", "page_pos").alias("late"))
-    own = start.where("field = 'type' AND value <> ''").groupBy("case_id").agg(F.min_by("value", "record_pos").alias("own"))
-    typed = start.where("field = 'type'").join(late, "case_id", "left").join(own, "case_id", "left")
-    typed = typed.select("record_id", "field", F.coalesce("late", "own", F.lit("")).alias("value"), F.when(F.col("late").isNotNull(), "latest page").otherwise("first record").alias("detail"))
-    state, log = applied(start, typed), [_changes(start, typed, "document type")]
-
-    filled = supplement_missing(state, candidates, pages, tokens, labels).withColumn("detail", F.concat_ws(" ", F.lit("page"), F.col("group_id").cast("string")))
-    filled = materialize(filled.select("record_id", "field", "value", "detail"))
-    log.append(_changes(state, filled, "supplement"))
-    state = materialize(applied(state, filled))
+    return reconcile_pages(values, page_types, candidates, pages, t.pages_of(tokens), labels, keys, twins)
+
+
+def reconcile_pages(values: DataFrame, page_types: DataFrame, candidates: DataFrame, pages: DataFrame, token_pages: DataFrame, labels: DataFrame, keys: tuple[str, ...] = ("vin", "plate", "plate_number"), twins: tuple[str, str] = ("plate", "plate_number")) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """As ``reconcile_sources``, of ``token_pages(group_id, tokens)`` as ``tokens.pages_of`` gives them.
+
+    What a rule asks of a case (its types, whether it has one record, whether it
+    names the country) is joined to its values once. A rule that concerns a few fields
+    joins only these; the others pass by.
+    """
+    read = materialize(compare.keyed_pages(token_pages))  # read by supplements, keys and conflicts
+    named = lambda text: F.contains(text, F.lit("中国")) | F.contains(text, F.lit("中华人民共和国"))
+    of_pages = page_types.groupBy("case_id").agg(F.max(F.when(F.col("detected") != "", F.struct("page_pos", "detected"))).alias("late"), F.bool_or(named(F.coalesce("text", F.lit("")))).alias("on_page"))
+    own = F.when((F.col("field") == "type") & (F.col("value") != ""), F.struct("record_pos", "value"))
+    of_values = values.groupBy("case_id").agg(F.min(own).alias("own"), F.bool_or(named(F.coalesce("value", F.lit("")))).alias("in_value"), (F.min("record_id") == F.max("record_id")).alias("alone"))
+    cases = of_values.join(of_pages, "case_id", "left")
+    facts = cases.select("case_id", "alone", F.col("late.detected").alias("late"), F.col("own.value").alias("own"), (F.coalesce("on_page", F.lit(False)) | F.col("in_value")).alias("seen"))
+    is_type = F.coalesce(F.col("field") == "type", F.lit(False))
+    start = values.select(KEEP).join(facts, "case_id", "left").withColumn("old", F.col("value"))
+    start = start.withColumn("detail", F.when(is_type, F.when(F.col("late").isNotNull(), "latest page").otherwise("first record")))
+    start = start.withColumns({"value": F.when(is_type, F.coalesce("late", "own", F.lit(""))).otherwise(F.col("value")), "alone": F.coalesce("alone", F.lit(False))})
+    state = materialize(start.select(*KEEP, "alone", "seen", "old", "detail"))
+    log = [_audit(state.where(F.col("detail").isNotNull()).withColumn("new", F.col("value")), "document type")]
+    state = state.drop("old", "detail")
+
+    is_open = _is_blank() & F.col("alone")
+    filled = _supplements(state.where(is_open), candidates, pages, read, labels)
+    filled = materialize(filled.select("record_id", "field", F.col("value").alias("new"), F.concat_ws(" ", F.lit("page"), F.col("group_id").cast("string")).alias("detail"), "old"))
+    log.append(_audit(filled, "supplement"))
+    taken = state.where(is_open).join(filled.select("record_id", "field", "new"), ["record_id", "field"], "left").withColumn("value", F.coalesce("new", "value")).drop("new")
+    state = materialize(state.where(~is_open).unionByName(taken))
 
     marks = state.withColumn("key", F.when(F.col("field").isin(*keys), F.col("value"))).select("case_id", "record_id", "record_pos", "key")
-    spoken = materialize(restrict_evidence(marks, pages, tokens))
-    first = state.where((F.col("field") == twins[0]) & (n.compact(F.col("value")) != "")).select("record_id")
-    claims = state.where("field <> 'type'")
-    claims = claims.where(F.col("field") != twins[1]).unionByName(claims.where(F.col("field") == twins[1]).join(first, "record_id", "left_anti").select(KEEP))
-    seen = compare.compare_sources(claims.select("record_id", "field", "value"), spoken, tokens, labels).where("status = 'conflict'")
-    conflicts = seen.join(state.select("record_id", "field", "field_pos", "kind"), ["record_id", "field"])
-    conflicts = materialize(settle_conflicts(conflicts, state).select("record_id", "field", "value", "found", "similarity", "confidence", "label_score", "is_unique", "group_id", "reason", "changed"))
-    won = conflicts.where("changed").select("record_id", "field", F.col("found").alias("value"), F.lit("conflict").alias("detail"))
+    spoken = materialize(_restrict(marks, pages, lambda wanted: wanted.select("case_id", "group_id").join(read.select("group_id", "stream"), "group_id")))
+    first = state.where((F.col("field") == twins[0]) & (n.compact(F.col("value")) != "")).select("record_id").distinct()
+    claims = state.where((F.col("field") != "type") & ~_is_blank()).select("record_id", "field", "field_pos", "kind", "value")
+    claims = claims.where(F.col("field") != twins[1]).unionByName(claims.where(F.col("field") == twins[1]).join(first, "record_id", "left_anti"))
+    best = compare.best_on_pages(claims, spoken, read, labels).where(~F.col("b.agrees"))
+    conflicts = materialize(best.select("record_id", "field", "field_pos", "kind", "value", *compare.evidence_columns()))  # read by every branch of the rules
+    conflicts = settle_conflicts(conflicts, state)
+    conflicts = materialize(conflicts.select("record_id", "field", "value", "found", "similarity", "confidence", "label_score", "is_unique", "group_id", "reason", "changed"))
+    won = conflicts.where("changed").select("record_id", "field", F.col("found").alias("new"), F.lit("conflict").alias("detail"))
     other = won.where(F.col("field").isin(*twins)).withColumn("field", F.when(F.col("field") == twins[0], twins[1]).otherwise(twins[0])).withColumn("detail", F.lit("twin"))
-    won = won.unionByName(other)
-    log.append(_changes(state, won, "other source"))
-    state = materialize(applied(state, won))
+    may_change = F.coalesce(F.col("kind").isin(OVERRIDABLE) | F.col("field").isin(*twins), F.lit(False))
+    changed = state.where(may_change).withColumnRenamed("value", "old").join(won.unionByName(other), ["record_id", "field"], "left")
+    log.append(_audit(changed, "other source"))
+    state = state.where(~may_change).unionByName(changed.withColumn("value", F.coalesce("new", "old")).drop("old", "new", "detail"))
 
-    read = page_types.select("case_id", F.coalesce("text", F.lit("")).alias("text")).unionByName(start.select("case_id", F.coalesce("value", F.lit("")).alias("text")))
-    country = read.groupBy("case_id").agg(F.bool_or(F.contains("text", F.lit("中国")) | F.contains("text", F.lit("中华人民共和国"))).alias("seen"))
     address = state.where("field = 'address'").groupBy("record_id").agg(F.max("value").alias("address"))
-    people = state.where("field = 'nationality'").join(address, "record_id", "left").join(country, "case_id", "left")
-    people = people.withColumn("detail", recheck.nationality_source(F.col("value"), F.coalesce("address", F.lit("")), F.col("seen"))).where("detail <> ''")
-    people = people.select("record_id", "field", F.lit("中国").alias("value"), "detail")
-    log.append(_changes(state, people, "nationality"))
-    return applied(state, people), reduce(DataFrame.unionByName, log), conflicts
+    people = state.where("field = 'nationality'").join(address, "record_id", "left")
+    people = people.withColumn("detail", recheck.nationality_source(F.col("value"), F.coalesce("address", F.lit("")), F.col("seen"))).withColumnRenamed("value", "old")
+    people = people.withColumn("new", F.when(F.col("detail") != "", F.lit("中国")))
+    log.append(_audit(people, "nationality"))
+    rest = state.where(F.coalesce(F.col("field") != "nationality", F.lit(True)))
+    return rest.select(KEEP).unionByName(people.withColumn("value", F.coalesce("new", "old")).select(KEEP)), reduce(DataFrame.unionByName, log), conflicts

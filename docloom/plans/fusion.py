@@ -90,8 +90,8 @@ add("supplement_missing", _FRAMES, lambda v, c, p, t: fusion.supplement_missing(
 
 
 def _reconciled(spark, sf_dir):
-    f = {name: frame(spark, sf_dir, name) for name in ("fusion_values", "fusion_types", "fusion_candidates", "fusion_pages", "fusion_tokens")}
-    return fusion.reconcile_sources(f["fusion_values"], f["fusion_types"], f["fusion_candidates"], f["fusion_pages"], f["fusion_tokens"], _labels(spark))
+    f = {name: frame(spark, sf_dir, name, customer="c_custkey") for name in ("fusion_values", "fusion_types", "fusion_candidates", "fusion_pages", "fusion_token_pages")}
+    return fusion.reconcile_pages(f["fusion_values"], f["fusion_types"], f["fusion_candidates"], f["fusion_pages"], f["fusion_token_pages"], _labels(spark))
 
 
 _STEPS = NEAR + f""",

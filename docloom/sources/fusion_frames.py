@@ -38,6 +38,9 @@ define("fusion_tokens", FRAMES["claim_tokens"] + """
                CASE WHEN (c_custkey + i) % 37 = 0 THEN NULL ELSE 0.95 + ((c_custkey * 7 + i * 13 + p * 5) % 50) / 1000.0 END AS score,
                CAST(120 * (i % 2) AS DOUBLE) AS left, CAST(60 * CAST(floor(i / 2) AS BIGINT) AS DOUBLE) AS top, CAST(120 * (i % 2) + 100 AS DOUBLE) AS right, CAST(60 * CAST(floor(i / 2) AS BIGINT) + 20 + p AS DOUBLE) AS bottom
         FROM {customer} CROSS JOIN (SELECT 0 AS p UNION ALL SELECT 1) AS pp CROSS JOIN (SELECT 11 AS i UNION ALL SELECT 12 UNION ALL SELECT 13 UNION ALL SELECT 14) AS ii""")
+#: The frame ``fusion_tokens`` with a page's tokens as one array, built in the row of the customer; oracles read ``fusion_tokens``.
+_TOKENS = [part.split("FROM {customer}")[0] for part in FRAMES["fusion_tokens"].split("AS token_index,")[1:]]
+define("fusion_token_pages", "SELECT c_custkey * 10 + p AS group_id, concat(" + ", ".join(f"transform(sequence({span}), i -> struct(CAST(i AS BIGINT) AS token_index, {token}))" for span, token in zip(("0, 10", "11, 14"), _TOKENS, strict=True)) + ") AS tokens FROM {customer} CROSS JOIN (SELECT 0 AS p UNION ALL SELECT 1) AS pp")
 define("fusion_candidates", """
         SELECT c_custkey AS record_id, f.field AS field,
                CASE f.field WHEN 'name' THEN c_name WHEN 'plate' THEN concat('京A', lpad(CAST(c_custkey AS STRING), 6, '7')) WHEN 'plate_number' THEN concat('京A', lpad(CAST(c_custkey AS STRING), 6, '7'))

@@ -92,3 +92,90 @@ def test_search_of_pages_is_the_search_of_tokens(spark):
         assert found.get((i, torn), (None,))[0] == (windows[-start] if near else None)
         hits += near
     assert hits > 10
+
+
+TOKENS = "group_id long, token_index long, text string, score double, left double, top double, right double, bottom double"
+
+
+def scattered_pages(spark):
+    """Pages of labels, values near and far, torn values and tokens without text; and the rows that ask for them."""
+    words = ["Plate", "京A1234", "5", "Plate No.", None, "VIN: LSV1111111", "11100007", "D", "class", "C", "class D", "京B12345", "far"]
+    rows, claims = [], []
+    for g in range(24):
+        for i in range(14):
+            w = words[(g * 5 + i * (1 + g % 6)) % 13]
+            x, y = 130.0 * ((i * 7 + g) % 4), 45.0 * ((i * 3 + g) % 9)
+            rows.append((g, i, w, None if (g + i) % 7 == 0 else (g * 13 + i * 29) % 100 / 100, x, y, x + 90 + i, y + 18 + g % 5))
+        claims += [(g, f, v) for f, v in [("plate", "京A12345"), ("plate", "京C12345"), ("vin", "LSV111111111100007"), ("vin", "LSW1111111111100008"), ("class", "D"), ("class", "C"), ("class", " "), ("other", "far")]]
+    labels = [("plate", "Plate"), ("plate", "Plate No."), ("vin", "VIN"), ("class", "class"), ("class", "")]
+    return spark.createDataFrame(claims, "group_id long, field string, value string"), spark.createDataFrame(rows, TOKENS), spark.createDataFrame(labels, "field string, alias string")
+
+
+def test_labelled_search_equals_all_windows(spark):
+    from collections import defaultdict
+    from difflib import SequenceMatcher
+
+    from docloom.operators import compare, tokens as t
+
+    claims, tokens, labels = scattered_pages(spark)
+    key = lambda x: "".join(c for c in (x or "").upper() if c not in " .:-")
+    read = {(r.group_id, r.token_index): r for r in tokens.collect()}
+    near = defaultdict(list)
+    for r in t.associate_labels(t.pages_of(tokens), labels).collect():
+        near[r.group_id, r.field, r.label_index, r.label_score].append(r.value_index)
+    want = {}
+    for c in claims.collect():
+        hits, k = [], key(c.value)
+        for (g, field, _, score), of in near.items():
+            if (g, field) != (c.group_id, c.field) or not k:
+                continue
+            owned = [(ch, read[g, i].score) for i in sorted(of) for ch in key(read[g, i].text)]
+            if len(k) == 1:
+                scores = [read[g, i].score for i in of if key(read[g, i].text) == k]
+                hits += [(1.0, max((s for s in scores if s is not None), default=None), score, k)] if scores else []
+                continue
+            cut = [(SequenceMatcher(None, k, "".join(x for x, _ in owned[s : s + len(k)]), autojunk=False).ratio(), -s) for s in range(len(owned) - len(k) + 1)]
+            ratio, s = max(cut, default=(0, 0))
+            found = "".join(x for x, _ in owned[-s : -s + len(k)])
+            if ratio >= (0.80 if len(k) >= 8 else 0.84) and sum(a != b for a, b in zip(k, found, strict=True)) <= (3 if len(k) >= 12 else 2 if len(k) >= 5 else 1):
+                scores = [x for _, x in owned[-s : -s + len(k)] if x is not None]
+                hits.append((round(ratio, 6), min(scores, default=None), score, found))
+        if hits:
+            best = max(hits, key=lambda h: (h[0], h[1] or 0.0, h[2] or 0.0, h[3]))
+            want[c.group_id, c.field, c.value] = (best[3], best[0], best[1], best[2], len({h[3] for h in hits}) == 1)
+    got = {tuple(r[:3]): tuple(r[3:]) for r in compare.labelled_evidence(claims, tokens, labels).select("group_id", "field", "value", "found", "similarity", "confidence", "label_score", "is_unique").collect()}
+    assert len(want) > 40 and {len(v[0]) for v in want.values()} >= {1, 7, 18}
+    assert got == want
+
+
+def test_labelled_search_shuffles_claims_pages_and_hits(spark):
+    from docloom.operators import compare, tokens as t
+
+    claims, tokens, labels = scattered_pages(spark)
+    pages = compare.keyed_pages(t.pages_of(tokens))
+    plan = compare.search_labelled(claims, pages, labels)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode") == 1  # labels of a page; what is near them stays an array
+    assert plan.count("ArrowEvalPython") == 1
+    assert "RepartitionByExpression [group_id" in plan
+
+
+def test_only_addresses_meet_what_is_alike(spark):
+    from docloom.operators import fusion
+
+    conflicts = spark.createDataFrame([(1, "plate", 0, "plate", "京A12345", "京B12345", 1.0, 1.0, True), (2, "x", 0, None, "a", "b", 1.0, 1.0, True)], "record_id long, field string, field_pos int, kind string, value string, found string, confidence double, label_score double, is_unique boolean")
+    out = fusion.settle_conflicts(conflicts, conflicts)
+    assert {r.record_id for r in out.collect() if r.changed} == {1}
+    plan = out._jdf.queryExecution().analyzed().toString()
+    joined = plan[plan.index("Join LeftOuter, ((a#") :] if "Join LeftOuter, ((a#" in plan else plan
+    assert "= address), false)" in joined
+
+
+def test_token_pages_of_fusion_hold_its_tokens(spark):
+    from pyspark.sql import functions as F
+
+    from docloom.sources.frames import frame
+
+    pages, rows = frame(spark, FOLDER, "fusion_token_pages", customer="c_custkey"), frame(spark, FOLDER, "fusion_tokens")
+    flat = pages.select("group_id", F.inline("tokens")).select(*[F.col(c).cast(kind) for c, kind in rows.dtypes])
+    assert flat.count() == rows.count() and flat.exceptAll(rows).count() == 0
+    assert pages.groupBy("group_id").count().where("count > 1").count() == 0
